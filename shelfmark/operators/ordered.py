@@ -44,26 +44,32 @@ def previous_row(df: DataFrame, keys: list[str], order: str, cols: list[str],
     )
 
 
+def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str,
+                width: int = RANGE_WIDTH) -> DataFrame:
+    """Add BIGINT `name`: sum of `value` from the first row of the key up to this one."""
+    ranged = _ranges(df.withColumn("_value", value), order, width)
+    inside = ranged.withColumn("_inside", F.sum("_value").over(
+        Window.partitionBy(*keys, "_range").orderBy(order)
+        .rowsBetween(Window.unboundedPreceding, 0)))
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum("_value").alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        *keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    return (
+        inside.join(offsets, [*keys, "_range"], "left")
+        .withColumn(name, (F.col("_inside") + F.col("_before")).cast("bigint"))
+        .drop("_inside", "_before", "_range", "_value")
+    )
+
+
 def number_rows(df: DataFrame, keys: list[str], order: str, name: str = "row_no",
                 width: int = RANGE_WIDTH, where: Column | None = None) -> DataFrame:
     """Add BIGINT `name`: 1-based position of the row within its key by `order`.
 
     With `where`, counts only rows that satisfy it, so a row carries the running count.
     """
-    one = F.when(where if where is not None else F.lit(True), 1).otherwise(0)
-    ranged = _ranges(df.withColumn("_one", one), order, width)
-    per_range = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, 0)
-    inside = ranged.withColumn("_inside", F.sum("_one").over(per_range))
-    counts = ranged.groupBy(*keys, "_range").agg(F.sum("_one").alias("_count"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *keys, "_range", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_before"))
-    return (
-        inside.join(offsets, [*keys, "_range"], "left")
-        .withColumn(name, (F.col("_inside") + F.col("_before")).cast("bigint"))
-        .drop("_inside", "_before", "_range", "_one")
-    )
+    one = F.when(where, 1).otherwise(0) if where is not None else F.lit(1)
+    return running_sum(df, keys, order, one, name, width)
 
 
 def running_max(df: DataFrame, keys: list[str], order: str, value: str, name: str,

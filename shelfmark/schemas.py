@@ -125,6 +125,7 @@ VALUE_COLUMNS = {
 SOURCE_KINDS = ("provider_metadata", "resource_content")
 ENRICHMENT_STATUSES = ("running", "completed", "failed")
 RUN_STATUSES = ("running", "completed", "failed")
+RUN_ERROR_CODES = ("execution_failed", "interrupted_previous_run")
 RUN_KINDS = ("provider_sync", "enrichment")
 
 # Predicate name -> value type. All are single-valued.
