@@ -113,11 +113,17 @@ def clip(text: Column | str, length: int) -> Column:
 
 
 def size_label(size: Column | str) -> Column:
+    """B, KiB or MiB; one decimal, halves to even on the exact quotient."""
     s = col(size)
+
+    def per(unit: int) -> Column:
+        exact = s.cast("decimal(18,0)") * F.lit(1 / unit).cast("decimal(20,20)")
+        return F.bround(exact, 1).cast("decimal(20,1)").cast("string")
+
     return (
         F.when(s < 1024, F.concat(s.cast("string"), F.lit(" B")))
-        .when(s < 1024 ** 2, F.format_string("%.1f KiB", s / F.lit(1024.0)))
-        .otherwise(F.format_string("%.1f MiB", s / F.lit(1048576.0)))
+        .when(s < 1024 ** 2, F.concat(per(1024), F.lit(" KiB")))
+        .otherwise(F.concat(per(1024 ** 2), F.lit(" MiB")))
     )
 
 

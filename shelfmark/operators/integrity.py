@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from shelfmark import functions as fn
 from shelfmark.operators.publish import GENERATOR
 from shelfmark.schemas import (
-    ENRICHMENT_STATUSES, RESOURCE_TYPES, RUN_KINDS, RUN_STATUSES, SOURCE_KINDS, TABLES,
-    VALUE_COLUMNS,
+    ENRICHMENT_STATUSES, RESOURCE_TYPES, RUN_ERROR_CODES, RUN_KINDS, RUN_STATUSES, SOURCE_KINDS,
+    TABLES, VALUE_COLUMNS,
 )
 
 # Keys that must be unique, references that must resolve, required columns.

@@ -165,7 +165,8 @@ def fold_events(events: DataFrame) -> Fold:
         & (F.col("break_at").isNull() | (F.col("sequence") < F.col("break_at")))
         & (F.col("end_at").isNull() | (F.col("sequence") <= F.col("end_at")))
     )
-    judged = judged.withColumn("accepted", accepted)
+    # Written once: the fold's consumers read the accepted events many times.
+    judged = materialise(judged.withColumn("accepted", accepted), "judged-events")
     reason = F.when(F.coalesce(F.col("arrival") > F.col("ended"), F.lit(False)),
                     "terminal event already published").otherwise("sequence is not monotonic")
     return Fold(
@@ -228,8 +229,9 @@ def trace(accepted: DataFrame, max_steps: int = MAX_TRACE_STEPS) -> DataFrame:
                             & F.col("capability").isNotNull())
     starts = tools.groupBy("turn_id", "operation_id").agg(
         F.min(F.struct("sequence", "capability")).alias("s"))
-    starts = number_rows(starts.select("turn_id", "operation_id", "s.*"), ["turn_id"], "sequence",
-                         "start_no").filter(F.col("start_no") <= MAX_OPERATIONS)
+    starts = materialise(
+        number_rows(starts.select("turn_id", "operation_id", "s.*"), ["turn_id"], "sequence",
+                    "start_no").filter(F.col("start_no") <= MAX_OPERATIONS), "trace-starts")
     ends = (
         accepted.filter(F.col("type") == "tool.completed")
         .select("turn_id", "operation_id", F.col("sequence").alias("end_seq"), "duration_ms")
@@ -261,8 +263,8 @@ def trace(accepted: DataFrame, max_steps: int = MAX_TRACE_STEPS) -> DataFrame:
         .alias("step_id"),
         F.coalesce(phase_label[F.col("phase")], F.col("phase")).alias("label"),
         F.lit("In progress").alias("detail"), F.lit(False).alias("finished"), "phase")
-    steps = previous_row(first.unionByName(phases).unionByName(tool_steps), ["turn_id"],
-                         "sequence", ["phase"])
+    steps = materialise(first.unionByName(phases).unionByName(tool_steps), "trace-candidates")
+    steps = previous_row(steps, ["turn_id"], "sequence", ["phase"])
     repeated = F.col("phase").isNotNull() & (F.col("phase") == F.col("previous.phase"))
     steps = steps.filter(~F.coalesce(repeated, F.lit(False))).drop("previous")
     outcome = F.create_map(*[F.lit(x) for pair in TERMINAL.items() for x in pair])
@@ -273,7 +275,9 @@ def trace(accepted: DataFrame, max_steps: int = MAX_TRACE_STEPS) -> DataFrame:
         F.initcap("status").alias("label"),
         F.when(F.col("status") == "completed", "Finished").otherwise(F.initcap("status"))
         .alias("detail"), F.lit(True).alias("finished"), F.lit(None).cast("string").alias("phase"))
-    numbered = number_rows(steps.unionByName(final), ["turn_id"], "sequence", "step_no")
+    # Written in between: each ordered operator reads its input twice.
+    steps = materialise(steps.unionByName(final), "trace-steps")
+    numbered = number_rows(steps, ["turn_id"], "sequence", "step_no")
     heads = numbered.groupBy("turn_id").agg(
         F.max("step_no").alias("n_steps"), F.count(F.lit(1)).alias("n"),
         F.max(F.when(~F.col("step_id").startswith("terminal:"), F.col("step_no")))
@@ -325,8 +329,8 @@ def pair_calls(calls: DataFrame, tools: DataFrame) -> DataFrame:
                 F.coalesce("category", F.lit(UNKNOWN_TOOL[0])).alias("category"),
                 F.coalesce("capability", F.lit(UNKNOWN_TOOL[1])).alias("capability"),
                 F.coalesce("tool_phase", F.lit(UNKNOWN_TOOL[2])).alias("tool_phase"),
-                F.greatest(F.lit(0), F.least(F.lit(MAX_DURATION_MS), elapsed)).cast("bigint")
-                .alias("duration_ms"))
+                F.when(elapsed.isNotNull(), F.greatest(F.lit(0), F.least(
+                    F.lit(MAX_DURATION_MS), elapsed))).cast("bigint").alias("duration_ms"))
     )
 
 

@@ -344,6 +344,10 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, "turns", sf_dir, ["turn_events"], lambda: [_turn_events(spark, sf_dir)])[0]
+
+
+def _turn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user is one turn. Numbers follow arrival; a value of 200 or more skips a number,
     and the last event ends the turn."""
     rows = table(spark, sf_dir, "events").select(

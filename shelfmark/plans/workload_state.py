@@ -131,7 +131,7 @@ def long_excerpts(spark, sf_dir):
 
 
 MODIFIED = """modified AS (
-      SELECT id, min(modified_at) AS at, CASE WHEN bool_and(provider <> 'immich')
+      SELECT id, min(modified_at) AS moment, CASE WHEN bool_and(provider <> 'immich')
         THEN 'nextcloud.webdav.getlastmodified' WHEN bool_and(provider = 'immich')
         THEN 'immich.asset.fileModifiedAt'
         ELSE 'file_metadata.active_supported_sources_consensus' END AS locator
@@ -140,11 +140,11 @@ MODIFIED = """modified AS (
 
 
 @register("modified_consensus", f"""WITH {o.CATALOG}, {o.JOINED}, {MODIFIED}
-    SELECT id AS resource_id, at, locator FROM modified""")
+    SELECT id AS resource_id, moment, locator FROM modified""")
 def modified_consensus(spark, sf_dir):
     extractor = bind.file_modified()
     return extractor.drafts(extractor.inputs(bind.catalog(spark, sf_dir))).select(
-        "resource_id", F.col("datetime_value").alias("at"),
+        "resource_id", F.col("datetime_value").alias("moment"),
         F.col("source_locator").alias("locator"))
 
 
@@ -252,12 +252,16 @@ def family_conflicts(spark, sf_dir):
 
 
 @register("claim_violations", f"""SELECT id AS subject_asset_id, predicate, count(*) AS n
-    FROM ({_labels_sql(False)}) GROUP BY id, predicate HAVING count(*) > 1""")
+    FROM (SELECT * FROM ({_labels_sql(False)}) UNION ALL SELECT * FROM ({_labels_sql(True)}))
+    GROUP BY id, predicate HAVING count(*) > 1""")
 def claim_violations(spark, sf_dir):
-    """Resources whose copies are labelled differently, if labels had to be single-valued."""
+    """Resources that both versions of the labels make a current claim about."""
     registry = predicate_table(spark, {p: (t, "single")
                                        for p, (t, _) in bind.LABEL_PREDICATES.items()})
-    return pub.claim_violations(bind.label_statements(spark, sf_dir), registry)
+    second = pub.new_statements(bind.label_drafts(spark, sf_dir, True), bind.LABELLER,
+                                bind.SECOND_RUN)
+    return pub.claim_violations(
+        bind.label_statements(spark, sf_dir).unionByName(second), registry)
 
 
 # --- retrieval ------------------------------------------------------------------------------
@@ -323,8 +327,8 @@ RICH = ret.RichFilters(
 CANDIDATES = f"""{EXCERPTS}, {MODIFIED},
     ranked AS (SELECT id, title, CAST(row_number() OVER (ORDER BY title, id) AS INTEGER) AS rank
       FROM resources JOIN excerpts USING (id) WHERE contains(lower(excerpt), 'th')),
-    flagged AS (SELECT r.*, m.at, r.id IN (SELECT id FROM joined WHERE {o.CATEGORY} = 'text') AS f1,
-        coalesce(m.at >= TIMESTAMP '2023-03-01' AND m.at < TIMESTAMP '2023-12-01', FALSE) AS f2
+    flagged AS (SELECT r.*, m.moment, r.id IN (SELECT id FROM joined WHERE {o.CATEGORY} = 'text') AS f1,
+        coalesce(m.moment >= TIMESTAMP '2023-03-01' AND m.moment < TIMESTAMP '2023-12-01', FALSE) AS f2
       FROM ranked r LEFT JOIN modified m USING (id) WHERE rank <= 50)"""
 
 
@@ -336,7 +340,7 @@ def _retrieved(spark, sf_dir):
 @register("filtered_retrieval", f"""WITH {o.CATALOG}, {o.JOINED}, {CANDIDATES}
     SELECT {o.ref('id')} AS resource_ref, title, rank AS source_rank,
       'document.text_excerpt,file.modified_at' AS matched, NULL::TIMESTAMP AS captured_at,
-      at AS file_modified_at FROM flagged WHERE f1 AND f2 ORDER BY rank LIMIT 10""")
+      moment AS file_modified_at FROM flagged WHERE f1 AND f2 ORDER BY rank LIMIT 10""")
 def filtered_retrieval(spark, sf_dir):
     return _retrieved(spark, sf_dir).hits.select(
         "resource_ref", "title", "source_rank",
@@ -527,14 +531,14 @@ _LOG = f"""log AS (SELECT {o.uid("'user-run|' || user_id")} AS run_id, event_id
     begins AS (SELECT run_id, min(seq) AS seq, min(ts) AS started, min(key) AS key FROM log
       WHERE event = 'begin' GROUP BY run_id),
     ends AS (SELECT l.run_id, min(l.seq) AS seq, arg_min(l.event, l.seq) AS event,
-        min(l.ts) AS at FROM log l JOIN begins b USING (run_id)
+        min(l.ts) AS ended FROM log l JOIN begins b USING (run_id)
       WHERE l.event <> 'begin' AND l.seq > b.seq GROUP BY l.run_id)"""
 
 
 @register("run_fold", f"""WITH {_LOG}
     SELECT run_id AS id, key AS pipeline_key, 'enrichment' AS kind, CASE event
         WHEN 'complete' THEN 'completed' WHEN 'fail' THEN 'failed' ELSE 'running' END AS status,
-      started AS started_at, at AS finished_at,
+      started AS started_at, ended AS finished_at,
       CASE WHEN event = 'fail' THEN 'execution_failed' END AS error_code
     FROM begins LEFT JOIN ends USING (run_id)""")
 def run_fold(spark, sf_dir):

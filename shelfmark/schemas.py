@@ -92,6 +92,7 @@ TABLES = {
     "persons": PERSONS,
     "person_sources": PERSON_SOURCES,
     "resource_person": RESOURCE_PERSON,
+    "turn_events": TURN_EVENTS,
 }
 
 
