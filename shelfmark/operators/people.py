@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shelfmark import functions as fn
 from shelfmark.operators.ordered import spread_join
 from shelfmark.schemas import PERSON_SOURCES, RESOURCE_PERSON, Catalog
+from shelfmark.session import materialise
 
 
 class People(NamedTuple):
@@ -114,7 +115,9 @@ def reconcile_relations(provider: str, pairs: DataFrame, catalog: Catalog,
     """Created, unchanged, reactivated and inactivated relations of one provider."""
     if not provider.strip():
         raise ValueError("provider must be non-empty")
-    pairs = pairs.select("asset_external_id", "person_external_id").distinct()
+    # Written once: the hot-key counts, both joins and the totals read them.
+    pairs = materialise(
+        pairs.select("asset_external_id", "person_external_id").distinct(), "observed-pairs")
     blank = (fn.strip("asset_external_id") == "") | (fn.strip("person_external_id") == "")
     if pairs.filter(F.coalesce(blank, F.lit(True))).select("asset_external_id").first():
         raise ValueError("observed relation ids must be non-empty")

@@ -21,7 +21,9 @@ from shelfmark import functions as fn
 from shelfmark.operators.ordered import (
     first_per_key, previous_row, running_max, spread_join,
 )
-from shelfmark.schemas import BLOBS, FACT_KINDS, FACTS, RESOURCES, SOURCES, Catalog
+from shelfmark.schemas import (
+    BLOBS, DECISIONS, FACT_KINDS, FACTS, RESOURCES, SOURCES, Catalog,
+)
 from shelfmark.session import materialise
 
 KEY = ["provider", "external_id"]
@@ -225,11 +227,7 @@ def _match_new_files(rows: DataFrame, blobs: DataFrame, created: DataFrame) -> D
     return decided.unionByName(unusable)
 
 
-DECISION = [
-    "ordinal", "provider", "external_id", "kind", "reason", "confidence", "action", "source_id",
-    "blob_id", "resource_id", "hash", "hash_computed", "name", "path", "version_tag", "raw",
-    "size", "mime_type", "observed_at",
-]
+DECISION = DECISIONS.fieldNames()
 
 
 def _finish(rows: DataFrame) -> DataFrame:

@@ -220,6 +220,11 @@ def stored(spark: SparkSession, key: str, sf_dir: str, names: list[str], build)
     return [spark.read.schema(TABLES[name]).parquet(f"{_written[slot]}/{name}") for name in names]
 
 
+def stored_path(spark: SparkSession, key: str, sf_dir: str, name: str) -> str:
+    """Folder of a table that `stored` has written."""
+    return f"{_written[(spark.sparkContext.applicationId, key, sf_dir)]}/{name}"
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """The catalog after the first scan."""
     def build():

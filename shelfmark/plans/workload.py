@@ -13,6 +13,7 @@ from shelfmark.operators import query as q
 from shelfmark.operators import reconcile as rec
 from shelfmark.plans import bind
 from shelfmark.plans import oracle as o
+from shelfmark.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -286,21 +287,41 @@ SECOND = f"""{o.CATALOG}, {o.facts(2)},
         AND f.external_id = s.external_id))"""
 
 
-def _second(spark, sf_dir):
+def _second_facts(spark, sf_dir):
     facts, content = bind.split_scan(bind.second_scan(spark, sf_dir))
-    return rec.reconcile(facts, bind.catalog(spark, sf_dir), bind.SECOND_RUN, content)
+    return materialise(facts, "second-facts"), content
+
+
+def _second_decisions(spark, sf_dir):
+    facts, content = _second_facts(spark, sf_dir)
+    return rec.decide(facts, bind.catalog(spark, sf_dir), content)
+
+
+def _next_catalog(spark, sf_dir):
+    """The second run, decided once per application."""
+    catalog = bind.catalog(spark, sf_dir)
+    facts, decisions = bind.stored(
+        spark, "second-run", sf_dir, ["facts", "decisions"], lambda: _second_run(spark, sf_dir))
+    return rec.apply(decisions, rec.missing_sources(facts, catalog), catalog, bind.SECOND_RUN)
+
+
+def _second_run(spark, sf_dir):
+    facts, content = _second_facts(spark, sf_dir)
+    return facts, rec.decide(facts, bind.catalog(spark, sf_dir), content)
 
 
 @register("reconcile_second_scan", f"WITH {SECOND} {DECIDED} FROM decided")
 def reconcile_second_scan(spark, sf_dir):
-    return _second(spark, sf_dir).decisions.select(
+    return _second_decisions(spark, sf_dir).select(
         "ordinal", "provider", "external_id", "reason", "source_id", "blob_id", "resource_id",
         "hash")
 
 
 @register("missing_sources", f"WITH {SECOND} SELECT id, provider, external_id FROM missing")
 def missing_sources(spark, sf_dir):
-    return _second(spark, sf_dir).missing.select("id", "provider", "external_id")
+    facts, _ = bind.split_scan(bind.second_scan(spark, sf_dir))
+    return rec.missing_sources(facts, bind.catalog(spark, sf_dir)).select(
+        "id", "provider", "external_id")
 
 
 @register("sync_totals", f"""WITH {SECOND}, lost AS (SELECT count(*) AS n FROM missing)
@@ -312,8 +333,9 @@ def missing_sources(spark, sf_dir):
       CAST(count(hash) AS BIGINT) AS hashes, (SELECT n FROM lost) AS missing
     FROM decided""")
 def sync_totals(spark, sf_dir):
-    run = _second(spark, sf_dir)
-    return rec.metrics(run.decisions, run.missing)
+    facts, _ = bind.split_scan(bind.second_scan(spark, sf_dir))
+    return rec.metrics(_second_decisions(spark, sf_dir),
+                       rec.missing_sources(facts, bind.catalog(spark, sf_dir)))
 
 
 @register("next_catalog_sources", f"""WITH {SECOND}
@@ -328,7 +350,7 @@ def sync_totals(spark, sf_dir):
     SELECT source_id, blob_id, provider, external_id, path, name, version, TRUE, NULL
     FROM decided WHERE reason IN ('new_source_new_blob', 'new_source_existing_blob')""")
 def next_catalog_sources(spark, sf_dir):
-    return _second(spark, sf_dir).catalog.sources.drop("metadata")
+    return _next_catalog(spark, sf_dir).sources.drop("metadata")
 
 
 @register("next_catalog_contents", f"""WITH {SECOND}
@@ -341,7 +363,7 @@ def next_catalog_sources(spark, sf_dir):
     FROM decided d LEFT JOIN resources r ON r.id = d.resource_id
     WHERE d.reason IN ('new_source_new_blob', 'new_blob_for_existing_asset')""")
 def next_catalog_contents(spark, sf_dir):
-    after = _second(spark, sf_dir).catalog
+    after = _next_catalog(spark, sf_dir)
     resources = after.resources.select(F.col("id").alias("asset_id"), "title", "resource_type",
                                        "created_at")
     return after.blobs.join(resources, "asset_id")

@@ -65,6 +65,12 @@ FACTS = _ddl(
     "size BIGINT, mime_type STRING, modified_at STRING, version_tag STRING, content_hash STRING, "
     "raw STRING, observed_at TIMESTAMP"
 )
+DECISIONS = _ddl(
+    "ordinal BIGINT, provider STRING, external_id STRING, kind STRING, reason STRING, "
+    "confidence DOUBLE, action STRING, source_id STRING, blob_id STRING, resource_id STRING, "
+    "hash STRING, hash_computed BOOLEAN, name STRING, path STRING, version_tag STRING, "
+    "raw STRING, size BIGINT, mime_type STRING, observed_at TIMESTAMP"
+)
 CONVERSATIONS = _ddl(
     "id STRING, title STRING, created_at TIMESTAMP, updated_at TIMESTAMP, archived_at TIMESTAMP"
 )
@@ -93,6 +99,8 @@ TABLES = {
     "person_sources": PERSON_SOURCES,
     "resource_person": RESOURCE_PERSON,
     "turn_events": TURN_EVENTS,
+    "facts": FACTS,
+    "decisions": DECISIONS,
 }
 
 

@@ -34,9 +34,11 @@ def ingest_batch(pages: DataFrame, version: int, root: str, to_facts=photos.phot
 
 
 def ingest_stream(spark: SparkSession, landing: str, root: str, checkpoint: str, content=None,
-                  schema=photos.PAGE, now: datetime | None = None, **adapter):
-    """Start (and drain) a stream over a landing folder of inventory pages."""
-    pages = spark.readStream.schema(schema).option("multiLine", "true").json(landing)
+                  schema=photos.PAGE, now: datetime | None = None, multi_line: bool = True,
+                  **adapter):
+    """Start a stream over a landing folder of inventory pages: one page per file, or with
+    `multi_line=False` one page per line. It stops when everything landed is worked in."""
+    pages = spark.readStream.schema(schema).option("multiLine", multi_line).json(landing)
     return (
         pages.writeStream.foreachBatch(
             lambda df, batch: ingest_batch(df, batch, root, content=content, now=now, **adapter))
