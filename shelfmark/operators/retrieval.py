@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
@@ -9,6 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -318,3 +320,7 @@ def retrieve_filtered(catalog: Catalog, statements: DataFrame, predicate: str, t
                       ) -> Retrieved:
     return funnel(catalog, statements, text_candidates(catalog, statements, predicate, text),
                   filters, limit)
+
+
+# Executors get the scan function itself, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -242,9 +242,9 @@ def landed_message_content(spark, sf_dir):
 # --- stored versions and streams --------------------------------------------------------------
 
 @register("stored_versions", f"""WITH {o.CATALOG}
-    SELECT 1 AS version, provider, count(*) AS sources, count(*) AS active FROM sources GROUP BY ALL
-    UNION ALL SELECT 2, provider, count(*), CASE WHEN provider = 'immich' THEN 0 ELSE count(*) END
-    FROM sources GROUP BY ALL""")
+    SELECT 1 AS version, provider, count(*) AS sources, count(*) AS active FROM sources GROUP BY provider
+    UNION ALL SELECT 2, provider, count(*), count(*) FILTER (WHERE provider <> 'immich')
+    FROM sources GROUP BY provider""")
 def stored_versions(spark, sf_dir):
     """Two committed versions of the catalog, the second without active photos; both readable."""
     root = run_folder(spark, "versions")

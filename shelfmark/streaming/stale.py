@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -52,3 +54,6 @@ def watch_claims(states: DataFrame, stale_ms: int | None = None) -> DataFrame:
     watch = ClaimWatch() if stale_ms is None else ClaimWatch(stale_ms)
     return states.groupBy("subject").transformWithStateInPandas(
         watch, OUTPUT, "append", "processingTime")
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

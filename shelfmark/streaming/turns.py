@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,20 +25,21 @@ HEAD = T.StructType([
     T.StructField("terminal", T.StringType()),
 ])
 KEPT = T.StructType([T.StructField("sequence", T.LongType()), T.StructField("type", T.StringType())])
-# Fixed value: a finished turn is forgotten after this time without events.
-FORGET_AFTER_MS = 24 * 3600 * 1000
 
 
 class TurnFold(StatefulProcessor):
     """Accept sequence 1, 2, 3, ... of a turn until its terminal event; refuse everything else.
 
     State per turn is one head row and the newest events for replay; text is passed on, never
-    kept.
+    kept. With `forget_after_ms` a turn without events for that long is forgotten.
     """
 
+    def __init__(self, forget_after_ms: int | None = None) -> None:
+        self._forget = forget_after_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._head = handle.getValueState("head", HEAD, FORGET_AFTER_MS)
-        self._recent = handle.getListState("recent", KEPT, FORGET_AFTER_MS)
+        self._head = handle.getValueState("head", HEAD, self._forget)
+        self._recent = handle.getListState("recent", KEPT, self._forget)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
@@ -67,11 +70,17 @@ class TurnFold(StatefulProcessor):
         pass
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
+def fold_stream(events: DataFrame, forget_after_ms: int | None = None) -> DataFrame:
     """Accepted and refused events of a stream of TURN_EVENTS rows (refused ones carry why).
 
-    Within a micro-batch a turn's rows are taken in arrival order.
+    Within a micro-batch a turn's rows are taken in arrival order. Forgetting needs the clock,
+    which keeps a query going without new data; leave it out for runs that should end.
     """
     slim = events.select("turn_id", "arrival", "sequence", "type", "phase", "delta")
     return slim.groupBy("turn_id").transformWithStateInPandas(
-        TurnFold(), OUTPUT, "append", "processingTime")
+        TurnFold(forget_after_ms), OUTPUT, "append",
+        "none" if forget_after_ms is None else "processingTime")
+
+
+# Executors get the processor itself, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
