@@ -5,8 +5,9 @@ and contents that earlier facts of the same scan created. What an earlier fact c
 later one is small (who created which content first), so it is computed per content hash and
 joined back, instead of walking the scan.
 
-One difference is deliberate: the changed content of a file listed more than once in one scan
-is not offered to other new files of that same scan.
+Two differences are deliberate. The changed content of a file listed more than once in one scan
+is not offered to other new files of that same scan. A content hash that two contents share does
+not stop the run: its new sources get the reason `ambiguous_blob_hash` for the whole scan.
 """
 
 from __future__ import annotations
