@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.operators.ordered import spread_join
 from shelfmark.schemas import RUNS
 
 # Fixed values.
@@ -35,8 +36,9 @@ def fold_runs(log: DataFrame) -> Folded:
     """
     begins = log.filter(F.col("event") == "begin").groupBy("run_id").agg(
         F.min(F.struct("seq", "pipeline_key", "kind", F.col("at").alias("started_at"))).alias("b"))
+    sizes = log.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     ends = (
-        log.filter(F.col("event") != "begin").join(begins, "run_id")
+        spread_join(log.filter(F.col("event") != "begin"), begins, "run_id", "seq", sizes, "inner")
         .filter(F.col("seq") > F.col("b.seq")).groupBy("run_id").agg(
             F.min(F.struct("seq", "event", "at", "error_code")).alias("e"))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import functions as fn
 from shelfmark.operators import query as q
+from shelfmark.operators.ordered import spread_join
 from shelfmark.schemas import Catalog
 
 # Labels by MIME type.
@@ -33,7 +34,7 @@ def present(catalog: Catalog, heads: DataFrame, providers: DataFrame,
     """
     rows = q.source_rows(catalog, heads.select("id"))
     place = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(q.source_order())])
-    known = F.broadcast(providers.select(F.col("provider").alias("p_ref"), "display_name"))
+    known = providers.select(F.col("provider").alias("p_ref"), "display_name")
     firsts = rows.groupBy("id").agg(
         F.min_by("mime_type", F.when(F.col("mime_type").isNotNull(), place)).alias("mime"),
         F.min_by("size", F.when(F.col("size").isNotNull(), place)).alias("bytes"))
@@ -93,9 +94,10 @@ def payloads(catalog: Catalog, heads: DataFrame, active_only: bool = True) -> Da
     list; a larger one is split by a hash of the source, each part ordered, nothing dropped.
     """
     rows = q.source_rows(catalog, heads.select("id"), active_only)
-    sizes = rows.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / F.lit(SOURCES_PER_PART))
-                                   .cast("int").alias("parts"))
-    split = rows.join(sizes, "id").withColumn(
+    sizes = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "parts", F.ceil(F.col("n") / F.lit(SOURCES_PER_PART)).cast("int"))
+    split = spread_join(rows, sizes.select("id", "parts"), "id", "source_id",
+                        sizes.select("id", "n")).withColumn(
         "part", F.pmod(F.xxhash64("source_id"), F.col("parts")).cast("int"))
     entry = F.struct(
         F.struct(*[c.alias(f"k{i}") for i, c in enumerate(q.source_order())]).alias("key"),

@@ -66,8 +66,7 @@ def gate(inputs: DataFrame, states: DataFrame, generator: Generator, now: dateti
 
 def draft_violations(drafts: DataFrame, covered: tuple[str, ...], registry: DataFrame) -> DataFrame:
     """(resource_id, violation) of drafts a batch may not contain."""
-    known = F.broadcast(registry.select(
-        "predicate", F.col("value_type").alias("r_type"), "cardinality"))
+    known = registry.select("predicate", F.col("value_type").alias("r_type"), "cardinality")
     rows = drafts.withColumn("value_text", value_text()).join(known, "predicate", "left")
     confidence = F.col("confidence")
     single = (
@@ -283,7 +282,7 @@ def get_state(states: DataFrame, subjects: DataFrame, generator: Generator) -> D
 
 def claim_violations(statements: DataFrame, registry: DataFrame) -> DataFrame:
     """Subjects with more than one current value of a single-valued predicate."""
-    single = F.broadcast(registry.filter(F.col("cardinality") == "single").select("predicate"))
+    single = registry.filter(F.col("cardinality") == "single").select("predicate")
     return (
         statements.filter("is_current").join(single, "predicate", "left_semi")
         .groupBy("subject_asset_id", "predicate").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

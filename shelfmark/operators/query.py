@@ -183,23 +183,27 @@ def aggregate(catalog: Catalog, filters: Filters = Filters(), period: Period = P
         keep = ["provider"] if group_by == "provider" else []
         pairs = (
             eligible_contents(catalog, filters, keep)
-            .select("resource_id", bucket.alias("bucket")).distinct()
+            .select("resource_id", bucket.alias("bucket"))
             .join(rows.select(F.col("id").alias("resource_id")), "resource_id", "left_semi")
         )
-    total = pairs.agg(F.count_distinct("resource_id").alias("total_count"))
-    counts = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("bucket_count"))
-    order = [F.col("bucket").asc()]
+    # The rollup's grand total counts each resource once; sorted first, it travels with the top-k.
+    counts = pairs.rollup("bucket").agg(
+        F.count_distinct("resource_id").alias("bucket_count"), F.grouping_id().alias("_total"))
+    order = [F.col("_total").desc(), F.col("bucket").asc()]
     if group_by != "day":
-        order.insert(0, F.col("bucket_count").desc())
-    # One bucket more than shown tells whether the list was cut; both windows see that top-k only.
-    top = counts.orderBy(*order).limit(bucket_limit + 1)
+        order.insert(1, F.col("bucket_count").desc())
+    # One bucket more than shown tells whether the list was cut; the windows see this top-k only.
+    top = counts.orderBy(*order).limit(bucket_limit + 2)
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding,
+                                                 Window.unboundedFollowing)
     return (
         top.withColumn("_place", F.row_number().over(Window.orderBy(*order)))
-        .withColumn("truncated", F.count(F.lit(1)).over(
-            Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding,
-                                                 Window.unboundedFollowing)) > bucket_limit)
-        .filter(F.col("_place") <= bucket_limit)
-        .select("bucket", "bucket_count", total.scalar().alias("total_count"), "truncated")
+        .withColumn("total_count", F.max(F.when(F.col("_total") == 1, F.col("bucket_count")))
+                    .over(whole))
+        .withColumn("truncated", F.count_if(F.col("_total") == 0).over(whole) > bucket_limit)
+        .filter((F.col("_total") == 0) & (F.col("_place") <= bucket_limit + 1))
+        .orderBy("_place")
+        .select("bucket", "bucket_count", "total_count", "truncated")
     )
 
 

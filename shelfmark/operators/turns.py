@@ -320,11 +320,10 @@ def pair_calls(calls: DataFrame, tools: DataFrame) -> DataFrame:
         ["turn_id"], "seq", "operation_id").filter(F.col("operation_id") <= MAX_OPERATIONS)
     ends = runs.filter("closes").select("turn_id", "call_id", "run_no",
                                         F.col("at").alias("completed_at"))
-    known = F.broadcast(tools)
     elapsed = F.floor(
         (F.unix_micros("completed_at") - F.unix_micros("started_at")) / F.lit(1000))
     return (
-        starts.join(ends, ["turn_id", "call_id", "run_no"], "left").join(known, "tool", "left")
+        starts.join(ends, ["turn_id", "call_id", "run_no"], "left").join(tools, "tool", "left")
         .select("turn_id", "operation_id", "call_id", "tool", "seq",
                 F.coalesce("category", F.lit(UNKNOWN_TOOL[0])).alias("category"),
                 F.coalesce("capability", F.lit(UNKNOWN_TOOL[1])).alias("capability"),

@@ -107,10 +107,11 @@ def photo_statements(spark, sf_dir):
       SELECT vec_id, label, list_aggregate(list_filter(list_transform(
         string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '[ \\t]+', ' ', 'g'))),
         lambda l: l <> ''), 'string_agg', chr(10)) AS text
-      FROM embeddings JOIN documents ON doc_id = vec_id)
+      FROM embeddings LEFT JOIN documents ON doc_id = vec_id)
     SELECT {o.uid("'resource|file|' || sha256('photo-' || vec_id)")} AS resource_id,
-      CASE label WHEN 9 THEN 'provider_not_found' WHEN 8 THEN 'provider_unavailable'
-        WHEN 7 THEN 'provider_invalid_response' END AS error_code,
+      CASE WHEN text IS NULL THEN 'provider_unavailable' WHEN label = 9 THEN 'provider_not_found'
+        WHEN label = 8 THEN 'provider_unavailable' WHEN label = 7
+        THEN 'provider_invalid_response' END AS error_code,
       CASE WHEN label < 7 THEN sha256({truncated('text', 8192, True)}) END AS digest FROM words""")
 def ocr_statements(spark, sf_dir):
     extractor = ex.PhotoOcr(bind.ocr_payloads(spark, sf_dir))
