@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from shelfmark import functions as fn
 from shelfmark.operators.publish import GENERATOR
 from shelfmark.schemas import (
-    ENRICHMENT_STATUSES, RESOURCE_TYPES, RUN_ERROR_CODES, RUN_KINDS, RUN_STATUSES, SOURCE_KINDS,
-    TABLES, VALUE_COLUMNS,
+    ENRICHMENT_STATUSES, MESSAGE_ROLES, RESOURCE_TYPES, RUN_ERROR_CODES, RUN_KINDS, RUN_STATUSES,
+    SOURCE_KINDS, TABLES, TURN_STATUSES, VALUE_COLUMNS,
 )
 
 # Keys that must be unique, references that must resolve, required columns.
@@ -24,7 +24,13 @@ KEYS = {
     "persons": [["id"]],
     "person_sources": [["provider", "external_id"]],
     "resource_person": [["resource_id", "person_id", "provider"]],
+    "conversations": [["id"]],
+    "messages": [["id", "part"]],
+    "turns": [["id"]],
+    "message_refs": [["message_id", "resource_ref"], ["message_id", "ordinal"]],
 }
+# Tables of which a key may have one running row.
+RUNNING = {"runs": "pipeline_key", "turns": "conversation_id"}
 REFERENCES = (
     ("blobs", "asset_id", "resources", "id"),
     ("sources", "blob_id", "blobs", "id"),
@@ -34,6 +40,11 @@ REFERENCES = (
     ("person_sources", "person_id", "persons", "id"),
     ("resource_person", "resource_id", "resources", "id"),
     ("resource_person", "person_id", "persons", "id"),
+    ("messages", "conversation_id", "conversations", "id"),
+    ("turns", "conversation_id", "conversations", "id"),
+    ("turns", "user_message_id", "messages", "id"),
+    ("turns", "assistant_message_id", "messages", "id"),
+    ("message_refs", "message_id", "messages", "id"),
 )
 OPTIONAL = {
     "blobs": {"size", "mime_type"},
@@ -43,6 +54,8 @@ OPTIONAL = {
     "runs": {"finished_at", "error_code"},
     "person_sources": {"inactive_at"},
     "resource_person": {"inactive_at"},
+    "conversations": {"archived_at"},
+    "turns": {"assistant_message_id", "completed_at", "error_code"},
 }
 
 
@@ -95,6 +108,10 @@ def row_rules(table: str) -> dict[str, Column]:
             "lifecycle": ~F.coalesce(coherent, F.lit(False)),
             "error_code": code & _outside("error_code", RUN_ERROR_CODES),
         }
+    if table == "messages":
+        return {"role": _outside("role", MESSAGE_ROLES)}
+    if table == "turns":
+        return {"status": _outside("status", TURN_STATUSES)}
     if table == "person_sources":
         return {"not_blank": _blank("provider") | _blank("external_id")}
     if table == "resource_person":
@@ -157,11 +174,12 @@ def check_integrity(tables: dict[str, DataFrame]) -> DataFrame:
             parts.append(lost.agg(F.count(F.lit(1)).alias("violations")).select(
                 F.lit(child).alias("table_name"), F.lit(f"reference:{column}").alias("rule"),
                 "violations"))
-    if "runs" in tables:
-        parts.append(running_twice(tables["runs"], "pipeline_key").agg(
-            F.count(F.lit(1)).alias("violations")).select(
-            F.lit("runs").alias("table_name"), F.lit("one_running:pipeline_key").alias("rule"),
-            "violations"))
+    for name, key in RUNNING.items():
+        if name in tables:
+            parts.append(running_twice(tables[name], key).agg(
+                F.count(F.lit(1)).alias("violations")).select(
+                F.lit(name).alias("table_name"), F.lit(f"one_running:{key}").alias("rule"),
+                "violations"))
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)

@@ -301,54 +301,59 @@ def _page(catalog: Catalog, rows: DataFrame, order: list[Column], limit: int, to
     return Page(heads, _summary_rows(catalog, heads), ahead, limit, token, sort_key)
 
 
-def _snapshot(period: Period, now: datetime) -> datetime:
-    return min(period.observed_to, now) if period.observed_to is not None else now
+def _open_page(operation: str, identity: dict, asked: Period, now: datetime,
+               cursor: str | None) -> tuple[Period, dict, dict | None]:
+    """The period to read, the token base, and the position to go on from.
 
-
-def _open_page(operation: str, filters: Filters, period: Period, now: datetime,
-               cursor: str | None, extra: dict) -> tuple[Period, dict, dict | None]:
-    """The period bounded by the snapshot of the first page, the token base, and the position."""
-    print_of = query_fingerprint(operation, {**asdict(filters), **asdict(period), **extra})
-    after = decode_token(cursor, operation, print_of) if cursor else None
+    The first page fixes the period, up to `now`; later pages take it from their token, so rows
+    that appear in between do not move anything.
+    """
+    fingerprint = query_fingerprint(operation, identity)
+    after = decode_token(cursor, operation, fingerprint) if cursor else None
     if after:
-        begin = after["from"] and datetime.fromisoformat(after["from"])
-        end = datetime.fromisoformat(after["snapshot"])
+        begin = datetime.fromisoformat(after["from"]) if after["from"] else None
+        end = datetime.fromisoformat(after["to"])
     else:
-        begin, end = period.observed_from, _snapshot(period, now)
-    token = {"operation": operation, "query": print_of, "snapshot": end.isoformat(),
+        begin = asked.observed_from
+        end = min(asked.observed_to, now) if asked.observed_to is not None else now
+        if begin is not None and begin >= end:
+            end = begin + timedelta(microseconds=1)
+            after = {"nothing": True}  # the asked period has not begun
+    token = {"operation": operation, "query": fingerprint, "to": end.isoformat(),
              "from": begin.isoformat() if begin else None}
-    if begin and begin >= end:
-        # A range that starts in the future holds nothing yet.
-        begin = end - timedelta(microseconds=1)
-        return Period(begin, end), token, {"empty": True}
     return Period(begin, end), token, after
 
 
+def _beyond(rows: DataFrame, after: dict | None, key: str, at: Column, descending: bool
+            ) -> DataFrame:
+    """Rows behind the last one of the page before, by sort key and then id."""
+    if after is None:
+        return rows
+    if after.get("nothing"):
+        return rows.limit(0)
+    value = F.col(key)
+    further = value < at if descending else value > at
+    return rows.filter(further | ((value == at) & (F.col("id") > after["after_id"])))
+
+
 def list_recent(catalog: Catalog, now: datetime, filters: Filters = Filters(),
                 period: Period | None = None, days: int | None = None,
                 limit: int = DEFAULT_LIMIT, cursor: str | None = None) -> Page:
     """Qualifying resources, newest first; ties by id. Without a period: the last 30 days."""
     check_limit(limit)
+    now = instant(now, "now")
     if days is not None and period is not None:
         raise InvalidQuery("days cannot be combined with an explicit range")
     if days is not None and (isinstance(days, bool) or not isinstance(days, int) or days < 1):
         raise InvalidQuery("days must be a positive integer")
-    now = instant(now, "now")
-    window = period or Period()
-    extra = {"days": None if period else (days or DEFAULT_DAYS)}
-    effective = period or Period(now - timedelta(days=days or DEFAULT_DAYS), None)
-    bounded, token, after = _open_page("recent", filters, effective if period else window, now,
-                                       cursor, extra)
-    if not period and not cursor:
-        bounded = Period(effective.observed_from, bounded.observed_to)
-        token["from"] = effective.observed_from.isoformat()
+    span = days or DEFAULT_DAYS
+    window = asdict(period) if period else {"days": span}
+    bounded, token, after = _open_page(
+        "recent", {**asdict(filters), **window}, period or Period(now - timedelta(days=span)), now,
+        cursor)
     rows = matching_resources(catalog, filters, bounded)
-    if after and after.get("empty"):
-        rows = rows.limit(0)
-    elif after:
-        at, last = F.lit(after["after_key"]).cast("timestamp"), after["after_id"]
-        rows = rows.filter((F.col("created_at") < at)
-                           | ((F.col("created_at") == at) & (F.col("id") > last)))
+    at = F.lit(after and after.get("after_key")).cast("timestamp")
+    rows = _beyond(rows, after, "created_at", at, descending=True)
     return _page(catalog, rows, [F.col("created_at").desc(), F.col("id").asc()], limit, token,
                  "created_at")
 
@@ -360,18 +365,16 @@ def search(catalog: Catalog, text: str, now: datetime, filters: Filters = Filter
     `text` literally and without regard to case; by title, ties by id."""
     check_limit(limit)
     text = _text(text, "query")
-    bounded, token, after = _open_page("search", filters, period, instant(now, "now"), cursor,
-                                       {"text": text})
+    bounded, token, after = _open_page(
+        "search", {**asdict(filters), **asdict(period), "text": text}, period,
+        instant(now, "now"), cursor)
     rows = matching_resources(catalog, filters, bounded)
     by_source = eligible_resources(catalog, filters, text).select(
         F.col("resource_id").alias("id"), F.lit(True).alias("_by_source"))
     rows = rows.join(by_source, "id", "left").filter(
         fn.contains_ci(F.col("title"), text) | F.col("_by_source")).drop("_by_source")
-    if after and after.get("empty"):
-        rows = rows.limit(0)
-    elif after:
-        key, last = after["after_key"], after["after_id"]
-        rows = rows.filter((F.col("title") > key) | ((F.col("title") == key) & (F.col("id") > last)))
+    at = F.lit(after and after.get("after_key")).cast("string")
+    rows = _beyond(rows, after, "title", at, descending=False)
     return _page(catalog, rows, [F.col("title").asc(), F.col("id").asc()], limit, token, "title")
 
 

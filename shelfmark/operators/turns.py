@@ -423,7 +423,8 @@ def open_turns(requests: DataFrame, conversations: DataFrame, turns: DataFrame,
     none = F.lit(None).cast("string")
     return Opened(
         good.select(F.col("message_id").alias("id"), "conversation_id",
-                    F.lit("user").alias("role"), "body", at.alias("created_at")),
+                    F.lit("user").alias("role"), F.lit(0).cast("bigint").alias("part"), "body",
+                    at.alias("created_at")),
         good.select(F.col("turn_id").alias("id"), "conversation_id",
                     F.col("message_id").alias("user_message_id"),
                     none.alias("assistant_message_id"), F.lit("running").alias("status"),
@@ -476,8 +477,8 @@ def complete_turns(turns: DataFrame, accepted: DataFrame, now: datetime) -> Comp
     parts = text_parts(accepted).withColumnRenamed("turn_id", "id")
     messages = done.select("id", "conversation_id").join(parts, "id", "left").select(
         message_id.alias("id"), "conversation_id", F.lit("assistant").alias("role"),
-        F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("text", F.lit("")).alias("body"),
-        at.alias("created_at"))
+        F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
+        F.coalesce("text", F.lit("")).alias("body"), at.alias("created_at"))
     refs = done.select(message_id.alias("message_id"), F.posexplode(F.array_distinct(
         "resource_refs")).alias("ordinal", "resource_ref"))
     return Completed(next_turns, messages, refs.select("message_id", "resource_ref", "ordinal"))

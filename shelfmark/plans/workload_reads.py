@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import functions as fn
 from shelfmark.operators import extract as ex
+from shelfmark.operators import integrity as integ
 from shelfmark.operators import people as ppl
 from shelfmark.operators import presentation as pres
 from shelfmark.operators import publish as pub
@@ -178,3 +179,26 @@ def recent_payload_rows(spark, sf_dir):
         fn.json_path("payload", "$.position", "bigint").alias("position"),
         fn.json_string("payload", "$.provider").alias("provider"),
         fn.json_string("payload", "$.external_id").alias("external_id"))
+
+
+@register("conversation_integrity", """SELECT 'messages' AS table_name, 'check:role' AS rule,
+      count(*) AS violations FROM conversations WHERE role = 'system' HAVING count(*) > 0
+    UNION ALL SELECT 'turns', 'one_running:conversation_id', count(*) FROM (
+      SELECT conv_id FROM conversations WHERE role = 'user' GROUP BY conv_id HAVING count(*) > 1)
+      HAVING count(*) > 0""")
+def conversation_integrity(spark, sf_dir):
+    """Every user message as a running turn: conversations with several break the rule."""
+    rows = bind.messages(spark, sf_dir).withColumn("part", F.lit(0).cast("bigint"))
+    own = rows.filter(F.col("role") == "user")
+    none = F.lit(None).cast("string")
+    turns = own.select(
+        fn.uuid_text(F.lit("turn"), "id").alias("id"), "conversation_id",
+        F.col("id").alias("user_message_id"), none.alias("assistant_message_id"),
+        F.lit("running").alias("status"), F.col("created_at").alias("started_at"),
+        F.lit(None).cast("timestamp").alias("completed_at"), none.alias("error_code"))
+    conversations = rows.groupBy(F.col("conversation_id").alias("id")).agg(
+        F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at")).select(
+        "id", F.col("id").alias("title"), "created_at", "updated_at",
+        F.lit(None).cast("timestamp").alias("archived_at"))
+    return integ.check_integrity({
+        "conversations": conversations, "messages": rows, "turns": turns}).filter("violations > 0")

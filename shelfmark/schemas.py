@@ -74,8 +74,10 @@ DECISIONS = _ddl(
 CONVERSATIONS = _ddl(
     "id STRING, title STRING, created_at TIMESTAMP, updated_at TIMESTAMP, archived_at TIMESTAMP"
 )
+# A body longer than one part is several rows with the same id.
 MESSAGES = _ddl(
-    "id STRING, conversation_id STRING, role STRING, body STRING, created_at TIMESTAMP"
+    "id STRING, conversation_id STRING, role STRING, part BIGINT, body STRING, "
+    "created_at TIMESTAMP"
 )
 TURNS = _ddl(
     "id STRING, conversation_id STRING, user_message_id STRING, assistant_message_id STRING, "
@@ -98,6 +100,10 @@ TABLES = {
     "persons": PERSONS,
     "person_sources": PERSON_SOURCES,
     "resource_person": RESOURCE_PERSON,
+    "conversations": CONVERSATIONS,
+    "messages": MESSAGES,
+    "turns": TURNS,
+    "message_refs": MESSAGE_REFS,
     "turn_events": TURN_EVENTS,
     "facts": FACTS,
     "decisions": DECISIONS,
@@ -135,6 +141,8 @@ SOURCE_KINDS = ("provider_metadata", "resource_content")
 ENRICHMENT_STATUSES = ("running", "completed", "failed")
 RUN_STATUSES = ("running", "completed", "failed")
 RUN_ERROR_CODES = ("execution_failed", "interrupted_previous_run")
+TURN_STATUSES = ("running", "completed", "failed", "cancelled", "interrupted")
+MESSAGE_ROLES = ("user", "assistant")
 RUN_KINDS = ("provider_sync", "enrichment")
 
 # Predicate name -> value type. All are single-valued.

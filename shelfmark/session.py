@@ -30,7 +30,8 @@ def build_session(master: str | None = None, app: str = "shelfmark", **extra: st
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every plan relies on (timestamps are UTC)."""
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
