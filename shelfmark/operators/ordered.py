@@ -103,10 +103,14 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, spread: str,
 
     `right` has one row per key and `counts` has (key, n) for `left`. The rows of a hot key are
     split by a hash of `spread`, and its single right-hand row is repeated once per part. The
-    hot list is a top-`HOT_KEYS`, which bounds its broadcast.
+    hot list is a top-`HOT_KEYS`, which bounds its broadcast. The counts are looked at first: a
+    side without hot keys gets the plain join.
     """
+    many = counts.filter(F.col("n") > hot_rows)
+    if many.select(key).first() is None:
+        return left.join(right, key, how)
     hot = F.broadcast(
-        counts.filter(F.col("n") > hot_rows).orderBy(F.col("n").desc(), F.col(key))
+        many.orderBy(F.col("n").desc(), F.col(key))
         .limit(HOT_KEYS).select(key, F.lit(True).alias("_hot")))
     part = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
     l = (left.join(hot, key, "left")

@@ -35,13 +35,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own_folder: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is configured."""
+    """The cluster's shared checkpoint folder; one of our own only where none is configured,
+    as on a single machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="shelfmark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    application = spark.sparkContext.applicationId
+    if application not in _own_folder:
+        _own_folder[application] = tempfile.mkdtemp(prefix="shelfmark-")
+    return _own_folder[application]
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
