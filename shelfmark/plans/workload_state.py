@@ -228,8 +228,9 @@ def publish_statements(spark, sf_dir):
     made AS (SELECT count(*) * 1 + sum(CASE WHEN label <> 0 THEN 1 ELSE 0 END)
       + sum(CASE WHEN label <> 1 THEN 1 ELSE 0 END) + 2 * sum(CASE WHEN pair THEN 1 ELSE 0 END) AS n
       FROM photos)
-    SELECT 1 AS run, count(*) AS discovered, count(*) AS processed, 0 AS skipped, 0 AS failed,
-      CAST((SELECT n FROM made) AS BIGINT) AS writes, 0 AS deactivated FROM files
+    SELECT 1 AS run, count(*) AS discovered, count(*) AS processed, 0 AS skipped,
+      CAST(0 AS BIGINT) AS failed,
+      CAST((SELECT n FROM made) AS BIGINT) AS writes, CAST(0 AS BIGINT) AS deactivated FROM files
     UNION ALL SELECT 2, count(*), 0, count(*), 0, 0, 0 FROM files""")
 def enrichment_rerun(spark, sf_dir):
     """Totals of the photo extractor, run twice: the second run skips everything."""
