@@ -17,6 +17,7 @@ from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,8 +185,6 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 def decode(ids: Column, path: str) -> Column:
     """The text of BINARY ids as `encode` writes them; special tokens are kept."""
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def text_of(values: pd.Series) -> pd.Series:
         model = _model(path)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe
+from shelfmark.llm import bpe, tokenfile
 from shelfmark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,12 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
         F.sha2(F.encode(bpe.decode(F.col("ids"), path), "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@register()
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.write_and_read(
+        documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 @register()
 def op10_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir))
