@@ -25,11 +25,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), "")
 
 
-def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, text: str = "text", also: Sequence[str] = ()) -> DataFrame:
     """`_id` (nulls stay null), `_th` and `_text` (null as empty) of every document."""
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.col("doc_id").alias("_id"), F.xxhash64(body).alias("_th"),
-                       body.alias("_text"))
+                       body.alias("_text"), *also)
 
 
 def same_key(left: DataFrame, right: DataFrame) -> Column:

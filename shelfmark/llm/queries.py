@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, tokenfile
+from shelfmark.llm import bpe, mixing, sharding, tokenfile
 from shelfmark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,12 +38,25 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
         F.sha2(F.encode(bpe.decode(F.col("ids"), path), "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@register()
+def op4_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
 @register()
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(
         documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+@register()
+def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.kd_shards(documents(spark, sf_dir), shards=8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 @register()
 def op10_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir))
