@@ -28,9 +28,16 @@ from shelfmark.llm.common import task_cache
 
 #: The Unicode White_Space characters (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Longest chunk, and number of chunks, that a worker remembers.
+#: Longest chunk, and numbers of chunks, pieces and token pairs, that a worker remembers.
 CACHED_LENGTH = 48
-CACHED_CHUNKS = 800_000
+CACHED_CHUNKS = 300_000
+CACHED_PIECES = 150_000
+CACHED_PAIRS = 300_000
+#: How ASCII text splits into pieces (fixed pattern; other text is split by the library).
+ASCII_PIECES = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+").findall
+#: Characters that Python's \\s takes for white space beyond the library's.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Rows per batch handed back by a task.
 BATCH_ROWS = 256
 
@@ -57,6 +64,7 @@ class PrefixBPE:
         ) if added else None
         self.chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
         self.cache: dict[str, bytes] = {}
+        self.known_pieces: dict[str, list[int]] = {}
 
     def _read(self, vocab: dict[str, int], merges: list[list[str]]) -> None:
         """Order tokens by the merge that makes them; single characters come first."""
@@ -72,13 +80,12 @@ class PrefixBPE:
         self.right = list(range(first)) + [number[b] for _, b in merges]
         self.first = first
         self.merged = {(number[a], number[b]): number[a + b] for a, b in merges}
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for token, i in number.items():
             self.automaton.add_word(token, (i, len(token)))
         self.automaton.make_automaton()
-        byte = {c: b for b, c in _byte_characters().items()}
-        self.bytes = {vocab[t]: bytes(byte[c] for c in t) for t in tokens}
+        self.visible = {b: c for b, c in _byte_characters().items() if b < 128 and chr(b) != c}
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether BPE of the two tokens' joined string gives these two tokens again.
@@ -86,10 +93,7 @@ class PrefixBPE:
         Undo merges on either side of the border, the latest first. The pair stands unless some
         pair across the border merges earlier than the merge undone there.
         """
-        key = (a, b)
-        known = self.follows.get(key)
-        if known is not None:
-            return known
+        key = a * len(self.ids) + b
         bound, stands = len(self.ids), True
         while True:
             merge = self.merged.get((a, b))
@@ -104,7 +108,7 @@ class PrefixBPE:
                 bound, a = a, self.right[a]
             else:
                 bound, b = b + 1, self.left[b]
-        if len(self.follows) > 4_000_000:
+        if len(self.follows) >= CACHED_PAIRS:
             self.follows.clear()
         self.follows[key] = stands
         return stands
@@ -112,13 +116,22 @@ class PrefixBPE:
     def encode_piece(self, piece: str) -> list[int]:
         last = [-1] * (len(piece) + 1)  # token number that ends each prefix
         size = [0] * (len(piece) + 1)
+        tokens, follows = len(self.ids), self.follows
         for end, (token, length) in self.automaton.iter(piece):
             end += 1
             if last[end] >= 0:
                 continue
             start = end - length
-            if start == 0 or (last[start] >= 0 and self.may_follow(last[start], token)):
-                last[end], size[end] = token, length
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                stands = follows.get(before * tokens + token)
+                if stands is None:
+                    stands = self.may_follow(before, token)
+                if not stands:
+                    continue
+            last[end], size[end] = token, length
         ids, end = [], len(piece)
         while end > 0:
             if last[end] < 0:
@@ -129,12 +142,26 @@ class PrefixBPE:
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        ids = array("I", [i for piece, _ in self.pieces(chunk) for i in self.encode_piece(piece)])
+        if chunk.isascii() and not SEPARATORS.search(chunk):
+            pieces = [p.translate(self.visible) for p in ASCII_PIECES(chunk)]
+        else:
+            pieces = [p for p, _ in self.pieces(chunk)]
+        out = array("I")
+        for piece in pieces:
+            ids = self.known_pieces.get(piece)
+            if ids is None:
+                ids = self.encode_piece(piece)
+                if len(piece) <= CACHED_LENGTH:
+                    if len(self.known_pieces) >= CACHED_PIECES:
+                        self.known_pieces.clear()
+                    self.known_pieces[piece] = ids
+            out.extend(ids)
+        packed = out.tobytes()
         if len(chunk) <= CACHED_LENGTH:
             if len(self.cache) >= CACHED_CHUNKS:
                 self.cache.clear()
-            self.cache[chunk] = ids.tobytes()
-        return ids.tobytes()
+            self.cache[chunk] = packed
+        return packed
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -147,12 +174,18 @@ class PrefixBPE:
                 out.extend([known(c) or chunk(c) for c in self.chunks(part)])
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> str:
-        table = self.bytes
-        added = {i: t.encode() for t, i in self.added.items()}
-        values = array("I", ids)
-        return b"".join([table[i] if i in table else added.get(i, b"") for i in values]).decode(
-            "utf-8", "replace")
+
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes that each id of a byte-level vocabulary stands for."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    byte = {c: b for b, c in _byte_characters().items()}
+    table = {i: bytes(byte[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+    return table | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+
+def decode_ids(ids: bytes, table: dict[int, bytes]) -> str:
+    return b"".join([table[i] for i in array("I", ids)]).decode("utf-8", "replace")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -162,17 +195,13 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
-def _model(path: str) -> PrefixBPE:
-    return task_cache(f"bpe:{path}", lambda: PrefixBPE(path))
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Replace the text by BINARY `ids`, little-endian unsigned 32-bit; one row per input row."""
     rest = [f for f in docs.schema.fields if f.name not in (text, ids)]
     body = docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col(text).alias(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(path)
+        model = task_cache(f"bpe:{path}", lambda: PrefixBPE(path))
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
@@ -187,7 +216,7 @@ def decode(ids: Column, path: str) -> Column:
     """The text of BINARY ids as `encode` writes them; special tokens are kept."""
     @F.pandas_udf(T.StringType())
     def text_of(values: pd.Series) -> pd.Series:
-        model = _model(path)
-        return values.map(lambda v: model.decode(v) if v else "")
+        table = task_cache(f"bytes:{path}", lambda: token_bytes(path))
+        return values.map(lambda v: decode_ids(v, table) if v else "")
 
     return text_of(ids)
