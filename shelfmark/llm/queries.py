@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, mixing, outliers, sharding, tokenfile
+from shelfmark.llm import bpe, mixing, outliers, rules, sharding, tokenfile, vafile
 from shelfmark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,12 +38,39 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
         F.sha2(F.encode(bpe.decode(F.col("ids"), path), "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@register()
+def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return rules.classify(documents(spark, sf_dir), labels).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
 @register()
 def op4_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@register("""
+    WITH good AS (
+        SELECT vec_id, embedding AS raw, list_transform(embedding, lambda x:
+            CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x:
+            x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(
+            list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM good q JOIN good c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+    ranked AS (
+        SELECT query_id, vec_id, score, CAST(row_number() OVER (
+            PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""")
+def op6_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vafile.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 @register()
 def op7_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(documents(spark, sf_dir)).select(
