@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,3 +79,52 @@ def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[str],
     joined = inside.join(carried, on)
     return joined.select(*[inside[c] for c in df.columns], *[
         (inside[out] + carried[f"_b_{out}"]).alias(out) for out in values])
+
+
+def group_starts(table: pa.Table | pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """First row of every run of equal keys (whole numbers without nulls)."""
+    new = np.zeros(table.num_rows, bool)
+    if len(new):
+        new[0] = True
+    for k in keys:
+        values = table.column(k).to_numpy(zero_copy_only=False) if isinstance(
+            table, pa.RecordBatch) else table.column(k).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Tables in which every group of rows with equal keys is complete.
+
+    The rows come sorted by the keys; the group that a batch ends in waits for the next batch.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        last = int(group_starts(table, keys)[-1])
+        if last:
+            yield table.slice(0, last)
+            held = table.slice(last).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def squeezed(docs: DataFrame, text: str = "text", also: Sequence[str] = ()) -> DataFrame:
+    """`_id, _th`, the columns of `also` and `_z`, the compressed text, for shuffles of texts."""
+    rows = keyed(docs, text, also)
+    schema = rows.drop("_text").withColumn("_z", F.lit(None).cast("binary")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            body = batch.column("_text").cast(pa.binary())
+            out = pa.array([packer.compress(v.as_buffer()) for v in body], pa.binary())
+            rest = [n for n in batch.schema.names if n != "_text"]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(n) for n in rest], out], names=[*rest, "_z"])
+
+    return rows.mapInArrow(run, schema)
