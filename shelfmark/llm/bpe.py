@@ -195,10 +195,17 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Replace the text by BINARY `ids`, little-endian unsigned 32-bit; one row per input row."""
-    rest = [f for f in docs.schema.fields if f.name not in (text, ids)]
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
+           decoded: str | None = None) -> DataFrame:
+    """Replace the text by BINARY `ids`, little-endian unsigned 32-bit; one row per input row.
+
+    With `decoded`, a column of that name holds the text that the ids stand for.
+    """
+    rest = [f for f in docs.schema.fields if f.name not in (text, ids, decoded)]
     body = docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col(text).alias(ids))
+    made = [T.StructField(ids, T.BinaryType())]
+    if decoded:
+        made.append(T.StructField(decoded, T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = task_cache(f"bpe:{path}", lambda: PrefixBPE(path))
@@ -206,10 +213,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
                 out = [model.encode(t) if t else b"" for t in part.column(len(rest)).to_pylist()]
+                columns = [*part.columns[:-1], pa.array(out, pa.binary())]
+                if decoded:
+                    table = task_cache(f"bytes:{path}", lambda: token_bytes(path))
+                    columns.append(pa.array([decode_ids(v, table) for v in out], pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(out, pa.binary())], names=part.schema.names)
+                    columns, names=[f.name for f in [*rest, *made]])
 
-    return body.mapInArrow(run, T.StructType([*rest, T.StructField(ids, T.BinaryType())]))
+    return body.mapInArrow(run, T.StructType([*rest, *made]))
 
 
 def decode(ids: Column, path: str) -> Column:

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, mixing, outliers, rules, sharding, tokenfile, vafile
+from shelfmark.llm import (
+    bpe, mixing, neardup, outliers, rules, sharding, tokenfile, vafile,
+)
 from shelfmark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,11 +33,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Ids and decoded text of every document as digests."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = bpe.encode(docs.select("doc_id", "text"), path)
+    ids = bpe.encode(docs.select("doc_id", "text"), path, decoded="decoded")
     return ids.select(
         "doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.encode(bpe.decode(F.col("ids"), path), "UTF-8"), 256).alias("decoded_sha256"))
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 @register()
@@ -51,6 +53,12 @@ def op4_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@register()
+def op5_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir)).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 @register("""
     WITH good AS (
         SELECT vec_id, embedding AS raw, list_transform(embedding, lambda x:
