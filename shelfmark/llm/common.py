@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.session import materialise
 
@@ -46,6 +47,12 @@ def task_cache(name: str, build: Callable[[], object]) -> object:
     return getattr(store, name)
 
 
+def fields(df: DataFrame, names: Sequence[str], made: str = "") -> T.StructType:
+    """Columns of `df` followed by new ones (DDL), all nullable: the schema of a task's rows."""
+    own = [T.StructField(n, df.schema[n].dataType) for n in names]
+    return T.StructType(own + (T.StructType.fromDDL(made).fields if made else []))
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -115,8 +122,6 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iter
 def squeezed(docs: DataFrame, text: str = "text", also: Sequence[str] = ()) -> DataFrame:
     """`_id, _th`, the columns of `also` and `_z`, the compressed text, for shuffles of texts."""
     rows = keyed(docs, text, also)
-    schema = rows.drop("_text").withColumn("_z", F.lit(None).cast("binary")).schema
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         packer = zstandard.ZstdCompressor(level=1)
@@ -127,4 +132,4 @@ def squeezed(docs: DataFrame, text: str = "text", also: Sequence[str] = ()) -> D
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(n) for n in rest], out], names=[*rest, "_z"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, fields(rows, ["_id", "_th", *also], "_z binary"))

@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import group_starts, keyed, partitions, squeezed, whole_groups
+from shelfmark.llm.common import (
+    fields, group_starts, keyed, partitions, squeezed, whole_groups,
+)
 from shelfmark.llm.graph import components
 from shelfmark.llm.texthash import (
     TO_LOWER, Ranges, U64, Words, chunks, mix, signed, unsqueeze,
@@ -99,9 +101,8 @@ def _sketches(docs: DataFrame, text: str) -> DataFrame:
                              pa.binary())],
                     names=["_id", "_th", "n", "f1", "f2", "regs"])
 
-    schema = rows.select("_id", "_th", *[F.lit(0).cast("long").alias(c) for c in ("n", "f1", "f2")],
-                         F.lit(None).cast("binary").alias("regs")).schema
-    return materialise(rows.mapInArrow(run, schema), "sketches")
+    made = "n long, f1 long, f2 long, regs binary"
+    return materialise(rows.mapInArrow(run, fields(rows, ["_id", "_th"], made)), "sketches")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
