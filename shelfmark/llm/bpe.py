@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from shelfmark.llm.common import task_cache
+from shelfmark.llm.common import Recent, task_cache
 
 #: The Unicode White_Space characters (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Longest chunk, and numbers of chunks, pieces and token pairs, that a worker remembers.
 CACHED_LENGTH = 48
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 200_000
 CACHED_PIECES = 150_000
 CACHED_PAIRS = 300_000
 #: How ASCII text splits into pieces (fixed pattern; other text is split by the library).
@@ -63,8 +63,8 @@ class PrefixBPE:
             "(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")"
         ) if added else None
         self.chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
-        self.cache: dict[str, bytes] = {}
-        self.known_pieces: dict[str, list[int]] = {}
+        self.cache = Recent(CACHED_CHUNKS)
+        self.known_pieces = Recent(CACHED_PIECES)
 
     def _read(self, vocab: dict[str, int], merges: list[list[str]]) -> None:
         """Order tokens by the merge that makes them; single characters come first."""
@@ -85,7 +85,7 @@ class PrefixBPE:
         for token, i in number.items():
             self.automaton.add_word(token, (i, len(token)))
         self.automaton.make_automaton()
-        self.visible = {b: c for b, c in _byte_characters().items() if b < 128 and chr(b) != c}
+        self.visible = {b: c for b, c in byte_characters().items() if b < 128 and chr(b) != c}
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether BPE of the two tokens' joined string gives these two tokens again.
@@ -141,32 +141,30 @@ class PrefixBPE:
         ids.reverse()
         return ids
 
+    def _piece(self, piece: str) -> bytes:
+        ids = self.known_pieces.new.get(piece) or self.known_pieces.again(piece)
+        if ids is None:
+            ids = array("I", self.encode_piece(piece)).tobytes()
+            if len(piece) <= CACHED_LENGTH:
+                self.known_pieces.put(piece, ids)
+        return ids
+
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and not SEPARATORS.search(chunk):
-            pieces = [p.translate(self.visible) for p in ASCII_PIECES(chunk)]
-        else:
-            pieces = [p for p, _ in self.pieces(chunk)]
-        out = array("I")
-        for piece in pieces:
-            ids = self.known_pieces.get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece)
-                if len(piece) <= CACHED_LENGTH:
-                    if len(self.known_pieces) >= CACHED_PIECES:
-                        self.known_pieces.clear()
-                    self.known_pieces[piece] = ids
-            out.extend(ids)
-        packed = out.tobytes()
-        if len(chunk) <= CACHED_LENGTH:
-            if len(self.cache) >= CACHED_CHUNKS:
-                self.cache.clear()
-            self.cache[chunk] = packed
-        return packed
+        ids = self.cache.again(chunk)
+        if ids is None:
+            if chunk.isascii() and not SEPARATORS.search(chunk):
+                pieces = [p.translate(self.visible) for p in ASCII_PIECES(chunk)]
+            else:
+                pieces = [p for p, _ in self.pieces(chunk)]
+            ids = b"".join([self._piece(p) for p in pieces])
+            if len(chunk) <= CACHED_LENGTH:
+                self.cache.put(chunk, ids)
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         parts = self.specials.split(text) if self.specials else [text]
-        out, known, chunk = [], self.cache.get, self._chunk
+        out, known, chunk = [], self.cache.new.get, self._chunk
         for n, part in enumerate(parts):
             if n % 2:
                 out.append(array("I", [self.added[part]]).tobytes())
@@ -179,7 +177,7 @@ def token_bytes(path: str) -> dict[int, bytes]:
     """The bytes that each id of a byte-level vocabulary stands for."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    byte = {c: b for b, c in _byte_characters().items()}
+    byte = {c: b for b, c in byte_characters().items()}
     table = {i: bytes(byte[c] for c in t) for t, i in spec["model"]["vocab"].items()}
     return table | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
 
@@ -188,7 +186,7 @@ def decode_ids(ids: bytes, table: dict[int, bytes]) -> str:
     return b"".join([table[i] for i in array("I", ids)]).decode("utf-8", "replace")
 
 
-def _byte_characters() -> dict[int, str]:
+def byte_characters() -> dict[int, str]:
     """The character that stands for each byte: itself if printable, else one from U+0100 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(printable)]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.session import materialise
+from shelfmark.session import run_folder
 
 #: Words are maximal runs of anything but these characters.
 SPACES = " \t\n\x0b\x0c\r"
@@ -47,12 +47,40 @@ def task_cache(name: str, build: Callable[[], object]) -> object:
     return getattr(store, name)
 
 
+class Recent:
+    """A bounded memory of what was used lately: two generations of `size` entries each.
+
+    Look up in `new` first; `again` finds what the older generation still holds.
+    """
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+    def again(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+
 def fields(df: DataFrame, names: Sequence[str], made: str = "") -> T.StructType:
     """Columns of `df` followed by new ones (DDL), all nullable: the schema of a task's rows."""
     own = [T.StructField(n, df.schema[n].dataType) for n in names]
     return T.StructType(own + (T.StructType.fromDDL(made).fields if made else []))
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write once to the shared folder, densely, and read the table back."""
+    path = run_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.session import materialise
+from shelfmark.llm.common import materialise
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:

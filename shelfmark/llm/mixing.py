@@ -20,8 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import keyed, running_totals
-from shelfmark.session import materialise
+from shelfmark.llm.common import keyed, materialise, running_totals
 
 ORDER_SEED = 20_240_517
 

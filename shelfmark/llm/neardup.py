@@ -28,13 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import (
-    fields, group_starts, keyed, partitions, squeezed, whole_groups,
+    fields, group_starts, keyed, materialise, partitions, squeezed, whole_groups,
 )
 from shelfmark.llm.graph import components
 from shelfmark.llm.texthash import (
     TO_LOWER, Ranges, U64, Words, chunks, mix, signed, unsqueeze,
 )
-from shelfmark.session import materialise
 
 WIDTH = 5
 ROWS, BANDS = 4, 32

@@ -23,8 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import words_of
-from shelfmark.session import materialise
+from shelfmark.llm.common import materialise, words_of
 
 SYMBOLS = "#*$%&|<>"
 HAS_WORD = "[^ \\t-\\r]"
@@ -67,7 +66,6 @@ def base_stats(text: Column) -> Column:
         repeated_words(w).alias("n_repeat_words")))
 
 
-
 #: The judged statistics, and the standard deviation (in thousandths) that each has at least.
 FLOORS = {"log_words": 1000.0, "word_length": 200.0, "symbols": 500.0, "dup_lines": 500.0,
           "repeats": 120.0}

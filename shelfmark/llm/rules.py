@@ -19,9 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import words_of
+from shelfmark.llm.common import materialise, words_of
 from shelfmark.llm.outliers import HAS_WORD, SYMBOLS, let, repeated_words
-from shelfmark.session import materialise
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000

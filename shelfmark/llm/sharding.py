@@ -21,8 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import running_totals
-from shelfmark.session import materialise
+from shelfmark.llm.common import materialise, running_totals
 
 COORD_BITS, HASH_BITS, ROUND_BITS = 24, 32, 14
 ROUNDS = (COORD_BITS + HASH_BITS) // ROUND_BITS

@@ -22,11 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import fields, keyed, partitions, squeezed, whole_groups
+from shelfmark.llm.common import fields, keyed, materialise, partitions, squeezed, whole_groups
 from shelfmark.llm.texthash import (
     BASES, Ranges, Words, chunks, covered, runs, signed, sliding_first_min, unsqueeze,
 )
-from shelfmark.session import materialise
 
 WINDOW = 35
 GROUP = 4  # words of a minimiser

@@ -7,7 +7,7 @@ small ranks and so take one byte. A reader looks the four lengths of a control b
 table of 256 rows and finds every rank by one running sum.
 
 Null texts count as empty and get the end id alone. Documents with equal ids of their own are
-ordered by their tokens, so repeated rows keep a defined order; null ids come first. An empty
+ordered by a hash of their tokens, so repeated rows keep a defined order; null ids come first. An empty
 table makes no file and reads back as no rows.
 """
 
@@ -26,23 +26,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from shelfmark.llm.bpe import WHITE
-from shelfmark.llm.common import partitions, task_cache
-from shelfmark.session import materialise, run_folder
+from shelfmark.llm.bpe import WHITE, byte_characters
+from shelfmark.llm.common import Recent, materialise, partitions, task_cache
+from shelfmark.session import run_folder
 
 MAGIC = b"SMTF"
 #: Ids after which a task begins its next file; one document is never split.
 FILE_IDS = 4_000_000
+#: Longest chunk, and numbers of chunks and pieces, that a worker remembers.
 CACHED_LENGTH = 48
-CACHED_CHUNKS = 800_000
+CACHED_CHUNKS = 200_000
+CACHED_PIECES = 200_000
 BATCH_ROWS = 512
+#: Chunks of ASCII and Latin letters that are their own composed form, and how such a chunk in
+#: lower case splits into pieces (fixed pattern).
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+SIMPLE = re.compile(f"[!-~{LATIN}]*").fullmatch
+SIMPLE_PIECES = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z{LATIN}0-9]+").findall
+#: Characters that Python's split takes for white space beyond the library's.
+ODD_SPACE = re.compile("[\x1c-\x1f]").search
 
 
 class ChunkEncoder:
     """A tokenizer of white-space separated chunks that remembers what it has encoded.
 
-    Only for vocabularies that drop white space and normalise characters without looking across
-    it, so that chunks can be encoded one by one.
+    Only for vocabularies that drop white space, lower the case of single characters and split
+    words from numbers and signs, so that the pieces of a chunk can be encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -50,29 +60,45 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        probe = self._plain(["a b", "a \n b", " a b "])
-        if len({tuple(p) for p in probe}) != 1:
-            raise ValueError("the tokenizer keeps white space")
+        probe = self._plain(["Ab1'sä,c", "ab1'sä,c", " ab1's \n ä,c "])
+        parts = self._plain(["ab", "1", "'s", "ä", ",", "c"])
+        if probe[0] != sum(parts, []) or len({tuple(p) for p in probe}) != 1:
+            raise ValueError("the tokenizer does not split texts into independent pieces")
         self.chunks = re.compile(f"[^{WHITE}]+").findall
-        self.cache: dict[str, bytes] = {}
+        self.tokens = self.tokenizer.model.tokenize
+        self.letters = byte_characters()
+        self.cache = Recent(CACHED_CHUNKS)
+        self.pieces = Recent(CACHED_PIECES)
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as unsigned 32-bit integers."""
-        split = [self.chunks(t) for t in texts]
-        if len(self.cache) > CACHED_CHUNKS:
-            self.cache.clear()
-        new = list({c for chunks in split for c in chunks if c not in self.cache})
-        found = {}
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for chunk, ids in zip(part, self._plain(part)):
-                packed = np.array(ids, "<u4").tobytes()
-                (self.cache if len(chunk) <= CACHED_LENGTH else found)[chunk] = packed
-        known = self.cache if not found else {**self.cache, **found}
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.new.get(piece) or self.pieces.again(piece)
+        if ids is None:
+            shown = piece if piece.isascii() else "".join(
+                [self.letters[b] for b in piece.encode()])
+            ids = np.array([t.id for t in self.tokens(shown)], "<u4").tobytes()
+            self.pieces.put(piece, ids)
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk not met lately: simple ones piece by piece, others whole."""
+        ids = self.cache.again(chunk)
+        if ids is None:
+            if len(chunk) <= CACHED_LENGTH and SIMPLE(chunk) and "<|" not in chunk:
+                ids = b"".join([self._piece(p) for p in SIMPLE_PIECES(chunk.lower())])
+            else:
+                ids = np.array(self._plain([chunk])[0], "<u4").tobytes()
+            if len(chunk) <= CACHED_LENGTH:
+                self.cache.put(chunk, ids)
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """Ids of the text as unsigned 32-bit integers."""
+        known, chunk = self.cache.new.get, self._chunk
+        return b"".join([known(c) or chunk(c) for c in (
+            self.chunks(text) if ODD_SPACE(text) else text.split())])
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -117,7 +143,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, text: str = "text") -> Dat
                 part = batch.slice(at, BATCH_ROWS)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 out = [np.frombuffer(ids + tail, "<u4").astype(width).tobytes()
-                       for ids in model.encode(texts)]
+                       for ids in map(model.encode, texts)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
@@ -221,8 +247,9 @@ def write(encoded: DataFrame, folder: str, width: str) -> DataFrame:
         if held:
             yield flush()
 
-    ordered = encoded.select("doc_id", "ids").repartitionByRange(
-        partitions(encoded), "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    keyed = encoded.select("doc_id", "ids", F.xxhash64("ids").alias("_tie"))
+    ordered = keyed.repartitionByRange(partitions(encoded), "doc_id", "_tie") \
+        .sortWithinPartitions("doc_id", "_tie")
     return ordered.mapInArrow(run, T.StructType([
         T.StructField("file", T.StringType()), T.StructField("place", T.IntegerType()),
         id_field]))

@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.session import materialise
+from shelfmark.llm.common import materialise
+
 
 BLOCK = 1024
 CELLS = 256
