@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import (
-    bpe, mixing, neardup, outliers, rules, sharding, substring, tokenfile, vafile,
+    bpe, mixing, neardup, outliers, rules, sharding, substring, suffixes, tokenfile, vafile,
 )
 from shelfmark.session import prepare
 
@@ -40,6 +40,12 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@register()
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
 @register()
 def op2_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf_dir)).select(
