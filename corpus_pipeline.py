@@ -1,11 +1,38 @@
-"""A training corpus from raw documents."""
+"""A training corpus from raw documents, stage by stage.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but
+the last return the columns of documents. A runner writes each result and reads it again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfmark.llm import mixing, neardup, queries, rules, suffixes
+from shelfmark.llm.common import materialise
+from shelfmark.session import prepare
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return rules.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near-duplicates."""
+    return neardup.one_of_each(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the byte strings that occur elsewhere; n_chars follows the text."""
+    kept = suffixes.without_repeats(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
 
-from shelfmark.llm import queries
-from shelfmark.session import materialise, prepare
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +40,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.bpe_digests(docs)
 
 
-STAGES = [("bpe_encode", encode)]
+STAGES = [("quality_classifier", classify), ("near_dedup", near_dedup),
+          ("suffix_array_dedup", suffix_dedup), ("source_mix", mix), ("bpe_encode", encode)]
 
 #: The sketches, the mix and the encoding have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None

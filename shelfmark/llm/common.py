@@ -147,8 +147,10 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iter
         yield pa.Table.from_batches(held)
 
 
-def squeezed(docs: DataFrame, text: str = "text", also: Sequence[str] = ()) -> DataFrame:
-    """`_id, _th`, the columns of `also` and `_z`, the compressed text, for shuffles of texts."""
+def squeezed(docs: DataFrame, text: str = "text", also: Sequence[Column] = (),
+             names: Sequence[str] = ()) -> DataFrame:
+    """`_id, _th`, the columns `also`, named `names`, and `_z`, the compressed text, for shuffles
+    of texts."""
     rows = keyed(docs, text, also)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -160,4 +162,4 @@ def squeezed(docs: DataFrame, text: str = "text", also: Sequence[str] = ()) -> D
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(n) for n in rest], out], names=[*rest, "_z"])
 
-    return rows.mapInArrow(run, fields(rows, ["_id", "_th", *also], "_z binary"))
+    return rows.mapInArrow(run, fields(rows, ["_id", "_th", *names], "_z binary"))

@@ -115,3 +115,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     return rows.join(decided, on).select(
         F.col("_id").alias("doc_id"), *key, "size", "source_size", "target", "copies",
         (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
+          most: int = 2, text: str = "text") -> DataFrame:
+    """The mix itself: every document as often as it is taken."""
+    decided = mix(docs, weights, share, most, text).filter("copies > 0").select(
+        F.col("_id").alias("_kid"), F.col("_th").alias("_kth"), F.col("source").alias("_ksource"),
+        "copies").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                       F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
+                       F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th"))
+    on = (rows["_id"].eqNullSafe(decided["_kid"]) & (rows["_th"] == decided["_kth"])
+          & rows["_source"].eqNullSafe(decided["_ksource"]))
+    return rows.join(decided, on).select(
+        "_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

@@ -31,6 +31,7 @@ from shelfmark.llm.common import (
     fields, group_starts, keyed, materialise, partitions, squeezed, whole_groups,
 )
 from shelfmark.llm.graph import components
+from shelfmark.llm.outliers import HAS_WORD
 from shelfmark.llm.texthash import (
     TO_LOWER, Ranges, U64, Words, chunks, mix, signed, unsqueeze,
 )
@@ -264,7 +265,10 @@ def _mixed_buckets(buckets: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per document: `doc_id, _id, _th, n_shingles, component_id, kept`."""
+    """One row per document: `doc_id, _id, _th, n_shingles, component_id, kept, group`.
+
+    `group` numbers the components, also those without an id; null without shingles.
+    """
     sketches = _sketches(docs, text)
     grouped = sketches.filter("n > 0").groupBy("f1", "f2").agg(
         F.min("_id").alias("min_id"), F.first("n").alias("n"),
@@ -289,9 +293,27 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     lowest = materialise(labelled.groupBy("component").agg(
         F.min("min_id").alias("component_id")), "lowest-ids")
     named = materialise(labelled.join(lowest, "component").select(
-        F.col("f1").alias("g1"), F.col("f2").alias("g2"), "component_id"), "class-names")
+        F.col("f1").alias("g1"), F.col("f2").alias("g2"), "component_id",
+        F.col("component").alias("group")), "class-names")
     on = (sketches["f1"] == named["g1"]) & (sketches["f2"] == named["g2"]) & (sketches["n"] > 0)
     return sketches.join(named, on, "left").select(
         F.col("_id").alias("doc_id"), "_id", "_th", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))
-        .alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .alias("component_id"), "group").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents without their near-duplicates: of every group the row of smallest id stays
+    (nulls last, then the smallest text hash), of repeated rows one. Wordless rows all stay."""
+    found = near_duplicates(docs, text)
+    chosen = found.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct(
+        F.col("_id").isNull().alias("no_id"), "_id", "_th")).alias("r"))
+    stays = chosen.select(F.col("r._id").alias("_kid"), F.col("r._th").alias("_kth"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                       F.col("doc_id").alias("_id"),
+                       F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th"),
+                       F.coalesce(F.col(text).rlike(HAS_WORD), F.lit(False)).alias("_worded"))
+    kept = rows.filter("_worded").join(
+        stays, rows["_id"].eqNullSafe(stays["_kid"]) & (rows["_th"] == stays["_kth"]),
+        "left_semi").dropDuplicates(["_id", "_th"])
+    return kept.select("_row.*").unionByName(rows.filter("NOT _worded").select("_row.*"))

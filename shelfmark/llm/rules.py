@@ -189,17 +189,29 @@ def _learn(stats: DataFrame, labels: DataFrame, label: str) -> Model:
     return fit(sample[FEATURES].to_numpy(float), sample["_y"].to_numpy(int))
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text",
-             threshold: float = 0.3) -> DataFrame:
-    """One row per document: `doc_id, _id, _th, held_out, score, predicted`."""
+def _keyed_statistics(docs: DataFrame, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    stats = materialise(
+    return materialise(
         docs.select(F.col("doc_id").alias("_id"), F.xxhash64(body).alias("_th"),
                     statistics(F.col(text)).alias("_s")).select("_id", "_th", "_s.*"),
         "rule-statistics")
+
+
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text",
+             threshold: float = 0.3) -> DataFrame:
+    """One row per document: `doc_id, _id, _th, held_out, score, predicted`."""
+    stats = _keyed_statistics(docs, text)
     model = _learn(stats, labels, label)
     score = model.score({f: F.col(f) for f in FEATURES})
     return stats.select(
         F.col("_id").alias("doc_id"), "_id", "_th", (~in_training(F.col("_id"))).alias("held_out"),
         score.alias("score")).withColumn(
         "predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text",
+             threshold: float = 0.3) -> DataFrame:
+    """The documents whose score reaches the threshold, scored where they are read."""
+    model = _learn(_keyed_statistics(docs, text), labels, label)
+    score = let(statistics(F.col(text)), lambda s: model.score({f: s[f] for f in FEATURES}))
+    return docs.filter(score >= threshold)

@@ -277,13 +277,17 @@ def _join_texts(texts: DataFrame, found: DataFrame) -> DataFrame:
         texts["_th"] == found["_kth"]), "left").drop("_kid", "_kth")
 
 
-def _first_pass(docs: DataFrame, text: str, strings: DataFrame, texts: bool) -> DataFrame:
+def _first_pass(docs: DataFrame, text: str, strings: DataFrame, texts: bool,
+                carry: list[str]) -> DataFrame:
     """Finished documents without shared symbols; of the others the text, the decided spans and
     the stretches left to merge."""
     states = materialise(_decided(_suffixes(strings)), "decided").groupBy("sid").agg(
         F.collect_list(F.struct("v", "state")).alias("states"))
     found = strings.join(states, "sid", "left").select("_id", "_th", "samples", "states")
-    joined = _join_texts(squeezed(docs, text), found)
+    # The other columns of a document travel as one, whatever their names.
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row")
+           for _ in carry]
+    joined = _join_texts(squeezed(docs, text, row, carry), found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -307,14 +311,15 @@ def _first_pass(docs: DataFrame, text: str, strings: DataFrame, texts: bool) ->
                     left = [p for p in samples if p["state"] != DECIDED]
                     todo.append(_stretches(_hashed(body), left) if left else [])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id"), batch.column("_th"), pa.array(zs, pa.binary()),
-                     *_result_arrays(done), pa.array(spans, SPANS), pa.array(todo, STRETCHES)],
-                    names=["_id", "_th", "_z", *RESULT, "spans", "stretches"])
+                    [*[batch.column(c) for c in ["_id", "_th", *carry]],
+                     pa.array(zs, pa.binary()), *_result_arrays(done), pa.array(spans, SPANS),
+                     pa.array(todo, STRETCHES)],
+                    names=["_id", "_th", *carry, "_z", *RESULT, "spans", "stretches"])
 
     made = (f"{RESULT_DDL}, spans {SPANS_DDL}, "
             "stretches array<struct<g:long,c1:long,c2:long,s:int,e:int,times:int>>")
-    return materialise(joined.mapInArrow(run, fields(joined, ["_id", "_th", "_z"], made)),
-                       "first-pass")
+    return materialise(joined.mapInArrow(
+        run, fields(joined, ["_id", "_th", *carry, "_z"], made)), "first-pass")
 
 
 def _merged(first: DataFrame) -> DataFrame:
@@ -342,9 +347,9 @@ def _merged(first: DataFrame) -> DataFrame:
         F.collect_set(F.struct("s", "e", "sure", "count")).alias("merged"))
 
 
-def _second_pass(first: DataFrame, texts: bool) -> DataFrame:
+def _second_pass(first: DataFrame, texts: bool, carry: list[str]) -> DataFrame:
     """Finished documents, or text and spans of those with strings left to count; `windows`."""
-    open_docs = first.filter("_z IS NOT NULL").select("_id", "_th", "_z", "spans")
+    open_docs = first.filter("_z IS NOT NULL").select("_id", "_th", *carry, "_z", "spans")
     joined = _join_texts(open_docs, _merged(first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,15 +370,15 @@ def _second_pass(first: DataFrame, texts: bool) -> DataFrame:
                     all_spans.append([{"a": a, "b": b} for a, b in spans] if wait else [])
                     all_windows.append(windows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id"), batch.column("_th"), pa.array(zs, pa.binary()),
-                     *_result_arrays(done), pa.array(all_spans, SPANS),
-                     pa.array(all_windows, WINDOWS)],
-                    names=["_id", "_th", "_z", *RESULT, "spans", "windows"])
+                    [*[batch.column(c) for c in ["_id", "_th", *carry]],
+                     pa.array(zs, pa.binary()), *_result_arrays(done),
+                     pa.array(all_spans, SPANS), pa.array(all_windows, WINDOWS)],
+                    names=["_id", "_th", *carry, "_z", *RESULT, "spans", "windows"])
 
     made = (f"{RESULT_DDL}, spans {SPANS_DDL}, "
             "windows array<struct<i:int,w1:long,w2:long,times:int>>")
-    return materialise(joined.mapInArrow(run, fields(joined, ["_id", "_th", "_z"], made)),
-                       "second-pass")
+    return materialise(joined.mapInArrow(
+        run, fields(joined, ["_id", "_th", *carry, "_z"], made)), "second-pass")
 
 
 def _windows(body: bytes, stretches: list[dict]) -> list[dict]:
@@ -386,15 +391,16 @@ def _windows(body: bytes, stretches: list[dict]) -> list[dict]:
         starts.tolist(), w1.tolist(), w2.tolist(), times.tolist())]
 
 
-def _third_pass(second: DataFrame, texts: bool) -> DataFrame:
+def _third_pass(second: DataFrame, texts: bool, carry: list[str]) -> DataFrame:
     """The documents that waited for the count of single strings."""
     rows = second.select("_id", "_th", F.explode("windows").alias("w")).select("_id", "_th", "w.*")
     often = materialise(rows.groupBy("w1", "w2").agg(F.sum("times").alias("n")).filter("n > 1")
                         .select("w1", "w2"), "repeated-strings")
     found = rows.filter("times = 1").join(often, ["w1", "w2"]).groupBy("_id", "_th").agg(
         F.collect_set("i").alias("starts"))
-    waiting = second.filter("_z IS NOT NULL").select("_id", "_th", "_z", "spans")
-    joined = _join_texts(waiting, found).select("_id", "_z", "spans", "starts")
+    waiting = second.filter("_z IS NOT NULL").select(
+        "_id", "_th", *carry, "_z", "spans")
+    joined = _join_texts(waiting, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,9 +409,18 @@ def _third_pass(second: DataFrame, texts: bool) -> DataFrame:
                 for z, spans, starts in zip(*[batch.column(c).to_pylist() for c in (
                     "_z", "spans", "starts")])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), *_result_arrays(done)], names=["_id", *RESULT])
+                [*[batch.column(c) for c in ["_id", *carry]], *_result_arrays(done)],
+                names=["_id", *carry, *RESULT])
 
-    return joined.mapInArrow(run, fields(joined, ["_id"], RESULT_DDL))
+    return joined.mapInArrow(run, fields(joined, ["_id", *carry], RESULT_DDL))
+
+
+def _results(docs: DataFrame, text: str, texts: bool, carry: list[str]) -> DataFrame:
+    strings = _strings(_samples(docs, text))
+    first = _first_pass(docs, text, strings, texts, carry)
+    second = _second_pass(first, texts, carry)
+    done = [d.filter("kept IS NOT NULL").select("_id", *carry, *RESULT) for d in (first, second)]
+    return done[0].unionByName(done[1]).unionByName(_third_pass(second, texts, carry))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", texts: bool = False) -> DataFrame:
@@ -413,9 +428,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", texts: bool = False) ->
 
     `kept` is the SHA-256 of the kept bytes or, with `texts`, the kept text.
     """
-    strings = _strings(_samples(docs, text))
-    first = _first_pass(docs, text, strings, texts)
-    second = _second_pass(first, texts)
-    done = [d.filter("kept IS NOT NULL").select("_id", *RESULT) for d in (first, second)]
-    return done[0].unionByName(done[1]).unionByName(_third_pass(second, texts)) \
-        .withColumnRenamed("_id", "doc_id")
+    return _results(docs, text, texts, []).withColumnRenamed("_id", "doc_id")
+
+
+def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents, all their columns, with the kept text in place of the text."""
+    done = _results(docs, text, True, ["_row"])
+    return done.select(*[F.col("kept").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c)
+                         for c in docs.columns])
