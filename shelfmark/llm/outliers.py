@@ -162,8 +162,9 @@ def _start(rows: DataFrame) -> DataFrame:
 def _nearest(rows: DataFrame) -> DataFrame:
     """The rows whose distance bin is within their group's quantile `CORE`."""
     binned = rows.withColumn("_bin", F.least(F.floor(F.col("_d2") * BIN), F.lit(LAST_BIN)))
-    limits = binned.groupBy("_lang", "_source").agg(
-        F.ceil(F.percentile("_bin", CORE)).alias("_limit"))
+    # Written, so that the join with a group of very many rows may be split.
+    limits = materialise(binned.groupBy("_lang", "_source").agg(
+        F.ceil(F.percentile("_bin", CORE)).alias("_limit")), "mcd-limits")
     return binned.join(limits, ["_lang", "_source"]).filter(F.col("_bin") <= F.col("_limit"))
 
 
