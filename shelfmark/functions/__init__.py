@@ -16,8 +16,14 @@ def col(value: Column | str) -> Column:
 # --- references and ids -------------------------------------------------------------------
 
 def uuid_text(*parts: Column | str) -> Column:
-    """A UUID-shaped id cut from the SHA-256 of its natural key: same key, same id."""
-    digest = F.sha2(F.concat_ws("|", *[col(p) for p in parts]), 256)
+    """A UUID-shaped id cut from the SHA-256 of its natural key: same key, same id.
+
+    Parts are joined by `|`; a `|` or backslash inside a part is escaped and a null part has a
+    mark of its own, so different keys never join to one text.
+    """
+    escaped = [F.regexp_replace(col(p), r"([|\\])", r"\\$1") for p in parts]
+    joined = F.concat_ws("|", *[F.coalesce(e, F.lit("\\0")) for e in escaped])
+    digest = F.sha2(joined, 256)
     return F.regexp_replace(
         digest, r"\A(.{8})(.{4})(.{4})(.{4})(.{12}).*\z", "$1-$2-$3-$4-$5")
 
@@ -134,6 +140,10 @@ ISO_WITH_OFFSET = (
 )
 
 
+# The last millisecond of the year 9999.
+LAST_MILLIS = 253_402_300_799_999
+
+
 def iso_instant(value: Column | str) -> Column:
     """ISO text with an explicit offset; zoneless, date-only and malformed text give null."""
     text = col(value)
@@ -152,9 +162,11 @@ def http_instant(value: Column | str) -> Column:
 
 
 def epoch_millis(value: Column | str) -> Column:
+    """Digits as milliseconds since 1970; none past the year 9999."""
     text = col(value)
-    return F.when(text.rlike(r"\A[0-9]{1,15}\z"),
-                  F.timestamp_millis(text.try_cast("bigint")))
+    millis = text.try_cast("bigint")
+    return F.when(text.rlike(r"\A[0-9]{1,15}\z") & (millis <= LAST_MILLIS),
+                  F.timestamp_millis(millis))
 
 
 # --- JSON, hashes, numbers ----------------------------------------------------------------

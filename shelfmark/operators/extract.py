@@ -127,7 +127,7 @@ class PhotoMetadata:
                              "ambiguous_active_immich_sources")
         fields = ("dateTimeOriginal", "latitude", "longitude", "make", "model")
         exif = F.to_json(F.struct(*[
-            fn.json_path("metadata", f"$.exif.{f}", "string").alias(f) for f in fields]))
+            fn.json_path("metadata", f"$.exif.{f}", "variant").alias(f) for f in fields]))
         return rows.withColumn("fingerprint", F.when(
             F.col("n") == 1, fn.fingerprint(source_id=F.col("source_id"), exif=exif))
             .otherwise(fn.fingerprint(ambiguous=F.col("source_set"))))
@@ -168,7 +168,7 @@ class PhotoGeo:
                              "ambiguous_active_immich_sources")
         paths = ("latitude", "longitude", "country", "state", "city")
         geo = F.to_json(F.struct(*[
-            fn.json_path("metadata", f"$.exif.{f}", "string").alias(f) for f in paths]))
+            fn.json_path("metadata", f"$.exif.{f}", "variant").alias(f) for f in paths]))
         broken = F.lit(False)
         for _, name in self.FIELDS:
             kind = F.coalesce(fn.json_kind("metadata", f"$.exif.{name}"), F.lit("VOID"))
@@ -275,6 +275,7 @@ class PhotoOcr:
                              "ambiguous_active_immich_source")
         rows = rows.join(ocr_regions(self.payloads), "locator", "left")
         code = F.coalesce("error_code", "ocr_error",
+                          F.when(F.col("locator").isNull(), "provider_not_found"),
                           F.when(F.col("regions").isNull(), "provider_unavailable"))
         text = fn.strip(F.array_join("regions", "\n"))
         return rows.select(

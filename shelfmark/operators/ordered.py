@@ -10,13 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.session import materialise
+
 # Rows with dense numbering that one task sorts at most per key.
 RANGE_WIDTH = 1 << 18
-# A key above this many rows is spread over several tasks in a join.
-HOT_ROWS = 1_000_000
-# At most this many keys are spread; any further key holds less than 1/1000 of the rows.
-HOT_KEYS = 1_000
-SALTS = 64
 
 
 def _ranges(df: DataFrame, order: str, width: int) -> DataFrame:
@@ -97,26 +94,23 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, spread: str,
-                counts: DataFrame, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join on `key` where one key may hold a large share of `left`.
+def number_sorted(df: DataFrame, keys: list[str], order: list[Column], name: str = "row_no"
+                  ) -> DataFrame:
+    """Add BIGINT `name`: 1-based position of the row within its key by any order.
 
-    `right` has one row per key and `counts` has (key, n) for `left`. The rows of a hot key are
-    split by a hash of `spread`, and its single right-hand row is repeated once per part. The
-    hot list is a top-`HOT_KEYS`, which bounds its broadcast. The counts are looked at first: a
-    side without hot keys gets the plain join.
+    Rows are dealt by range and written once; each range is numbered for itself and one count
+    per range and key carries the numbers on, so no key is one task.
     """
-    many = counts.filter(F.col("n") > hot_rows)
-    if many.select(key).first() is None:
-        return left.join(right, key, how)
-    hot = F.broadcast(
-        many.orderBy(F.col("n").desc(), F.col(key))
-        .limit(HOT_KEYS).select(key, F.lit(True).alias("_hot")))
-    part = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
-    l = (left.join(hot, key, "left")
-         .withColumn("_part", F.when(F.col("_hot"), part).otherwise(0)).drop("_hot"))
-    r = (right.join(hot, key, "left")
-         .withColumn("_part", F.explode(
-             F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
-             .otherwise(F.array(F.lit(0))))).drop("_hot"))
-    return l.join(r, [key, "_part"], how).drop("_part")
+    places = [c.alias(f"_o{i}") for i, c in enumerate(order)]
+    sort = [f"_o{i}" for i in range(len(order))]
+    dealt = materialise(
+        df.select("*", *places).repartitionByRange(*keys, *sort)
+        .withColumn("_part", F.spark_partition_id()), "sorted-ranges")
+    inside = dealt.withColumn("_inside", F.row_number().over(
+        Window.partitionBy("_part", *keys).orderBy(*sort)))
+    counts = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0))
+                          .alias("_before"))
+    return inside.join(carry, [*keys, "_part"]).withColumn(
+        name, F.col("_inside") + F.col("_before")).select(*df.columns, name)

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import functions as fn
-from shelfmark.operators.ordered import spread_join
 from shelfmark.schemas import PERSON_SOURCES, RESOURCE_PERSON, Catalog
 from shelfmark.session import materialise
 
@@ -36,6 +35,9 @@ def reconcile_people(provider: str, inventory: DataFrame, persons: DataFrame,
     """
     if not provider.strip():
         raise ValueError("provider must be non-empty")
+    wrong = inventory_violations(inventory).select("violation").first()
+    if wrong is not None:
+        raise ValueError(f"person inventory: {wrong['violation']}")
     at = F.lit(now).cast("timestamp")
     mine = person_sources.filter(F.col("provider") == provider)
     both = inventory.select("external_id", F.lit(True).alias("listed")).join(
@@ -85,11 +87,7 @@ class Relations(NamedTuple):
 
 def map_pairs(provider: str, pairs: DataFrame, catalog: Catalog, person_sources: DataFrame
               ) -> DataFrame:
-    """Distinct (resource_id, person_id) of external pairs whose both ends are active.
-
-    One photo may show, or one person appear in, a large share of all pairs; both joins spread
-    such a key over several tasks.
-    """
+    """Distinct (resource_id, person_id) of external pairs whose both ends are active."""
     people = person_sources.filter(
         (F.col("provider") == provider) & F.col("inactive_at").isNull()).select(
         F.col("external_id").alias("person_external_id"), "person_id")
@@ -102,10 +100,7 @@ def map_pairs(provider: str, pairs: DataFrame, catalog: Catalog, person_sources:
         .join(blobs, "blob_id").join(files, "resource_id", "left_semi")
         .select("asset_external_id", "resource_id")
     )
-    by_person = pairs.groupBy("person_external_id").agg(F.count(F.lit(1)).alias("n"))
-    by_asset = pairs.groupBy("asset_external_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = spread_join(pairs, people, "person_external_id", "asset_external_id", by_person, "inner")
-    rows = spread_join(rows, assets, "asset_external_id", "person_external_id", by_asset, "inner")
+    rows = pairs.join(people, "person_external_id").join(assets, "asset_external_id")
     return rows.select("resource_id", "person_id").distinct()
 
 
@@ -115,7 +110,7 @@ def reconcile_relations(provider: str, pairs: DataFrame, catalog: Catalog,
     """Created, unchanged, reactivated and inactivated relations of one provider."""
     if not provider.strip():
         raise ValueError("provider must be non-empty")
-    # Written once: the hot-key counts, both joins and the totals read them.
+    # Written once: the joins and the totals read them.
     pairs = materialise(
         pairs.select("asset_external_id", "person_external_id").distinct(), "observed-pairs")
     blank = (fn.strip("asset_external_id") == "") | (fn.strip("person_external_id") == "")

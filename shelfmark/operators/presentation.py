@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import functions as fn
 from shelfmark.operators import query as q
-from shelfmark.operators.ordered import spread_join
+from shelfmark.operators.ordered import number_sorted
 from shelfmark.schemas import Catalog
 
 # Labels by MIME type.
@@ -90,15 +90,15 @@ def present(catalog: Catalog, heads: DataFrame, providers: DataFrame,
 def payloads(catalog: Catalog, heads: DataFrame, active_only: bool = True) -> DataFrame:
     """One JSON object per resource and part: (resource_ref, part, parts, payload).
 
-    A resource with up to `SOURCES_PER_PART` sources is one part with its whole, ordered source
-    list; a larger one is split by a hash of the source, each part ordered, nothing dropped.
+    The ordered source list of a resource is cut every `SOURCES_PER_PART` positions, so its
+    parts, one after the other, are the whole list in order.
     """
     rows = q.source_rows(catalog, heads.select("id"), active_only)
-    sizes = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "parts", F.ceil(F.col("n") / F.lit(SOURCES_PER_PART)).cast("int"))
-    split = spread_join(rows, sizes.select("id", "parts"), "id", "source_id",
-                        sizes.select("id", "n")).withColumn(
-        "part", F.pmod(F.xxhash64("source_id"), F.col("parts")).cast("int"))
+    numbered = number_sorted(rows, ["id"], [*q.source_order(), F.col("source_id")], "place")
+    sizes = numbered.groupBy("id").agg(
+        F.ceil(F.max("place") / F.lit(SOURCES_PER_PART)).cast("int").alias("parts"))
+    split = numbered.join(sizes, "id").withColumn(
+        "part", F.floor((F.col("place") - 1) / F.lit(SOURCES_PER_PART)).cast("int"))
     entry = F.struct(
         F.struct(*[c.alias(f"k{i}") for i, c in enumerate(q.source_order())]).alias("key"),
         F.struct("provider", F.col("path").alias("location"), "name", "mime_type",

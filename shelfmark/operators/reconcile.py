@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import functions as fn
 from shelfmark.operators.ordered import (
-    first_per_key, previous_row, running_max, spread_join,
+    first_per_key, previous_row, running_max,
 )
 from shelfmark.schemas import (
     BLOBS, DECISIONS, FACT_KINDS, FACTS, RESOURCES, SOURCES, Catalog,
@@ -81,14 +81,16 @@ def content_hashes(content: DataFrame) -> DataFrame:
     return content.select(*KEY, F.sha2(F.col("content"), 256).alias("computed_hash"))
 
 
-def _prior_state(catalog: Catalog) -> DataFrame:
+def _prior_state(catalog: Catalog, listed: DataFrame) -> DataFrame:
+    """The stored chain of the listed keys; the catalog is reduced to them before its own joins."""
+    sources = catalog.sources.join(listed.select(*KEY).distinct(), KEY, "left_semi")
     blobs = catalog.blobs.select(
         F.col("id").alias("blob_id"), F.col("asset_id").alias("p_asset_id"),
         F.lit(True).alias("p_blob_found"))
     resources = catalog.resources.select(
         F.col("id").alias("p_asset_id"), F.col("resource_type").alias("p_type"))
     return (
-        catalog.sources.join(blobs, "blob_id", "left").join(resources, "p_asset_id", "left")
+        sources.join(blobs, "blob_id", "left").join(resources, "p_asset_id", "left")
         .select(
             *KEY, F.col("id").alias("p_source_id"), F.col("blob_id").alias("p_blob_id"),
             "p_asset_id", "p_type", "p_blob_found", F.col("path").alias("p_path"),
@@ -117,6 +119,11 @@ def _with_hash(rows: DataFrame, hashes: DataFrame | None) -> DataFrame:
     )
 
 
+def _json_value(name: str) -> Column:
+    """JSON by value, so key order and blanks are no change; other text as it is."""
+    return F.coalesce(fn.canonical_json(name), F.col(name))
+
+
 def _match_known(rows: DataFrame, blobs: DataFrame) -> DataFrame:
     """Decide facts whose source exists; `blobs` are the contents known before these facts."""
     same_version = F.col("p_version").eqNullSafe(F.nullif(F.col("version_tag"), F.lit("")))
@@ -124,7 +131,7 @@ def _match_known(rows: DataFrame, blobs: DataFrame) -> DataFrame:
         F.col("p_path").eqNullSafe(F.col("path"))
         & F.col("p_name").eqNullSafe(F.col("name"))
         & F.col("p_version").eqNullSafe(F.col("version_tag"))
-        & F.col("p_metadata").eqNullSafe(F.col("raw"))
+        & _json_value("p_metadata").eqNullSafe(_json_value("raw"))
     )
     first = (
         F.when(F.col("p_blob_id").isNull(), "existing_source_has_no_blob")
@@ -136,18 +143,21 @@ def _match_known(rows: DataFrame, blobs: DataFrame) -> DataFrame:
         .when(F.col("hash").isNull(), "content_hash_required")
     )
     rows = rows.withColumn("reason", first)
-    repointed = rows.filter(F.col("reason").isNull()).select("ordinal", "p_asset_id", "hash")
+    # A fact is known by its key and ordinal; an ordinal alone may be shared.
+    fact = [*KEY, "ordinal"]
+    repointed = rows.filter(F.col("reason").isNull()).select(*fact, "p_asset_id", "hash")
     creators = (
-        repointed.groupBy("p_asset_id", "hash").agg(F.min("ordinal").alias("ordinal"))
-        .join(blobs.select(F.col("asset_id").alias("p_asset_id"), "hash"),
+        repointed.groupBy("p_asset_id", "hash").agg(
+            F.min(F.struct("ordinal", *KEY)).alias("first"))
+        .select("p_asset_id", "hash", "first.*").join(blobs.select(F.col("asset_id").alias("p_asset_id"), "hash"),
               ["p_asset_id", "hash"], "left_anti")
-        .select("ordinal", F.lit(True).alias("creates"))
+        .select(*fact, F.lit(True).alias("creates"))
     )
     known = blobs.groupBy(F.col("asset_id").alias("p_asset_id"), "hash").agg(
         F.min("id").alias("known_blob_id"))
     repoints = F.col("reason").isNull()
     return (
-        rows.join(creators, "ordinal", "left").join(known, ["p_asset_id", "hash"], "left")
+        rows.join(creators, fact, "left").join(known, ["p_asset_id", "hash"], "left")
         .withColumn("resource_id", F.col("p_asset_id"))
         .withColumn("blob_id", F.when(repoints, F.coalesce(
             "known_blob_id", fn.uuid_text(F.lit("blob"), "p_asset_id", "hash")))
@@ -181,8 +191,7 @@ def _match_new_files(rows: DataFrame, blobs: DataFrame, created: DataFrame) -> D
         F.lit(None).cast("string").alias("blob_id"),
         F.lit("content_hash_required").alias("reason"))
     usable = rows.filter(F.col("hash").isNotNull())
-    per_hash = usable.groupBy("hash").agg(
-        F.min("ordinal").alias("first_ordinal"), F.count(F.lit(1)).alias("n"))
+    per_hash = usable.groupBy("hash").agg(F.min("ordinal").alias("first_ordinal"))
     existing = blobs.groupBy("hash").agg(
         F.count(F.lit(1)).alias("e_count"),
         F.min(F.struct("id", "asset_id")).alias("e_blob"))
@@ -200,7 +209,7 @@ def _match_new_files(rows: DataFrame, blobs: DataFrame, created: DataFrame) -> D
         .select("hash", "first_ordinal", F.coalesce("e_count", F.lit(0)).alias("e_count"),
                 "e_blob", "c1", "c_blob", "c2")
     )
-    joined = spread_join(usable, stats, "hash", "external_id", per_hash.select("hash", "n"))
+    joined = usable.join(stats, "hash", "left")
     at = F.col("ordinal")
     before_one = F.coalesce(F.col("c1") < at, F.lit(False))
     before_two = F.coalesce(F.col("c2") < at, F.lit(False))
@@ -265,7 +274,8 @@ def decide(facts: DataFrame, catalog: Catalog, content: DataFrame | None = None)
 
     # Written once: the branches below re-read digests instead of digesting content again.
     hashes = content_hashes(content) if content is not None else None
-    rows = materialise(_with_hash(first.join(_prior_state(catalog), KEY, "left"), hashes),
+    prior = _prior_state(catalog, usable)
+    rows = materialise(_with_hash(first.join(prior, KEY, "left"), hashes),
                        "staged-facts")
     source_id = fn.uuid_text(F.lit("source"), *KEY)
     known = _match_known(rows.filter(F.col("p_source_id").isNotNull()), catalog.blobs)
@@ -413,8 +423,12 @@ def reconcile(facts: DataFrame, catalog: Catalog, now: datetime,
 
 
 def sync_provider(facts: DataFrame, catalog: Catalog, now: datetime,
-                  content: DataFrame | None = None, complete: bool = True) -> Reconciled:
-    """`reconcile` for one provider's run; refuses a mixed scan or an unusable source chain."""
+                  content: DataFrame | None = None, complete: bool = False) -> Reconciled:
+    """`reconcile` for one provider's run; refuses a mixed scan or an unusable source chain.
+
+    Nothing is deactivated unless the caller says that the scan is complete; the sync calls of
+    `sources.sync` find that out for themselves.
+    """
     providers = facts.select(F.count_distinct("provider")).first()[0]
     if providers > 1:
         raise ValueError("a single sync run cannot contain multiple providers")

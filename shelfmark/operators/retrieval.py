@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
 from typing import NamedTuple
@@ -24,60 +23,63 @@ DEFAULT_RESULT_LIMIT = 10
 MAX_RESULT_LIMIT = 20
 TEXT_PREDICATES = ("media.ocr_text", "document.text_excerpt")
 CAPTURED, MODIFIED = "media.captured_at", "file.modified_at"
-# Query vectors held by a task at once; a longer list is answered in several passes.
-QUERIES_PER_PASS = 256
-
-
-def _best_per_partition(ids: list, matrix: np.ndarray, k: int):
-    """Scan a partition batch by batch and keep only the k best rows per query vector."""
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame | None] = [None] * len(ids)
-        for batch in batches:
-            vectors = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(vectors, axis=1)
-            scores = (vectors / np.where(norms == 0, 1, norms)[:, None]) @ matrix.T
-            for i in range(len(ids)):
-                rows = pd.DataFrame({"locator": batch["locator"], "score": scores[:, i]})
-                if best[i] is not None:
-                    rows = pd.concat([best[i], rows])
-                best[i] = rows.sort_values(
-                    ["score", "locator"], ascending=[False, True]).head(k)
-        for name, rows in zip(ids, best):
-            if rows is not None:
-                yield rows.assign(query_id=name)[["query_id", "locator", "score"]]
-    return scan
+# Vectors and query vectors that meet in one task.
+VECTOR_BLOCK, QUERY_BLOCK = 8_192, 256
+
+
+def _unit(rows: pd.Series) -> np.ndarray:
+    matrix = np.stack(rows.to_numpy()).astype(np.float64)
+    norms = np.linalg.norm(matrix, axis=1)
+    return matrix / np.where(norms == 0, 1, norms)[:, None]
+
+
+def _best_in_block(k: int):
+    """The k best rows of a block of vectors for every query of a block of queries."""
+    def search(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "locator", "score"]
+        if vectors.empty or queries.empty:
+            return pd.DataFrame({n: pd.Series(dtype=t) for n, t in zip(
+                names, ("int64", "object", "float64"))})
+        vectors = vectors.sort_values("locator", ignore_index=True)
+        scores = _unit(queries["embedding"]) @ _unit(vectors["embedding"]).T
+        found = []
+        for query_id, row in zip(queries["query_id"], scores):
+            near = np.arange(len(row))
+            if len(row) > k:
+                near = np.flatnonzero(row >= np.partition(row, -k)[-k])
+            near = near[np.argsort(-row[near], kind="stable")][:k]
+            found.append(pd.DataFrame({
+                "query_id": query_id, "locator": vectors["locator"].to_numpy()[near],
+                "score": row[near]}))
+        return pd.concat(found)
+    return search
 
 
 def semantic_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact cosine top-k: (query_id, locator, rank, score) of `vectors` (locator STRING,
     embedding ARRAY) for every row of `queries` (query_id BIGINT, embedding ARRAY).
 
-    No pair of vector and query leaves a task except the k best per query, so the shuffle is
-    partitions x queries x k rows.
+    Blocks of vectors meet blocks of queries; only the k best of a block per query leave its
+    task. Null vectors take no part, and vectors of different lengths are not compared.
     """
     q.check_limit(k)
-    schema = "query_id BIGINT, locator STRING, score DOUBLE"
-    passes, held = [], []
-
-    def flush() -> None:
-        matrix = np.array([row["embedding"] for row in held], dtype=np.float64)
-        norms = np.linalg.norm(matrix, axis=1)
-        matrix = matrix / np.where(norms == 0, 1, norms)[:, None]
-        passes.append(vectors.select("locator", "embedding").mapInPandas(
-            _best_per_partition([row["query_id"] for row in held], matrix, k), schema))
-        held.clear()
-
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        held.append(row)
-        if len(held) == QUERIES_PER_PASS:
-            flush()
-    if held or not passes:
-        if not held:
-            return vectors.sparkSession.createDataFrame([], schema + ", rank INT")
-        flush()
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.unionByName(more)
+    vectors = vectors.filter("embedding IS NOT NULL").select(
+        "locator", "embedding", F.size("embedding").alias("_dim"))
+    queries = queries.filter("embedding IS NOT NULL").select(
+        "query_id", "embedding", F.size("embedding").alias("_dim"))
+    n = max(1, -(-vectors.count() // VECTOR_BLOCK))
+    m = max(1, -(-queries.count() // QUERY_BLOCK))
+
+    def every(blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    left = vectors.withColumn("_v", F.pmod(F.xxhash64("locator"), F.lit(n)).cast("int")) \
+        .withColumn("_q", every(m))
+    right = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int")) \
+        .withColumn("_v", every(n))
+    keys = ["_dim", "_v", "_q"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        _best_in_block(k), "query_id BIGINT, locator STRING, score DOUBLE")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("locator"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import functions as fn
 from shelfmark.operators.ordered import (
-    number_rows, previous_row, running_max, spread_join,
+    number_rows, previous_row, running_max,
 )
 from shelfmark.session import materialise
 
@@ -134,14 +134,15 @@ def fold_events(events: DataFrame) -> Fold:
     """Split TURN_EVENTS rows into those a turn accepts and those it refuses.
 
     In arrival order a turn takes sequence 1, 2, 3, ... and nothing after its terminal event.
+    An event without a positive number is refused and holds up nothing.
     """
-    bounds = _drop_early_copies(events.select("turn_id", "sequence", "arrival"))
+    bounds = _drop_early_copies(
+        events.filter("sequence >= 1").select("turn_id", "sequence", "arrival"))
     before = bounds.select("turn_id", (F.col("sequence") + 1).alias("sequence"),
                            F.lit(True).alias("has_before"))
     broken = (
         bounds.join(before, ["turn_id", "sequence"], "left")
         .filter(((F.col("sequence") != 1) & F.col("has_before").isNull())
-                | (F.col("sequence") < 1)
                 | F.coalesce(F.col("arrival") <= F.col("bound"), F.lit(False)))
         .groupBy("turn_id").agg(F.min("sequence").alias("break_at"))
     )
@@ -157,9 +158,8 @@ def fold_events(events: DataFrame) -> Fold:
         .groupBy("turn_id").agg(F.min("sequence").alias("end_at"),
                                 F.min_by("arrival", "sequence").alias("ended"))
     )
-    turns = events.groupBy("turn_id").agg(F.count(F.lit(1)).alias("n"))
-    limits = turns.select("turn_id").join(broken, "turn_id", "left").join(ends, "turn_id", "left")
-    judged = spread_join(chained, limits, "turn_id", "sequence", turns)
+    limits = broken.join(ends, "turn_id", "full_outer")
+    judged = chained.join(limits, "turn_id", "left")
     accepted = (
         F.coalesce("first", F.lit(False))
         & (F.col("break_at").isNull() | (F.col("sequence") < F.col("break_at")))
@@ -203,10 +203,8 @@ def replay(accepted: DataFrame, after: int = 0, limit: int = REPLAY_LIMIT) -> Da
 
     Accepted numbers have no gaps, so the distance to the last one replaces a ranking.
     """
-    last = accepted.groupBy("turn_id").agg(F.max("sequence").alias("last"),
-                                           F.count(F.lit(1)).alias("n"))
-    rows = spread_join(accepted, last.select("turn_id", "last"), "turn_id", "sequence",
-                       last.select("turn_id", "n"))
+    last = accepted.groupBy("turn_id").agg(F.max("sequence").alias("last"))
+    rows = accepted.join(last, "turn_id", "left")
     return rows.filter((F.col("sequence") > F.col("last") - limit)
                        & (F.col("sequence") > after)).drop("last")
 
@@ -279,10 +277,10 @@ def trace(accepted: DataFrame, max_steps: int = MAX_TRACE_STEPS) -> DataFrame:
     steps = materialise(steps.unionByName(final), "trace-steps")
     numbered = number_rows(steps, ["turn_id"], "sequence", "step_no")
     heads = numbered.groupBy("turn_id").agg(
-        F.max("step_no").alias("n_steps"), F.count(F.lit(1)).alias("n"),
+        F.max("step_no").alias("n_steps"),
         F.max(F.when(~F.col("step_id").startswith("terminal:"), F.col("step_no")))
         .alias("last_step")).join(ending.select("turn_id", "status"), "turn_id", "left")
-    rows = spread_join(numbered, heads.drop("n"), "turn_id", "step_no", heads.select("turn_id", "n"))
+    rows = numbered.join(heads, "turn_id", "left")
     state = (
         F.when(F.col("step_id").startswith("terminal:"), F.col("status"))
         .when(F.col("finished") | (F.col("step_no") < F.col("last_step")), "completed")
@@ -340,7 +338,9 @@ def result_refs(results: DataFrame, keys: list[str]) -> DataFrame:
     references gives an empty list.
     """
     doc = F.try_parse_json("result")
-    ok = F.try_variant_get(doc, "$.structuredContent.ok", "boolean")
+    # The flag itself, not a text or number that reads like it.
+    flag = F.try_variant_get(doc, "$.structuredContent.ok", "variant")
+    ok = F.when(F.schema_of_variant(flag) == "BOOLEAN", F.try_variant_get(flag, "$", "boolean"))
     rows, value = F.lit(None).cast("array<variant>"), {}
     for tool, (path, leaf) in RESULT_PATHS.items():
         rows = F.when(F.col("tool") == tool, F.try_variant_get(
@@ -403,13 +403,12 @@ def open_turns(requests: DataFrame, conversations: DataFrame, turns: DataFrame,
     known = conversations.select(F.col("id").alias("conversation_id"), F.lit(True).alias("known"))
     rows = requests.withColumn("body", fn.strip(F.coalesce("body", F.lit(""))))
     firsts = (rows.filter(F.col("body") != "").groupBy("conversation_id")
-              .agg(F.min("ordinal").alias("first"), F.count(F.lit(1)).alias("n")))
+              .agg(F.min("ordinal").alias("first")))
     facts = (
         firsts.join(known, "conversation_id", "left")
         .join(running.withColumn("busy", F.lit(True)), "conversation_id", "left")
     )
-    judged = spread_join(rows, facts.drop("n"), "conversation_id", "request_id",
-                         firsts.select("conversation_id", "n"))
+    judged = rows.join(facts, "conversation_id", "left")
     reason = (
         F.when(F.col("body") == "", "message body must not be empty")
         .when(F.col("known").isNull(), "conversation_not_found")
@@ -440,8 +439,7 @@ def history(turns: DataFrame, messages: DataFrame) -> DataFrame:
     """
     heads = turns.select("conversation_id", F.col("id").alias("turn_id"), "user_message_id",
                          "started_at")
-    sizes = messages.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = spread_join(messages, heads, "conversation_id", "id", sizes, "inner")
+    rows = messages.join(heads, "conversation_id")
     return rows.filter((F.col("created_at") <= F.col("started_at"))
                        & (F.col("id") != F.col("user_message_id"))).select(
         "turn_id", "conversation_id", F.col("id").alias("message_id"), "role", "created_at")

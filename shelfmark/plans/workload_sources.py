@@ -249,10 +249,10 @@ def stored_versions(spark, sf_dir):
     """Two committed versions of the catalog, the second without active photos; both readable."""
     root = run_folder(spark, "versions")
     catalog = bind.catalog(spark, sf_dir)
-    tables.write_tables(spark, root, catalog._asdict(), 1)
+    tables.write_tables(spark, root, catalog._asdict())
     first = tables.read_catalog(spark, root)
     left = first.sources.withColumn("is_active", F.col("provider") != "immich")
-    tables.write_tables(spark, root, first._replace(sources=left)._asdict(), 2)
+    tables.write_tables(spark, root, first._replace(sources=left)._asdict())
     second = tables.read_catalog(spark, root)
 
     def count(version, sources):
@@ -285,6 +285,29 @@ def stream_ingest(spark, sf_dir):
         "id", "external_id", "name", "is_active", "hash")
 
 
+@register("stream_two_roots", """SELECT 'img-' || vec_id AS external_id, TRUE AS is_active
+    FROM embeddings""")
+def stream_two_roots(spark, sf_dir):
+    """Two streams with checkpoints of their own into one catalog: each lands half of the photos
+    as part of an inventory, and neither loses the other's."""
+    root = run_folder(spark, "two-streams-root")
+    photos_ = photo_pages(spark, sf_dir)
+    for half in (0, 1):
+        landing = run_folder(spark, f"landing-{half}")
+        photos_.filter(F.pmod(F.xxhash64("body"), F.lit(2)) == half).select(
+            F.col("body").alias("value")).write.text(landing)
+        bodies = bind.table(spark, sf_dir, "embeddings").select(
+            F.lit("immich").alias("provider"),
+            F.concat(F.lit("img-"), F.col("vec_id").cast("string")).alias("external_id"),
+            F.encode(F.concat(F.lit("photo-"), F.col("vec_id").cast("string")), "UTF-8")
+            .alias("content"))
+        ingest.ingest_stream(
+            spark, landing, root, run_folder(spark, f"two-streams-{half}"),
+            content=lambda session, rows=bodies: rows, now=bind.FIRST_RUN,
+            multi_line=False).awaitTermination()
+    return tables.read_catalog(spark, root).sources.select("external_id", "is_active")
+
+
 @register("stream_turn_fold", f"""WITH {FOLD}
     SELECT t.turn_id, t.arrival, a.arrival IS NOT NULL AS accepted, CASE
       WHEN a.arrival IS NULL THEN CASE WHEN coalesce(t.arrival > e.ended, FALSE)

@@ -39,11 +39,13 @@ _own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one of our own only where none is configured,
-    as on a single machine."""
+    """The cluster's shared checkpoint folder; one of our own only on a single machine where none
+    is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     application = spark.sparkContext.applicationId
     if application not in _own_folder:
         _own_folder[application] = tempfile.mkdtemp(prefix="shelfmark-")

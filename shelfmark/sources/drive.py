@@ -71,6 +71,36 @@ def drive_facts(listings: DataFrame, user: str, provider: str = "nextcloud") ->
         F.lit(None).cast("timestamp").alias("observed_at")).select(*FACTS.fieldNames())
 
 
+def listing_problems(listings: DataFrame, user: str) -> DataFrame:
+    """(listing_path, problem): what keeps landed listings from being a whole inventory.
+
+    A listing that cannot be read, is landed twice, names something without a place, an id or a
+    readable size, or names a folder that has no listing of its own.
+    """
+    def problem(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("listing_path", F.lit(name).alias("problem")).distinct()
+
+    parsed = listings.select("listing_path", F.from_xml("body", LISTING)["d:response"].alias("r"))
+    rows = parsed.select("listing_path", F.explode("r").alias("r"))
+    named = entries(listings, user)
+    size = F.col("getcontentlength")
+    found = [
+        problem(parsed.filter(F.col("r").isNull()), "broken listing"),
+        problem(parsed.groupBy("listing_path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"),
+                "listed twice"),
+        problem(rows.filter(F.coalesce(F.col("r")["d:href"], F.lit("")) == ""), "entry without place"),
+        problem(named.filter(F.col("id").isNull()), "entry without id"),
+        problem(named.filter(size.isNotNull() & size.try_cast("bigint").isNull()),
+                "entry with a broken size"),
+        problem(unlisted_folders(listings, user).withColumnRenamed("folder", "listing_path"),
+                "folder without listing"),
+    ]
+    result = found[0]
+    for more in found[1:]:
+        result = result.unionByName(more)
+    return result
+
+
 def unlisted_folders(listings: DataFrame, user: str) -> DataFrame:
     """Folders that some listing names but that have no landed listing of their own."""
     rows = entries(listings, user)

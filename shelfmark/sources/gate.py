@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.session import materialise
+
 
 def inventory_problems(links: DataFrame, first: str = "1", constant_total: bool = False
                        ) -> DataFrame:
     """(listing, problem) over page links (listing, page, next, total).
 
     A listing is complete if its pages form one chain from `first` to exactly one end: no page
-    twice, no page reached twice, every next page landed, and where asked one total throughout.
+    twice, no page reached twice, every next page landed, no pages that only lead to each other,
+    and where asked one total throughout.
     """
     pages = links.groupBy("listing", "page").agg(F.count(F.lit(1)).alias("n"))
     targets = (links.filter(F.col("next").isNotNull())
@@ -34,6 +37,9 @@ def inventory_problems(links: DataFrame, first: str = "1", constant_total: bool
                                                           "left_anti"), "unreachable page"),
         problem(per_listing.filter("ends <> 1"), "not one terminal page"),
         problem(per_listing.filter("starts = 0"), "first page missing"),
+        problem(_on_a_cycle(links).join(
+            targets.filter((F.col("n") > 1) | (F.col("page") == first)).select("listing"),
+            "listing", "left_anti"), "detached pages"),
     ]
     if constant_total:
         found.append(problem(per_listing.filter(
@@ -45,6 +51,23 @@ def inventory_problems(links: DataFrame, first: str = "1", constant_total: bool
     return result
 
 
+def _on_a_cycle(links: DataFrame) -> DataFrame:
+    """Pages from which no end is reached: jump lengths double until every chain must have ended.
+
+    A listing in which some page is reached twice is reported for that already.
+    """
+    hops = links.filter(F.col("next").isNotNull()).select("listing", "page", "next").distinct()
+    longest = links.groupBy("listing").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.max("n").alias("n")).first()["n"] or 0
+    once = hops.groupBy("listing", "page").agg(F.min("next").alias("next"))
+    for step in range(int(longest).bit_length()):
+        onward = once.select("listing", F.col("page").alias("next"),
+                             F.col("next").alias("further"))
+        once = materialise(once.join(onward, ["listing", "next"]).select(
+            "listing", "page", F.col("further").alias("next")), f"page-hops-{step}")
+    return once
+
+
 def is_complete(links: DataFrame, first: str = "1", constant_total: bool = False) -> bool:
     """True if something landed and nothing is wrong with it."""
     if links.select("page").first() is None:

@@ -12,7 +12,8 @@ from shelfmark.schemas import TABLES, Catalog
 # Sources are asked for by activity and provider, statements by currency and predicate.
 LAYOUT = {"sources": ["is_active"], "statements": ["is_current"]}
 COMMITS = "commits"
-_COMMIT = "version BIGINT, run STRING, tables ARRAY<STRING>, committed_at TIMESTAMP"
+_COMMIT = ("version BIGINT, run STRING, tables ARRAY<STRING>, committed_at TIMESTAMP, "
+           "stream STRING, batch BIGINT")
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -49,15 +50,27 @@ def read_catalog(spark: SparkSession, root: str) -> Catalog:
     return Catalog(tables["resources"], tables["blobs"], tables["sources"])
 
 
-def write_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame], version: int) -> str:
-    """Write every table to a fresh folder, then make it current with one commit row.
+def worked_in(spark: SparkSession, root: str, stream: str, batch: int) -> str | None:
+    """The folder that a batch of a stream was committed to, if it was."""
+    row = commits(spark, root).filter(
+        (F.col("stream") == stream) & (F.col("batch") == batch)).first()
+    return None if row is None else f"{root}/{row['run']}"
 
-    A version that is already committed is left as it is, so a repeated batch changes nothing;
-    a run that dies before its commit row leaves only an unused folder.
+
+def write_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame],
+                 stream: str | None = None, batch: int | None = None) -> str:
+    """Write every table to a fresh folder, then make it the next version with one commit row.
+
+    A batch of a stream that is already committed is left as it is, so a repeated batch changes
+    nothing; batch numbers of other streams are other batches. A run that dies before its commit
+    row leaves only an unused folder. One writer at a time.
     """
-    done = commits(spark, root).filter(F.col("version") == version).first()
-    if done is not None:
-        return f"{root}/{done['run']}"
+    if stream is not None:
+        done = worked_in(spark, root, stream, batch)
+        if done is not None:
+            return done
+    newest = current(spark, root)
+    version = 1 if newest is None else newest[0] + 1
     run = f"run-{version:012d}-{uuid.uuid4().hex}"
     for name, df in tables.items():
         writer = df.select(*TABLES[name].fieldNames()).write
@@ -67,7 +80,9 @@ def write_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame], v
     spark.range(1).select(
         F.lit(version).cast("bigint").alias("version"), F.lit(run).alias("run"),
         F.array(*[F.lit(n) for n in tables]).alias("tables"),
-        F.current_timestamp().alias("committed_at")).coalesce(1).write.mode("append").parquet(
+        F.current_timestamp().alias("committed_at"),
+        F.lit(stream).cast("string").alias("stream"),
+        F.lit(batch).cast("bigint").alias("batch")).coalesce(1).write.mode("append").parquet(
         f"{root}/{COMMITS}")
     return f"{root}/{run}"
 

@@ -5,22 +5,25 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shelfmark.operators import reconcile as rec
 from shelfmark.session import materialise
 from shelfmark.sources import gate, photos, tables
 
 
-def ingest_batch(pages: DataFrame, version: int, root: str, to_facts=photos.photo_facts,
-                 to_links=photos.page_chain, content=None, now: datetime | None = None) -> None:
-    """Reconcile one batch of pages with the current catalog and commit the result.
+def ingest_batch(pages: DataFrame, batch: int, root: str, stream: str,
+                 to_facts=photos.photo_facts, to_links=photos.page_chain, content=None,
+                 now: datetime | None = None) -> None:
+    """Reconcile one batch of pages with the current catalog and commit the result once.
+
+    A batch is known by its stream and its number in it: another stream, or one that begins anew
+    after its checkpoint was lost, counts its own.
 
     Missing sources are deactivated only if the batch itself is a whole, unbroken inventory; a
     partial batch adds and updates.
     """
     spark = pages.sparkSession
-    if tables.commits(spark, root).filter(F.col("version") == version).first() is not None:
+    if tables.worked_in(spark, root, stream, batch) is not None:
         return
     pages = materialise(pages, "landed-pages")
     if pages.first() is None:
@@ -30,7 +33,13 @@ def ingest_batch(pages: DataFrame, version: int, root: str, to_facts=photos.phot
     bytes_ = content(spark) if content is not None else None
     result = rec.sync_provider(to_facts(pages), catalog, now or datetime.now(timezone.utc), bytes_,
                                complete)
-    tables.write_tables(spark, root, result.catalog._asdict(), version)
+    tables.write_tables(spark, root, result.catalog._asdict(), stream, batch)
+
+
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gives a query when its checkpoint begins."""
+    row = spark.read.json(f"{checkpoint.rstrip('/')}/metadata").select("id").first()
+    return row["id"]
 
 
 def ingest_stream(spark: SparkSession, landing: str, root: str, checkpoint: str, content=None,
@@ -41,6 +50,7 @@ def ingest_stream(spark: SparkSession, landing: str, root: str, checkpoint: str,
     pages = spark.readStream.schema(schema).option("multiLine", multi_line).json(landing)
     return (
         pages.writeStream.foreachBatch(
-            lambda df, batch: ingest_batch(df, batch, root, content=content, now=now, **adapter))
+            lambda df, batch: ingest_batch(df, batch, root, _stream_id(spark, checkpoint),
+                                           content=content, now=now, **adapter))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

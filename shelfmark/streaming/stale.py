@@ -15,7 +15,8 @@ from shelfmark.operators.publish import STALE_AFTER
 
 OUTPUT = T.StructType([
     T.StructField("subject", T.StringType()), T.StructField("event", T.StringType())])
-_STATE = T.StructType([T.StructField("status", T.StringType())])
+_STATE = T.StructType([
+    T.StructField("arrival", T.LongType()), T.StructField("status", T.StringType())])
 
 
 class ClaimWatch(StatefulProcessor):
@@ -30,12 +31,15 @@ class ClaimWatch(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
-        status = None
+        # The newest row over all batches and over what earlier micro-batches brought.
+        arrival, status = self._state.get() if self._state.exists() else (None, None)
         for batch in rows:
-            status = batch.sort_values("arrival")["status"].iloc[-1]
+            at = int(batch["arrival"].max())
+            if arrival is None or at >= arrival:
+                arrival, status = at, batch.loc[batch["arrival"] == at, "status"].iloc[-1]
         for timer in self._handle.listTimers():
             self._handle.deleteTimer(timer)
-        self._state.update((status,))
+        self._state.update((arrival, status))
         if status == "running":
             self._handle.registerTimer(
                 timerValues.getCurrentProcessingTimeInMs() + self._stale_ms)

@@ -46,9 +46,11 @@ class TurnFold(StatefulProcessor):
         known = self._head.get() if self._head.exists() else None
         last, phase, terminal = known if known is not None else (0, None, None)
         kept = [tuple(r) for r in self._recent.get()] if self._recent.exists() else []
-        for batch in rows:
+        # One turn's rows of a micro-batch may come in several batches, in any order.
+        batches = list(rows)
+        if batches:
             out = []
-            for row in batch.sort_values("arrival").itertuples():
+            for row in pd.concat(batches).sort_values("arrival", kind="stable").itertuples():
                 reason = None
                 if terminal is not None:
                     reason = "terminal event already published"
@@ -73,7 +75,8 @@ class TurnFold(StatefulProcessor):
 def fold_stream(events: DataFrame, forget_after_ms: int | None = None) -> DataFrame:
     """Accepted and refused events of a stream of TURN_EVENTS rows (refused ones carry why).
 
-    Within a micro-batch a turn's rows are taken in arrival order. Forgetting needs the clock,
+    Within a micro-batch a turn's rows are taken in arrival order, so they are held together; the
+    source bounds their number (`maxFilesPerTrigger`). Forgetting needs the clock,
     which keeps a query going without new data; leave it out for runs that should end.
     """
     slim = events.select("turn_id", "arrival", "sequence", "type", "phase", "delta")

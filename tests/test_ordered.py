@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from shelfmark.operators.ordered import (
-    first_per_key, number_rows, previous_row, running_max, running_sum, spread_join,
+    first_per_key, number_rows, number_sorted, previous_row, running_max, running_sum,
 )
 
 
@@ -36,17 +36,20 @@ def test_ordered_operators_cross_range_borders(spark):
             assert row["top"] == (max(before) if before else None)
 
 
-def test_spread_join_equals_plain_join(spark):
-    left = spark.range(2000).select(
+def test_positions_by_any_order(spark):
+    rows = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40))
-        .alias("k"), F.col("id").cast("string").alias("s"))
-    right = left.select("k").distinct().filter("k <> 'k7'").withColumn("r", F.length("k"))
-    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    for how in ("left", "inner"):
-        got = spread_join(left, right, "k", "s", counts, how, hot_rows=100)
-        want = left.join(right, "k", how)
-        assert got.count() == want.count()
-        assert got.select("k", "s", "r").exceptAll(want.select("k", "s", "r")).isEmpty()
+        .alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("s"))
+    got = {}
+    for r in number_sorted(rows.repartition(7), ["k"], [F.reverse("s")], "at").collect():
+        got.setdefault(r["k"], []).append((r["at"], r["s"]))
+    for places in got.values():
+        places.sort()
+        assert [at for at, _ in places] == list(range(1, len(places) + 1))
+        assert [s for _, s in places] == sorted((s for _, s in places), key=lambda s: s[::-1])
+
+
+def test_first_per_key(spark):
     rows, df = rows_of(spark)
     firsts = {r["k"]: r["o"] for r in first_per_key(df, ["k"], F.col("o")).collect()}
     assert firsts == {k: min(o for key, o, _ in rows if key == k) for k in firsts}

@@ -164,7 +164,7 @@ def test_rerun_is_a_no_op_and_missing_sources_end(spark):
     assert {r["reason"] for r in again.decisions.collect()} == {"source_unchanged"}
     assert rec.metrics(again.decisions, again.missing).first().asDict() == {
         "facts": 2, "actions": 0, "hashes": 1, "missing": 0}
-    gone = rec.sync_provider(frame(spark, facts[:1]), again.catalog, NOW, content)
+    gone = rec.sync_provider(frame(spark, facts[:1]), again.catalog, NOW, content, complete=True)
     states = {r["external_id"]: (r["is_active"], r["deleted_at"] is not None)
               for r in gone.catalog.sources.collect()}
     assert states == {"m": (True, False), "f": (False, True)}
@@ -187,3 +187,29 @@ def test_sync_refuses_mixed_scans_and_type_changes(spark):
     with pytest.raises(RuntimeError, match="type_mismatch"):
         rec.sync_provider(frame(spark, [fact(1, "a", "message")]), first.catalog, NOW)
     assert first.catalog.sources.select(F.count_if("is_active")).first()[0] == 1
+
+
+def test_ids_of_different_keys_differ(spark):
+    from shelfmark import functions as fn
+    rows = [("a|b", "c"), ("a", "b|c"), ("a\\", "|b"), ("a\\|", "b"), ("a", None), (None, "a"),
+            ("a", "\\0"), ("a", "0")]
+    df = spark.createDataFrame(rows, "x STRING, y STRING")
+    assert df.select(fn.uuid_text("x", "y")).distinct().count() == len(rows)
+
+
+def test_metadata_is_compared_by_value(spark):
+    one = fact(1, "a", raw='{"a":1,"b":2}')
+    first = rec.reconcile(frame(spark, [one]), Catalog.empty(spark), NOW)
+    again = rec.reconcile(frame(spark, [fact(1, "a", raw='{"b": 2, "a": 1}')]), first.catalog, NOW)
+    assert [r["reason"] for r in again.decisions.collect()] == ["source_unchanged"]
+    other = rec.reconcile(frame(spark, [fact(1, "a", raw='{"b": 2, "a": "1"}')]), first.catalog, NOW)
+    assert [r["reason"] for r in other.decisions.collect()] == ["source_metadata_changed"]
+
+
+def test_facts_that_share_an_ordinal(spark):
+    first = rec.reconcile(frame(spark, [fact(1, "a"), fact(2, "b", digest="2" * 64)]),
+                          Catalog.empty(spark), NOW)
+    changed = [fact(1, "a", version="v2", digest="3" * 64),
+               fact(1, "b", version="v2", digest="4" * 64)]
+    again = rec.reconcile(frame(spark, changed), first.catalog, NOW)
+    assert sorted(r["external_id"] for r in again.decisions.collect()) == ["a", "b"]

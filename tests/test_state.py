@@ -181,8 +181,14 @@ def test_stream_ingest_versions(spark):
     assert rows["img1"] == (True, "new.jpg") and rows["img4"][0] is False
     assert tables.commits(spark, root).count() == 3
     before = tables.current(spark, root)
-    tables.write_tables(spark, root, catalog._asdict(), before[0])
+    newest = tables.commits(spark, root).orderBy(F.col("version").desc()).first()
+    tables.write_tables(spark, root, catalog._asdict(), newest["stream"], newest["batch"])
     assert tables.current(spark, root) == before
+    # Another stream counts its own batches.
+    other = folder()
+    ingest.ingest_stream(spark, landing, root, other, content=lambda s: content,
+                         now=T0).awaitTermination(200)
+    assert tables.current(spark, root)[0] > before[0]
 
 
 def test_landed_files(spark):
@@ -247,3 +253,45 @@ def test_stale_claims(spark):
                 break
     query.stop()
     assert seen == {("a", "running"), ("b", "completed"), ("a", "stale")}
+
+
+def test_people_inventory_rules(spark):
+    persons, sources = spark.createDataFrame([], PERSONS), spark.createDataFrame([], PERSON_SOURCES)
+    for wrong in (("a", "a"), ("a", " ")):
+        with pytest.raises(ValueError):
+            ppl.reconcile_people("p", ids(spark, *wrong), persons, sources, T0)
+
+
+def test_detached_pages(spark):
+    links = spark.createDataFrame(
+        [("l", "1", "2", None), ("l", "2", None, None), ("l", "5", "6", None),
+         ("l", "6", "5", None)], "listing STRING, page STRING, next STRING, total BIGINT")
+    assert not gate.is_complete(links)
+    assert gate.is_complete(links.filter("page < '5'"))
+
+
+def _listing(path, *entries_):
+    rows = "".join(
+        f"<d:response><d:href>/remote.php/dav/files/me/{p}</d:href><d:propstat><d:prop>"
+        + (f"<oc:id>{i}</oc:id>" if i else "") + "<d:resourcetype/></d:prop></d:propstat></d:response>"
+        for p, i in ((path + "/", "0"), *entries_))
+    return (path, f'<d:multistatus xmlns:d="DAV:" xmlns:oc="http://owncloud.org/ns">{rows}'
+                  "</d:multistatus>")
+
+
+def test_broken_listings_change_nothing(spark):
+    from shelfmark.sources import sync
+
+    def landed(*rows):
+        return spark.createDataFrame(list(rows), "listing_path STRING, body STRING")
+
+    content = spark.createDataFrame([("nextcloud", "10", bytearray(b"x"))],
+                                    "provider STRING, external_id STRING, content BINARY")
+    good = landed(_listing("d", ("d/a.md", "10")))
+    first = sync.sync_listings(good, "me", Catalog.empty(spark), T0, content)
+    assert first.catalog.sources.filter("is_active").count() == 1
+    name, body = _listing("d", ("d/a.md", "10"))
+    for wrong in (landed((name, body[:200])), landed(_listing("d", ("d/a.md", ""))),
+                  landed((name, body), (name, body))):
+        with pytest.raises(RuntimeError):
+            sync.sync_listings(wrong, "me", first.catalog, T0, content)
