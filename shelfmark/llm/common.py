@@ -147,6 +147,22 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iter
         yield pa.Table.from_batches(held)
 
 
+def unnest(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Lengths of a list-of-structs column's rows (null: 0) and the fields of all items."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    items = column.flatten()
+    fields_ = items.flatten()
+    return sizes, {items.type.field(i).name: f.to_numpy(zero_copy_only=False)
+                   for i, f in enumerate(fields_)}
+
+
+def nest(sizes: np.ndarray, **items: pa.Array) -> pa.Array:
+    """The list-of-structs column whose rows take the next `sizes` items each."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(
+        list(items.values()), names=list(items)))
+
+
 def squeezed(docs: DataFrame, text: str = "text", also: Sequence[Column] = (),
              names: Sequence[str] = ()) -> DataFrame:
     """`_id, _th`, the columns `also`, named `names`, and `_z`, the compressed text, for shuffles

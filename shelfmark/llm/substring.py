@@ -64,7 +64,7 @@ def _super_kmers(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _result(words: list[bytes], spans: list, texts: bool) -> tuple[int, str]:
-    gone = covered(len(words), spans) if spans else np.zeros(len(words), bool)
+    gone = covered(len(words), *np.array(spans).T) if spans else np.zeros(len(words), bool)
     kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g]) if spans \
         else b" ".join(words)
     return int(gone.sum()), kept.decode() if texts else hashlib.sha256(kept).hexdigest()

@@ -8,16 +8,16 @@ difference cover is for, and only about one position in 95 is sampled.
 1. A sampled position's symbol names its next 211 bytes. Positions whose symbol is unique start
    no repeat and are discarded. Symbol and distance to the next sample depend on the text ahead
    alone, so equal text gives equal runs of symbols.
-2. Triples of symbols are sorted and named by rank; the triples of those names are named again,
-   and so on, until every shared name spans what a comparison may need. Sampled suffixes are then
-   sorted by their names.
-3. Neighbours in that order compare prefixes. Where one shares enough symbols to cover all
-   400-byte strings of a stretch with the neighbour before it, the stretch is decided; the first
-   of such neighbours stands for all.
-4. The remaining suffixes, which start between samples, are merged in: each is its distance to
-   its sample plus that sample's suffix. They are grouped in stretches of up to 32 starts around a
-   sample; stretches whose shared text repeats are compared as wholes, and only where the wholes
-   differ is each 400-byte string counted by a 128-bit hash.
+2. Triples of symbols are sorted and named by rank, unique ones discarded. Then names recur: the
+   prefix of a sampled suffix that covers a stretch of 400-byte strings is a triple of names,
+   which may overlap to span any number of symbols from three to nine.
+3. Prefixes are sorted by their names, and neighbours are compared. Where two are equal, all
+   strings of the stretch repeat: the stretch is decided, and the first neighbour stands for all.
+   A stretch that needs more symbols, or has none before it to start from, stays open.
+4. The remaining suffixes, which start between samples of open stretches, are merged in: each is
+   its distance to its sample plus that sample's suffix. They are grouped in stretches of up to
+   32 starts around a sample; stretches whose shared text repeats are compared as wholes, and
+   only where the wholes differ is each 400-byte string counted by a 128-bit hash.
 
 Null texts are empty. Repeated rows are further places of the same strings. Texts under 400 bytes
 lose nothing. An empty table gives no rows. Removal may cut characters; a kept text drops the
@@ -31,10 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import fields, keyed, materialise, partitions, squeezed
+from shelfmark.llm.common import (
+    fields, keyed, materialise, nest, partitions, squeezed, unnest,
+)
 from shelfmark.llm.texthash import (
     BASES, BYTE_VALUES, Ranges, U64, chunks, covered, mix, runs, signed, sliding_first_min,
     unsqueeze,
@@ -44,13 +46,14 @@ LENGTH = 400
 #: Neighbouring starts that share a sample, bytes that are hashed to choose it, bytes it names.
 SPREAD, SEED_BYTES = 190, 8
 NAMED = LENGTH + 1 - SPREAD
-#: Bytes that a comparison of sampled suffixes may need at most.
-REACH = LENGTH + 2 * SPREAD
 #: Starts that are compared as one.
 STRETCH = 32
 SHARED_TEXT = LENGTH + 1 - STRETCH
-#: Symbols a row of the sorted suffixes carries.
-AHEAD = 12
+#: Symbols of a name, and of the three names that a prefix has at most.
+TRIPLE = 3
+LONGEST = 3 * TRIPLE
+#: Documents that a task works on at once.
+BATCH_ROWS = 256
 UNDECIDED, STANDS, DECIDED = 0, 1, 2
 
 
@@ -99,130 +102,138 @@ def _strings(samples: DataFrame) -> DataFrame:
         .withColumn("sid", F.monotonically_increasing_id()), "symbol-strings")
 
 
+def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the items of consecutive rows: the row, and the place in it."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def _suffixes(strings: DataFrame) -> DataFrame:
-    """One row per sampled suffix: `sid, u, x, left` (symbols to the end of its unbroken run),
-    its first three symbols and the stretches `v` it can decide, each with the bytes `need`ed."""
+    """One row per sampled suffix `sid, u` with its first three symbols (0 past the end of an
+    unbroken run), and for the stretch of the same number: how many samples before it (`back`)
+    the prefix begins that covers it, and how many symbols (`q`, 0 for none) that has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {c: [] for c in ("sid", "u", "x", "left", "k0", "k1", "k2", "v", "need")}
-            for sid, samples in zip(batch.column("sid").to_pylist(),
-                                    batch.column("samples").to_pylist()):
-                n = len(samples)
-                left = [1] * n
-                for u in range(n - 2, -1, -1):
-                    if samples[u + 1]["t"] == samples[u]["t"] + 1:
-                        left[u] = left[u + 1] + 1
-                decides: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-                for v, p in enumerate(samples):
-                    u = v
-                    while u >= 0 and samples[u]["x"] > p["s"] and u > 0 and left[u - 1] > 1:
-                        u -= 1
-                    if samples[u]["x"] <= p["s"]:
-                        decides[u].append((v, p["e"] + LENGTH - samples[u]["x"]))
-                out["sid"] += [sid] * n
-                out["u"] += range(n)
-                out["x"] += [p["x"] for p in samples]
-                out["left"] += left
-                keys = [p["k"] for p in samples] + [0, 0]
-                for d in range(3):
-                    out[f"k{d}"] += [keys[u + d] if left[u] > d else 0 for u in range(n)]
-                out["v"] += [[v for v, _ in d] for d in decides]
-                out["need"] += [[b for _, b in d] for d in decides]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 3,
-                     pa.list_(pa.int32()), pa.list_(pa.int32())]
+            sizes, p = unnest(batch.column("samples"))
+            row, u = _spread(sizes)
+            n = len(row)
+            if not n:
+                continue
+            new = np.ones(n, bool)
+            new[1:] = (row[1:] != row[:-1]) | (p["t"][1:] != p["t"][:-1] + 1)
+            chain = np.cumsum(new) - 1
+            first = np.flatnonzero(new)
+            end = np.append(first[1:], n)[chain]
+            base = chain.astype(np.int64) << 32
+            place = base + p["x"]
+            index = np.arange(n)
+            begin = np.searchsorted(place, base + p["s"], side="right") - 1
+            last = np.searchsorted(place, base + p["e"] + (LENGTH - NAMED), side="left")
+            q = np.maximum(last - begin + 1, TRIPLE)
+            known = (begin >= first[chain]) & (last < end) & (begin + q <= end)
+            keys = np.concatenate([p["k"], np.zeros(2, np.int64)])
+            out = [np.where(index + TRIPLE <= end, keys[d:d + n], 0) for d in range(TRIPLE)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[c], k) for c, k in zip(out, kinds)], names=list(out))
+                [batch.column("sid").take(pa.array(row)), _int32(u),
+                 *[pa.array(k) for k in out], _int32(index - begin),
+                 _int32(np.where(known & (q <= LONGEST), q, 0))],
+                names=["sid", "u", "k0", "k1", "k2", "back", "q"])
 
-    made = ("sid long, u int, x int, left int, k0 long, k1 long, k2 long, v array<int>, "
-            "need array<int>")
+    made = "sid long, u int, k0 long, k1 long, k2 long, back int, q int"
     return materialise(strings.select("sid", "samples").mapInArrow(run, made), "suffixes")
 
 
-def _named(rows: DataFrame, triple: list[str], name: str) -> DataFrame:
-    """Add `name`, the rank of the triple among all, and `many`, whether several rows have it."""
+def _prefixes(suffixes: DataFrame) -> DataFrame:
+    """`q, n0, n1, n2, sid, v`: the names of the prefix that covers stretch `v` of a string.
+
+    Symbol triples are named by their rank among all shared triples. A prefix of q symbols is
+    the names at its start and, overlapping if need be, up to its end.
+    """
+    triple = ["k0", "k1", "k2"]
     ranked = materialise(
-        rows.groupBy(*triple).agg((F.count("*") > 1).alias("many")).orderBy(*triple)
-        .withColumn("name", F.monotonically_increasing_id() + 1), name)
-    return rows.join(ranked, triple).drop(*triple)
+        suffixes.filter("k0 <> 0 OR k1 <> 0 OR k2 <> 0").groupBy(*triple)
+        .agg(F.count("*").alias("c")).filter("c > 1").select(*triple).orderBy(*triple)
+        .withColumn("name", F.monotonically_increasing_id() + 1), "triple-names")
+    named = suffixes.join(ranked, triple, "left").groupBy("sid").agg(
+        F.sort_array(F.collect_list(F.struct(
+            "u", F.coalesce("name", F.lit(0)).alias("name"), "back", "q"))).alias("names"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, p = unnest(batch.column("names"))
+            row, v = _spread(sizes)
+            n = len(row)
+            q = p["q"].astype(np.int64)
+            start = np.arange(n) - p["back"]
+            tail = np.maximum(start + q - TRIPLE, 0)
+            names = p["name"]
+            some = q > 0
+            n0, n1, n2 = (np.zeros(n, np.int64) for _ in range(3))
+            n0[some] = names[start[some]]
+            middle, long = (q > TRIPLE) & (q <= 2 * TRIPLE), q > 2 * TRIPLE
+            n1[middle] = names[tail[middle]]
+            n1[long] = names[start[long] + TRIPLE]
+            n2[long] = names[tail[long]]
+            whole = some & (n0 > 0) & ((q <= TRIPLE) | (n1 > 0)) & (~long | (n2 > 0))
+            at = np.flatnonzero(whole)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(c[at]) for c in (q, n0, n1, n2)],
+                 batch.column("sid").take(pa.array(row[at])), _int32(v[at])],
+                names=["q", "n0", "n1", "n2", "sid", "v"])
 
-def _ranked(suffixes: DataFrame) -> DataFrame:
-    """Add `n0, n1, n2`, names of consecutive parts, by which the suffixes sort.
+    made = "q long, n0 long, n1 long, n2 long, sid long, v int"
+    return materialise(named.mapInArrow(run, made), "prefixes")
+
+
+PREFIX = ["q", "n0", "n1", "n2"]
 
-    Each name spans `width` symbols; widths triple until no shared name is too short.
-    """
-    in_string = Window.partitionBy("sid").orderBy("u")
-    rows = _named(suffixes.select("sid", "u", "x", "left", "k0", "k1", "k2"),
-                  ["k0", "k1", "k2"], "triples-3")
-    width = 3
-    while True:
-        parts = {f"n{d}": F.when(F.col("left") > d * width, F.lead("name", d * width)
-                                 .over(in_string)).otherwise(F.lit(0)) if d else F.col("name")
-                 for d in range(3)}
-        end = F.lead("x", 3 * width - 1).over(in_string)
-        rows = rows.withColumns({**parts, "short": F.col("many") & (
-            F.col("left") > 3 * width) & (end + NAMED - F.col("x") < REACH)}).drop("name")
-        rows = materialise(rows, f"names-{width}")
-        if width * 3 >= REACH or rows.filter("short").isEmpty():
-            return rows.select("sid", "u", "n0", "n1", "n2")
-        width *= 3
-        rows = _named(rows.drop("many", "short"), ["n0", "n1", "n2"], f"triples-{width}")
-
-
-def _decided(suffixes: DataFrame) -> DataFrame:
-    """`sid, v, state` of the stretches that neighbours in the sorted order decide."""
-    in_string = Window.partitionBy("sid").orderBy("u")
-    ahead = F.slice(F.collect_list(F.struct("k0", "x")).over(
-        in_string.rowsBetween(0, AHEAD - 1)), 1, F.least(F.col("left"), F.lit(AHEAD)))
-    carried = suffixes.select("sid", "u", "v", "need", ahead.alias("ahead"))
-    ordered = _ranked(suffixes).join(carried, ["sid", "u"])
-    order = ["n0", "n1", "n2", "sid", "u"]
-    ordered = ordered.repartitionByRange(partitions(suffixes), *order).sortWithinPartitions(*order)
+
+def _decided(prefixes: DataFrame) -> DataFrame:
+    """`sid, v, state` of the stretches whose prefix equals a neighbour's in the sorted order."""
+    ordered = prefixes.repartitionByRange(partitions(prefixes), *PREFIX, "sid", "v") \
+        .sortWithinPartitions(*PREFIX, "sid", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: list[int] = []  # symbols of the row before
-        reach_back = 0
-        open_row = None  # the row before with its reach to the row before it
+        # The last two rows stay: one waits for the row after it, which is compared with both.
+        held: pa.Table | None = None
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for sid, vs, needs, ahead in zip(*[batch.column(c).to_pylist()
-                                               for c in ("sid", "v", "need", "ahead")]):
-                symbols = [a["k0"] for a in ahead]
-                same = 0
-                for a, b in zip(symbols, before):
-                    if a != b:
-                        break
-                    same += 1
-                reach = ahead[same - 1]["x"] + NAMED - ahead[0]["x"] if same else 0
-                if open_row:
-                    out += _states(*open_row, reach_back, reach)
-                open_row, before, reach_back = (sid, vs, needs), symbols, reach
-            yield _as_batch(out)
-        if open_row:
-            yield _as_batch(_states(*open_row, reach_back, 0))
-
-    return ordered.select("sid", "v", "need", "ahead").mapInArrow(
-        run, "sid long, v int, state int")
-
-
-def _states(sid: int, vs: list[int], needs: list[int], back: int, on: int):
-    """Decided if the suffix before shares the whole stretch; else it may stand for the next."""
-    return [(sid, v, DECIDED if back >= need else STANDS)
-            for v, need in zip(vs, needs) if max(back, on) >= need]
-
-
-def _as_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            yield _states(table, held is not None and held.num_rows > 1, False)
+            held = table.slice(max(table.num_rows - 2, 0))
+        if held is not None:
+            yield _states(held, held.num_rows > 1, True)
+
+    return materialise(ordered.mapInArrow(run, "sid long, v int, state int"), "decided")
+
+
+def _states(table: pa.Table, begun: bool, ends: bool) -> pa.RecordBatch:
+    """What neighbours decide about all rows but the last, which is told only if the order
+    `ends` with it; the first was told before if `begun`."""
+    same = np.ones(table.num_rows - 1, bool)
+    for name in PREFIX:
+        c = table.column(name).to_numpy()
+        same &= c[1:] == c[:-1]
+    back, on = np.append(False, same), np.append(same, False)
+    state = np.where(back, DECIDED, np.where(on, STANDS, UNDECIDED))
+    told = np.ones(table.num_rows, bool)
+    told[0] = not begun
+    told[-1] = ends
+    at = np.flatnonzero(told & (state != UNDECIDED))
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[k] for r in rows], t) for k, t in enumerate(
-            (pa.int64(), pa.int32(), pa.int32()))], names=["sid", "v", "state"])
+        [pa.array(table.column("sid").to_numpy()[at]), pa.array(table.column("v").to_numpy()[at]),
+         _int32(state[at])], names=["sid", "v", "state"])
 
 
-def _finished(body: bytes, spans: list[tuple[int, int]], texts: bool) -> tuple:
+def _finished(body: bytes, starts: np.ndarray, ends: np.ndarray, texts: bool) -> tuple:
     """n_bytes, n_removed, n_spans, kept."""
-    if not spans:
+    if not len(starts):
         kept, removed, n_spans = body, 0, 0
     else:
-        gone = covered(len(body), spans)
+        gone = covered(len(body), starts, ends)
         kept = np.frombuffer(body, np.uint8)[~gone].tobytes()
         removed, n_spans = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
     return (len(body), removed, n_spans, kept.decode("utf-8", "ignore") if texts
@@ -238,37 +249,45 @@ def _result_arrays(rows: list[tuple | None]) -> list[pa.Array]:
     return [pa.array([r and r[k] for r in rows], t) for k, t in enumerate(kinds)]
 
 
-SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 SPANS_DDL = "array<struct<a:int,b:int>>"
-STRETCHES = pa.list_(pa.struct([("g", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()),
-                                ("s", pa.int32()), ("e", pa.int32()), ("times", pa.int32())]))
-WINDOWS = pa.list_(pa.struct([("i", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()),
-                              ("times", pa.int32())]))
 
 
-def _stretches(hashes: list[Ranges], todo: list[dict]) -> list[dict]:
-    """The stretches of the samples that are not decided: what they share and what they hold."""
-    x, s, e, state = (np.array([p[c] for p in todo], np.int64) for c in ("x", "s", "e", "state"))
+def _int32(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.int32))
+
+
+def _nested_spans(rows: int, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """Spans [a, b) of the rows, in order of row and start, neighbours that touch joined."""
+    if len(row):
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (a[1:] > b[:-1])
+        first = np.flatnonzero(new)
+        row, a, b = row[first], a[first], np.maximum.reduceat(b, first)
+    return nest(np.bincount(row, minlength=rows), a=_int32(a), b=_int32(b))
+
+
+def _hashed(bodies: list[bytes]) -> tuple[list[Ranges], np.ndarray]:
+    """Range hashes over all bodies end to end, and where each begins."""
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    base = np.cumsum([0, *map(len, bodies)])
+    return [Ranges(values[data], b) for values, b in zip(BYTE_VALUES, BASES)], base
+
+
+def _stretches(hashes: list[Ranges], base: np.ndarray, rows: int, row, x, s, e, state) -> pa.Array:
+    """The stretches of open samples: what they share (`g`) and what they hold (`c1, c2`)."""
     low, high = (x - e) // STRETCH, (x - s) // STRETCH
-    count = high - low + 1
-    owner = np.repeat(np.arange(len(x)), count)
-    j = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + low[owner]
-    xo = x[owner]
+    owner, j = _spread(high - low + 1)
+    j = j + low[owner]
+    xo, bo = x[owner], base[row[owner]]
     first = np.maximum(s[owner], xo - j * STRETCH - STRETCH + 1)
     last = np.minimum(e[owner], xo - j * STRETCH)
-    common = xo - j * STRETCH
+    common = bo + xo - j * STRETCH
     shared = mix(hashes[0].hash(common, common + SHARED_TEXT) + j.astype(U64))
-    whole = [mix(h.hash(first, last + LENGTH) + mix(
-        ((xo - first) * 1_000 + (xo - last)).astype(U64))) for h in hashes]
-    times = np.where(state[owner] == STANDS, 2, 1)
-    return [dict(zip(("g", "c1", "c2", "s", "e", "times"), r)) for r in zip(
-        signed(shared).tolist(), signed(whole[0]).tolist(), signed(whole[1]).tolist(),
-        first.tolist(), last.tolist(), times.tolist())]
-
-
-def _hashed(body: bytes) -> list[Ranges]:
-    data = np.frombuffer(body, np.uint8)
-    return [Ranges(values[data], base) for values, base in zip(BYTE_VALUES, BASES)]
+    places = mix(((xo - first) * 1_000 + (xo - last)).astype(U64))
+    whole = [mix(h.hash(bo + first, bo + last + LENGTH) + places) for h in hashes]
+    return nest(np.bincount(row[owner], minlength=rows), g=pa.array(signed(shared)),
+                c1=pa.array(signed(whole[0])), c2=pa.array(signed(whole[1])), s=_int32(first),
+                e=_int32(last), times=_int32(np.where(state[owner] == STANDS, 2, 1)))
 
 
 def _join_texts(texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -281,39 +300,37 @@ def _first_pass(docs: DataFrame, text: str, strings: DataFrame, texts: bool,
                 carry: list[str]) -> DataFrame:
     """Finished documents without shared symbols; of the others the text, the decided spans and
     the stretches left to merge."""
-    states = materialise(_decided(_suffixes(strings)), "decided").groupBy("sid").agg(
+    states = _decided(_prefixes(_suffixes(strings))).groupBy("sid").agg(
         F.collect_list(F.struct("v", "state")).alias("states"))
     found = strings.join(states, "sid", "left").select("_id", "_th", "samples", "states")
     # The other columns of a document travel as one, whatever their names.
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row")
-           for _ in carry]
-    joined = _join_texts(squeezed(docs, text, row, carry), found)
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row")
+            for _ in carry]
+    joined = _join_texts(squeezed(docs, text, rest, carry), found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                done, zs, spans, todo = [], [], [], []
-                for z, samples, states in zip(*[batch.column(c).to_pylist() for c in (
-                        "_z", "samples", "states")]):
-                    body = unsqueeze(z)
-                    if not samples:
-                        done.append(_finished(body, [], texts))
-                        zs.append(None), spans.append([]), todo.append([])
-                        continue
-                    state = {p["v"]: p["state"] for p in states or []}
-                    for v, p in enumerate(samples):
-                        p["state"] = state.get(v, UNDECIDED)
-                    done.append(None)
-                    zs.append(z)
-                    spans.append([{"a": p["s"], "b": p["e"] + LENGTH} for p in samples
-                                  if p["state"] != UNDECIDED])
-                    left = [p for p in samples if p["state"] != DECIDED]
-                    todo.append(_stretches(_hashed(body), left) if left else [])
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in ["_id", "_th", *carry]],
-                     pa.array(zs, pa.binary()), *_result_arrays(done), pa.array(spans, SPANS),
-                     pa.array(todo, STRETCHES)],
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                sizes, p = unnest(batch.column("samples"))
+                row, _ = _spread(sizes)
+                said, q = unnest(batch.column("states"))
+                state = np.full(len(row), UNDECIDED)
+                state[(np.cumsum(sizes) - sizes)[_spread(said)[0]] + q["v"]] = q["state"]
+                zs = batch.column("_z").to_pylist()
+                bodies = [unsqueeze(z) for z in zs]
+                none = np.zeros(0, np.int64)
+                done = [None if n else _finished(body, none, none, texts)
+                        for n, body in zip(sizes, bodies)]
+                x, s, e = (p[c].astype(np.int64) for c in ("x", "s", "e"))
+                sure, left = state != UNDECIDED, state != DECIDED
+                hashes, base = _hashed([body if n else b"" for n, body in zip(sizes, bodies)])
+                yield pa.RecordBatch.from_arrays([
+                    *[batch.column(c) for c in ["_id", "_th", *carry]],
+                    pa.array([z if n else None for n, z in zip(sizes, zs)], pa.binary()),
+                    *_result_arrays(done),
+                    _nested_spans(len(zs), row[sure], s[sure], e[sure] + LENGTH),
+                    _stretches(hashes, base, len(zs), *[c[left] for c in (row, x, s, e, state)])],
                     names=["_id", "_th", *carry, "_z", *RESULT, "spans", "stretches"])
 
     made = (f"{RESULT_DDL}, spans {SPANS_DDL}, "
@@ -354,25 +371,32 @@ def _second_pass(first: DataFrame, texts: bool, carry: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                done, zs, all_spans, all_windows = [], [], [], []
-                for z, spans, merged in zip(*[batch.column(c).to_pylist() for c in (
-                        "_z", "spans", "merged")]):
-                    body = unsqueeze(z)
-                    spans = [(p["a"], p["b"]) for p in spans]
-                    spans += [(m["s"], m["e"] + LENGTH) for m in merged or [] if m["sure"]]
-                    count = [m for m in merged or [] if m["count"]]
-                    windows = _windows(body, count) if count else []
-                    wait = any(not m["sure"] for m in count)
-                    done.append(None if wait else _finished(body, spans, texts))
-                    zs.append(z if wait else None)
-                    all_spans.append([{"a": a, "b": b} for a, b in spans] if wait else [])
-                    all_windows.append(windows)
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in ["_id", "_th", *carry]],
-                     pa.array(zs, pa.binary()), *_result_arrays(done),
-                     pa.array(all_spans, SPANS), pa.array(all_windows, WINDOWS)],
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                n = batch.num_rows
+                zs = batch.column("_z").to_pylist()
+                bodies = [unsqueeze(z) for z in zs]
+                sizes, p = unnest(batch.column("spans"))
+                merged, m = unnest(batch.column("merged"))
+                owner = _spread(merged)[0]
+                sure, count = (m[c].astype(bool) for c in ("sure", "count"))
+                row = np.concatenate([_spread(sizes)[0], owner[sure]])
+                a = np.concatenate([p["a"], m["s"][sure]]).astype(np.int64)
+                b = np.concatenate([p["b"], m["e"][sure] + LENGTH]).astype(np.int64)
+                order = np.lexsort((b, a, row))
+                row, a, b = row[order], a[order], b[order]
+                ends = np.searchsorted(row, np.arange(n + 1))
+                waits = np.zeros(n, bool)
+                waits[owner[count & ~sure]] = True
+                done = [None if w else _finished(body, a[i:j], b[i:j], texts)
+                        for w, body, i, j in zip(waits, bodies, ends, ends[1:])]
+                keep = waits[row]
+                yield pa.RecordBatch.from_arrays([
+                    *[batch.column(c) for c in ["_id", "_th", *carry]],
+                    pa.array([z if w else None for w, z in zip(waits, zs)], pa.binary()),
+                    *_result_arrays(done), _nested_spans(n, row[keep], a[keep], b[keep]),
+                    _windows(bodies, owner[count], *[m[c][count].astype(np.int64)
+                                                     for c in ("s", "e")], sure[count])],
                     names=["_id", "_th", *carry, "_z", *RESULT, "spans", "windows"])
 
     made = (f"{RESULT_DDL}, spans {SPANS_DDL}, "
@@ -381,14 +405,19 @@ def _second_pass(first: DataFrame, texts: bool, carry: list[str]) -> DataFrame:
         run, fields(joined, ["_id", "_th", *carry, "_z"], made)), "second-pass")
 
 
-def _windows(body: bytes, stretches: list[dict]) -> list[dict]:
-    """Both hashes of every string that starts in one of the stretches."""
-    starts = np.concatenate([np.arange(m["s"], m["e"] + 1) for m in stretches])
-    times = np.concatenate([np.full(m["e"] + 1 - m["s"], 2 if m["sure"] else 1)
-                            for m in stretches])
-    w1, w2 = (signed(h.hash(starts, starts + LENGTH)) for h in _hashed(body))
-    return [dict(zip(("i", "w1", "w2", "times"), r)) for r in zip(
-        starts.tolist(), w1.tolist(), w2.tolist(), times.tolist())]
+def _windows(bodies: list[bytes], row: np.ndarray, s: np.ndarray, e: np.ndarray,
+             sure: np.ndarray) -> pa.Array:
+    """Both hashes of every string that starts in one of the stretches of the rows."""
+    order = np.argsort(row, kind="stable")
+    row, s, e, sure = row[order], s[order], e[order], sure[order]
+    owner, place = _spread(e + 1 - s)
+    used = np.isin(np.arange(len(bodies)), row)
+    hashes, base = _hashed([body if u else b"" for body, u in zip(bodies, used)])
+    start = s[owner] + place
+    at = base[row[owner]] + start
+    w1, w2 = (signed(h.hash(at, at + LENGTH)) for h in hashes)
+    return nest(np.bincount(row[owner], minlength=len(bodies)), i=_int32(start),
+                w1=pa.array(w1), w2=pa.array(w2), times=_int32(np.where(sure[owner], 2, 1)))
 
 
 def _third_pass(second: DataFrame, texts: bool, carry: list[str]) -> DataFrame:
@@ -404,10 +433,13 @@ def _third_pass(second: DataFrame, texts: bool, carry: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [_finished(unsqueeze(z), [(p["a"], p["b"]) for p in spans] + [
-                (i, i + LENGTH) for i in starts or []], texts)
-                for z, spans, starts in zip(*[batch.column(c).to_pylist() for c in (
-                    "_z", "spans", "starts")])]
+            done = []
+            for z, spans, starts in zip(*[batch.column(c).to_pylist() for c in (
+                    "_z", "spans", "starts")]):
+                more = np.array(starts or [], np.int64)
+                done.append(_finished(
+                    unsqueeze(z), np.append(more, [p["a"] for p in spans]).astype(np.int64),
+                    np.append(more + LENGTH, [p["b"] for p in spans]).astype(np.int64), texts))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in ["_id", *carry]], *_result_arrays(done)],
                 names=["_id", *carry, *RESULT])

@@ -147,10 +147,8 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) if x.flags.c_contiguous else np.ascontiguousarray(x).view(np.int64)
 
 
-def covered(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
+def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of n items lie in one of the spans [start, end)."""
-    change = np.zeros(n + 1, np.int32)
-    for a, b in spans:
-        change[a] += 1
-        change[b] -= 1
+    change = np.bincount(starts, minlength=n + 1).astype(np.int64) - np.bincount(
+        ends, minlength=n + 1)
     return np.cumsum(change[:n]) > 0
