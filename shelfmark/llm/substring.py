@@ -30,7 +30,7 @@ from shelfmark.llm.texthash import (
 WINDOW = 35
 GROUP = 4  # words of a minimiser
 #: Super-k-mers of one minimiser that one bucket takes.
-BUCKET = 8192
+BUCKET = 2048
 
 
 def _super_kmers(docs: DataFrame, text: str) -> DataFrame:

@@ -81,7 +81,7 @@ def brute_words(rows, width=35):
             for r, w, gone in zip(rows, split, fx.removed(split, width))]
 
 
-@pytest.mark.parametrize("bucket", [8192, 1])
+@pytest.mark.parametrize("bucket", [2048, 1])
 def test_words_against_brute_force(spark, monkeypatch, bucket):
     monkeypatch.setattr(substring, "BUCKET", bucket)
     rows = fx.make_rows()
