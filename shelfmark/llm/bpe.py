@@ -150,7 +150,7 @@ class PrefixBPE:
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        ids = self.cache.again(chunk)
+        ids = self.cache.new.get(chunk) or self.cache.again(chunk)
         if ids is None:
             if chunk.isascii() and not SEPARATORS.search(chunk):
                 pieces = [p.translate(self.visible) for p in ASCII_PIECES(chunk)]
@@ -164,12 +164,18 @@ class PrefixBPE:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         parts = self.specials.split(text) if self.specials else [text]
-        out, known, chunk = [], self.cache.new.get, self._chunk
+        out: list[bytes] = []
         for n, part in enumerate(parts):
             if n % 2:
                 out.append(array("I", [self.added[part]]).tobytes())
             else:
-                out.extend([known(c) or chunk(c) for c in self.chunks(part)])
+                chunks = self.chunks(part)
+                ids = list(map(self.cache.new.get, chunks))
+                at = -1
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at + 1)
+                    ids[at] = self._chunk(chunks[at])
+                out += ids
         return b"".join(out)
 
 

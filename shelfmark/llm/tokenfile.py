@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,8 @@ MAGIC = b"SMTF"
 FILE_IDS = 4_000_000
 #: Longest chunk, and numbers of chunks and pieces, that a worker remembers.
 CACHED_LENGTH = 48
-CACHED_CHUNKS = 200_000
-CACHED_PIECES = 200_000
+CACHED_CHUNKS = 350_000
+CACHED_PIECES = 350_000
 BATCH_ROWS = 512
 #: Chunks of ASCII and Latin letters that are their own composed form, and how such a chunk in
 #: lower case splits into pieces (fixed pattern).
@@ -65,6 +66,7 @@ class ChunkEncoder:
         if probe[0] != sum(parts, []) or len({tuple(p) for p in probe}) != 1:
             raise ValueError("the tokenizer does not split texts into independent pieces")
         self.chunks = re.compile(f"[^{WHITE}]+").findall
+        self.code = {"<u2": "H", "<u4": "I"}[id_type(path)]
         self.tokens = self.tokenizer.model.tokenize
         self.letters = byte_characters()
         self.cache = Recent(CACHED_CHUNKS)
@@ -78,27 +80,47 @@ class ChunkEncoder:
         if ids is None:
             shown = piece if piece.isascii() else "".join(
                 [self.letters[b] for b in piece.encode()])
-            ids = np.array([t.id for t in self.tokens(shown)], "<u4").tobytes()
+            ids = array(self.code, [t.id for t in self.tokens(shown)]).tobytes()
             self.pieces.put(piece, ids)
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk not met lately: simple ones piece by piece, others whole."""
-        ids = self.cache.again(chunk)
+        ids = self.cache.new.get(chunk) or self.cache.again(chunk)
         if ids is None:
-            if len(chunk) <= CACHED_LENGTH and SIMPLE(chunk) and "<|" not in chunk:
+            plain = chunk.isascii() and len(chunk) <= CACHED_LENGTH
+            if plain and chunk.isalpha():
+                ids = self._piece(chunk.lower())
+            elif plain and chunk[:-1].isalpha() and "!" <= chunk[-1] <= "~":  # one sign after
+                ids = self._piece(chunk[:-1].lower()) + self._piece(chunk[-1])
+            elif len(chunk) <= CACHED_LENGTH and SIMPLE(chunk) and "<|" not in chunk:
                 ids = b"".join([self._piece(p) for p in SIMPLE_PIECES(chunk.lower())])
             else:
-                ids = np.array(self._plain([chunk])[0], "<u4").tobytes()
+                ids = array(self.code, self._plain([chunk])[0]).tobytes()
             if len(chunk) <= CACHED_LENGTH:
                 self.cache.put(chunk, ids)
         return ids
 
     def encode(self, text: str) -> bytes:
-        """Ids of the text as unsigned 32-bit integers."""
-        known, chunk = self.cache.new.get, self._chunk
-        return b"".join([known(c) or chunk(c) for c in (
-            self.chunks(text) if ODD_SPACE(text) else text.split())])
+        """Ids of the text, each of the width `id_type` names."""
+        # Latin-1 has no character whose lower case depends on others or on composition.
+        if "<|" not in text and (text.isascii() or _latin1(text)):
+            text = text.lower()
+        chunks = self.chunks(text) if ODD_SPACE(text) else text.split()
+        ids = list(map(self.cache.new.get, chunks))
+        at = -1
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at + 1)
+            ids[at] = self._chunk(chunks[at])
+        return b"".join(ids)
+
+
+def _latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -137,13 +159,12 @@ def tokenize(docs: DataFrame, path: str, end_id: int, text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = task_cache(f"chunks:{path}", lambda: ChunkEncoder(path))
-        tail = np.array([end_id], "<u4").tobytes()
+        tail = np.array([end_id], width).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                out = [np.frombuffer(ids + tail, "<u4").astype(width).tobytes()
-                       for ids in map(model.encode, texts)]
+                out = [ids + tail for ids in map(model.encode, texts)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 

@@ -15,6 +15,7 @@ from tests.llm import fixtures as fx
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+WIDTH = tokenfile.id_type(WORDS)
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +35,7 @@ def same(models, texts):
         assert list(array("I", fast.encode(text))) == ids
         assert bpe.decode_ids(fast.encode(text), table) == plain.decode(
             ids, skip_special_tokens=False)
-        assert np.frombuffer(chunked.encode(text), "<u4").tolist() == words.encode(
+        assert np.frombuffer(chunked.encode(text), WIDTH).tolist() == words.encode(
             text, add_special_tokens=False).ids
 
 
