@@ -206,7 +206,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
     With `decoded`, a column of that name holds the text that the ids stand for.
     """
     rest = [f for f in docs.schema.fields if f.name not in (text, ids, decoded)]
-    body = docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col(text).alias(ids))
+    # The other columns pass through the task as one, whatever their names.
+    row = [F.struct(*[F.col(f"`{f.name}`") for f in rest]).alias("_row")] if rest else []
+    body = docs.select(*row, F.col(text).alias("_text"))
     made = [T.StructField(ids, T.BinaryType())]
     if decoded:
         made.append(T.StructField(decoded, T.StringType()))
@@ -216,15 +218,18 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
-                out = [model.encode(t) if t else b"" for t in part.column(len(rest)).to_pylist()]
+                out = [model.encode(t) if t else b"" for t in part.column("_text").to_pylist()]
                 columns = [*part.columns[:-1], pa.array(out, pa.binary())]
                 if decoded:
                     table = task_cache(f"bytes:{path}", lambda: token_bytes(path))
                     columns.append(pa.array([decode_ids(v, table) for v in out], pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    columns, names=[f.name for f in [*rest, *made]])
+                    columns, names=[*(["_row"] if rest else []), *[f.name for f in made]])
 
-    return body.mapInArrow(run, T.StructType([*rest, *made]))
+    schema = [T.StructField("_row", T.StructType(rest))] if rest else []
+    out = body.mapInArrow(run, T.StructType(schema + made))
+    return out.select(*[F.col(f"_row.`{f.name}`").alias(f.name) for f in rest],
+                      *[f.name for f in made])
 
 
 def decode(ids: Column, path: str) -> Column:
