@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from shelfmark.llm.common import Recent, task_cache
+from shelfmark.llm.common import Recent, release, task_cache
 
 #: The Unicode White_Space characters (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -214,6 +214,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
         made.append(T.StructField(decoded, T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("powers:")
+        release("chunks:")
         model = task_cache(f"bpe:{path}", lambda: PrefixBPE(path))
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):

@@ -39,12 +39,26 @@ def same_key(left: DataFrame, right: DataFrame) -> Column:
     return left["_id"].eqNullSafe(right["_id"]) & (left["_th"] == right["_th"])
 
 
+def _held() -> types.ModuleType:
+    return sys.modules.setdefault("_shelfmark_llm_cache", types.ModuleType("cache"))
+
+
 def task_cache(name: str, build: Callable[[], object]) -> object:
     """A model or lookup built once per Python worker process and reused by its later tasks."""
-    store = sys.modules.setdefault("_shelfmark_llm_cache", types.ModuleType("cache"))
-    if not hasattr(store, name):
-        setattr(store, name, build())
-    return getattr(store, name)
+    held = _held()
+    if not hasattr(held, name):
+        setattr(held, name, build())
+    return getattr(held, name)
+
+
+def release(kind: str) -> None:
+    """Forget what this worker holds under names that begin with `kind`.
+
+    Workers outlive the stages of a pipeline; a task that needs no model gives its memory back.
+    """
+    held = _held()
+    for name in [n for n in vars(held) if n.startswith(kind)]:
+        delattr(held, name)
 
 
 class Recent:
@@ -170,6 +184,8 @@ def squeezed(docs: DataFrame, text: str = "text", also: Sequence[Column] = (),
     rows = keyed(docs, text, also)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
+        release("bpe:")
+        release("chunks:")
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             body = batch.column("_text").cast(pa.binary())

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import (
-    fields, group_starts, keyed, materialise, partitions, squeezed, whole_groups,
+    fields, group_starts, keyed, materialise, partitions, release, squeezed, whole_groups,
 )
 from shelfmark.llm.graph import components
 from shelfmark.llm.outliers import HAS_WORD
@@ -204,6 +204,7 @@ def links_in(cid: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray,
 def _links(groups: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Links found in groups of rows `*keys, cid, comp, n, regs, shingles`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("bpe:")
         for table in whole_groups(batches, keys):
             starts = np.append(group_starts(table, keys), table.num_rows)
             found = []

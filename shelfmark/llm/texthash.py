@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-from shelfmark.llm.common import task_cache
+from shelfmark.llm.common import release, task_cache
 
 #: Bytes of text hashed at once (one document is never split).
 CHUNK = 1 << 20
@@ -72,6 +72,8 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row offsets) of consecutive rows of about CHUNK bytes."""
+    release("bpe:")
+    release("chunks:")
     data, at = buffers(column)
     first = 0
     while first < len(column):
