@@ -29,6 +29,7 @@ from tokenizers import Tokenizer
 
 from shelfmark.llm.bpe import WHITE, byte_characters
 from shelfmark.llm.common import Recent, materialise, partitions, task_cache
+from shelfmark.llm.texthash import buffers
 from shelfmark.session import run_folder
 
 MAGIC = b"SMTF"
@@ -36,8 +37,8 @@ MAGIC = b"SMTF"
 FILE_IDS = 4_000_000
 #: Longest chunk, and numbers of chunks and pieces, that a worker remembers.
 CACHED_LENGTH = 48
-CACHED_CHUNKS = 350_000
-CACHED_PIECES = 350_000
+CACHED_CHUNKS = 450_000
+CACHED_PIECES = 450_000
 BATCH_ROWS = 512
 #: Chunks of ASCII and Latin letters that are their own composed form, and how such a chunk in
 #: lower case splits into pieces (fixed pattern).
@@ -181,11 +182,11 @@ def count_ids(encoded: DataFrame, width: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                ids = np.frombuffer(value.as_buffer(), width)
-                counts = np.bincount(ids, minlength=len(total))
-                counts[:len(total)] += total
-                total = counts
+            if not batch.num_rows:
+                continue
+            counts = np.bincount(buffers(batch.column(0))[0].view(width), minlength=len(total))
+            counts[:len(total)] += total
+            total = counts
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(seen, pa.int64()), pa.array(total[seen])], names=["id", "n"])
