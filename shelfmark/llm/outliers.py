@@ -9,8 +9,9 @@ median deviation, and takes a fixed number of concentration steps: fit centre an
 nearest three quarters, measure all distances anew, take the nearest three quarters again. Every
 step is a few sums per group. Statistics are whole numbers (thousandths) and distances are ranked
 in bins, so sums and quantiles are exact and reruns agree. A last fit takes every document within
-the inlier distance. Scatter is regularised by fixed floors and, where a group is small, by the
-scatter within all groups, so constant statistics and tiny groups stay harmless.
+the inlier distance; a group without any is judged by the fit before. Scatter is regularised by
+fixed floors and, where a group is small, by the scatter within all groups, so constant statistics
+and tiny groups stay harmless.
 
 Null texts have no words and fail the base rules. A null language or source counts as an empty
 name. Repeated rows are judged alike. An empty table gives no rows.
@@ -176,8 +177,10 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     for step in range(STEPS):
         fit = _fit(core, CONSISTENCY, f"mcd-{step}")
         core = _nearest(_distance(fitted, fit))
-    fit = _fit(core, CONSISTENCY, "mcd-core")
-    fit = _fit(_distance(fitted, fit).filter(F.col("_d2") <= INLIER), 1.0, "mcd-inliers")
+    inner = _fit(core, CONSISTENCY, "mcd-core")
+    last = _fit(_distance(fitted, inner).filter(F.col("_d2") <= INLIER), 1.0, "mcd-inliers")
+    # A small group far from all others may have no inlier: its core is its estimate.
+    fit = last.unionByName(inner.join(last, ["_lang", "_source"], "left_anti"))
     # Groups in which every document fails the base rules have no estimate and need none.
     near = _distance(rows.filter(~F.col("base_failed")), fit).select(
         *rows.columns, F.col("_d2").alias("d2"))

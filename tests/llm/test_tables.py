@@ -157,6 +157,25 @@ def test_outliers_reject_junk_and_keep_clean(spark):
     assert got[got.quality == 0].kept.mean() < 0.05
 
 
+def test_outliers_of_small_groups_far_off(spark):
+    """Every row is judged, also where a group has no document near the centre of all."""
+    rng = np.random.default_rng(4)
+
+    def row(i, lang, length):
+        text = " ".join("".join(rng.choice(list("abcdefghij"), length)) for _ in range(80))
+        return (i, text, lang, "s", len(text), *[None] * 5)
+
+    rows = [row(i, "en", 5) for i in range(200)]
+    for size in range(1, 6):
+        rows += [row(1000 * size + far * 10 + i, f"g{size}-{far}", 5 + far)
+                 for far in (2, 5, 20) for i in range(size)]
+    got = outliers.judge(fx.documents(spark, rows)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    assert all(r.d2 is not None and not r.base_failed for r in got)
+    assert all(r.kept for r in got if r.doc_id < 1000)
+    assert all(r.kept == (r.d2 <= outliers.KEEP) for r in got)
+
+
 def test_outliers_run_no_python(spark):
     plan = queries.op7_mcd_outliers(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
