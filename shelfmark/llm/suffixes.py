@@ -144,10 +144,11 @@ def _suffixes(strings: DataFrame) -> DataFrame:
 
 
 def _prefixes(suffixes: DataFrame) -> DataFrame:
-    """`q, n0, n1, n2, sid, v`: the names of the prefix that covers stretch `v` of a string.
+    """`shape, n0, n1, n2, sid, v`: the names of the prefix that covers stretch `v` of a string.
 
     Symbol triples are named by their rank among all shared triples. A prefix of q symbols is
-    the names at its start and, overlapping if need be, up to its end.
+    the names at its start and, overlapping if need be, up to its end. Neighbouring stretches may
+    have one prefix: the shape tells q and which of the symbols (`back`) is the stretch's own.
     """
     triple = ["k0", "k1", "k2"]
     ranked = materialise(
@@ -177,15 +178,15 @@ def _prefixes(suffixes: DataFrame) -> DataFrame:
             whole = some & (n0 > 0) & ((q <= TRIPLE) | (n1 > 0)) & (~long | (n2 > 0))
             at = np.flatnonzero(whole)
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array(c[at]) for c in (q, n0, n1, n2)],
+                [*[pa.array(c[at]) for c in (q * LONGEST + p["back"], n0, n1, n2)],
                  batch.column("sid").take(pa.array(row[at])), _int32(v[at])],
-                names=["q", "n0", "n1", "n2", "sid", "v"])
+                names=["shape", "n0", "n1", "n2", "sid", "v"])
 
-    made = "q long, n0 long, n1 long, n2 long, sid long, v int"
+    made = "shape long, n0 long, n1 long, n2 long, sid long, v int"
     return materialise(named.mapInArrow(run, made), "prefixes")
 
 
-PREFIX = ["q", "n0", "n1", "n2"]
+PREFIX = ["shape", "n0", "n1", "n2"]
 
 
 def _decided(prefixes: DataFrame) -> DataFrame:

@@ -62,6 +62,21 @@ def test_bytes_at_edges_of_a_shared_passage(spark, edit):
     assert by_text(tuple(r) for r in got) == by_text(brute_bytes(rows))
 
 
+def test_bytes_of_pieces_of_a_text_with_copies(spark):
+    """Pieces that begin and end in any stretch, also one whose neighbour has its prefix."""
+    import random
+    rng = random.Random(8)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghij ") for _ in range(n))
+
+    whole = noise(120_000)[106_000:111_000]  # starts 2980 and 2981 follow the same prefix
+    pieces = "".join(whole[a:a + 415] + noise(30) for a in range(0, len(whole), 16))
+    rows = [(i, t, None, None, 0, *[None] * 5) for i, t in enumerate([whole, whole, pieces])]
+    got = suffixes.remove_repeats(fx.documents(spark, rows)).collect()
+    assert by_text(tuple(r) for r in got) == by_text(brute_bytes(rows))
+
+
 def test_kept_texts_carry_all_columns(spark):
     rows = short(fx.make_rows())
     docs = fx.documents(spark, rows)
