@@ -264,8 +264,11 @@ def text_excerpts(spark, sf_dir) -> ex.TextExcerpt:
     return ex.TextExcerpt(document_content(spark, sf_dir), providers=None)
 
 
-def file_modified() -> ex.FileModified:
-    return ex.FileModified(http_providers=DOCUMENT_PROVIDERS)
+def file_modified(spark: SparkSession, sf_dir: str) -> ex.FileModified:
+    """The extractor for photos and for every source that the documents name."""
+    rows = table(spark, sf_dir, "documents").select("source").distinct().collect()
+    named = {r.source for r in rows if r.source is not None}
+    return ex.FileModified(http_providers=tuple(sorted(named - set(ex.FileModified.iso_providers))))
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +276,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         known = catalog(spark, sf_dir)
         made = []
-        for extractor in (ex.PhotoMetadata(), ex.PhotoGeo(), file_modified(),
+        for extractor in (ex.PhotoMetadata(), ex.PhotoGeo(), file_modified(spark, sf_dir),
                           text_excerpts(spark, sf_dir),
                           ex.MessageHeaders(message_content(spark, sf_dir))):
             inputs = extractor.inputs(known).filter("error_code is null")

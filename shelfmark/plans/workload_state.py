@@ -143,7 +143,7 @@ MODIFIED = """modified AS (
 @register("modified_consensus", f"""WITH {o.CATALOG}, {o.JOINED}, {MODIFIED}
     SELECT id AS resource_id, moment, locator FROM modified""")
 def modified_consensus(spark, sf_dir):
-    extractor = bind.file_modified()
+    extractor = bind.file_modified(spark, sf_dir)
     return extractor.drafts(extractor.inputs(bind.catalog(spark, sf_dir))).select(
         "resource_id", F.col("datetime_value").alias("moment"),
         F.col("source_locator").alias("locator"))

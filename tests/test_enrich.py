@@ -297,3 +297,21 @@ def test_semantic_mapping(spark):
     with pytest.raises(Exception, match="broken mapping"):
         ret.retrieve_semantic(lost, vectors, queries.limit(1), "immich", 5).hits.collect()
     assert fn.REF_PREFIX.endswith(":")
+
+
+def test_modified_consensus_of_any_source(spark, tmp_path):
+    """Documents of a source that the test tables do not name are read like all others."""
+    import os
+
+    from shelfmark.plans import workload_state as ws
+
+    sf = "/root/testdata/sf0.001"
+    for name in os.listdir(sf):
+        if name != "documents.parquet":
+            os.symlink(f"{sf}/{name}", tmp_path / name)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = F.when(F.col("source") == "src0", "odd").otherwise(F.col("source"))
+    docs.withColumn("source", odd).write.parquet(str(tmp_path / "documents.parquet"))
+    want, got = ({r.resource_id for r in ws.modified_consensus(spark, d).collect()}
+                 for d in (sf, str(tmp_path)))
+    assert got == want
