@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import (
-    bpe, mixing, neardup, outliers, rules, sharding, substring, suffixes, tokenfile, vafile,
+    bpe, jaccardtree, mixing, neardup, outliers, periods, rules, sharding, substring, suffixes,
+    tokenfile, turntrie, vafile,
 )
 from shelfmark.session import prepare
 
@@ -114,3 +115,19 @@ def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op10_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir))
+
+
+@register()
+def op11_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prepare(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    return turntrie.prefix_trie(turntrie.rebuilt(turns))
+
+
+@register()
+def op12_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccardtree.jaccard_groups(documents(spark, sf_dir))
+
+
+@register()
+def op13_lcp_kruskal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.find_runs(documents(spark, sf_dir), periodic=True)

@@ -79,7 +79,7 @@ def _samples(docs: DataFrame, text: str) -> DataFrame:
                 sample = least[place]
                 a, b = runs(sample)
                 x, owner = sample[a], row[a]
-                names = Ranges(BYTE_VALUES[0][data], BASES[0]).hash(x, x + NAMED)
+                names = Ranges(BYTE_VALUES[0][data], BASES[0], long=True).hash(x, x + NAMED)
                 number = np.arange(len(a)) - np.searchsorted(owner, owner)
                 base = at[owner]
                 yield pa.RecordBatch.from_arrays([
@@ -271,7 +271,7 @@ def _hashed(bodies: list[bytes]) -> tuple[list[Ranges], np.ndarray]:
     """Range hashes over all bodies end to end, and where each begins."""
     data = np.frombuffer(b"".join(bodies), np.uint8)
     base = np.cumsum([0, *map(len, bodies)])
-    return [Ranges(values[data], b) for values, b in zip(BYTE_VALUES, BASES)], base
+    return [Ranges(values[data], b, long=True) for values, b in zip(BYTE_VALUES, BASES)], base
 
 
 def _stretches(hashes: list[Ranges], base: np.ndarray, rows: int, row, x, s, e, state) -> pa.Array:

@@ -1,7 +1,9 @@
 """Hashes of every word, byte range and word range of many texts at once, in numpy.
 
 A range's hash is a polynomial over random values of its items, taken from one running sum, so
-any range costs two look-ups. Two independent bases give 128 bits.
+any range costs two look-ups. Two independent bases give 128 bits. Modulo 2^64 some long ranges
+of two symbols (Thue-Morse) agree whatever the base: long words are therefore hashed whole, and
+long byte ranges carry a second sum modulo a prime.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 
 from shelfmark.llm.common import release, task_cache
@@ -18,6 +21,9 @@ from shelfmark.llm.common import release, task_cache
 CHUNK = 1 << 20
 U64 = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+PRIME = U64((1 << 31) - 1)
+#: Words of so many bytes are hashed whole.
+LONG_WORD = 32
 IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 TO_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
@@ -48,16 +54,41 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return held["up"], held["down"]
 
 
-class Ranges:
-    """Hashes of ranges [start, end) over a row of 64-bit values."""
+def _prime_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `_powers`, modulo PRIME."""
+    held = task_cache(f"prime-powers:{base}", lambda: {"n": 0})
+    if held["n"] < n:
+        size, p = max(n, CHUNK + 1), int(PRIME)
+        for key, b in (("up", base % p), ("down", pow(base % p, -1, p))):
+            row = np.ones(1, U64)
+            while len(row) < size:
+                row = np.concatenate([row, row * U64(pow(b, len(row), p)) % PRIME])
+            held[key] = row[:size]
+        held["n"] = size
+    return held["up"], held["down"]
+
 
-    def __init__(self, values: np.ndarray, base: int):
-        up, self.down = _powers(base, len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * up[:len(values)], out=self.sums[1:])
+class Ranges:
+    """Hashes of ranges [start, end) over a row of 64-bit values; `long` for ranges of hundreds
+    of values and more."""
+
+    def __init__(self, values: np.ndarray, base: int, long: bool = False):
+        n = len(values)
+        up, self.down = _powers(base, n + 1)
+        self.sums = np.zeros(n + 1, U64)
+        np.cumsum(values * up[:n], out=self.sums[1:])
+        self.prime_sums = None
+        if long:
+            up, self.prime_down = _prime_powers(base, n + 1)
+            self.prime_sums = np.zeros(n + 1, U64)
+            np.cumsum((values >> U64(33)) * up[:n] % PRIME, out=self.prime_sums[1:])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+        found = (self.sums[end] - self.sums[start]) * self.down[start]
+        if self.prime_sums is not None:
+            rest = (self.prime_sums[end] - self.prime_sums[start]) % PRIME
+            found = found ^ mix(rest * self.prime_down[start] % PRIME + U64(1))
+        return mix(found)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +129,12 @@ class Words:
         self.row = np.repeat(np.arange(len(at) - 1), self.count)
 
     def hashes(self, data: np.ndarray, which: int = 0) -> np.ndarray:
-        ranges = Ranges(BYTE_VALUES[which][data], BASES[which])
-        return ranges.hash(self.start, self.end) + (self.end - self.start).astype(U64)
+        size = self.end - self.start
+        found = Ranges(BYTE_VALUES[which][data], BASES[which]).hash(self.start, self.end)
+        found += size.astype(U64)
+        for k in np.flatnonzero(size >= LONG_WORD):
+            found[k] = xxhash.xxh3_64_intdigest(data[self.start[k]:self.end[k]].tobytes(), which)
+        return found
 
 
 def sliding_first_min(values: np.ndarray, width: int) -> np.ndarray:
