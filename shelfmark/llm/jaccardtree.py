@@ -16,10 +16,11 @@ so far plus the shingles left on either side cannot reach the limit for any set
 Subtrees that are known to be in the probing set's component are passed over. Overlaps at the
 leaves are exact.
 
-Every class first meets, in blocks, the class it shares most shards with. Shards that still hold
-several components are then searched whole: their members are dealt to blocks by component, and
-blocks of different components meet in pairs. No link between components is lost, no shard is one
-task, and members of one large component are not compared again.
+Every class first meets the class it shares most shards with, its leader, and all others of that
+leader, in blocks. A shard whose members met in one block, or are one component by then, is done.
+The others are searched whole: their members are dealt to blocks by where they met first, and
+blocks meet in pairs. No link between components is lost, no shard is one task, and classes that
+met before do not meet again in blocks of their own.
 
 Null texts and texts without words have no shingles, link with nothing and are their own
 component. Repeated rows and copies are one class. Null ids are passed over when the smallest id
@@ -265,9 +266,9 @@ def _links(groups: DataFrame, keys: list[str], name: str) -> DataFrame:
     return materialise(dealt.mapInArrow(run, "a long, b long"), name)
 
 
-def _first_meetings(shards: DataFrame) -> DataFrame:
+def _first_meetings(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`leader, block, cid, comp`: each class with the leader it shares most shards with, which
-    joins every block of its group."""
+    joins every block of its group; and `cid, met`, the block where a class met the others."""
     common = shards.filter("cid <> leader").groupBy("cid", "leader").agg(F.count("*").alias("c"))
     chosen = materialise(common.groupBy("cid").agg(
         F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader")), "ngram-leaders")
@@ -277,51 +278,59 @@ def _first_meetings(shards: DataFrame) -> DataFrame:
         "leader", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("block"), "cid")
     own = sizes.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
                        .alias("block"), F.col("leader").alias("cid"))
-    return members.unionByName(own).withColumn("comp", F.col("cid"))
+    place = F.xxhash64("leader", "block")
+    met = members.select("cid", place.alias("met")).unionByName(
+        own.join(chosen.select("cid"), "cid", "left_anti").filter("block = 0").select(
+            "cid", place.alias("met")))
+    return members.unionByName(own).withColumn("comp", F.col("cid")), materialise(met, "ngram-met")
 
 
-def component_blocks(members: DataFrame) -> DataFrame:
-    """`shard, c1, b1, c2, b2, cid, comp`: members of shards (`shard, cid, comp`) dealt to pairs of
-    blocks, so that members of different components meet in one pair.
+def meeting_blocks(members: DataFrame) -> DataFrame:
+    """`shard, c1, b1, c2, b2, cid, comp`: members of shards (`shard, cid, comp, met`) dealt to
+    pairs of blocks, so that members of different `met` meet in one pair.
 
-    A component of a block's size or more has blocks of its own, which never meet each other;
-    smaller ones share blocks (component -1) and stay whole.
+    Those of one `met` that fill a block or more have blocks of their own, which never meet each
+    other; smaller ones share blocks (-1) and stay whole.
     """
-    sizes = members.groupBy("shard", "comp").agg(F.count("*").alias("size"))
+    sizes = members.groupBy("shard", "met").agg(F.count("*").alias("size"))
     small = F.when(F.col("size") < BLOCK, F.col("size")).otherwise(0)
     pools = materialise(sizes.groupBy("shard").agg(F.sum(small).alias("pool")), "ngram-pools")
-    sizes = materialise(sizes.join(pools, "shard"), "ngram-shard-components")
+    sizes = materialise(sizes.join(pools, "shard"), "ngram-shard-meetings")
     large = F.col("size") >= BLOCK
-    home = members.join(sizes, ["shard", "comp"]).select(
-        "shard", "cid", "comp", F.when(large, F.col("comp")).otherwise(-1).alias("c"),
-        F.pmod(F.when(large, F.xxhash64("cid")).otherwise(F.xxhash64("comp")), F.ceil(
+    home = members.join(sizes, ["shard", "met"]).select(
+        "shard", "cid", "comp", F.when(large, F.pmod("met", F.lit(1 << 62))).otherwise(-1)
+        .alias("c"),
+        F.pmod(F.when(large, F.xxhash64("cid")).otherwise(F.xxhash64("met")), F.ceil(
             F.when(large, F.col("size")).otherwise(F.col("pool")) / BLOCK)).cast("int").alias("b"))
     home = materialise(home, "ngram-homes")
     blocks = home.groupBy("shard", "c", "b").agg(F.count("*").alias("rows"))
     blocks = materialise(blocks.drop("rows"), "ngram-blocks")
     one, two = (blocks.select("shard", F.col("c").alias(f"c{k}"), F.col("b").alias(f"b{k}"))
                 for k in (1, 2))
-    met = materialise(one.join(two, "shard").filter(
+    pairs = materialise(one.join(two, "shard").filter(
         "(c1 < c2 OR c1 = c2 AND b1 <= b2) AND (c1 <> c2 OR c1 = -1)"), "ngram-block-pairs")
-    first = met.join(home.withColumnsRenamed({"c": "c1", "b": "b1"}), ["shard", "c1", "b1"])
-    second = met.filter("c1 <> c2 OR b1 <> b2").join(
+    first = pairs.join(home.withColumnsRenamed({"c": "c1", "b": "b1"}), ["shard", "c1", "b1"])
+    second = pairs.filter("c1 <> c2 OR b1 <> b2").join(
         home.withColumnsRenamed({"c": "c2", "b": "b2"}), ["shard", "c2", "b2"])
     return first.unionByName(second)
 
 
-def _mixed_shards(shards: DataFrame, comps: DataFrame) -> DataFrame:
-    """The members of shards that hold several components, in pairs of blocks; shards with the
-    same members count once."""
+def _open_shards(shards: DataFrame, comps: DataFrame, met: DataFrame) -> DataFrame:
+    """The members of shards that hold several components which met in several blocks, in pairs of
+    blocks; shards with the same members count once."""
     members = materialise(shards.select("shard", "cid").join(
-        comps.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "shard", "cid", F.coalesce("component", "cid").alias("comp")), "labelled-shards")
-    mixed = members.groupBy("shard").agg(
+        comps.withColumnRenamed("node", "cid"), "cid", "left").join(met, "cid", "left").select(
+        "shard", "cid", F.coalesce("component", "cid").alias("comp"),
+        # A leader that nobody chose met nobody.
+        F.coalesce("met", F.xxhash64("cid")).alias("met")), "labelled-shards")
+    still = members.groupBy("shard").agg(
         F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"),
+        F.min("met").alias("one"), F.max("met").alias("two"),
         F.bit_xor(F.xxhash64("cid")).alias("g1"),
-        F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("g2")).filter("low <> high")
-    once = materialise(mixed.groupBy("c", "g1", "g2").agg(F.min("shard").alias("shard"))
-                       .select("shard"), "mixed-shards")
-    return component_blocks(members.join(once, "shard"))
+        F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("g2")).filter("low <> high AND one <> two")
+    once = materialise(still.groupBy("c", "g1", "g2").agg(F.min("shard").alias("shard"))
+                       .select("shard"), "open-shards")
+    return meeting_blocks(members.join(once, "shard"))
 
 
 def jaccard_groups(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -336,10 +345,10 @@ def jaccard_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     shards = _shards(sketches, classes)
     sets = _sets(docs, text, classes.select("cid", "rid", "rth").join(
         shards.select("cid").distinct(), "cid"))
-    first = _links(_first_meetings(shards).join(sets, "cid"), ["leader", "block"],
-                   "first-ngram-links")
+    meetings, met = _first_meetings(shards)
+    first = _links(meetings.join(sets, "cid"), ["leader", "block"], "first-ngram-links")
     comps = materialise(components(first, "ngram-first"), "first-ngram-components")
-    rest = _links(_mixed_shards(shards, comps).join(sets, "cid"),
+    rest = _links(_open_shards(shards, comps, met).join(sets, "cid"),
                   ["shard", "c1", "b1", "c2", "b2"], "rest-ngram-links")
     comps = components(first.unionByName(rest), "ngram")
     labelled = classes.select("cid", "f1", "f2", "min_id").join(

@@ -96,11 +96,11 @@ def test_words_that_agree_modulo_powers_of_two(spark):
     check_groups(spark, rows)
 
 
-def test_a_large_component_does_not_meet_itself(spark):
-    members = spark.range(20_000).selectExpr("7L shard", "id cid", "0L comp").union(
-        spark.sql("SELECT 7L, 50000L, 50000L"))
-    dealt = jaccardtree.component_blocks(members)
-    # Each member of the large component goes to its one meeting with the outsider's block.
+def test_classes_that_met_do_not_meet_again(spark):
+    members = spark.range(20_000).selectExpr("7L shard", "id cid", "0L comp", "0L met").union(
+        spark.sql("SELECT 7L, 50000L, 50000L, 1L"))
+    dealt = jaccardtree.meeting_blocks(members)
+    # Each of them goes to its one meeting with the outsider's block.
     assert dealt.filter("comp = 0").count() == 20_000
     pairs = dealt.select("c1", "b1", "c2", "b2").distinct().count()
     assert dealt.filter("comp <> 0").count() == pairs
