@@ -10,11 +10,11 @@ tenth or so of each (a set of n may miss n - ceil(0.9 n) of its own), so classes
 named by such a shingle. Shingles of one class name no shard, so most shards hold true neighbours.
 
 A shard stores its sets in a prefix tree, shingles ordered by the number of its sets that hold
-them, so that sets with a common beginning share its nodes. Every set then descends the tree: a
-node's overlap is counted once for all sets under it, and a subtree is left as soon as the overlap
-so far plus the shingles left on either side cannot reach the limit for any set size under it.
-Subtrees that are known to be in the probing set's component are passed over. Overlaps at the
-leaves are exact.
+them, so that sets with a common beginning share its nodes. The sets then descend the tree: a
+node's overlap is counted once for all sets under it, and a set leaves a subtree as soon as its
+overlap so far plus the shingles left on either side cannot reach the limit for any set size under
+it. Subtrees that are known to be in the probing set's component, or that met it before, are passed
+over. Overlaps at the leaves are exact.
 
 Every class first meets the class it shares most shards with, its leader, and all others of that
 leader, in blocks. A shard whose members met in one block, or are one component by then, is done.
@@ -52,6 +52,8 @@ LEAST = SHARED // (100 - SHARED)
 COUNTED = (1 << 64) // 6
 #: Sets that meet in one block.
 BLOCK = 512
+#: Sets that descend a tree at once.
+PROBES = 128
 _STEP = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
 _FINGER = U64(0x165667B19E3779F9)
 _TOP = 1 << 63
@@ -188,67 +190,73 @@ class Tree:
                          if not (self.whole[k] and x == a)]
 
 
-def reaches(overlap: int, left: int, depth: int, n: int, low: int, high: int) -> bool:
-    """Whether a set of n, with `left` shingles to come and `overlap` found so far, can link with
-    one of low to high shingles of which `depth` are passed."""
-    m = min(max(depth + left, low), high)
-    return (100 + SHARED) * (overlap + min(left, m - depth)) >= SHARED * (n + m)
+def tree_links(cid: list[int], comp: list[int], sets: list[np.ndarray],
+               met: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links between the components of one block, enough to join all that are linked.
 
-
-def tree_links(cid: list[int], comp: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between the components of one block, enough to join all that are linked."""
-    root = {c: c for c in comp}
-    if len(root) < 2:
+    Sets with equal `met` were compared before. All sets descend the tree together: at a node the
+    overlaps of those still active grow by how many of the node's shingles each holds.
+    """
+    if len(set(comp)) < 2:
         return []
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
     every, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(every), np.uint32)
     rank[np.argsort(-count, kind="stable")] = np.arange(len(every), dtype=np.uint32)
+    shared = int((count > 1).sum())  # ranks from here on are held by one set and overlap nothing
     ends = np.cumsum([len(s) for s in sets])
     rows = [np.sort(r) for r in np.split(rank[place], ends[:-1])]
     order = sorted(range(len(rows)), key=lambda k: rows[k].astype(">u4").tobytes())
-    rows, comp, cid = ([x[k] for k in order] for x in (rows, comp, cid))
+    rows = [rows[k] for k in order]
+    cid, label = [cid[k] for k in order], np.array([comp[k] for k in order])
+    before = np.arange(len(rows)) if met is None else np.array([met[k] for k in order])
+    size = np.array([len(r) for r in rows])
     tree = Tree(rows)
-    only = [comp[a] if len(set(comp[a:b])) == 1 else None for a, b in zip(tree.begin, tree.end)]
-    held = np.zeros(len(every), bool)
-    out, apart = [], len(root)
-    for x, mine in enumerate(rows):
-        held[mine] = True
-        todo = [(0, 0)]
+    out: list[tuple[int, int]] = []
+    for first in range(0, len(rows), PROBES):
+        probes = np.arange(first, min(first + PROBES, len(rows)))
+        held = np.zeros((shared + 1, len(probes)), np.uint8)
+        for k, x in enumerate(probes):
+            held[rows[x][rows[x] < shared] + 1, k] = 1
+        passed = np.cumsum(held, axis=0, dtype=np.uint16 if shared < 1 << 16 else np.uint32)
+        todo = [(0, np.arange(len(probes)), np.zeros(len(probes), np.int64))]
         while todo:
-            k, overlap = todo.pop()
-            # Sets up to x have probed already; those of its component need not be found.
-            if tree.end[k] <= x + 1 or only[k] is not None and find(only[k]) == find(comp[x]):
-                continue
+            k, active, overlap = todo.pop()
+            a, b, depth = tree.begin[k], tree.end[k], tree.depth[k]
+            # Sets up to x have met x; neither its component nor what met it needs to be found.
+            x = probes[active]
+            keep = x < b - 1
+            for known in (label, before):
+                if (known[a:b] == known[a]).all():
+                    keep &= known[x] != known[a]
+            if not keep.all():
+                active, overlap, x = active[keep], overlap[keep], x[keep]
             part = tree.part[k]
-            left = len(mine)
-            if tree.depth[k]:
-                overlap += int(np.count_nonzero(held[part]))
-                last = rows[tree.begin[k]][tree.depth[k] - 1]
-                left -= int(np.searchsorted(mine, last, side="right"))
-            if not reaches(overlap, left, tree.depth[k], len(mine), tree.low[k], tree.high[k]):
+            part = part[part < shared]
+            if len(part) and len(active):
+                found = held[part + 1]
+                found = found if len(active) == len(probes) else found[:, active]
+                overlap = overlap + found.sum(axis=0, dtype=np.int64)
+            # The overlap that any set under this node can still reach.
+            last = int(rows[a][depth - 1]) + 1 if depth else 0
+            left = passed[-1, active].astype(np.int64) - passed[min(last, shared), active]
+            m = np.clip(depth + left, tree.low[k], tree.high[k])
+            keep = (100 + SHARED) * (overlap + np.minimum(left, m - depth)) >= SHARED * (
+                size[x] + m)
+            active, overlap, x = active[keep], overlap[keep], x[keep]
+            if not len(active):
                 continue
-            y = tree.begin[k]
-            if tree.whole[k] and y > x and find(comp[x]) != find(comp[y]) and (
-                    (100 + SHARED) * overlap >= SHARED * (len(mine) + len(rows[y]))):
-                root[find(comp[x])] = find(comp[y])
-                out.append((cid[x], cid[y]))
-                apart -= 1
-            todo += [(c, overlap) for c in tree.children[k]]
-        held[mine] = False
-        if apart == 1:
-            break
+            if tree.whole[k]:
+                linked = ((100 + SHARED) * overlap >= SHARED * (size[x] + len(rows[a]))) & (x < a)
+                for y in x[linked]:
+                    if label[y] != label[a]:
+                        out.append((cid[y], cid[a]))
+                        label[label == label[y]] = label[a]
+            todo += [(c, active, overlap) for c in tree.children[k]]
     return out
 
 
 def _links(groups: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Links found in groups of rows `*keys, cid, comp, shingles`."""
+    """Links found in groups of rows `*keys, cid, comp, met, shingles`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release("bpe:")
         for table in whole_groups(batches, keys):
@@ -258,7 +266,8 @@ def _links(groups: DataFrame, keys: list[str], name: str) -> DataFrame:
                 part = table.slice(a, b - a)
                 found += tree_links(
                     part.column("cid").to_pylist(), part.column("comp").to_pylist(),
-                    [np.frombuffer(v.as_buffer(), U64) for v in part.column("shingles")])
+                    [np.frombuffer(v.as_buffer(), U64) for v in part.column("shingles")],
+                    part.column("met").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -267,7 +276,7 @@ def _links(groups: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def _first_meetings(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`leader, block, cid, comp`: each class with the leader it shares most shards with, which
+    """`leader, block, cid, comp, met`: each class with the leader it shares most shards with, which
     joins every block of its group; and `cid, met`, the block where a class met the others."""
     common = shards.filter("cid <> leader").groupBy("cid", "leader").agg(F.count("*").alias("c"))
     chosen = materialise(common.groupBy("cid").agg(
@@ -282,11 +291,12 @@ def _first_meetings(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = members.select("cid", place.alias("met")).unionByName(
         own.join(chosen.select("cid"), "cid", "left_anti").filter("block = 0").select(
             "cid", place.alias("met")))
-    return members.unionByName(own).withColumn("comp", F.col("cid")), materialise(met, "ngram-met")
+    group = members.unionByName(own).withColumns({"comp": F.col("cid"), "met": F.col("cid")})
+    return group, materialise(met, "ngram-met")
 
 
 def meeting_blocks(members: DataFrame) -> DataFrame:
-    """`shard, c1, b1, c2, b2, cid, comp`: members of shards (`shard, cid, comp, met`) dealt to
+    """`shard, c1, b1, c2, b2, cid, comp, met`: members of shards (`shard, cid, comp, met`) dealt to
     pairs of blocks, so that members of different `met` meet in one pair.
 
     Those of one `met` that fill a block or more have blocks of their own, which never meet each
@@ -298,7 +308,7 @@ def meeting_blocks(members: DataFrame) -> DataFrame:
     sizes = materialise(sizes.join(pools, "shard"), "ngram-shard-meetings")
     large = F.col("size") >= BLOCK
     home = members.join(sizes, ["shard", "met"]).select(
-        "shard", "cid", "comp", F.when(large, F.pmod("met", F.lit(1 << 62))).otherwise(-1)
+        "shard", "cid", "comp", "met", F.when(large, F.pmod("met", F.lit(1 << 62))).otherwise(-1)
         .alias("c"),
         F.pmod(F.when(large, F.xxhash64("cid")).otherwise(F.xxhash64("met")), F.ceil(
             F.when(large, F.col("size")).otherwise(F.col("pool")) / BLOCK)).cast("int").alias("b"))
