@@ -3,6 +3,8 @@
 An extractor offers `generator`, `covered` predicates, `inputs(catalog)` and `drafts(inputs)`.
 `inputs` has one row per eligible resource: resource_id, fingerprint, error_code, error_message
 and whatever its drafts need. A null fingerprint means the input itself could not be read.
+Fingerprints come from stored hashes and metadata. An extractor that needs content has `load(work)`
+too: it reads the content of the given inputs only, once they are known to be worked on.
 
 All sources of one resource are folded with aggregates that combine before the shuffle, so a
 resource with very many copies never becomes one array. Content is reduced to the few bytes a
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import functions as fn
+from shelfmark.operators.content import ContentSource, matching, only
 from shelfmark.operators.ordered import running_sum
 from shelfmark.schemas import Catalog, Generator
 
@@ -27,6 +30,8 @@ MAX_STORED_TEXT_BYTES = 16_384
 MAX_OCR_TEXT_BYTES = 8_192
 MAX_MESSAGE_BYTES = 33_554_432
 TRUNCATION_MARKER = "\n[…truncated]"
+TEXT_FAULT = "Text content could not be used"
+MESSAGE_FAULT = "Message content could not be used"
 TEXT_MIME_TYPES = ("text/plain", "text/markdown", "application/markdown")
 TEXT_EXTENSIONS = (".md", ".markdown")
 # Generators of which one resource may have only one current excerpt.
@@ -110,6 +115,22 @@ def same_content(sources: DataFrame, keep: list[str], ambiguous: str) -> DataFra
         "error_message", F.when(F.col("error_code").isNotNull(), "No single valid content"))
 
 
+def load(extractor, work: DataFrame) -> DataFrame:
+    """The given inputs with the content that their drafts need."""
+    read = getattr(extractor, "load", None)
+    return work if read is None else read(work)
+
+
+def usable(extractor, catalog: Catalog) -> DataFrame:
+    """All inputs without an error, loaded: what `drafts` takes outside of an enrichment run."""
+    found = load(extractor, extractor.inputs(catalog).filter("error_code IS NULL"))
+    return found.filter("error_code IS NULL")
+
+
+def _place(work: DataFrame) -> DataFrame:
+    return work.select("provider", F.col("locator").alias("external_id"))
+
+
 def _generator_text(g: Generator) -> Column:
     return F.lit(f"{g.type}/{g.name}/{g.version}")
 
@@ -293,8 +314,8 @@ class PhotoOcr:
 
 
 def read_text(content: DataFrame, marker: str = TRUNCATION_MARKER) -> DataFrame:
-    """Reduce (provider, external_id, content) to (provider, locator, digest, bytes, text_error,
-    excerpt): decoding, control characters, newlines and the stored size, at the scan."""
+    """Reduce (provider, external_id, content) to (provider, external_id, digest, bytes,
+    text_error, excerpt): decoding, control characters, newlines, stored size, at the scan."""
     raw = F.col("content")
     bom = F.substring(raw, 1, 3) == F.unhex(F.lit("EFBBBF"))
     plain = F.when(bom, F.substr(raw, F.lit(4))).otherwise(raw)
@@ -307,7 +328,7 @@ def read_text(content: DataFrame, marker: str = TRUNCATION_MARKER) -> DataFrame:
     )
     excerpt = fn.truncate_utf8(fn.newlines(text), MAX_STORED_TEXT_BYTES, marker)
     return content.select(
-        "provider", F.col("external_id").alias("locator"), F.sha2(raw, 256).alias("digest"),
+        "provider", "external_id", F.sha2(raw, 256).alias("digest"),
         F.octet_length(raw).alias("bytes"), error.alias("text_error"),
         F.when(error.isNull(), excerpt).alias("excerpt"))
 
@@ -319,7 +340,7 @@ def is_text_source() -> Column:
 
 @dataclass
 class TextExcerpt:
-    content: DataFrame = field(repr=False)
+    content: DataFrame | ContentSource = field(repr=False)
     providers: tuple[str, ...] | None = ("nextcloud",)
     marker: str = TRUNCATION_MARKER
     generator: Generator = Generator("deterministic_extractor", "nextcloud_text", "1")
@@ -330,24 +351,32 @@ class TextExcerpt:
         sources = discover(catalog, self.providers).filter(is_text_source())
         rows = same_content(sources, ["provider", "locator", "size", "mime_type"],
                             "ambiguous_active_nextcloud_content")
-        rows = rows.withColumn("fingerprint", F.when(F.col("error_code").isNull(), fn.fingerprint(
-            format=F.lit("text.input.v1"), blob_sha256=F.lower("hash"),
-            mime_type=fn.mime_base("mime_type"), extractor_version=F.lit("1"))))
-        rows = rows.join(read_text(self.content, self.marker), ["provider", "locator"], "left")
         size = F.col("size")
-        code = (
-            F.when(F.col("error_code").isNotNull(), F.col("error_code"))
-            .when(size < 0, "invalid_source_size")
-            .when(size > MAX_TEXT_SOURCE_BYTES, "source_too_large")
-            .when(F.col("digest").isNull(), "provider_read_failed")
+        wrong = (F.when(size < 0, "invalid_source_size")
+                 .when(size > MAX_TEXT_SOURCE_BYTES, "source_too_large"))
+        return rows.select(
+            "resource_id", "provider", "locator", "hash",
+            F.when(F.col("error_code").isNull(), fn.fingerprint(
+                format=F.lit("text.input.v1"), blob_sha256=F.lower("hash"),
+                mime_type=fn.mime_base("mime_type"), extractor_version=F.lit("1")))
+            .alias("fingerprint"),
+            F.coalesce("error_code", wrong).alias("error_code"),
+            F.coalesce("error_message", F.when(wrong.isNotNull(), TEXT_FAULT))
+            .alias("error_message"))
+
+    def load(self, work: DataFrame) -> DataFrame:
+        texts = only(self.content, _place(work), lambda c: read_text(c, self.marker))
+        rows = work.join(texts.withColumnRenamed("external_id", "locator"),
+                         ["provider", "locator"], "left")
+        code = F.coalesce("error_code", (
+            F.when(F.col("digest").isNull(), "provider_read_failed")
             .when(F.col("bytes") > MAX_TEXT_SOURCE_BYTES, "source_too_large")
             .when(F.col("digest") != F.lower("hash"), "content_changed_since_sync")
-            .otherwise(F.col("text_error"))
-        )
-        return rows.select("resource_id", "fingerprint", code.alias("error_code"),
-                           F.when(code.isNotNull(), "Text content could not be used")
-                           .alias("error_message"),
-                           F.when(code.isNull(), F.col("excerpt")).alias("excerpt"))
+            .otherwise(F.col("text_error"))))
+        return rows.select(
+            "resource_id", "fingerprint", code.alias("error_code"),
+            F.coalesce("error_message", F.when(code.isNotNull(), TEXT_FAULT))
+            .alias("error_message"), F.when(code.isNull(), F.col("excerpt")).alias("excerpt"))
 
     def drafts(self, inputs: DataFrame) -> DataFrame:
         return unpivot(inputs, draft(
@@ -395,17 +424,22 @@ class DocumentExcerpt:
             fn.mime_base("mime_type").isin(*self.mime_types) | ext.isin(*self.extensions))
         rows = same_content(sources, ["provider", "locator", "mime_type"],
                             "ambiguous_active_nextcloud_content")
-        texts = join_units(self.units, ["provider", "external_id"], self.separator)
-        texts = texts.select("provider", F.col("external_id").alias("locator"), F.when(
-            fn.strip("text") != "", fn.truncate_utf8(
-                F.col("text"), MAX_STORED_TEXT_BYTES, self.marker)).alias("excerpt"))
-        return rows.join(texts, ["provider", "locator"], "left").select(
-            "resource_id", "error_code", "error_message", "excerpt",
+        return rows.select(
+            "resource_id", "error_code", "error_message", "provider", "locator",
             F.when(F.col("error_code").isNull(), fn.fingerprint(
                 format=F.lit("document.input.v1"), blob_sha256=F.lower("hash"),
                 mime_type=fn.mime_base("mime_type"),
                 generator=_generator_text(self.generator))).alias("fingerprint"))
 
+    def load(self, work: DataFrame) -> DataFrame:
+        units = matching(self.units, _place(work))
+        texts = join_units(units, ["provider", "external_id"], self.separator)
+        texts = texts.select("provider", F.col("external_id").alias("locator"), F.when(
+            fn.strip("text") != "", fn.truncate_utf8(
+                F.col("text"), MAX_STORED_TEXT_BYTES, self.marker)).alias("excerpt"))
+        return work.join(texts, ["provider", "locator"], "left").select(
+            "resource_id", "fingerprint", "error_code", "error_message", "excerpt")
+
     def drafts(self, inputs: DataFrame) -> DataFrame:
         return unpivot(inputs, draft("document.text_excerpt", "string", F.col("excerpt"),
                                      "resource_content", "nextcloud.webdav.content"))
@@ -437,15 +471,15 @@ def read_headers(content: DataFrame) -> DataFrame:
     """Reduce raw messages to their digest and header values where they are read."""
     block = header_block(F.col("content").cast("string"))
     return content.select(
-        "provider", F.col("external_id").alias("locator"), F.sha2("content", 256).alias("digest"),
+        "provider", "external_id", F.sha2("content", 256).alias("digest"),
         F.octet_length("content").alias("bytes"), block.alias("block")).select(
-        "provider", "locator", "digest", "bytes",
+        "provider", "external_id", "digest", "bytes",
         *[header_values(F.col("block"), name).alias(name) for _, name, _ in MESSAGE_HEADERS])
 
 
 @dataclass
 class MessageHeaders:
-    content: DataFrame = field(repr=False)
+    content: DataFrame | ContentSource = field(repr=False)
     provider: str = "gmail"
     generator: Generator = Generator("deterministic_extractor", "gmail_metadata", "1")
     covered: tuple[str, ...] = ("gmail.subject", "gmail.from", "gmail.to", "gmail.internal_date")
@@ -457,19 +491,27 @@ class MessageHeaders:
             ["provider", "locator", "metadata", "hash"], "ambiguous_active_gmail_sources")
         code = F.coalesce("error_code", F.when(~fn.is_sha256("hash"), "invalid_blob_digest"))
         date = fn.json_string("metadata", "$.internalDate")
-        rows = rows.withColumn("error_code", code).withColumn("fingerprint", F.when(
-            F.col("error_code").isNull(), fn.fingerprint(
+        return rows.select(
+            "resource_id", "provider", "locator", "hash", code.alias("error_code"),
+            F.coalesce("error_message", F.when(code.isNotNull(), MESSAGE_FAULT))
+            .alias("error_message"),
+            F.when(code.isNull(), fn.fingerprint(
                 format=F.lit("message.input.v1"), blob_sha256=F.lower("hash"),
-                internalDate=date, extractor_version=F.lit("1"))))
-        rows = rows.join(read_headers(self.content), ["provider", "locator"], "left")
+                internalDate=date, extractor_version=F.lit("1"))).alias("fingerprint"),
+            fn.epoch_millis(date).alias("received"))
+
+    def load(self, work: DataFrame) -> DataFrame:
+        found = only(self.content, _place(work), read_headers)
+        rows = work.join(found.withColumnRenamed("external_id", "locator"),
+                         ["provider", "locator"], "left")
         code = F.coalesce(
             "error_code", F.when(F.col("digest").isNull(), "provider_read_failed")
             .when(F.col("bytes") > MAX_MESSAGE_BYTES, "source_too_large")
             .when(F.col("digest") != F.lower("hash"), "content_changed_since_sync"))
         return rows.select(
             "resource_id", "fingerprint", code.alias("error_code"),
-            F.when(code.isNotNull(), "Message content could not be used").alias("error_message"),
-            *[name for _, name, _ in MESSAGE_HEADERS], fn.epoch_millis(date).alias("received"))
+            F.coalesce("error_message", F.when(code.isNotNull(), MESSAGE_FAULT))
+            .alias("error_message"), *[name for _, name, _ in MESSAGE_HEADERS], "received")
 
     def drafts(self, inputs: DataFrame) -> DataFrame:
         made = [draft(predicate, "string", F.col(name), "resource_content", locator)
@@ -477,3 +519,44 @@ class MessageHeaders:
         made.append(draft("gmail.internal_date", "datetime", F.col("received"),
                           "provider_metadata", "asset_source.metadata.internalDate"))
         return unpivot(inputs, *made)
+
+
+#: What a table function of an extractor yields: one draft a row.
+UDTF_DRAFT = ("predicate STRING, value_type STRING, string_value STRING, integer_value BIGINT, "
+              "float_value DOUBLE, boolean_value BOOLEAN, source_locator STRING, "
+              "confidence DOUBLE")
+
+
+@dataclass
+class TableFunctionExtractor:
+    """An extractor whose drafts come from a Python table function over a resource's text.
+
+    `function` is a registered or plain UDTF that takes (text) and yields UDTF_DRAFT rows. Texts are
+    read, gated, claimed and checked as those of `texts`, an extractor with `inputs` and `load`
+    that gives the column `excerpt`; the function sees one text at a time, batched by Arrow.
+    """
+
+    function: object = field(repr=False)
+    texts: object = field(repr=False)
+    generator: Generator
+    covered: tuple[str, ...]
+    family: tuple[str, ...] = ()
+
+    def inputs(self, catalog: Catalog) -> DataFrame:
+        own = F.sha2(F.concat(F.col("fingerprint"), F.lit("|"), _generator_text(self.generator)),
+                     256)
+        return self.texts.inputs(catalog).withColumn("fingerprint", own)
+
+    def load(self, work: DataFrame) -> DataFrame:
+        return load(self.texts, work)
+
+    def drafts(self, inputs: DataFrame) -> DataFrame:
+        rows = inputs.filter(F.col("excerpt").isNotNull()).select("resource_id", "excerpt")
+        made = rows.lateralJoin(self.function(F.col("excerpt").outer()))
+        given = [part.split()[0] for part in UDTF_DRAFT.split(", ")]
+        columns = {c: F.col(c) if c in given else F.lit(None).cast(_CAST[c]) for c in DRAFT_VALUES}
+        return made.select(
+            "resource_id", "predicate", "value_type",
+            *[column.alias(name) for name, column in columns.items()],
+            F.lit("resource_content").alias("source_kind"), "source_locator", "confidence").filter(
+            F.coalesce(*[F.col(c).cast("string") for c in DRAFT_VALUES]).isNotNull())

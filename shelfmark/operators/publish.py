@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 from typing import NamedTuple
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import functions as fn
-from shelfmark.operators.extract import DRAFT_VALUES
+from shelfmark.operators.extract import DRAFT_VALUES, load
 from shelfmark.operators.query import InvalidQuery, check_limit
 from shelfmark.schemas import (
     ENRICHMENT_STATES, PREDICATES, STATEMENTS, Catalog, Generator,
@@ -136,20 +137,46 @@ class Published(NamedTuple):
     retired: DataFrame
     created: DataFrame
 
+    def changes(self) -> DataFrame:
+        """The rows that differ from before, by id: ended and new ones."""
+        return self.retired.withColumn("is_current", F.lit(False)).unionByName(self.created)
+
 
 def publish(statements: DataFrame, drafts: DataFrame, batch: DataFrame, generator: Generator,
             covered: tuple[str, ...], now: datetime) -> Published:
-    """Replace the covered statements of every changed subject; equal sets write nothing."""
-    changed = changed_subjects(statements, drafts, batch, generator, covered)
-    flags = changed.select(F.col("resource_id").alias("subject_asset_id"),
-                           F.lit(True).alias("_changed"))
-    hit = (F.coalesce("_changed", F.lit(False)) & F.col("is_current") & of_generator(generator)
-           & F.col("predicate").isin(*covered))
-    joined = statements.join(flags, "subject_asset_id", "left").withColumn("_hit", hit)
-    kept = joined.withColumn("is_current", F.col("is_current") & ~F.col("_hit"))
-    created = new_statements(drafts.join(changed, "resource_id", "left_semi"), generator, now)
-    return Published(kept.select(*STATEMENTS.fieldNames()).unionByName(created),
-                     joined.filter("_hit").select(*STATEMENTS.fieldNames()), created)
+    """Replace the covered statements of every changed subject; equal sets write nothing.
+
+    What changes is written once; the history beside it is passed on as it is.
+    """
+    changed = materialise(changed_subjects(statements, drafts, batch, generator, covered),
+                          "changed-subjects")
+    mine = (F.col("is_current") & of_generator(generator) & F.col("predicate").isin(*covered))
+    retired = materialise(statements.filter(mine).join(
+        changed.withColumnRenamed("resource_id", "subject_asset_id"), "subject_asset_id",
+        "left_semi").select(*STATEMENTS.fieldNames()), "retired-statements")
+    created = materialise(new_statements(drafts.join(changed, "resource_id", "left_semi"),
+                                         generator, now), "new-statements")
+    ended = retired.select("id", F.lit(True).alias("_ended"))
+    kept = statements.join(ended, "id", "left").withColumn(
+        "is_current", F.col("is_current") & F.col("_ended").isNull())
+    return Published(kept.select(*STATEMENTS.fieldNames()).unionByName(created), retired, created)
+
+
+IDENTITY = ["subject_asset_id", "extractor_type", "extractor_name", "extractor_version"]
+
+
+def claims(inputs: DataFrame, generator: Generator, now: datetime) -> DataFrame:
+    """State rows that say who is being worked on since when (ENRICHMENT_STATES)."""
+    at, none = F.lit(now).cast("timestamp"), F.lit(None)
+    return inputs.select(
+        F.col("resource_id").alias("subject_asset_id"),
+        F.lit(generator.type).alias("extractor_type"),
+        F.lit(generator.name).alias("extractor_name"),
+        F.lit(generator.version).alias("extractor_version"),
+        F.col("fingerprint").alias("input_fingerprint"), F.lit("running").alias("status"),
+        at.alias("started_at"), none.cast("timestamp").alias("completed_at"),
+        at.alias("updated_at"), none.cast("string").alias("error_code"),
+        none.cast("string").alias("error_message"))
 
 
 class Enriched(NamedTuple):
@@ -157,13 +184,19 @@ class Enriched(NamedTuple):
     states: DataFrame
     outcomes: DataFrame
     totals: DataFrame
+    published: Published
+    finished: DataFrame
 
 
 def run_enrichment(extractor, catalog: Catalog, statements: DataFrame, states: DataFrame,
                    now: datetime, limit: int | None = None,
-                   stale_after: timedelta = STALE_AFTER, registry: DataFrame | None = None
-                   ) -> Enriched:
-    """Discover, gate, extract, validate and publish for one extractor.
+                   stale_after: timedelta = STALE_AFTER, registry: DataFrame | None = None,
+                   claim: Callable[[DataFrame], DataFrame] | None = None) -> Enriched:
+    """Discover, gate, claim, read, extract, validate and publish for one extractor.
+
+    The gate needs stored hashes and metadata only. What it lets through is claimed: `claim` gets
+    the state rows, stores them for other workers to see, and returns those it got. Content is
+    read for these alone, so a rerun over unchanged inputs reads none.
 
     One failing resource never stops the others: its error lands in its state row. An optional
     `limit` bounds the resources worked on, in id order, after the gate.
@@ -178,14 +211,28 @@ def run_enrichment(extractor, catalog: Catalog, statements: DataFrame, states: D
                                   .orderBy("resource_id").limit(limit))
     # Written once: extraction must not be repeated for statements, states and totals.
     inputs = materialise(inputs, "enrichment-inputs")
+    if claim is not None:
+        got = claim(claims(inputs.filter(F.col("gate") == "run"), generator, now))
+        got = got.select(F.col("subject_asset_id").alias("resource_id"), F.lit(True).alias("_got"))
+        inputs = materialise(
+            inputs.join(got, "resource_id", "left").withColumn("gate", F.when(
+                (F.col("gate") == "run") & F.col("_got").isNull(), "skip").otherwise(F.col("gate")))
+            .drop("_got"), "claimed-inputs")
     work = inputs.filter((F.col("gate") == "run") & F.col("error_code").isNull())
-    drafts = materialise(extractor.drafts(work), "enrichment-drafts")
+    work = materialise(load(extractor, work.drop("gate")), "enrichment-work")
+    readable = work.filter(F.col("error_code").isNull())
+    drafts = materialise(extractor.drafts(readable), "enrichment-drafts")
     bad = draft_violations(drafts, covered, registry).groupBy("resource_id").agg(
         F.min("violation").alias("violation"))
-    outcomes = inputs.select("resource_id", "fingerprint", "gate", "error_code",
-                             "error_message").join(bad, "resource_id", "left")
+    faults = work.filter(F.col("error_code").isNotNull()).select(
+        "resource_id", F.col("error_code").alias("_code"), F.col("error_message").alias("_message"))
+    outcomes = inputs.join(faults, "resource_id", "left").select(
+        "resource_id", "fingerprint", "gate",
+        F.coalesce("error_code", "_code").alias("error_code"),
+        F.coalesce("error_message", "_message").alias("error_message")).join(
+        bad, "resource_id", "left")
     if extractor.family:
-        rivals = family_conflicts(statements, work, generator, covered, extractor.family)
+        rivals = family_conflicts(statements, readable, generator, covered, extractor.family)
         outcomes = outcomes.join(rivals.withColumn("_rival", F.lit(True)), "resource_id", "left")
     else:
         outcomes = outcomes.withColumn("_rival", F.lit(None).cast("boolean"))
@@ -209,7 +256,7 @@ def run_enrichment(extractor, catalog: Catalog, statements: DataFrame, states: D
                         generator, covered, now)
     at = F.lit(now).cast("timestamp")
     done = F.col("outcome") == "processed"
-    fresh = outcomes.filter("recorded").select(
+    finished = outcomes.filter("recorded").select(
         F.col("resource_id").alias("subject_asset_id"),
         F.lit(generator.type).alias("extractor_type"),
         F.lit(generator.name).alias("extractor_name"),
@@ -219,16 +266,15 @@ def run_enrichment(extractor, catalog: Catalog, statements: DataFrame, states: D
         F.when(done, at).alias("completed_at"), at.alias("updated_at"),
         F.when(~done, F.col("error_code")).alias("error_code"),
         F.when(~done, F.col("error_message")).alias("error_message"))
-    identity = ["subject_asset_id", "extractor_type", "extractor_name", "extractor_version"]
-    next_states = states.join(fresh.select(*identity), identity, "left_anti").select(
-        *ENRICHMENT_STATES.fieldNames()).unionByName(fresh)
+    next_states = states.join(finished.select(*IDENTITY), IDENTITY, "left_anti").select(
+        *ENRICHMENT_STATES.fieldNames()).unionByName(finished)
     totals = outcomes.agg(
         F.count(F.lit(1)).alias("discovered"), F.count_if(done).alias("processed"),
         F.count_if(F.col("outcome") == "skipped").alias("skipped"),
         F.count_if(F.col("outcome") == "failed").alias("failed")).select(
         "*", published.created.agg(F.count(F.lit(1)).alias("n")).scalar().alias("writes"),
         published.retired.agg(F.count(F.lit(1)).alias("n")).scalar().alias("deactivated"))
-    return Enriched(published.statements, next_states, outcomes, totals)
+    return Enriched(published.statements, next_states, outcomes, totals, published, finished)
 
 
 # --- lookups --------------------------------------------------------------------------------

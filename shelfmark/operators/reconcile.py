@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark import functions as fn
+from shelfmark.operators.content import KEY, ContentSource, only
 from shelfmark.operators.ordered import (
     first_per_key, previous_row, running_max,
 )
@@ -27,8 +28,6 @@ from shelfmark.schemas import (
 )
 from shelfmark.session import materialise
 
-KEY = ["provider", "external_id"]
-
 # Reasons that carry zero confidence and change nothing.
 REJECTED = (
     "invalid_fact_missing_provider",
@@ -52,10 +51,19 @@ ACTIONS = {
 }
 
 
+class Changes(NamedTuple):
+    """Rows that a run adds or replaces, by id; everything else stays as it is."""
+
+    resources: DataFrame
+    blobs: DataFrame
+    sources: DataFrame
+
+
 class Reconciled(NamedTuple):
     decisions: DataFrame
     missing: DataFrame
     catalog: Catalog
+    changes: Changes
 
 
 def validity(provider: Column, external_id: Column, kind: Column) -> Column:
@@ -99,24 +107,27 @@ def _prior_state(catalog: Catalog, listed: DataFrame) -> DataFrame:
     )
 
 
-def _with_hash(rows: DataFrame, hashes: DataFrame | None) -> DataFrame:
-    """Fill in the content hash where a new source or a changed version needs one."""
+def _with_hash(rows: DataFrame, content: DataFrame | ContentSource | None) -> DataFrame:
+    """Fill in the content hash where a new source or a changed version needs one.
+
+    The rows that need one are known before any content is read, and only theirs is.
+    """
     given = F.nullif(F.col("content_hash"), F.lit(""))
     changed = ~F.col("p_version").eqNullSafe(F.nullif(F.col("version_tag"), F.lit("")))
     needs = given.isNull() & (F.col("p_source_id").isNull() | changed)
-    rows = rows.withColumn("needs_hash", needs)
-    if hashes is None:
+    rows = materialise(rows.withColumn("needs_hash", needs), "staged-facts")
+    if content is None:
         return rows.withColumn("hash", given)
+    hashes = only(content, rows.filter("needs_hash").select(*KEY), content_hashes)
     found = F.when(F.col("needs_hash"), F.col("computed_hash"))
-    return (
+    return materialise(
         rows.join(hashes, KEY, "left")
         .withColumn("hash", F.coalesce(given, found))
         # A message has no version of its own: its content is its version.
         .withColumn("version_tag", F.when(
             (F.col("kind") == "message") & found.isNotNull(), found)
             .otherwise(F.col("version_tag")))
-        .drop("computed_hash")
-    )
+        .drop("computed_hash"), "hashed-facts")
 
 
 def _json_value(name: str) -> Column:
@@ -124,6 +135,12 @@ def _json_value(name: str) -> Column:
     return F.coalesce(fn.canonical_json(name), F.col(name))
 
 
+def _same_json(one: str, other: str) -> Column:
+    """Equal as text, or else by value: most metadata is compared without being parsed."""
+    return (F.col(one).eqNullSafe(F.col(other))
+            | _json_value(one).eqNullSafe(_json_value(other)))
+
+
 def _match_known(rows: DataFrame, blobs: DataFrame) -> DataFrame:
     """Decide facts whose source exists; `blobs` are the contents known before these facts."""
     same_version = F.col("p_version").eqNullSafe(F.nullif(F.col("version_tag"), F.lit("")))
@@ -131,7 +148,7 @@ def _match_known(rows: DataFrame, blobs: DataFrame) -> DataFrame:
         F.col("p_path").eqNullSafe(F.col("path"))
         & F.col("p_name").eqNullSafe(F.col("name"))
         & F.col("p_version").eqNullSafe(F.col("version_tag"))
-        & _json_value("p_metadata").eqNullSafe(_json_value("raw"))
+        & _same_json("p_metadata", "raw")
     )
     first = (
         F.when(F.col("p_blob_id").isNull(), "existing_source_has_no_blob")
@@ -253,9 +270,10 @@ def _finish(rows: DataFrame) -> DataFrame:
     )
 
 
-def decide(facts: DataFrame, catalog: Catalog, content: DataFrame | None = None) -> DataFrame:
+def decide(facts: DataFrame, catalog: Catalog,
+           content: DataFrame | ContentSource | None = None) -> DataFrame:
     """One decision per fact. `facts` has the FACTS columns, `ordinal` unique in the scan;
-    `content` has (provider, external_id, content BINARY)."""
+    `content` has (provider, external_id, content BINARY) or reads such rows by key."""
     facts = facts.select(*FACTS.fieldNames()).withColumn(
         "reason", validity(F.col("provider"), F.col("external_id"), F.col("kind")))
     nothing = [F.lit(None).cast("string").alias(c) for c in ("source_id", "blob_id",
@@ -272,11 +290,8 @@ def decide(facts: DataFrame, catalog: Catalog, content: DataFrame | None = None)
         F.min_by(F.struct(*rest), "ordinal").alias("f"), F.count(F.lit(1)).alias("listed"))
     first = firsts.select(*KEY, *[F.col("f")[c].alias(c) for c in rest], "listed")
 
-    # Written once: the branches below re-read digests instead of digesting content again.
-    hashes = content_hashes(content) if content is not None else None
     prior = _prior_state(catalog, usable)
-    rows = materialise(_with_hash(first.join(prior, KEY, "left"), hashes),
-                       "staged-facts")
+    rows = _with_hash(first.join(prior, KEY, "left"), content)
     source_id = fn.uuid_text(F.lit("source"), *KEY)
     known = _match_known(rows.filter(F.col("p_source_id").isNotNull()), catalog.blobs)
     new = rows.filter(F.col("p_source_id").isNull()).withColumn("source_id", source_id)
@@ -292,14 +307,24 @@ def decide(facts: DataFrame, catalog: Catalog, content: DataFrame | None = None)
     decided = settled.unionByName(files.select(*common))
     if rows.filter(F.col("listed") > 1).select("ordinal").first() is not None:
         decided = materialise(decided, "decided-facts")
-        repeats = _match_repeats(usable, decided, catalog.blobs, hashes)
+        repeats = _match_repeats(usable, decided, catalog.blobs, content)
         decided = decided.unionByName(repeats.select(*common))
     return _finish(idle.withColumn("listed", F.lit(1).cast("bigint")).select(*common)
                    .unionByName(decided))
 
 
+def content_needed(facts: DataFrame, catalog: Catalog) -> DataFrame:
+    """(provider, external_id) of the listed things whose content a run has to read."""
+    facts = facts.filter(validity(F.col("provider"), F.col("external_id"), F.col("kind")).isNull()
+                         & (F.col("kind") != "folder"))
+    rows = facts.join(_prior_state(catalog, facts), KEY, "left")
+    changed = ~F.col("p_version").eqNullSafe(F.nullif(F.col("version_tag"), F.lit("")))
+    return rows.filter(F.nullif(F.col("content_hash"), F.lit("")).isNull()
+                       & (F.col("p_source_id").isNull() | changed)).select(*KEY).distinct()
+
+
 def _match_repeats(usable: DataFrame, decided: DataFrame, blobs: DataFrame,
-                   hashes: DataFrame | None) -> DataFrame:
+                   content: DataFrame | ContentSource | None) -> DataFrame:
     """Decide facts that list a source again in one scan: each sees what the one before left."""
     state = ["path", "name", "version_tag", "raw"]
     leads = decided.filter(F.col("listed") > 1).select(
@@ -315,7 +340,7 @@ def _match_repeats(usable: DataFrame, decided: DataFrame, blobs: DataFrame,
         F.col("previous.name").alias("p_name"), F.col("previous.raw").alias("p_metadata"),
         F.when(F.col("kind") == "message", F.col("lead_version"))
         .otherwise(F.col("previous.version_tag")).alias("p_version"), "lead_reason")
-    again = _with_hash(again, hashes)
+    again = _with_hash(again, content)
     contents = blobs.select("id", "asset_id", "hash").unionByName(
         decided.filter(F.col("reason").isin(
             "new_message_source", "new_source_new_blob", "new_blob_for_existing_asset"))
@@ -344,8 +369,8 @@ def missing_sources(facts: DataFrame, catalog: Catalog) -> DataFrame:
     )
 
 
-def apply(decisions: DataFrame, missing: DataFrame, catalog: Catalog, now: datetime) -> Catalog:
-    """The catalog after the decisions; nothing is written here."""
+def changes(decisions: DataFrame, missing: DataFrame, catalog: Catalog, now: datetime) -> Changes:
+    """What the decisions add to the catalog and which sources they replace."""
     at = F.coalesce("observed_at", F.lit(now).cast("timestamp"))
     does = F.col("action")
     resources = decisions.filter(does.contains("create_resource")).select(
@@ -373,12 +398,12 @@ def apply(decisions: DataFrame, missing: DataFrame, catalog: Catalog, now: datet
                         .alias(c) if c in (*state, "metadata") else F.col(f"c.{c}").alias(c)
                         for c in SOURCES.fieldNames() if c != "id"])
     )
-    changes = updates.select("id", F.struct(*state, "metadata").alias("u"),
+    touched = updates.select("id", F.struct(*state, "metadata").alias("u"),
                              F.lit(False).alias("gone")).unionByName(
         missing.select("id", F.lit(True).alias("gone")), allowMissingColumns=True)
     gone = F.coalesce("gone", F.lit(False))
-    kept = (
-        catalog.sources.alias("s").join(changes, "id", "left")
+    replaced = (
+        catalog.sources.alias("s").join(touched, "id")
         .select("id", *[
             F.when(F.col("u").isNotNull(), F.col(f"u.{c}")).otherwise(F.col(f"s.{c}")).alias(c)
             if c in (*state, "metadata")
@@ -389,11 +414,17 @@ def apply(decisions: DataFrame, missing: DataFrame, catalog: Catalog, now: datet
             else F.col(f"s.{c}").alias(c)
             for c in SOURCES.fieldNames() if c != "id"])
     )
+    sources = replaced.unionByName(created.select(*SOURCES.fieldNames()))
+    return Changes(resources.select(*RESOURCES.fieldNames()), blobs.select(*BLOBS.fieldNames()),
+                   materialise(sources, "changed-sources"))
+
+
+def apply(made: Changes, catalog: Catalog) -> Catalog:
+    """The catalog after the changes; `sources.tables` stores the changes alone."""
     return Catalog(
-        catalog.resources.unionByName(resources.select(*RESOURCES.fieldNames())),
-        catalog.blobs.unionByName(blobs.select(*BLOBS.fieldNames())),
-        kept.unionByName(created.select(*SOURCES.fieldNames())),
-    )
+        catalog.resources.unionByName(made.resources), catalog.blobs.unionByName(made.blobs),
+        catalog.sources.join(made.sources.select("id"), "id", "left_anti").select(
+            *SOURCES.fieldNames()).unionByName(made.sources))
 
 
 def metrics(decisions: DataFrame, missing: DataFrame) -> DataFrame:
@@ -409,21 +440,24 @@ def metrics(decisions: DataFrame, missing: DataFrame) -> DataFrame:
 
 
 def reconcile(facts: DataFrame, catalog: Catalog, now: datetime,
-              content: DataFrame | None = None, complete: bool = True) -> Reconciled:
-    """Decide every fact, find missing sources of a completed scan, and derive the next catalog.
+              content: DataFrame | ContentSource | None = None, *, complete: bool,
+              seen: DataFrame | None = None) -> Reconciled:
+    """Decide every fact, find missing sources of a `complete` scan, and derive what changes.
 
-    The decisions are written to the shared folder first, so the three next tables are derived
-    from one set of them.
+    `seen` (provider, external_id) holds all keys of an inventory of which `facts` are the last
+    part. The decisions are written to the shared folder first, so all changes come from one set.
     """
     decisions = materialise(decide(facts, catalog, content), "decisions")
-    missing = missing_sources(facts, catalog)
+    missing = missing_sources(facts if seen is None else seen, catalog)
     if not complete:
         missing = missing.limit(0)
-    return Reconciled(decisions, missing, apply(decisions, missing, catalog, now))
+    made = changes(decisions, missing, catalog, now)
+    return Reconciled(decisions, missing, apply(made, catalog), made)
 
 
 def sync_provider(facts: DataFrame, catalog: Catalog, now: datetime,
-                  content: DataFrame | None = None, complete: bool = False) -> Reconciled:
+                  content: DataFrame | ContentSource | None = None, complete: bool = False,
+                  seen: DataFrame | None = None) -> Reconciled:
     """`reconcile` for one provider's run; refuses a mixed scan or an unusable source chain.
 
     Nothing is deactivated unless the caller says that the scan is complete; the sync calls of
@@ -432,7 +466,7 @@ def sync_provider(facts: DataFrame, catalog: Catalog, now: datetime,
     providers = facts.select(F.count_distinct("provider")).first()[0]
     if providers > 1:
         raise ValueError("a single sync run cannot contain multiple providers")
-    result = reconcile(facts, catalog, now, content, complete)
+    result = reconcile(facts, catalog, now, content, complete=complete, seen=seen)
     fatal = result.decisions.filter(F.col("reason").isin(
         "content_hash_required", "existing_source_has_no_blob", "existing_source_blob_not_found",
         "existing_blob_has_no_asset", "existing_source_resource_type_mismatch"))

@@ -229,7 +229,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """The catalog after the first scan."""
     def build():
         facts, content = split_scan(first_scan(spark, sf_dir))
-        return rec.reconcile(facts, Catalog.empty(spark), FIRST_RUN, content).catalog
+        return rec.reconcile(facts, Catalog.empty(spark), FIRST_RUN, content,
+                             complete=True).catalog
 
     return Catalog(*stored(spark, "catalog", sf_dir, ["resources", "blobs", "sources"], build))
 
@@ -279,9 +280,8 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         for extractor in (ex.PhotoMetadata(), ex.PhotoGeo(), file_modified(spark, sf_dir),
                           text_excerpts(spark, sf_dir),
                           ex.MessageHeaders(message_content(spark, sf_dir))):
-            inputs = extractor.inputs(known).filter("error_code is null")
-            made.append(pub.new_statements(extractor.drafts(inputs), extractor.generator,
-                                           FIRST_RUN))
+            made.append(pub.new_statements(extractor.drafts(ex.usable(extractor, known)),
+                                           extractor.generator, FIRST_RUN))
         rows = made[0]
         for more in made[1:]:
             rows = rows.unionByName(more)

@@ -302,7 +302,8 @@ def _next_catalog(spark, sf_dir):
     catalog = bind.catalog(spark, sf_dir)
     facts, decisions = bind.stored(
         spark, "second-run", sf_dir, ["facts", "decisions"], lambda: _second_run(spark, sf_dir))
-    return rec.apply(decisions, rec.missing_sources(facts, catalog), catalog, bind.SECOND_RUN)
+    return rec.apply(rec.changes(decisions, rec.missing_sources(facts, catalog), catalog,
+                                 bind.SECOND_RUN), catalog)
 
 
 def _second_run(spark, sf_dir):
@@ -317,6 +318,15 @@ def reconcile_second_scan(spark, sf_dir):
         "hash")
 
 
+@register("content_needed", f"""WITH {SECOND} SELECT provider, external_id FROM staged
+    WHERE NOT known OR version IS DISTINCT FROM s_version OR kind = 'message'""")
+def content_needed(spark, sf_dir):
+    """What the second run reads: new things, changed versions, and messages, whose version is
+    their content."""
+    facts, _ = bind.split_scan(bind.second_scan(spark, sf_dir))
+    return rec.content_needed(facts, bind.catalog(spark, sf_dir))
+
+
 @register("missing_sources", f"WITH {SECOND} SELECT id, provider, external_id FROM missing")
 def missing_sources(spark, sf_dir):
     facts, _ = bind.split_scan(bind.second_scan(spark, sf_dir))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import functions as fn
 from shelfmark.operators import turns as tn
+from shelfmark.operators.ordered import number_rows
 from shelfmark.plans import bind
 from shelfmark.plans import oracle as o
 from shelfmark.plans.workload import register
@@ -24,7 +25,7 @@ PAGE_SIZE = 100
 
 # --- photo pages ----------------------------------------------------------------------------
 
-def photo_pages(spark, sf_dir):
+def photo_pages(spark, sf_dir, page_size=PAGE_SIZE, listed=None):
     """Inventory pages as JSON text; the size field takes every shape a response may have."""
     vec, label = F.col("vec_id"), F.col("label")
     size = (F.when(label == 1, F.concat(F.lit('"'), vec.cast("string"), F.lit('"')))
@@ -39,8 +40,9 @@ def photo_pages(spark, sf_dir):
         F.lit('","checksum":'), F.when(label == 7, "null").otherwise('"c="'),
         F.lit(',"isFavorite":true,"width":'), vec.cast("string"),
         F.lit(',"exifInfo":{"make":"M","fileSizeInByte":'), size, F.lit("}}"))
-    rows = bind.table(spark, sf_dir, "embeddings").select(
-        (F.floor(vec / PAGE_SIZE) + 1).alias("page"), F.struct(vec, item.alias("item")).alias("i"))
+    rows = bind.table(spark, sf_dir, "embeddings")
+    rows = (rows if listed is None else rows.filter(listed)).select(
+        (F.floor(vec / page_size) + 1).alias("page"), F.struct(vec, item.alias("item")).alias("i"))
     pages = rows.groupBy("page").agg(F.array_sort(F.collect_list("i")).alias("items"))
     last = pages.agg(F.max("page").alias("last")).scalar()
     more = F.when(F.col("page") < last, F.concat(
@@ -213,11 +215,22 @@ def _message_id():
       CASE WHEN turn <> 0 THEN 'About ' || conv_id END AS name,
       CAST(1700000000000 + conv_id * 10000 + turn AS VARCHAR) AS internal_date FROM conversations""")
 def landed_message_facts(spark, sf_dir):
+    return mail.message_facts(*message_pages(spark, sf_dir)).select(
+        "external_id", "name", fn.json_string("raw", "$.internalDate").alias("internal_date"))
+
+
+def message_pages(spark, sf_dir):
+    """Id pages of a conversation each, in one chain, and the metadata of all messages."""
     rows = bind.table(spark, sf_dir, "conversations")
+    convs = number_rows(rows.select(F.lit(0).alias("all"), "conv_id").distinct(), ["all"],
+                        "conv_id", "number")
+    last = convs.agg(F.max("number").alias("last")).scalar()
     pages = rows.groupBy("conv_id").agg(
-        F.collect_list(F.struct(_message_id().alias("id"))).alias("messages")).select(
-        F.col("conv_id").cast("string").alias("token"), "messages",
-        (F.col("conv_id") + 1).cast("string").alias("nextPageToken"))
+        F.collect_list(F.struct(_message_id().alias("id"))).alias("messages")).join(
+        convs, "conv_id").select(
+        F.when(F.col("number") > 1, F.col("number").cast("string")).alias("token"), "messages",
+        F.when(F.col("number") < last, (F.col("number") + 1).cast("string"))
+        .alias("nextPageToken"))
     subject = F.when(F.col("turn") == 0, "  ").otherwise(
         F.concat(F.lit(" About "), F.col("conv_id").cast("string"), F.lit(" ")))
     headers = F.array(
@@ -226,17 +239,20 @@ def landed_message_facts(spark, sf_dir):
     metadata = rows.select(
         _message_id().alias("id"), (F.lit(1_700_000_000_000) + bind.message_key()).cast("string")
         .alias("internalDate"), F.struct(headers.alias("headers")).alias("payload"))
-    return mail.message_facts(pages, metadata).select(
-        "external_id", "name", fn.json_string("raw", "$.internalDate").alias("internal_date"))
+    return pages, metadata
 
 
 @register("landed_message_content", """SELECT 'm-' || conv_id || '-' || turn AS external_id,
       sha256(text) AS digest FROM conversations""")
 def landed_message_content(spark, sf_dir):
-    raw = bind.table(spark, sf_dir, "conversations").select(
+    return mail.message_content(raw_messages(spark, sf_dir)).select(
+        "external_id", F.sha2("content", 256).alias("digest"))
+
+
+def raw_messages(spark, sf_dir):
+    return bind.table(spark, sf_dir, "conversations").select(
         _message_id().alias("id"), F.rtrim(F.translate(F.base64(F.encode("text", "UTF-8")),
                                                        "+/=\r\n", "-_")).alias("raw"))
-    return mail.message_content(raw).select("external_id", F.sha2("content", 256).alias("digest"))
 
 
 # --- stored versions and streams --------------------------------------------------------------

@@ -48,7 +48,7 @@ EXCERPTS = f"""texts AS (SELECT sha256(text) AS hash, min(text) AS text FROM doc
     FROM excerpts""")
 def text_excerpts(spark, sf_dir):
     extractor = bind.text_excerpts(spark, sf_dir)
-    inputs = extractor.inputs(bind.catalog(spark, sf_dir)).filter("error_code is null")
+    inputs = ex.usable(extractor, bind.catalog(spark, sf_dir))
     text = F.col("string_value")
     return extractor.drafts(inputs).select(
         "resource_id", F.char_length(text).cast("bigint").alias("characters"),
@@ -67,7 +67,7 @@ def text_excerpts(spark, sf_dir):
       CAST((1700000000000 + (conv_id * 10000 + turn) * 1000) * 1000 AS VARCHAR) FROM c""")
 def header_statements(spark, sf_dir):
     extractor = ex.MessageHeaders(bind.message_content(spark, sf_dir))
-    inputs = extractor.inputs(bind.catalog(spark, sf_dir)).filter("error_code is null")
+    inputs = ex.usable(extractor, bind.catalog(spark, sf_dir))
     return extractor.drafts(inputs).select("resource_id", "predicate",
                                            pub.value_text().alias("value"))
 
@@ -96,8 +96,7 @@ PHOTOS = f"""photos AS (
       WHERE pair""")
 def photo_statements(spark, sf_dir):
     catalog = bind.catalog(spark, sf_dir)
-    made = [e.drafts(e.inputs(catalog).filter("error_code is null"))
-            for e in (ex.PhotoMetadata(), ex.PhotoGeo())]
+    made = [e.drafts(ex.usable(e, catalog)) for e in (ex.PhotoMetadata(), ex.PhotoGeo())]
     return made[0].unionByName(made[1]).select(
         "resource_id", "predicate", F.col("string_value").alias("text_value"),
         F.col("float_value").alias("number"), F.col("datetime_value").alias("at"))

@@ -1,37 +1,103 @@
-"""Streaming fold of turn events, one state per turn."""
+"""Streaming folds of turn events: acceptance and replay per turn, execution trace, eviction.
+
+Events are reduced to narrow rows before they reach any state: numbers and names from fixed
+sets, never text. Texts are joined to the verdicts afterwards (`with_texts`).
+"""
 
 from __future__ import annotations
 
+import heapq
 import sys
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from shelfmark.operators.turns import REPLAY_LIMIT, TERMINAL
+from shelfmark.operators.turns import (
+    CAPABILITIES, MAX_OPERATIONS, MAX_TRACE_STEPS, PHASES, REPLAY_LIMIT, TERMINAL,
+)
+
+#: Turns that a registry keeps.
+TURN_LIMIT = 128
+#: Rows that a task gives back at once.
+ROWS = 10_000
+
+
+def _schema(text: str) -> T.StructType:
+    kinds = {"STRING": T.StringType(), "BIGINT": T.LongType(), "INT": T.IntegerType(),
+             "BOOLEAN": T.BooleanType()}
+    pairs = [part.split() for part in text.split(", ")]
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in pairs])
+
+
+OUTPUT = _schema("turn_id STRING, arrival BIGINT, sequence BIGINT, type STRING, phase STRING, "
+                 "operation_id INT, capability STRING, duration_ms BIGINT, accepted BOOLEAN, "
+                 "reason STRING, turn_phase STRING")
+HEAD = _schema("sequence BIGINT, phase STRING, terminal STRING, kept INT")
+KEPT = _schema("sequence BIGINT, type STRING")
+STEPS = _schema("turn_id STRING, version BIGINT, step_no BIGINT, step_id STRING, label STRING, "
+                "detail STRING, state STRING")
+TRACE = _schema("steps BIGINT, tools INT, last_no BIGINT, last_id STRING, last_label STRING, "
+                "last_detail STRING, last_finished BOOLEAN, last_phase STRING, status STRING")
+TOOL = _schema("step_no BIGINT, label STRING, detail STRING, finished BOOLEAN")
+EVICTED = _schema("registry STRING, turn_id STRING, ended BIGINT, evicted_at BIGINT")
+COUNT = _schema("turns BIGINT")
+ENDED = _schema("ended BIGINT")
+NAMES = ("type", "phase", "capability")
+
+
+def _gather(batches: Iterator[pd.DataFrame], order: str) -> pd.DataFrame | None:
+    """A key's rows of a micro-batch by `order`; names are held as codes, so that a row costs
+    some tens of bytes however many there are."""
+    held: dict[str, list] = {}
+    codes: dict[str, dict] = {name: {} for name in NAMES}
+    for batch in batches:
+        for name in batch.columns:
+            if name in codes:
+                known = codes[name]
+                column = np.array([known.setdefault(v, len(known)) if isinstance(v, str) else -1
+                                   for v in batch[name]], np.int16)
+            elif name in ("turn_id", "registry"):
+                column = batch[name].to_numpy() if name == "turn_id" and order == "at" else None
+            else:
+                column = batch[name].to_numpy(np.float64 if batch[name].isna().any() else np.int64)
+            if column is not None:
+                held.setdefault(name, []).append(column)
+    if not held:
+        return None
+    columns = {name: np.concatenate(parts) for name, parts in held.items()}
+    by = np.argsort(columns[order], kind="stable")
+    out = pd.DataFrame({name: column[by] for name, column in columns.items()}, copy=False)
+    for name, known in codes.items():
+        if name in out:
+            out[name] = pd.Categorical.from_codes(out[name], list(known))
+    return out
+
+
+def _name(value) -> str | None:
+    return value if isinstance(value, str) else None
+
+
+def _number(value) -> int | None:
+    return None if value != value else int(value)
 
-OUTPUT = T.StructType([
-    T.StructField("turn_id", T.StringType()), T.StructField("arrival", T.LongType()),
-    T.StructField("sequence", T.LongType()), T.StructField("type", T.StringType()),
-    T.StructField("phase", T.StringType()), T.StructField("delta", T.StringType()),
-    T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType()),
-    T.StructField("turn_phase", T.StringType()),
-])
-HEAD = T.StructType([
-    T.StructField("sequence", T.LongType()), T.StructField("phase", T.StringType()),
-    T.StructField("terminal", T.StringType()),
-])
-KEPT = T.StructType([T.StructField("sequence", T.LongType()), T.StructField("type", T.StringType())])
+
+def _give(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=schema.fieldNames(), dtype=object)
 
 
 class TurnFold(StatefulProcessor):
     """Accept sequence 1, 2, 3, ... of a turn until its terminal event; refuse everything else.
 
-    State per turn is one head row and the newest events for replay; text is passed on, never
-    kept. With `forget_after_ms` a turn without events for that long is forgotten.
+    State per turn is one head row and the newest events for replay: a list that accepted events
+    are appended to and that is cut back when it holds twice the limit. With `forget_after_ms` a
+    turn without events for that long is forgotten.
     """
 
     def __init__(self, forget_after_ms: int | None = None) -> None:
@@ -44,29 +110,143 @@ class TurnFold(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
         known = self._head.get() if self._head.exists() else None
-        last, phase, terminal = known if known is not None else (0, None, None)
-        kept = [tuple(r) for r in self._recent.get()] if self._recent.exists() else []
-        # One turn's rows of a micro-batch may come in several batches, in any order.
-        batches = list(rows)
-        if batches:
-            out = []
-            for row in pd.concat(batches).sort_values("arrival", kind="stable").itertuples():
-                reason = None
-                if terminal is not None:
-                    reason = "terminal event already published"
-                elif row.sequence != last + 1:
-                    reason = "sequence is not monotonic"
-                else:
-                    last = int(row.sequence)
-                    phase = row.phase if isinstance(row.phase, str) else phase
-                    terminal = row.type if row.type in TERMINAL else None
-                    kept = (kept + [(last, row.type)])[-REPLAY_LIMIT:]
-                out.append((key[0], row.arrival, row.sequence, row.type, row.phase, row.delta,
-                            reason is None, reason, phase))
-            yield pd.DataFrame(out, columns=OUTPUT.fieldNames())
-        self._head.update((last, phase, terminal))
-        if kept:
-            self._recent.put(kept)
+        last, phase, terminal, kept = known if known is not None else (0, None, None, 0)
+        events, out, fresh = _gather(rows, "arrival"), [], deque(maxlen=REPLAY_LIMIT)
+        for row in events.itertuples() if events is not None else ():
+            reason, number = None, _number(row.sequence)
+            if terminal is not None:
+                reason = "terminal event already published"
+            elif number != last + 1:
+                reason = "sequence is not monotonic"
+            else:
+                last = number
+                phase = _name(row.phase) or phase
+                terminal = row.type if row.type in TERMINAL else None
+                fresh.append((last, _name(row.type)))
+            out.append((key[0], int(row.arrival), number, _name(row.type), _name(row.phase),
+                        _number(row.operation_id), _name(row.capability),
+                        _number(row.duration_ms), reason is None, reason, phase))
+            if len(out) == ROWS:
+                yield _give(out, OUTPUT)
+                out = []
+        if out:
+            yield _give(out, OUTPUT)
+        if kept + len(fresh) > 2 * REPLAY_LIMIT:
+            newest = ([tuple(r) for r in self._recent.get()] + list(fresh))[-REPLAY_LIMIT:]
+            self._recent.put(newest)
+            kept = len(newest)
+        elif fresh:
+            self._recent.appendList(list(fresh))
+            kept += len(fresh)
+        self._head.update((last, phase, terminal, kept))
+
+    def close(self) -> None:
+        pass
+
+
+class TurnTrace(StatefulProcessor):
+    """Execution steps of a turn from its accepted events, as changes of steps.
+
+    A map keyed by operation pairs tool starts with their ends as they come; beside it one row holds
+    the last step. Each change carries the sequence number it came with as `version`.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._head = handle.getValueState("trace", TRACE)
+        self._tools = handle.getMapState("tools", _schema("operation_id INT"), TOOL)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
+                        ) -> Iterator[pd.DataFrame]:
+        head = self._head.get() if self._head.exists() else (
+            0, 0, 0, None, None, None, False, None, None)
+        steps, tools, *last, phase, status = head
+        last = tuple(last)  # number, id, label, detail, finished
+        events, out = _gather(rows, "sequence"), []
+
+        def change(version, no, step_id, label, detail, state):
+            out.append((key[0], version, no, step_id, label, detail, state))
+
+        def add(version, step_id, label, detail, own_phase=None):
+            nonlocal steps, last, phase
+            if last[0] and not last[4]:
+                change(version, *last[:4], "completed")
+            steps += 1
+            last, phase = (steps, step_id, label, detail, False), own_phase
+            change(version, *last[:4], "current")
+
+        for row in events.itertuples() if events is not None else ():
+            at, kind, op = int(row.sequence), _name(row.type), _number(row.operation_id)
+            if kind == "turn.started" and steps == 0:
+                add(at, "turn:started", "Started", "Turn started")
+            elif kind == "phase.changed" and _name(row.phase) and row.phase != phase:
+                add(at, f"phase:{row.phase}:{at}", PHASES.get(row.phase, row.phase),
+                    "In progress", row.phase)
+            elif (kind == "tool.started" and op is not None and _name(row.capability)
+                  and tools < MAX_OPERATIONS and not self._tools.containsKey((op,))):
+                tools += 1
+                add(at, f"tool:{op}", CAPABILITIES.get(row.capability, row.capability), "Running")
+                self._tools.updateValue((op,), (steps, last[2], "Running", False))
+            elif kind == "tool.completed" and op is not None and self._tools.containsKey((op,)):
+                no, label, _, _ = self._tools.getValue((op,))
+                took = _number(row.duration_ms)
+                detail = "Finished" if took is None else f"Finished · {took} ms"
+                self._tools.updateValue((op,), (no, label, detail, True))
+                if no == last[0]:
+                    last = (no, f"tool:{op}", label, detail, True)
+                change(at, no, f"tool:{op}", label, detail, "completed")
+            elif kind in TERMINAL:
+                status = TERMINAL[kind]
+                if last[0] and not last[4]:
+                    change(at, *last[:4], status)
+                steps += 1
+                word = status.capitalize()
+                change(at, steps, f"terminal:{status}", word,
+                       "Finished" if status == "completed" else word, status)
+            if len(out) >= ROWS:
+                yield _give(out, STEPS)
+                out = []
+        if out:
+            yield _give(out, STEPS)
+        self._head.update((steps, tools, *last, phase, status))
+
+    def close(self) -> None:
+        pass
+
+
+class TurnRegistry(StatefulProcessor):
+    """Keep at most `limit` turns of a registry: the finished turn that ended first goes first, a
+    running one never does. State is one row per kept turn."""
+
+    def __init__(self, limit: int = TURN_LIMIT) -> None:
+        self._limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._count = handle.getValueState("count", COUNT)
+        self._turns = handle.getMapState("turns", _schema("turn_id STRING"), ENDED)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
+                        ) -> Iterator[pd.DataFrame]:
+        count = self._count.get()[0] if self._count.exists() else 0
+        finished = [(value[0], turn[0]) for turn, value in self._turns.iterator()
+                    if value[0] is not None] if count else []
+        heapq.heapify(finished)
+        events, out = _gather(rows, "at"), []
+        for row in events.itertuples() if events is not None else ():
+            turn, at = row.turn_id, int(row.at)
+            if row.starts and not self._turns.containsKey((turn,)):
+                self._turns.updateValue((turn,), (None,))
+                count += 1
+            if row.ends and self._turns.containsKey((turn,)):
+                self._turns.updateValue((turn,), (at,))
+                heapq.heappush(finished, (at, turn))
+            while count > self._limit and finished:
+                ended, oldest = heapq.heappop(finished)
+                self._turns.removeKey((oldest,))
+                count -= 1
+                out.append((key[0], oldest, ended, at))
+        if out:
+            yield _give(out, EVICTED)
+        self._count.update((count,))
 
     def close(self) -> None:
         pass
@@ -75,15 +255,49 @@ class TurnFold(StatefulProcessor):
 def fold_stream(events: DataFrame, forget_after_ms: int | None = None) -> DataFrame:
     """Accepted and refused events of a stream of TURN_EVENTS rows (refused ones carry why).
 
-    Within a micro-batch a turn's rows are taken in arrival order, so they are held together; the
-    source bounds their number (`maxFilesPerTrigger`). Forgetting needs the clock,
-    which keeps a query going without new data; leave it out for runs that should end.
+    Within a micro-batch a turn's rows are taken in arrival order; they are held as numbers, some
+    tens of bytes each. Forgetting needs the clock, which keeps a query going without new data;
+    leave it out for runs that should end.
     """
-    slim = events.select("turn_id", "arrival", "sequence", "type", "phase", "delta")
+    slim = events.select("turn_id", "arrival", "sequence", "type", "phase", "operation_id",
+                         "capability", "duration_ms")
     return slim.groupBy("turn_id").transformWithStateInPandas(
         TurnFold(forget_after_ms), OUTPUT, "append",
         "none" if forget_after_ms is None else "processingTime")
 
 
-# Executors get the processor itself, so they need no copy of this package.
+def with_texts(verdicts: DataFrame, events: DataFrame) -> DataFrame:
+    """Landed verdicts with the texts of their events."""
+    return verdicts.join(events.select("turn_id", "arrival", "delta"), ["turn_id", "arrival"],
+                         "left")
+
+
+def trace_stream(verdicts: DataFrame) -> DataFrame:
+    """Changes of execution steps from the accepted events of a stream of verdicts."""
+    slim = verdicts.filter("accepted").select(
+        "turn_id", "sequence", "type", "phase", "operation_id", "capability", "duration_ms")
+    return slim.groupBy("turn_id").transformWithStateInPandas(TurnTrace(), STEPS, "append", "none")
+
+
+def current_steps(changes: DataFrame, max_steps: int = MAX_TRACE_STEPS) -> DataFrame:
+    """The steps as the changes so far left them; the newest `max_steps` of a turn."""
+    steps = changes.groupBy("turn_id", "step_no").agg(F.max_by(
+        F.struct("step_id", "label", "detail", "state"), "version").alias("s"))
+    newest = changes.groupBy("turn_id").agg(F.max("step_no").alias("n"))
+    return steps.join(newest, "turn_id").filter(F.col("step_no") > F.col("n") - max_steps).select(
+        "turn_id", "step_no", "s.*")
+
+
+def registry_stream(verdicts: DataFrame, registry, limit: int = TURN_LIMIT) -> DataFrame:
+    """Turns that leave their registry (a column of the verdicts), with what made them leave."""
+    ends = F.col("type").isin(*TERMINAL)
+    starts = F.col("sequence") == 1
+    slim = verdicts.filter(F.col("accepted") & (starts | ends)).select(
+        registry.alias("registry"), "turn_id", F.col("arrival").alias("at"),
+        starts.cast("int").alias("starts"), ends.cast("int").alias("ends"))
+    return slim.groupBy("registry").transformWithStateInPandas(
+        TurnRegistry(limit), EVICTED, "append", "none")
+
+
+# Executors get the processors themselves, so they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

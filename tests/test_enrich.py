@@ -117,7 +117,7 @@ def test_text_excerpt_edges(spark):
         [("nextcloud", f"loc{i}-0", bytearray(b)) for i, b in enumerate(bodies, 1)],
         "provider STRING, external_id STRING, content BINARY")
     extractor = ex.TextExcerpt(content)
-    inputs = extractor.inputs(catalog)
+    inputs = ex.load(extractor, extractor.inputs(catalog))
     codes = {int(r["resource_id"][-2:]): r["error_code"] for r in inputs.collect()}
     assert codes == {1: None, 2: "invalid_text_encoding", 3: "binary_content", 4: "binary_content",
                      5: None, 6: None, 7: "source_too_large", 8: None,
@@ -200,6 +200,101 @@ def test_publish_history(spark):
             pub.get_statements(statements, ref, **bad)
 
 
+def text_world(spark):
+    """Three text files and their content; the second is too large by its listed size."""
+    import hashlib
+    bodies = [b"one", b"two", b"three"]
+    catalog = photo_catalog(spark, ["{}"] * 3, "nextcloud", mime="text/plain", digest={
+        i: hashlib.sha256(b).hexdigest() for i, b in enumerate(bodies, 1)})
+    catalog = catalog._replace(blobs=catalog.blobs.withColumn("size", F.when(
+        F.col("asset_id") == uid(2), ex.MAX_TEXT_SOURCE_BYTES + 1).otherwise(F.col("size"))
+        .cast("bigint")))
+    content = spark.createDataFrame(
+        [("nextcloud", f"loc{i}-0", bytearray(b)) for i, b in enumerate(bodies, 1)],
+        "provider STRING, external_id STRING, content BINARY")
+    return catalog, content
+
+
+def unreadable(content, *keys):
+    return content.withColumn("content", F.when(
+        F.col("external_id").isin(*keys), F.raise_error(F.lit("read")).cast("binary"))
+        .otherwise(F.col("content")))
+
+
+def test_stored_run_claims_before_it_reads(spark):
+    import tempfile
+
+    from shelfmark.sources import enrichment, tables
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    catalog, content = text_world(spark)
+
+    class Watched(ex.TextExcerpt):
+        """While the first worker reads, a second one comes by."""
+
+        def load(self, work):
+            other = enrichment.run_stored(
+                spark, root, ex.TextExcerpt(unreadable(content, "loc1-0", "loc2-0", "loc3-0")),
+                T0 + timedelta(minutes=29), catalog=catalog)
+            seen.append((tuple(other.totals.first()), {
+                r["status"] for r in tables.read_states(spark, root).collect()}))
+            return super().load(work)
+
+    seen = []
+    first = enrichment.run_stored(spark, root, Watched(unreadable(content, "loc2-0")), T0,
+                                  catalog=catalog)
+    assert seen == [((3, 0, 3, 0, 0, 0), {"running"})]
+    assert tuple(first.totals.first()) == (3, 2, 0, 1, 2, 0)
+    states = {r["subject_asset_id"][-1]: (r["status"], r["error_code"])
+              for r in tables.read_states(spark, root).collect()}
+    assert states == {"1": ("completed", None), "2": ("failed", "source_too_large"),
+                      "3": ("completed", None)}
+    # What is done is not read again; what failed for its size is judged without being read.
+    again = enrichment.run_stored(spark, root, ex.TextExcerpt(unreadable(
+        content, "loc1-0", "loc2-0", "loc3-0")), T0 + timedelta(hours=1), catalog=catalog)
+    assert tuple(again.totals.first()) == (3, 0, 2, 1, 0, 0)
+    assert tables.read_statements(spark, root).count() == 2
+    # A new content of one: only that is read, its old statement goes to the history.
+    import hashlib
+    blobs = catalog.blobs.withColumn("hash", F.when(
+        F.col("asset_id") == uid(3), hashlib.sha256(b"new").hexdigest()).otherwise(F.col("hash")))
+    newer = content.filter("external_id <> 'loc3-0'").unionByName(spark.createDataFrame(
+        [("nextcloud", "loc3-0", bytearray(b"new"))], content.schema))
+    third = enrichment.run_stored(
+        spark, root, ex.TextExcerpt(unreadable(newer, "loc1-0", "loc2-0")),
+        T0 + timedelta(hours=2), catalog=catalog._replace(blobs=blobs))
+    assert tuple(third.totals.first()) == (3, 1, 1, 1, 1, 1)
+    rows = tables.read_statements(spark, root, history=True).collect()
+    assert sorted((r["string_value"], r["is_current"]) for r in rows) == [
+        ("new", True), ("one", True), ("three", False)]
+
+
+def test_stale_claims_are_taken_again(spark):
+    import tempfile
+
+    from shelfmark.sources import enrichment, tables
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    catalog, content = text_world(spark)
+    extractor = ex.TextExcerpt(content)
+    inputs = extractor.inputs(catalog).filter(F.col("resource_id") == uid(1))
+    tables.merge(spark, root, "enrichment_states", pub.claims(inputs, extractor.generator, T0))
+    soon = enrichment.run_stored(spark, root, extractor, T0 + timedelta(minutes=29),
+                                 catalog=catalog)
+    assert tuple(soon.totals.first())[:4] == (3, 1, 1, 1)
+    late = enrichment.run_stored(spark, root, extractor, T0 + timedelta(minutes=30),
+                                 catalog=catalog)
+    assert tuple(late.totals.first())[:4] == (3, 1, 1, 1)
+
+
+def test_documents_and_headers_read_what_is_worked_on(spark):
+    catalog, content = text_world(spark)
+    units = spark.createDataFrame([("nextcloud", f"loc{i}-0", 1, f"t{i}") for i in (1, 3)],
+                                  "provider STRING, external_id STRING, unit_no INT, text STRING")
+    pdf = ex.DocumentExcerpt(units, mime_types=("text/plain",))
+    work = pdf.inputs(catalog).filter(F.col("resource_id") == uid(3))
+    assert values(pdf.drafts(ex.load(pdf, work))) == {("03", "document.text_excerpt"): "t3"}
+    assert len(values(pdf.drafts(ex.usable(pdf, catalog)))) == 2
+
+
 def test_gate_and_families(spark):
     g = Fixed.generator
     inputs = spark.createDataFrame([(uid(i), "f" if i < 6 else None) for i in range(1, 7)],

@@ -114,7 +114,7 @@ def stored(spark, worlds):
 def test_random_worlds(spark, repeats):
     facts, worlds = random_worlds(150, repeats)
     catalog = stored(spark, worlds)
-    run = rec.reconcile(frame(spark, facts), catalog, NOW)
+    run = rec.reconcile(frame(spark, facts), catalog, NOW, complete=True)
     decided = {r["ordinal"]: r for r in run.decisions.collect()}
     contents = {r["id"]: (r["asset_id"], r["hash"]) for r in run.catalog.blobs.collect()}
     assert len(contents) == run.catalog.blobs.count()
@@ -143,7 +143,7 @@ def test_rejections_titles_and_messages(spark):
         fact(4, "dir", kind="folder"), fact(5, "m1", "message", "Hello.txt", None, "same"),
         fact(6, "m2", "message", None, None, "same"), fact(7, "f", name=".profile", digest="d1"),
         fact(8, "g", name="", digest="d2"), fact(9, "h", digest=None)]
-    run = rec.reconcile(frame(spark, facts), Catalog.empty(spark), NOW)
+    run = rec.reconcile(frame(spark, facts), Catalog.empty(spark), NOW, complete=True)
     reasons = {r["ordinal"]: r["reason"] for r in run.decisions.collect()}
     assert reasons == {
         1: "invalid_fact_missing_provider", 2: "invalid_fact_missing_external_id",
@@ -170,10 +170,10 @@ def test_rerun_is_a_no_op_and_missing_sources_end(spark):
     assert states == {"m": (True, False), "f": (False, True)}
     # A reappearing source is updated but stays inactive; no facts at all end nothing.
     back = rec.reconcile(frame(spark, [facts[0], fact(2, "f", digest=None, name="new.txt")]),
-                         gone.catalog, NOW, content)
+                         gone.catalog, NOW, content, complete=True)
     row = back.catalog.sources.filter("external_id = 'f'").first()
     assert (row["name"], row["is_active"]) == ("new.txt", False)
-    none = rec.reconcile(frame(spark, [fact(1, "m")]).limit(0), first.catalog, NOW)
+    none = rec.reconcile(frame(spark, [fact(1, "m")]).limit(0), first.catalog, NOW, complete=True)
     assert none.missing.count() == 0
     part = rec.reconcile(frame(spark, facts[:1]), first.catalog, NOW, content, complete=False)
     assert part.missing.count() == 0
@@ -183,7 +183,7 @@ def test_sync_refuses_mixed_scans_and_type_changes(spark):
     with pytest.raises(ValueError):
         rec.sync_provider(frame(spark, [fact(1, "a"), fact(2, "b", provider="q")]),
                           Catalog.empty(spark), NOW)
-    first = rec.reconcile(frame(spark, [fact(1, "a")]), Catalog.empty(spark), NOW)
+    first = rec.reconcile(frame(spark, [fact(1, "a")]), Catalog.empty(spark), NOW, complete=True)
     with pytest.raises(RuntimeError, match="type_mismatch"):
         rec.sync_provider(frame(spark, [fact(1, "a", "message")]), first.catalog, NOW)
     assert first.catalog.sources.select(F.count_if("is_active")).first()[0] == 1
@@ -199,17 +199,97 @@ def test_ids_of_different_keys_differ(spark):
 
 def test_metadata_is_compared_by_value(spark):
     one = fact(1, "a", raw='{"a":1,"b":2}')
-    first = rec.reconcile(frame(spark, [one]), Catalog.empty(spark), NOW)
-    again = rec.reconcile(frame(spark, [fact(1, "a", raw='{"b": 2, "a": 1}')]), first.catalog, NOW)
+    first = rec.reconcile(frame(spark, [one]), Catalog.empty(spark), NOW, complete=True)
+    again = rec.reconcile(frame(spark, [fact(1, "a", raw='{"b": 2, "a": 1}')]), first.catalog, NOW,
+                          complete=True)
     assert [r["reason"] for r in again.decisions.collect()] == ["source_unchanged"]
-    other = rec.reconcile(frame(spark, [fact(1, "a", raw='{"b": 2, "a": "1"}')]), first.catalog, NOW)
+    other = rec.reconcile(frame(spark, [fact(1, "a", raw='{"b": 2, "a": "1"}')]), first.catalog, NOW,
+                          complete=True)
     assert [r["reason"] for r in other.decisions.collect()] == ["source_metadata_changed"]
 
 
 def test_facts_that_share_an_ordinal(spark):
     first = rec.reconcile(frame(spark, [fact(1, "a"), fact(2, "b", digest="2" * 64)]),
-                          Catalog.empty(spark), NOW)
+                          Catalog.empty(spark), NOW, complete=True)
     changed = [fact(1, "a", version="v2", digest="3" * 64),
                fact(1, "b", version="v2", digest="4" * 64)]
-    again = rec.reconcile(frame(spark, changed), first.catalog, NOW)
+    again = rec.reconcile(frame(spark, changed), first.catalog, NOW, complete=True)
     assert sorted(r["external_id"] for r in again.decisions.collect()) == ["a", "b"]
+
+
+def raising(spark, content, keys):
+    """Content that cannot be read for the given external ids."""
+    return content.withColumn("content", F.when(
+        F.col("external_id").isin(*keys), F.raise_error(F.lit("content was read")).cast("binary"))
+        .otherwise(F.col("content")))
+
+
+def test_content_is_read_for_the_keys_that_need_it(spark):
+    rows = [("p", n, n.encode()) for n in ("m", "a", "b", "c", "old")]
+    content = spark.createDataFrame(rows, "provider STRING, external_id STRING, content BINARY")
+    facts = [fact(1, "m", "message", "Hi", None, None), fact(2, "a", digest=None),
+             fact(3, "b", digest=None), fact(4, "old", digest="given")]
+    first = rec.sync_provider(frame(spark, facts), Catalog.empty(spark), NOW,
+                              raising(spark, content, ["c", "old"]))
+    # "a" is unchanged, "b" has a new version, "c" is new, the folder has no content.
+    later = [fact(1, "a", digest=None, name="renamed.txt"), fact(2, "b", version="2", digest=None),
+             fact(3, "c", digest=None), fact(4, "dir", kind="folder"),
+             fact(5, "old", version="2", digest="given"), fact(6, "b", version="2", digest=None)]
+    needed = rec.content_needed(frame(spark, later), first.catalog).collect()
+    assert sorted(r["external_id"] for r in needed) == ["b", "c"]
+    again = rec.sync_provider(frame(spark, later), first.catalog, NOW,
+                              raising(spark, content, ["m", "a", "old"]))
+    assert {r["ordinal"]: (r["reason"], r["hash_computed"]) for r in again.decisions.collect()} == {
+        1: ("source_metadata_changed", False), 2: ("source_returned_to_existing_blob_in_asset", True),
+        3: ("new_source_new_blob", True), 4: ("folder_ignored_in_v0_1", False),
+        5: ("source_returned_to_existing_blob_in_asset", False), 6: ("source_unchanged", False)}
+    # Nothing needs content: none is read, whatever it is.
+    same = [fact(1, "a", digest=None, name="renamed.txt")]
+    idle = rec.sync_provider(frame(spark, same), again.catalog, NOW,
+                             raising(spark, content, ["m", "a", "b", "c", "old"]))
+    assert [r["reason"] for r in idle.decisions.collect()] == ["source_unchanged"]
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_content_matched_before_or_after_it_is_reduced(spark, monkeypatch, limit):
+    from shelfmark.operators import content as cnt
+    monkeypatch.setattr(cnt, "BROADCAST_BYTES", limit)
+    content = spark.createDataFrame([("p", f"k{n}", b"x" * n) for n in range(50)], cnt.CONTENT)
+    keys = content.filter("external_id IN ('k3', 'k40')").unionByName(content.limit(0))
+    got = cnt.only(content, keys, rec.content_hashes)
+    assert sorted(r["external_id"] for r in got.collect()) == ["k3", "k40"]
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert ("strategy=broadcast" in plan) == (limit > 0)
+
+
+def test_stored_and_landed_content(spark):
+    import os
+    import tempfile
+    from urllib.parse import quote
+
+    from shelfmark.sources.content import LandedFiles, StoredContent
+    home = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    names = [f"k{n}" for n in range(40)] + ["a b/c", "x[1]*?{y}", "ü+%"]
+    content = spark.createDataFrame([("p", n, n.encode()) for n in names],
+                                    "provider STRING, external_id STRING, content BINARY")
+    stored = StoredContent(spark, f"{home}/stored", buckets=16)
+    stored.write(content)
+    keys = content.filter("external_id IN ('k3', 'a b/c')").select("provider", "external_id")
+    read = stored.read(keys)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan
+    assert {"k3", "a b/c"} <= {r["external_id"] for r in read.collect()} and read.count() < 15
+    os.makedirs(f"{home}/files")
+    for n in names:
+        with open(f"{home}/files/{quote(n, safe='')}", "wb") as out:
+            out.write(n.encode())
+    wanted = content.filter("external_id IN ('k3', 'a b/c', 'x[1]*?{y}', 'ü+%')")
+    named = LandedFiles(spark, f"{home}/files", "p").read(wanted)
+    assert {r["external_id"]: bytes(r["content"]).decode() for r in named.collect()} == {
+        n: n for n in ("k3", "a b/c", "x[1]*?{y}", "ü+%")}
+    assert LandedFiles(spark, f"{home}/files", "p", named_files=2).read(wanted).count() == len(names)
+    assert LandedFiles(spark, f"{home}/files", "p").read(wanted.limit(0)).count() == 0
+    facts = [fact(k, n, digest=None) for k, n in enumerate(("k3", "a b/c", "k9"))]
+    for source in (stored, LandedFiles(spark, f"{home}/files", "p")):
+        run = rec.sync_provider(frame(spark, facts), Catalog.empty(spark), NOW, source)
+        assert run.catalog.blobs.count() == 3

@@ -191,6 +191,97 @@ def test_stream_ingest_versions(spark):
     assert tables.current(spark, root)[0] > before[0]
 
 
+def rows_of(spark, n, mark="1", start=0):
+    """Sources with ids s<start> to s<start + n - 1>."""
+    return spark.range(start, start + n).select(
+        F.concat(F.lit("s"), "id").alias("id"), F.concat(F.lit("b"), "id").alias("blob_id"),
+        F.lit("p").alias("provider"), F.concat(F.lit("x"), "id").alias("external_id"),
+        *[F.lit(None).cast("string").alias(c) for c in ("path", "name")],
+        F.lit(mark).alias("version_tag"), F.lit("{}").alias("metadata"),
+        F.lit(True).alias("is_active"), F.lit(None).cast("timestamp").alias("deleted_at"))
+
+
+def files_of(root, name):
+    """bucket -> (file, time of change) of a live table."""
+    found = {}
+    for folder, _, names in os.walk(f"{root}/live/{name}"):
+        for file in names:
+            if file.startswith("part-"):
+                at = os.stat(f"{folder}/{file}")
+                found.setdefault(os.path.basename(folder), set()).add((file, at.st_mtime_ns))
+    return found
+
+
+def test_a_commit_writes_the_buckets_it_touches(spark):
+    root = folder()
+    tables.commit_changes(spark, root, {"sources": rows_of(spark, 2000)})
+    before = files_of(root, "sources")
+    assert len(before) == tables.BUCKETS
+    changed = rows_of(spark, 2, "2", 7).unionByName(rows_of(spark, 1, "new", 9000))
+    written = tables.commit_changes(spark, root, {"sources": changed})["sources"]
+    assert 1 <= len(written) <= 3
+    after = files_of(root, "sources")
+    same = {b for b in before if before[b] == after.get(b)}
+    assert {f"bucket={b}" for b in written} == set(before) - same
+    live = tables.read_catalog(spark, root).sources
+    assert live.count() == 2001 and live.select("id").distinct().count() == 2001
+    assert {r["version_tag"]: r["count"] for r in live.groupBy("version_tag").count().collect()
+            } == {"1": 1998, "2": 2, "new": 1}
+    # The same rows again, as after a run that died before its commit row.
+    tables.merge(spark, root, "sources", changed)
+    assert tables.read_catalog(spark, root).sources.count() == 2001
+    # A bucket whose rows are all removed is empty.
+    gone = live.filter(tables.bucket_of("sources") == written[0]).select("id")
+    tables.merge(spark, root, "sources", rows_of(spark, 0), removed=gone)
+    assert tables.read_catalog(spark, root).sources.filter(
+        tables.bucket_of("sources") == written[0]).count() == 0
+    assert tables.merge(spark, root, "sources", rows_of(spark, 0)) == []
+
+
+def test_live_tables_begin_with_the_newest_version(spark):
+    root = folder()
+    none = Catalog.empty(spark)
+    tables.write_tables(spark, root, none._replace(sources=rows_of(spark, 10))._asdict())
+    tables.commit_changes(spark, root, {"sources": rows_of(spark, 1, "2", 3)}, "s", 0)
+    catalog = tables.read_catalog(spark, root)
+    assert catalog.sources.count() == 10 and catalog.resources.count() == 0
+    assert tables.commit_changes(spark, root, {"sources": rows_of(spark, 1, "3", 3)}, "s", 0) == {}
+    assert tables.read_catalog(spark, root).sources.filter("version_tag = '3'").count() == 0
+    assert tables.commits(spark, root).count() == 2
+
+
+def test_inventory_over_several_batches(spark):
+    """Sources end with the batch that closes an unbroken inventory, against all its batches."""
+    home = folder()
+    landing, root, check = f"{home}/in", f"{home}/root", f"{home}/check"
+    content = spark.createDataFrame([("immich", f"img{n}", f"bytes{n}".encode())
+                                     for n in range(1, 9)],
+                                    "provider STRING, external_id STRING, content BINARY")
+
+    def drain():
+        ingest.ingest_stream(spark, landing, root, check, content=lambda s: content,
+                             now=T0).awaitTermination(200)
+        rows = tables.read_catalog(spark, root).sources.filter("is_active").collect()
+        return {int(r["external_id"][3:]) for r in rows}
+
+    land(landing, 1, [photo(1), photo(2), photo(3), photo(4)])
+    assert drain() == {1, 2, 3, 4}
+    land(landing, 1, [photo(1)], "2")
+    assert drain() == {1, 2, 3, 4}
+    land(landing, 2, [photo(3)], "3")
+    assert drain() == {1, 2, 3, 4}
+    land(landing, 3, [photo(5)])
+    assert drain() == {1, 3, 5}
+    # The second page is lost: the inventory never closes, nothing ends.
+    land(landing, 1, [photo(1)], "2")
+    drain()
+    land(landing, 3, [photo(6)])
+    assert drain() == {1, 3, 5, 6}
+    # Its late arrival closes it.
+    land(landing, 2, [photo(3)], "3")
+    assert drain() == {1, 3, 6}
+
+
 def test_landed_files(spark):
     home = folder()
     xml = ('<d:multistatus xmlns:d="DAV:" xmlns:oc="http://owncloud.org/ns">'

@@ -91,6 +91,133 @@ def test_streaming_fold_equals_its_batch_twin(spark, log):
     assert {r["arrival"]: r["reason"] for r in out if not r["accepted"]} == reasons
 
 
+def drained(spark, rows, folder, name):
+    query = (rows.writeStream.option("checkpointLocation", f"{folder}/{name}-check")
+             .trigger(availableNow=True).outputMode("append").format("parquet")
+             .start(f"{folder}/{name}"))
+    query.awaitTermination(200)
+
+
+def test_streaming_trace_equals_its_batch_twin(spark):
+    """Tools started twice, ended without a start, ended twice; a log in three batches."""
+    pick, rows, arrival = random.Random(9), [], 0
+    for t in range(40):
+        for n in range(1, pick.randint(2, 120 if t < 3 else 12)):
+            arrival += 1
+            kind = pick.choice(["phase.changed", "tool.started", "tool.completed",
+                                "message.delta", "turn.started" if n == 1 else "phase.changed"])
+            tool = kind.startswith("tool")
+            rows.append(event(
+                f"t{t}", arrival, n, kind,
+                phase=pick.choice(list(tn.PHASES)) if kind == "phase.changed" else None,
+                operation_id=pick.randint(1, 40) if tool else None,
+                capability=pick.choice([None, *tn.CAPABILITIES]) if tool else None,
+                duration_ms=pick.choice([None, 5]) if kind == "tool.completed" else None))
+        if pick.random() < .7:
+            arrival += 1
+            rows.append(event(f"t{t}", arrival, n + 1, pick.choice(list(tn.TERMINAL))))
+    events = spark.createDataFrame(rows, TURN_EVENTS)
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    cuts = [0, len(rows) // 3, 2 * len(rows) // 3, arrival]
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        events.filter((F.col("arrival") > a) & (F.col("arrival") <= b)).write.parquet(
+            f"{folder}/in/{k}")
+        drained(spark, stream.fold_stream(
+            spark.readStream.schema(TURN_EVENTS).parquet(f"{folder}/in/*")), folder, "verdicts")
+        drained(spark, stream.trace_stream(
+            spark.readStream.schema(stream.OUTPUT).parquet(f"{folder}/verdicts")), folder, "steps")
+    got = stream.current_steps(spark.read.schema(stream.STEPS).parquet(f"{folder}/steps"))
+    want = tn.trace(tn.fold_events(events).accepted)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert want.filter("step_id LIKE 'tool%'").count() > 30
+
+
+def test_registry_keeps_running_turns_and_evicts_what_ended_first(spark):
+    """200 turns of which every third goes on: 128 are kept."""
+    rows, arrival = [], 0
+    for t in range(200):
+        arrival += 1
+        rows.append(event(f"t{t}", arrival, 1, "turn.started"))
+    order = list(range(200))
+    random.Random(4).shuffle(order)
+    ended = {}
+    for t in order:
+        arrival += 1
+        if t % 3:
+            rows.append(event(f"t{t}", arrival, 2, "turn.completed"))
+            ended[f"t{t}"] = arrival
+    # A turn that ends with its first event.
+    rows.append(event("short", arrival + 1, 1, "turn.failed"))
+    ended["short"] = arrival + 1
+    events = spark.createDataFrame(rows, TURN_EVENTS)
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    for k, part in enumerate((events.filter("arrival <= 250"), events.filter("arrival > 250"))):
+        part.write.parquet(f"{folder}/in/{k}")
+        drained(spark, stream.fold_stream(
+            spark.readStream.schema(TURN_EVENTS).parquet(f"{folder}/in/*")), folder, "verdicts")
+        drained(spark, stream.registry_stream(
+            spark.readStream.schema(stream.OUTPUT).parquet(f"{folder}/verdicts"),
+            F.lit("one")), folder, "evicted")
+    gone = {r["turn_id"] for r in spark.read.schema(stream.EVICTED).parquet(
+        f"{folder}/evicted").collect()}
+    assert gone == set(sorted(ended, key=ended.get)[:201 - 128])
+
+
+class Held:
+    """State handles that live in memory."""
+
+    def __init__(self):
+        self.value, self.rows = None, []
+
+    def exists(self):
+        return self.value is not None or bool(self.rows)
+
+    def get(self):
+        return self.value if self.value is not None else iter(self.rows)
+
+    def update(self, value):
+        self.value = value
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def appendList(self, rows):  # noqa: N802
+        self.rows += rows
+
+
+def test_a_turn_of_a_million_rows_in_bounded_memory():
+    import tracemalloc
+
+    import pandas as pd
+    fold, head, recent = stream.TurnFold(), Held(), Held()
+    fold._head, fold._recent = head, recent
+    n, width = 1_000_000, 10_000
+
+    def batches():
+        for a in range(n - width, -1, -width):  # the newest come first
+            yield pd.DataFrame({
+                "turn_id": "t", "arrival": range(a, a + width), "sequence": range(a + 1, a + width + 1),
+                "type": "message.delta", "phase": None, "operation_id": None, "capability": None,
+                "duration_ms": None})
+
+    tracemalloc.start()
+    out = [(len(part), part["accepted"].all()) for part in fold.handleInputRows(
+        ("t",), batches(), None)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(k for k, _ in out) == n and all(ok for _, ok in out)
+    assert head.value[0] == n and len(recent.rows) == tn.REPLAY_LIMIT
+    assert peak < 300 << 20 and max(k for k, _ in out) <= stream.ROWS
+    for start in range(n, n + 400, 100):  # appended to, then cut back
+        more = pd.DataFrame({"turn_id": "t", "arrival": range(start, start + 100),
+                             "sequence": range(start + 1, start + 101), "type": "message.delta",
+                             "phase": None, "operation_id": None, "capability": None,
+                             "duration_ms": None})
+        list(fold.handleInputRows(("t",), iter([more]), None))
+        assert tn.REPLAY_LIMIT <= len(recent.rows) <= 2 * tn.REPLAY_LIMIT
+    assert recent.rows[-1] == (n + 400, "message.delta")
+
+
 def test_trace(spark):
     rows = [
         event("t", 1, 1, "turn.started"), event("t", 2, 2, "phase.changed", phase="thinking"),
