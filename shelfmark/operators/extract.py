@@ -219,17 +219,26 @@ class PhotoGeo:
 
 @dataclass
 class FileModified:
-    """One modification time per resource, only if all its supported sources agree on it."""
+    """One modification time per resource, only if all its supported sources agree on it.
 
-    http_providers: tuple[str, ...] = ("nextcloud",)
+    `http_providers` are names, or a DataFrame (provider) of any length.
+    """
+
+    http_providers: tuple[str, ...] | DataFrame = ("nextcloud",)
     iso_providers: tuple[str, ...] = ("immich",)
     generator: Generator = Generator("deterministic_extractor", "file_metadata", "1")
     covered: tuple[str, ...] = ("file.modified_at",)
     family: tuple[str, ...] = ()
 
     def inputs(self, catalog: Catalog) -> DataFrame:
-        rows = discover(catalog, (*self.http_providers, *self.iso_providers))
-        is_http = F.col("provider").isin(*self.http_providers)
+        if isinstance(self.http_providers, DataFrame):
+            http = self.http_providers.select("provider").distinct().withColumn(
+                "_http", F.lit(True))
+            rows = discover(catalog, None).join(http, "provider", "left").filter(
+                F.col("_http") | F.col("provider").isin(*self.iso_providers))
+        else:
+            rows = discover(catalog, (*self.http_providers, *self.iso_providers))
+        is_http = ~F.col("provider").isin(*self.iso_providers)
         raw = F.when(is_http, fn.json_path("metadata", "$.getlastmodified", "string")).otherwise(
             fn.json_path("metadata", "$.fileModifiedAt", "string"))
         text = F.when(is_http, fn.json_string("metadata", "$.getlastmodified")).otherwise(

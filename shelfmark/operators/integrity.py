@@ -96,7 +96,11 @@ def row_rules(table: str) -> dict[str, Column]:
             "source_kind": _outside("source_kind", SOURCE_KINDS),
         }
     if table == "enrichment_states":
-        return {"status": _outside("status", ENRICHMENT_STATUSES)}
+        return {
+            "status": _outside("status", ENRICHMENT_STATUSES),
+            "not_blank": _blank("extractor_type") | _blank("extractor_name")
+            | _blank("extractor_version") | _blank("input_fingerprint"),
+        }
     if table == "runs":
         ended, code = F.col("finished_at").isNotNull(), F.col("error_code").isNotNull()
         status = F.col("status")
@@ -104,6 +108,7 @@ def row_rules(table: str) -> dict[str, Column]:
                     | ((status == "completed") & ended & ~code)
                     | ((status == "failed") & ended & code))
         return {
+            "not_blank": _blank("pipeline_key"),
             "kind": _outside("kind", RUN_KINDS), "status": _outside("status", RUN_STATUSES),
             "lifecycle": ~F.coalesce(coherent, F.lit(False)),
             "error_code": code & _outside("error_code", RUN_ERROR_CODES),

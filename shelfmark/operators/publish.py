@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import datetime, timedelta
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark import functions as fn
@@ -312,8 +312,23 @@ def get_statements(statements: DataFrame, ref: str, predicate: str | None = None
     return view(rows.orderBy(*statement_order()).limit(limit)).orderBy(*statement_order())
 
 
-def view(statements: DataFrame) -> DataFrame:
+def statements_of(statements: DataFrame, subjects: DataFrame, include_history: bool = False,
+                  limit: int = 100) -> DataFrame:
+    """`get_statements` for many subjects (resource_id): of each the first `limit` in their stable
+    order, numbered by `position`. No more than `limit` rows of a subject leave a task."""
+    check_limit(limit)
+    rows = statements.join(subjects.select(F.col("resource_id").alias("subject_asset_id")).distinct(),
+                           "subject_asset_id", "left_semi")
+    if not include_history:
+        rows = rows.filter("is_current")
+    place = F.row_number().over(Window.partitionBy("subject_asset_id").orderBy(*statement_order()))
+    rows = rows.withColumn("position", place).filter(F.col("position") <= limit)
+    return view(rows, "position")
+
+
+def view(statements: DataFrame, *also: str) -> DataFrame:
     return statements.select(
+        *also,
         "id", fn.resource_ref("subject_asset_id").alias("resource_ref"), "predicate",
         "value_type", typed_value().alias("value"), *GENERATOR, "source_kind", "source_locator",
         "confidence", "created_at", "is_current")

@@ -60,12 +60,14 @@ def semantic_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     embedding ARRAY) for every row of `queries` (query_id BIGINT, embedding ARRAY).
 
     Blocks of vectors meet blocks of queries; only the k best of a block per query leave its
-    task. Null vectors take no part, and vectors of different lengths are not compared.
+    task. Vectors that are or hold null take no part, and those of different lengths are not
+    compared.
     """
     q.check_limit(k)
-    vectors = vectors.filter("embedding IS NOT NULL").select(
+    whole = "embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)"
+    vectors = vectors.filter(whole).select(
         "locator", "embedding", F.size("embedding").alias("_dim"))
-    queries = queries.filter("embedding IS NOT NULL").select(
+    queries = queries.filter(whole).select(
         "query_id", "embedding", F.size("embedding").alias("_dim"))
     n = max(1, -(-vectors.count() // VECTOR_BLOCK))
     m = max(1, -(-queries.count() // QUERY_BLOCK))
@@ -193,7 +195,9 @@ def text_candidates(catalog: Catalog, statements: DataFrame, predicate: str, tex
 
 
 def semantic_candidates(mapped: Mapped) -> DataFrame:
-    return mapped.hits.select("resource_id", "title", F.col("rank").alias("source_rank"),
+    """Candidates of every query: (query_id, resource_id, title, source_rank, primary)."""
+    return mapped.hits.select("query_id", "resource_id", "title",
+                              F.col("rank").alias("source_rank"),
                               F.array().cast("array<string>").alias("primary"))
 
 
@@ -260,6 +264,7 @@ def funnel(catalog: Catalog, statements: DataFrame, candidates: DataFrame, filte
     """Filter bounded candidates step by step; candidates lost are never refilled.
 
     Only the filters in use make a stage. Every stage count comes from one pass over flags.
+    Candidates with a `query_id` are those of many queries: hits and stages then carry it.
     """
     q.check_limit(limit, MAX_RESULT_LIMIT)
     rows = signals(catalog, statements, candidates, filters)
@@ -294,14 +299,19 @@ def funnel(catalog: Catalog, statements: DataFrame, candidates: DataFrame, filte
         shown = asked or predicate in filters.required_predicates
         return (F.col(name) if shown else F.lit(None).cast("timestamp")).alias(name)
 
+    by = ["query_id"] if "query_id" in candidates.columns else []
+    if by:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("source_rank"))
+        best = left.filter("alive").withColumn("_place", place).filter(F.col("_place") <= limit)
+    else:
+        best = left.filter("alive").orderBy("source_rank").limit(limit)
     hits = (
-        left.filter("alive").orderBy("source_rank").limit(limit)
-        .select(fn.resource_ref("resource_id").alias("resource_ref"), "title", "source_rank",
+        best.select(*by, fn.resource_ref("resource_id").alias("resource_ref"), "title", "source_rank",
                 F.array_distinct(F.concat(*matched)).alias("matched_predicates"),
                 signal("captured_at", CAPTURED, filters.on_captured),
                 signal("file_modified_at", MODIFIED, filters.on_modified))
     )
-    one = rows.agg(*[F.count_if(flag).alias(f"c{i}") for i, (_, flag) in enumerate(counts)])
+    one = rows.groupBy(*by).agg(*[F.count_if(flag).alias(f"c{i}") for i, (_, flag) in enumerate(counts)])
     stages = [F.struct(F.lit(0).alias("position"), F.lit(primary_stage).alias("stage"),
                        F.lit(0).cast("bigint").alias("input_count"),
                        F.col("c0").alias("output_count"))]
@@ -314,7 +324,7 @@ def funnel(catalog: Catalog, statements: DataFrame, candidates: DataFrame, filte
         F.lit(len(counts)).alias("position"), F.lit("final_limit").alias("stage"),
         last.alias("input_count"),
         F.least(last, F.lit(limit).cast("bigint")).alias("output_count")))
-    return Retrieved(hits, one.select(F.inline(F.array(*stages))))
+    return Retrieved(hits, one.select(*by, F.inline(F.array(*stages))))
 
 
 def retrieve_filtered(catalog: Catalog, statements: DataFrame, predicate: str, text: str,

@@ -34,6 +34,7 @@ CAPABILITIES = {
     "manage_workspace": "Manage workspace",
     "use_tool": "Use tool",
 }
+CATEGORIES = ("catalog", "exec", "web", "action", "other")
 MAX_REFS = 8
 MAX_OPERATIONS = 32
 MAX_DURATION_MS = 600_000
@@ -78,24 +79,25 @@ def event_violation() -> Column:
                       | F.col("capability").isNotNull() | F.col("duration_ms").isNotNull())
     bad_payload = (
         ~F.coalesce(F.col("operation_id").between(1, MAX_OPERATIONS), F.lit(False))
-        | F.col("category").isNull()
+        | ~F.coalesce(F.col("category").isin(*CATEGORIES), F.lit(False))
         | ~F.coalesce(F.col("capability").isin(*CAPABILITIES), F.lit(False))
         | F.col("phase").isNotNull() | F.col("delta").isNotNull()
         | F.col("error_code").isNotNull()
     )
     bad_duration = ~F.coalesce(F.col("duration_ms").between(0, MAX_DURATION_MS), F.lit(False))
     return (
-        F.when(~kind.isin(*EVENT_TYPES), "unknown event type")
+        F.when(~kind.isin(*EVENT_TYPES), "unknown_type")
         .when((kind == "turn.completed") & (
             (F.size(refs) > MAX_REFS) | (F.size(F.array_distinct(refs)) != F.size(refs))
-            | F.exists(refs, lambda r: ~fn.is_resource_ref(r))), "invalid completed resource refs")
+            | F.exists(refs, lambda r: ~fn.is_resource_ref(r))), "bad_refs")
         .when((kind != "turn.completed") & (F.size(refs) > 0),
-              "resource refs require a completed turn")
-        .when(~tool & any_tool_field, "tool payload requires a tool event")
-        .when(tool & bad_payload, "invalid tool event payload")
+              "refs_without_completion")
+        .when(~tool & any_tool_field, "tool_fields_without_tool")
+        .when(tool & bad_payload, "bad_tool_fields")
+        .when(F.col("phase").isNotNull() & ~F.col("phase").isin(*PHASES), "unknown_phase")
         .when((kind == "tool.started") & F.col("duration_ms").isNotNull(),
-              "tool start cannot contain duration")
-        .when((kind == "tool.completed") & bad_duration, "invalid tool completion duration")
+              "duration_at_start")
+        .when((kind == "tool.completed") & bad_duration, "bad_duration")
     )
 
 
@@ -168,7 +170,7 @@ def fold_events(events: DataFrame) -> Fold:
     # Written once: the fold's consumers read the accepted events many times.
     judged = materialise(judged.withColumn("accepted", accepted), "judged-events")
     reason = F.when(F.coalesce(F.col("arrival") > F.col("ended"), F.lit(False)),
-                    "terminal event already published").otherwise("sequence is not monotonic")
+                    "turn_has_ended").otherwise("out_of_sequence")
     return Fold(
         judged.filter("accepted").select(*events.columns),
         judged.filter("not accepted").select(*events.columns, reason.alias("reason")))
@@ -358,6 +360,28 @@ def result_refs(results: DataFrame, keys: list[str]) -> DataFrame:
     return usable.select(*keys, F.slice(good, 1, MAX_REFS).alias("refs"))
 
 
+def call_results(calls: DataFrame) -> DataFrame:
+    """(turn_id, start_no, tool, result) of retrieval calls that ended under the tool name they
+    began with, from rows (turn_id, seq, event start|complete, call_id, tool, result).
+
+    A start counts unless its call is still open; any completion closes its call.
+    """
+    known = F.col("tool").isin(*RESULT_PATHS)
+    keyed = calls.filter(F.col("call_id").isNotNull() & F.char_length("call_id").between(1, 256)
+                         & ((F.col("event") == "complete") | known))
+    seen = materialise(previous_row(keyed, ["turn_id", "call_id"], "seq", ["event"]), "seen-calls")
+    was_open = F.coalesce(F.col("previous.event") == "start", F.lit(False))
+    opens = (F.col("event") == "start") & ~was_open
+    runs = number_rows(
+        seen.withColumn("opens", opens).withColumn("closes", (F.col("event") == "complete")
+                                                   & was_open).drop("previous"),
+        ["turn_id", "call_id"], "seq", "run_no", where=F.col("opens"))
+    keys = ["turn_id", "call_id", "run_no", "tool"]
+    starts = runs.filter("opens").select(*keys, F.col("seq").alias("start_no"))
+    ends = runs.filter("closes").select(*keys, "result")
+    return starts.join(ends, keys).select("turn_id", "start_no", "tool", "result")
+
+
 def final_refs(results: DataFrame) -> DataFrame:
     """References a turn presents: those of its latest-started retrieval call that parsed.
 
@@ -374,6 +398,15 @@ def visible_text(text: Column) -> Column:
     return F.regexp_replace(text, r"(?is)<think>.*?(?:</think>|\z)", "")
 
 
+def judge_responses(responses: DataFrame, text: str = "text") -> DataFrame:
+    """Final responses with `visible` text, `outcome` and `error_code`: a response without visible
+    text fails its turn."""
+    rows = responses.withColumn("visible", visible_text(F.coalesce(F.col(text), F.lit(""))))
+    empty = F.col("visible") == ""
+    return rows.withColumn("outcome", F.when(empty, "failed").otherwise("completed")).withColumn(
+        "error_code", F.when(empty, "empty_response"))
+
+
 def chunks(rows: DataFrame, keys: list[str], text: str, size: int = CHUNK_CHARACTERS) -> DataFrame:
     """(*keys, chunk_no, chunk): a text cut every `size` characters; an empty one gives no row."""
     count = F.ceil(F.char_length(text) / F.lit(size)).cast("int")

@@ -250,15 +250,39 @@ def message_content(spark: SparkSession, sf_dir: str) -> DataFrame:
         "provider", "external_id", "content")
 
 
+def scan_key() -> Column:
+    return F.concat(F.lit("scan-"), F.col("doc_id").cast("string"))
+
+
+def scan_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """A catalog of scanned pages: one photo per document."""
+    rows = table(spark, sf_dir, "documents").select("doc_id").distinct()
+    resource_id, blob_id = (fn.uuid_text(F.lit(kind), scan_key()) for kind in ("resource", "blob"))
+    at, none = F.lit(FIRST_RUN).cast("timestamp"), F.lit(None).cast("string")
+    return Catalog(
+        rows.select(resource_id.alias("id"), F.lit("file").alias("resource_type"),
+                    scan_key().alias("title"), F.lit("{}").alias("metadata"),
+                    at.alias("created_at"), at.alias("updated_at")),
+        rows.select(blob_id.alias("id"), resource_id.alias("asset_id"),
+                    F.sha2(scan_key(), 256).alias("hash"),
+                    F.lit(None).cast("bigint").alias("size"),
+                    F.lit("image/jpeg").alias("mime_type")),
+        rows.select(fn.uuid_text(F.lit("source"), scan_key()).alias("id"),
+                    blob_id.alias("blob_id"), F.lit("immich").alias("provider"),
+                    scan_key().alias("external_id"), none.alias("path"), none.alias("name"),
+                    none.alias("version_tag"), F.lit("{}").alias("metadata"),
+                    F.lit(True).alias("is_active"),
+                    F.lit(None).cast("timestamp").alias("deleted_at")))
+
+
 def ocr_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One landed OCR response per photo: the lines of the document with its number."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    status = (F.when(F.col("label") == 9, 404).when(F.col("label") == 8, 503)
-              .when(F.col("label") == 7, 302).otherwise(200))
+    """The landed OCR responses of the scans: the lines of their document; of every ten one is
+    not found, one not available, one moved and one not landed."""
+    kind = F.pmod("doc_id", F.lit(10))
+    status = F.when(kind == 9, 404).when(kind == 8, 503).when(kind == 7, 302).otherwise(200)
     regions = F.transform(F.split("text", "\n"), lambda l: F.struct(l.alias("text")))
-    return table(spark, sf_dir, "embeddings").join(docs, "vec_id").select(
-        F.concat(F.lit("img-"), F.col("vec_id").cast("string")).alias("locator"),
-        status.alias("status"), F.to_json(regions).alias("body"))
+    return table(spark, sf_dir, "documents").filter(kind != 6).select(
+        scan_key().alias("locator"), status.alias("status"), F.to_json(regions).alias("body"))
 
 
 def text_excerpts(spark, sf_dir) -> ex.TextExcerpt:
@@ -267,9 +291,8 @@ def text_excerpts(spark, sf_dir) -> ex.TextExcerpt:
 
 def file_modified(spark: SparkSession, sf_dir: str) -> ex.FileModified:
     """The extractor for photos and for every source that the documents name."""
-    rows = table(spark, sf_dir, "documents").select("source").distinct().collect()
-    named = {r.source for r in rows if r.source is not None}
-    return ex.FileModified(http_providers=tuple(sorted(named - set(ex.FileModified.iso_providers))))
+    return ex.FileModified(http_providers=table(spark, sf_dir, "documents").select(
+        F.col("source").alias("provider")))
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:

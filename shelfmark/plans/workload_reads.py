@@ -55,21 +55,19 @@ def transcript(spark, sf_dir):
     return tn.transcript(rows, cited)
 
 
-@register("statement_history", f"""WITH {LABELS}, first AS (SELECT min(id) AS id FROM changed)
+@register("statement_history", f"""WITH {LABELS}
     SELECT {o.ref('id')} AS resource_ref, predicate, value,
       id NOT IN (SELECT id FROM changed) AS is_current, TIMESTAMP '2025-06-01' AS created_at
-      FROM old WHERE id = (SELECT id FROM first)
+      FROM old
     UNION ALL SELECT {o.ref('id')}, predicate, value, TRUE, TIMESTAMP '2025-07-01' FROM new
-      WHERE id = (SELECT id FROM first)""")
+      WHERE id IN (SELECT id FROM changed)""")
 def statement_history(spark, sf_dir):
-    """Every statement, past ones too, about the first resource whose labels changed."""
+    """Every statement, past ones too, about every labelled resource."""
     old, new = bind.label_statements(spark, sf_dir), bind.label_drafts(spark, sf_dir, True)
     batch = old.select(F.col("subject_asset_id").alias("resource_id")).distinct()
-    covered = tuple(bind.LABEL_PREDICATES)
-    done = pub.publish(old, new, batch, bind.LABELLER, covered, bind.SECOND_RUN)
-    changed = pub.changed_subjects(old, new, batch, bind.LABELLER, covered)
-    first = changed.agg(F.min("resource_id").alias("id")).first()["id"]
-    return pub.get_statements(done.statements, fn.REF_PREFIX + first, include_history=True).select(
+    done = pub.publish(old, new, batch, bind.LABELLER, tuple(bind.LABEL_PREDICATES),
+                       bind.SECOND_RUN)
+    return pub.statements_of(done.statements, batch, include_history=True).select(
         "resource_ref", "predicate", "value", "is_current", "created_at")
 
 
@@ -114,56 +112,55 @@ def seen_people(spark, sf_dir):
 
 FILTERS = ret.RichFilters(provider="immich", captured_from=utc(2022, 3, 1),
                           captured_to=utc(2022, 11, 1), required_predicates=("geo.country",))
-NEAREST = """nearest AS (SELECT * FROM (SELECT vec_id, label, row_number() OVER (
-        ORDER BY list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]) DESC,
+NEAREST = """nearest AS (SELECT * FROM (SELECT query_id, vec_id, label, row_number() OVER (
+        PARTITION BY query_id ORDER BY list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]) DESC,
           'img-' || vec_id) AS rank
-      FROM embeddings, (SELECT arg_min(embedding, vec_id) AS v FROM embeddings WHERE label = 0))
-      WHERE rank <= 50)"""
+      FROM embeddings, (SELECT CAST(label AS BIGINT) AS query_id, arg_min(embedding, vec_id) AS v
+        FROM embeddings GROUP BY label)) WHERE rank <= 50)"""
 FLAGGED = f"""{PHOTOS}, {NEAREST},
-    flagged AS (SELECT rank, resource_id, captured, label <> 0 AND captured >= TIMESTAMP '2022-03-01'
+    flagged AS (SELECT query_id, rank, resource_id, captured, label <> 0 AND captured >= TIMESTAMP '2022-03-01'
         AND captured < TIMESTAMP '2022-11-01' AS f1, pair AS f2
       FROM nearest JOIN photos USING (vec_id, label))"""
 
 
 def _semantic_funnel(spark, sf_dir):
     catalog = bind.catalog(spark, sf_dir)
-    query = _query_vectors(spark, sf_dir).filter("query_id = 0")
-    found = ret.retrieve_semantic(catalog, _vectors(spark, sf_dir), query, "immich",
-                                  ret.CANDIDATE_LIMIT)
+    found = ret.retrieve_semantic(catalog, _vectors(spark, sf_dir), _query_vectors(spark, sf_dir),
+                                  "immich", ret.CANDIDATE_LIMIT)
     return ret.funnel(catalog, bind.statements(spark, sf_dir), ret.semantic_candidates(found),
                       FILTERS, 20, "provider_semantic_primary")
 
 
 @register("semantic_funnel_hits", f"""WITH {FLAGGED}
-    SELECT {o.ref('resource_id')} AS resource_ref, CAST(rank AS INTEGER) AS source_rank,
+    SELECT query_id, {o.ref('resource_id')} AS resource_ref, CAST(rank AS INTEGER) AS source_rank,
       'media.captured_at,geo.country' AS matched, captured AS captured_at
-    FROM flagged WHERE f1 AND f2 ORDER BY rank LIMIT 20""")
+    FROM flagged WHERE f1 AND f2
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 20""")
 def semantic_funnel_hits(spark, sf_dir):
     return _semantic_funnel(spark, sf_dir).hits.select(
-        "resource_ref", "source_rank", F.array_join("matched_predicates", ",").alias("matched"),
+        "query_id", "resource_ref", "source_rank", F.array_join("matched_predicates", ",").alias("matched"),
         "captured_at")
 
 
-@register("semantic_funnel_stages", f"""WITH {FLAGGED}, n AS (SELECT count(*) AS a,
-      count(*) FILTER (WHERE f1) AS b, count(*) FILTER (WHERE f1 AND f2) AS c FROM flagged)
-    SELECT 0 AS position, 'provider_semantic_primary' AS stage, 0 AS input_count, a AS output_count
-      FROM n
-    UNION ALL SELECT 1, 'source_metadata_filter', a, a FROM n
-    UNION ALL SELECT 2, 'captured_at_filter', a, b FROM n
-    UNION ALL SELECT 3, 'required_predicates_filter', b, c FROM n
-    UNION ALL SELECT 4, 'final_limit', c, least(c, 20) FROM n""")
+@register("semantic_funnel_stages", f"""WITH {FLAGGED}, n AS (SELECT query_id, count(*) AS a,
+      count(*) FILTER (WHERE f1) AS b, count(*) FILTER (WHERE f1 AND f2) AS c FROM flagged
+      GROUP BY query_id)
+    SELECT query_id, 0 AS position, 'provider_semantic_primary' AS stage, 0 AS input_count,
+      a AS output_count FROM n
+    UNION ALL SELECT query_id, 1, 'source_metadata_filter', a, a FROM n
+    UNION ALL SELECT query_id, 2, 'captured_at_filter', a, b FROM n
+    UNION ALL SELECT query_id, 3, 'required_predicates_filter', b, c FROM n
+    UNION ALL SELECT query_id, 4, 'final_limit', c, least(c, 20) FROM n""")
 def semantic_funnel_stages(spark, sf_dir):
     return _semantic_funnel(spark, sf_dir).stages
 
 
 @register("typed_backfill", f"""WITH {o.CATALOG}
-    SELECT id, 'file' AS resource_type, title, created_at FROM resources
-    WHERE resource_type = 'file'""")
+    SELECT id, 'file' AS resource_type, title, created_at FROM resources""")
 def typed_backfill(spark, sf_dir):
-    """File resources stored before resources had a type, brought to the current schema."""
-    files = bind.catalog(spark, sf_dir).resources.filter(F.col("resource_type") == "file")
-    return tables.backfill_resource_type(files.drop("resource_type")).select(
-        "id", "resource_type", "title", "created_at")
+    """Resources stored before resources had a type, brought to the current schema."""
+    old = bind.catalog(spark, sf_dir).resources.drop("resource_type")
+    return tables.backfill_resource_type(old).select("id", "resource_type", "title", "created_at")
 
 
 @register("recent_payload_rows", f"""WITH {o.CATALOG}, {o.JOINED},

@@ -54,7 +54,7 @@ def photo_pages(spark, sf_dir, page_size=PAGE_SIZE, listed=None):
         F.lit("}}")).alias("body"))
 
 
-@register("landed_photo_facts", """SELECT (vec_id // 100 + 1) * 1048576 + vec_id % 100 AS ordinal,
+@register("landed_photo_facts", """SELECT (vec_id // 100 + 1) * 4294967296 + vec_id % 100 AS ordinal,
       'img-' || vec_id AS external_id, 'IMG_' || vec_id || '.jpg' AS name,
       CASE WHEN label <> 6 THEN '/p/' || label END AS path,
       CASE WHEN label NOT IN (2, 3, 4, 5) THEN vec_id END AS size, 'u-' || label AS version_tag,
@@ -327,7 +327,7 @@ def stream_two_roots(spark, sf_dir):
 @register("stream_turn_fold", f"""WITH {FOLD}
     SELECT t.turn_id, t.arrival, a.arrival IS NOT NULL AS accepted, CASE
       WHEN a.arrival IS NULL THEN CASE WHEN coalesce(t.arrival > e.ended, FALSE)
-        THEN 'terminal event already published' ELSE 'sequence is not monotonic' END END AS reason
+        THEN 'turn_has_ended' ELSE 'out_of_sequence' END END AS reason
     FROM te t LEFT JOIN ends e USING (turn_id)
       LEFT JOIN accepted a ON a.turn_id = t.turn_id AND a.arrival = t.arrival""")
 def stream_turn_fold(spark, sf_dir):

@@ -103,18 +103,17 @@ def photo_statements(spark, sf_dir):
 
 
 @register("ocr_statements", f"""WITH words AS (
-      SELECT vec_id, label, list_aggregate(list_filter(list_transform(
+      SELECT doc_id, doc_id % 10 AS kind, list_aggregate(list_filter(list_transform(
         string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '[ \\t]+', ' ', 'g'))),
-        lambda l: l <> ''), 'string_agg', chr(10)) AS text
-      FROM embeddings LEFT JOIN documents ON doc_id = vec_id)
-    SELECT {o.uid("'resource|file|' || sha256('photo-' || vec_id)")} AS resource_id,
-      CASE WHEN text IS NULL THEN 'provider_unavailable' WHEN label = 9 THEN 'provider_not_found'
-        WHEN label = 8 THEN 'provider_unavailable' WHEN label = 7
-        THEN 'provider_invalid_response' END AS error_code,
-      CASE WHEN label < 7 THEN sha256({truncated('text', 8192, True)}) END AS digest FROM words""")
+        lambda l: l <> ''), 'string_agg', chr(10)) AS text FROM documents)
+    SELECT {o.uid("'resource|scan-' || doc_id")} AS resource_id,
+      CASE kind WHEN 9 THEN 'provider_not_found' WHEN 8 THEN 'provider_unavailable'
+        WHEN 7 THEN 'provider_invalid_response' WHEN 6 THEN 'provider_unavailable' END AS error_code,
+      CASE WHEN kind < 6 THEN sha256({truncated('text', 8192, True)}) END AS digest FROM words""")
 def ocr_statements(spark, sf_dir):
+    """One scan per document: what OCR read of every text."""
     extractor = ex.PhotoOcr(bind.ocr_payloads(spark, sf_dir))
-    inputs = extractor.inputs(bind.catalog(spark, sf_dir))
+    inputs = extractor.inputs(bind.scan_catalog(spark, sf_dir))
     drafts = extractor.drafts(inputs.filter("error_code is null"))
     return inputs.select("resource_id", "error_code").join(
         drafts.select("resource_id", F.sha2("string_value", 256).alias("digest")),

@@ -65,7 +65,7 @@ def turn_fold(spark, sf_dir):
 
 @register("turn_rejections", f"""WITH {FOLD}
     SELECT t.turn_id, t.arrival, t.sequence, CASE WHEN coalesce(t.arrival > e.ended, FALSE)
-      THEN 'terminal event already published' ELSE 'sequence is not monotonic' END AS reason
+      THEN 'turn_has_ended' ELSE 'out_of_sequence' END AS reason
     FROM te t LEFT JOIN ends e USING (turn_id) WHERE NOT EXISTS (
       SELECT 1 FROM accepted a WHERE a.turn_id = t.turn_id AND a.arrival = t.arrival)""")
 def turn_rejections(spark, sf_dir):
@@ -90,7 +90,7 @@ def turn_replay(spark, sf_dir):
 
 @register("event_violations", f"""WITH {EVENTS}
     SELECT turn_id, arrival, CASE WHEN operation_id NOT BETWEEN 1 AND 32
-        THEN 'invalid tool event payload' ELSE 'invalid tool completion duration' END AS violation
+        THEN 'bad_tool_fields' ELSE 'bad_duration' END AS violation
     FROM te WHERE operation_id NOT BETWEEN 1 AND 32 OR duration_ms NOT BETWEEN 0 AND 600000""")
 def event_violations(spark, sf_dir):
     return bind.turn_events(spark, sf_dir).select(

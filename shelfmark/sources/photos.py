@@ -29,7 +29,8 @@ RELATION_PAGE = T.StructType([
     T.StructField("page", T.LongType()),
     T.StructField("assets", PAGE["assets"].dataType),
 ])
-PAGE_SHIFT = 1 << 20
+#: Places of a page; an array holds fewer.
+PAGE_SHIFT = 1 << 32
 
 
 def read_pages(spark: SparkSession, path: str, schema: T.StructType = PAGE) -> DataFrame:

@@ -115,9 +115,9 @@ class TurnFold(StatefulProcessor):
         for row in events.itertuples() if events is not None else ():
             reason, number = None, _number(row.sequence)
             if terminal is not None:
-                reason = "terminal event already published"
+                reason = "turn_has_ended"
             elif number != last + 1:
-                reason = "sequence is not monotonic"
+                reason = "out_of_sequence"
             else:
                 last = number
                 phase = _name(row.phase) or phase

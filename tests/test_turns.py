@@ -40,9 +40,9 @@ def simulate(rows):
     for r in sorted(rows, key=lambda r: r[1]):
         last, ended = state.get(r[0], (0, False))
         if ended:
-            reasons[r[1]] = "terminal event already published"
+            reasons[r[1]] = "turn_has_ended"
         elif r[2] != last + 1:
-            reasons[r[1]] = "sequence is not monotonic"
+            reasons[r[1]] = "out_of_sequence"
         else:
             accepted.add(r[1])
             state[r[0]] = (r[2], r[3] in tn.TERMINAL)
@@ -248,18 +248,18 @@ def test_event_rules(spark):
     cases = [
         (event("t", 1, 1, "turn.completed", resource_refs=[good]), None),
         (event("t", 2, 1, "turn.completed", resource_refs=[good, good]),
-         "invalid completed resource refs"),
+         "bad_refs"),
         (event("t", 3, 1, "turn.completed", resource_refs=["x"]),
-         "invalid completed resource refs"),
+         "bad_refs"),
         (event("t", 4, 1, "turn.failed", resource_refs=[good]),
-         "resource refs require a completed turn"),
-        (event("t", 5, 1, "message.delta", operation_id=1), "tool payload requires a tool event"),
+         "refs_without_completion"),
+        (event("t", 5, 1, "message.delta", operation_id=1), "tool_fields_without_tool"),
         (event("t", 6, 1, "tool.started", **tool), None),
         (event("t", 7, 1, "tool.started", **{**tool, "operation_id": 33}),
-         "invalid tool event payload"),
+         "bad_tool_fields"),
         (event("t", 8, 1, "tool.started", **tool, duration_ms=1),
-         "tool start cannot contain duration"),
-        (event("t", 9, 1, "tool.completed", **tool), "invalid tool completion duration"),
+         "duration_at_start"),
+        (event("t", 9, 1, "tool.completed", **tool), "bad_duration"),
         (event("t", 10, 1, "tool.completed", **tool, duration_ms=600_000), None)]
     rows = spark.createDataFrame([c[0] for c in cases], TURN_EVENTS).select(
         "arrival", tn.event_violation().alias("v")).orderBy("arrival").collect()
