@@ -8,9 +8,9 @@ would pass the total budget, so every source stops within a document of its targ
 Sources weigh in cyclic order of their names by code point, null last. A target is never above
 `most` times the source's size; what that leaves over goes to the others by weight.
 
-Null texts and texts without words have size 0 and are taken 0 words of. Rows that agree in id,
-text and source are sent together, so they share one decision. A source without words has target
-0. An empty table gives no rows.
+Null texts and texts without words have size 0 and are taken 0 words of. Every row is sent by
+itself, also one of many equal ones; which of equal rows is taken does not show. Very long texts
+are counted whole. A source without words has target 0. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -64,69 +64,63 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
-        most: int = 2, text: str = "text") -> DataFrame:
-    """One row per document: `doc_id, _id, _th, source, size, source_size, target, copies, taken`.
+        most: int = 2, text: str = "text", row: str | None = None) -> DataFrame:
+    """One row per document: `doc_id, _id, _th, source, size, source_size, target, copies, taken`,
+    and `_row`, the number in column `row` or one of its own.
 
     `copies` says how often the document is in the mix.
     """
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
     rows = materialise(
-        keyed(docs.select("doc_id", text, F.col("source").alias("source")), text, ["source"])
+        keyed(docs.select("doc_id", text, F.col("source").alias("source"), number.alias("_row")),
+              text, ["source", "_row"])
         .withColumn("size", word_count(F.col("_text"))).drop("_text"), "mix-rows")
-    key = ["_id", "_th", "source"]
-    sent = rows.groupBy(*key).agg(F.first("size").alias("size"), F.count("*").alias("_rows"))
-    sent = sent.withColumns({
-        "_words": F.col("size") * F.col("_rows"),
-        "_order": F.xxhash64("_id", "_th", F.lit(ORDER_SEED))})
+    sent = rows.withColumn("_order", F.xxhash64("_id", "_th", F.lit(ORDER_SEED)))
     wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")),
                      weights, share, most)
-    queued = running_totals(sent, ["source"], ["_order", "_id", "_th"], {"_sent": "_words"},
-                            "mix-queues")
+    place = ["_order", "_id", "_th", "_row"]
+    queued = running_totals(sent, ["source"], place, {"_sent": "size"}, "mix-queues")
     queued = materialise(
         queued.join(wanted.withColumnRenamed("source", "_source"),
                     F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), "mix-sent")
 
     def finish(turn: Column) -> Column:
-        words = turn * F.col("source_size") + F.col("_sent") + F.col("_words")
+        words = turn * F.col("source_size") + F.col("_sent") + F.col("size")
         return F.when(F.col("target") > 0, words / F.col("target")).otherwise(F.lit(0.0))
 
     turns = queued.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    tie = ["_turn", "_order", "_id", "_th", "source"]
+    tie = ["_turn", *place, "source"]
     stream = running_totals(
-        turns.select(finish(F.col("_turn")).alias("_finish"), *tie, "_words"),
-        [], ["_finish", *tie], {"_before": "_words"}, "mix-stream")
+        turns.select(finish(F.col("_turn")).alias("_finish"), *tie, "size"),
+        [], ["_finish", *tie], {"_before": "size"}, "mix-stream")
     budget = wanted.agg(F.sum("target").alias("b")).first().b or 0.0
     # The sum of the targets is the budget up to rounding; words are whole.
-    cut = (stream.filter(F.col("_before") + F.col("_words") > F.lit(round(budget)))
+    cut = (stream.filter(F.col("_before") + F.col("size") > F.lit(round(budget)))
            .select(F.struct("_finish", *tie).alias("k")).agg(F.min("k").alias("k")).first().k)
     taken = [F.lit(1)] * most
     if cut is not None:
         def before(turn: int) -> Column:
             mine = F.struct(finish(F.lit(turn)).alias("_finish"), F.lit(turn).alias("_turn"),
-                            "_order", "_id", "_th", "source")
+                            *place, "source")
             end = F.struct(*[F.lit(cut[c]).cast(stream.schema[c].dataType).alias(c)
                              for c in ["_finish", *tie]])
             return F.when(mine < end, 1).otherwise(0)
         taken = [before(t) for t in range(most)]
-    decided = queued.withColumn("copies", sum(taken[1:], taken[0])).select(
-        *[F.col(c).alias(f"k{c}") for c in key], "source_size", "target", "copies")
-    decided = materialise(decided, "mix-decided")
-    on = (rows["_id"].eqNullSafe(decided["k_id"]) & (rows["_th"] == decided["k_th"])
-          & rows["source"].eqNullSafe(decided["ksource"]))
-    return rows.join(decided, on).select(
-        F.col("_id").alias("doc_id"), *key, "size", "source_size", "target", "copies",
-        (F.col("size") * F.col("copies")).alias("taken"))
+    return queued.withColumn("copies", sum(taken[1:], taken[0])).select(
+        F.col("_id").alias("doc_id"), "_id", "_th", "source", "_row", "size", "source_size",
+        "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
           most: int = 2, text: str = "text") -> DataFrame:
-    """The mix itself: every document as often as it is taken."""
-    decided = mix(docs, weights, share, most, text).filter("copies > 0").select(
-        F.col("_id").alias("_kid"), F.col("_th").alias("_kth"), F.col("source").alias("_ksource"),
-        "copies").distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-                       F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
-                       F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th"))
-    on = (rows["_id"].eqNullSafe(decided["_kid"]) & (rows["_th"] == decided["_kth"])
-          & rows["_source"].eqNullSafe(decided["_ksource"]))
-    return rows.join(decided, on).select(
-        "_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+    """The mix itself: every document as often as it is taken. The rows are written once with a
+    number, by which they meet their decision."""
+    rows = materialise(docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"),
+        F.monotonically_increasing_id().alias("_number")), "mix-documents")
+    plain = rows.select(F.col("_whole.doc_id").alias("doc_id"), F.col("_whole.source")
+                        .alias("source"), F.col(f"_whole.`{text}`").alias(text), "_number")
+    decided = mix(plain, weights, share, most, text, "_number").filter("copies > 0").select(
+        F.col("_row").alias("_number"), "copies")
+    return rows.join(decided, "_number").select(
+        "_whole", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_whole.*")

@@ -74,18 +74,18 @@ def op5_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""
     WITH good AS (
-        SELECT vec_id, embedding AS raw, list_transform(embedding, lambda x:
+        SELECT vec_id, row_number() OVER () AS place, list_transform(embedding, lambda x:
             CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
         FROM embeddings
         WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x:
             x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
     scored AS (
-        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(
+        SELECT q.place AS query, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(
             list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-        FROM good q JOIN good c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+        FROM good q JOIN good c ON c.place <> q.place WHERE q.vec_id % 50 = 0),
     ranked AS (
         SELECT query_id, vec_id, score, CAST(row_number() OVER (
-            PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+            PARTITION BY query ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM scored)
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""")
 def op6_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet")

@@ -5,8 +5,9 @@ conjunction of thresholds on statistics. A logistic model with an L1 penalty wei
 the clipped statistics; most weights end at zero. What is left is compiled into one Spark column
 expression, so scoring is a projection.
 
-The sample is bounded by `SAMPLE` rows, the labelled documents with the smallest hashes; all else
-covers every row. Null and empty texts have all statistics zero and get a score like any other.
+The sample is bounded at about `SAMPLE` rows: labelled ids, and of these documents, are chosen by
+a hash threshold that follows from their number; all else covers every row. Very long texts are
+scored whole. Null and empty texts have all statistics zero and get a score like any other.
 Rows with equal text get equal scores. Without labels of both classes the score is the smoothed
 share of label 1 for every row. An empty table gives no rows.
 """
@@ -179,39 +180,45 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 != 0, F.lit(False))
 
 
-def _learn(stats: DataFrame, labels: DataFrame, label: str) -> Model:
-    """Fit on the labelled rows of smallest hash; at most SAMPLE short rows are collected."""
-    known = labels.select(F.col("doc_id").alias("_lid"), F.col(label).cast("int").alias("_y")) \
-        .filter(F.col("_y").isin(0, 1) & in_training(F.col("_lid")))
-    sample = (stats.join(known, stats["_id"] == known["_lid"])
-              .orderBy(F.xxhash64("_id", "_th"), "_id", "_th", "_y").limit(SAMPLE)
-              .select("_y", *FEATURES).toPandas())
+def _learn(docs: DataFrame, labels: DataFrame, label: str, text: str) -> Model:
+    """Fit on the documents of at most about SAMPLE labelled ids, chosen by a hash.
+
+    The ids are chosen among the labels first: the chosen ones are few enough to be broadcast, and
+    only their documents are read for statistics. Equal rows count once.
+    """
+    known = materialise(
+        labels.select(F.col("doc_id").alias("_lid"), F.col(label).cast("int").alias("_y"))
+        .filter(F.col("_y").isin(0, 1) & in_training(F.col("_lid"))).distinct(), "rule-labels")
+    share = min(1.0, SAMPLE / max(1, known.count()))
+    chosen = known.filter(F.pmod(F.xxhash64("_lid"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col(text).alias("_text"),
+                       F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th"))
+    rows = rows.join(F.broadcast(chosen), rows["_id"] == F.col("_lid")).dropDuplicates(
+        ["_id", "_th", "_y"])
+    rows = materialise(rows.select("_id", "_th", "_y", statistics(F.col("_text")).alias("_s"))
+                       .select("_id", "_th", "_y", "_s.*"), "rule-sample")
+    # An id may have very many texts.
+    share = min(1.0, SAMPLE / max(1, rows.count()))
+    sample = rows.filter(F.pmod(F.xxhash64("_id", "_th"), F.lit(1 << 30)) < int(
+        share * (1 << 30))).toPandas().sort_values(["_id", "_th", "_y"])
     return fit(sample[FEATURES].to_numpy(float), sample["_y"].to_numpy(int))
 
 
-def _keyed_statistics(docs: DataFrame, text: str) -> DataFrame:
-    body = F.coalesce(F.col(text), F.lit(""))
-    return materialise(
-        docs.select(F.col("doc_id").alias("_id"), F.xxhash64(body).alias("_th"),
-                    statistics(F.col(text)).alias("_s")).select("_id", "_th", "_s.*"),
-        "rule-statistics")
-
-
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text",
              threshold: float = 0.3) -> DataFrame:
     """One row per document: `doc_id, _id, _th, held_out, score, predicted`."""
-    stats = _keyed_statistics(docs, text)
-    model = _learn(stats, labels, label)
-    score = model.score({f: F.col(f) for f in FEATURES})
-    return stats.select(
-        F.col("_id").alias("doc_id"), "_id", "_th", (~in_training(F.col("_id"))).alias("held_out"),
-        score.alias("score")).withColumn(
+    model = _learn(docs, labels, label, text)
+    score = let(statistics(F.col(text)), lambda s: model.score({f: s[f] for f in FEATURES}))
+    return docs.select(
+        "doc_id", F.col("doc_id").alias("_id"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th"),
+        (~in_training(F.col("doc_id"))).alias("held_out"), score.alias("score")).withColumn(
         "predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text",
              threshold: float = 0.3) -> DataFrame:
     """The documents whose score reaches the threshold, scored where they are read."""
-    model = _learn(_keyed_statistics(docs, text), labels, label)
+    model = _learn(docs, labels, label, text)
     score = let(statistics(F.col(text)), lambda s: model.score({f: s[f] for f in FEATURES}))
     return docs.filter(score >= threshold)

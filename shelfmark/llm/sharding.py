@@ -2,14 +2,14 @@
 
 Documents with equal text form one group, which stays together. Starting with all groups, a node
 is split at the weighted median along the metadata dimension that is widest in it, until every
-leaf holds its share of the bytes. Dimensions: text size (logarithm), source and language (by
-code point). A hash of the text orders groups that a dimension does not tell apart, so a source
+leaf holds its share of the bytes. Dimensions: text size (logarithm), source and language (place
+among all values, by code point). A hash of the text orders groups that a dimension does not tell apart, so a source
 that holds most rows can still be cut.
 
 The median is found without collecting rows: its bits are fixed fourteen at a time, each time by
 the summed weights of 2^14 bins per node.
 
-Null texts are empty (size 1). A null source or language lies at the low end of its dimension.
+Null texts are empty (size 1); very long texts are measured whole. A null source or language lies at the low end of its dimension.
 Repeated rows share a shard and have slots of their own. A group larger than a leaf's share makes
 its shard that much larger. An empty table gives no rows.
 """
@@ -26,22 +26,24 @@ from shelfmark.llm.common import materialise, running_totals
 COORD_BITS, HASH_BITS, ROUND_BITS = 24, 32, 14
 ROUNDS = (COORD_BITS + HASH_BITS) // ROUND_BITS
 GROUP = ["_th", "text_crc32", "size"]
-#: Leading bytes of a string that place it in its dimension.
-PREFIX = 6
 
 
-def _text_coordinate(col: Column) -> Column:
-    lead = F.rpad(F.substring(F.encode(F.coalesce(col, F.lit("")), "UTF-8"), 1, PREFIX),
-                  PREFIX, F.lit(b"\x00"))
-    return F.conv(F.hex(lead), 16, 10).cast("double")
+def _ranked(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Add `name`: the place of the row's value among all distinct values, by code point."""
+    values = rows.select(F.col(column).alias("_value")).distinct().withColumn(
+        "_one", F.lit(1).cast("long"))
+    placed = running_totals(values, [], ["_value"], {name: "_one"}, f"kd-{column}").select(
+        "_value", F.col(name).cast("double").alias(name))
+    return rows.join(placed, rows[column].eqNullSafe(placed["_value"])).drop("_value", column)
 
 
 def _measured(docs: DataFrame, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(
+    rows = materialise(docs.select(
         "doc_id", (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.xxhash64(body).alias("_th"),
-        _text_coordinate(F.col("source")).alias("d1"), _text_coordinate(F.col("lang")).alias("d2"))
+        F.col("source").alias("_source"), F.col("lang").alias("_lang")), "kd-measured")
+    return _ranked(_ranked(rows, "_source", "d1"), "_lang", "d2")
 
 
 def _groups(rows: DataFrame) -> tuple[DataFrame, int]:

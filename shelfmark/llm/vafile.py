@@ -1,22 +1,25 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Vectors are whole numbers: floor(256 * component). Blocks of vectors meet blocks of queries in
-tasks of bounded size. A block keeps, for every component, one of 256 equal cells between the
-block's least and greatest value. Scanning the cells bounds each inner product from both sides;
-exact vectors are then read in order of the upper bound until the k-th best exact score is above
-every bound left. The best of all blocks are merged per query.
-
-Vectors that are null or hold a null or non-finite component take no part. Only vectors of equal
-length are compared. Rows equal in id and vector count once; a query is not matched with rows of
-its own id. A null id is no query and ranks after all others on ties. Ties go to the smaller id;
-fewer than k candidates give fewer rows; an empty table gives none. Scores beyond 64 bits stop at
-the largest or smallest long.
+Vectors are whole numbers: floor(256 * component). They are written once to approximation files, one
+row per block of vectors: of every component one byte, the number of its cell between the block's
+least and greatest value, beside the cells' bounds. A scan of the files bounds each inner product from
+both sides; a block gives, per query, the rows that its own k best lower bounds do not rule out.
+The k-th best lower bound over all blocks then rules out most of these, and only what is left is
+joined with exact vectors and scored exactly. No bound is trusted beyond its rounding error, so the
+k-th result is certain.
+
+Every row is a candidate for every query but itself, rows with equal ids and equal vectors included;
+of equal vectors only the k + 1 that come first on ties can be among the best, and only these are
+written to the files. Vectors that are null or hold a null or non-finite component take no part.
+Only vectors of equal length are compared. A null id is no query and ranks after all others on ties.
+Ties go to the smaller id; fewer than k candidates give fewer rows; an empty table gives none. Scores
+beyond 64 bits stop at the largest or smallest long. Very long vectors are worked on whole.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,55 +28,93 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import materialise
 
-
 BLOCK = 1024
 CELLS = 256
-#: Sums below this are exact in double precision.
-EXACT = 2.0 ** 52
 LONG = np.iinfo(np.int64)
+FILE = "_dim int, _vb int, rows array<long>, low array<double>, width array<double>, cells binary"
+FOUND = "_q long, _row long, lower double, upper double"
 
 
 def whole(rows: np.ndarray) -> np.ndarray:
-    """floor(256 * x): long where every later sum is exact in doubles, else Python integers."""
-    if rows.size == 0 or (np.abs(rows).max() * 256 + 1) ** 2 * max(1, rows.shape[1]) < EXACT:
-        return np.floor(256.0 * rows).astype(np.int64)
-    return np.array([[math.floor(256 * x) if abs(x) < 2.0 ** 40 else 256 * int(x) for x in r]
-                     for r in rows.tolist()], object).reshape(rows.shape)
+    """floor(256 * x) as doubles, which hold it exactly."""
+    return np.floor(256.0 * rows)
+
+
+def approximate(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least value and cell width of every component, and the cells of all rows."""
+    low, high = rows.min(axis=0), rows.max(axis=0)
+    width = np.nextafter(high / CELLS - low / CELLS, np.inf)
+    with np.errstate(all="ignore"):
+        cells = np.floor((rows - low) / np.where(width > 0, width, 1.0))
+    return low, width, np.clip(np.nan_to_num(cells), 0, CELLS - 1).astype(np.uint8)
 
 
-def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray,
-                 k: int) -> list[list[int]]:
-    """Row numbers of the k best vectors of the block for every query.
+def bounds(queries: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray
+           ) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest inner product of every query with every row of cells.
 
-    `own[q]` is the id whose rows the query is not matched with. Ids ascend, so that the first
-    of equal scores is the smallest id.
+    Cell numbers may be off by one at an edge and sums are rounded: the bounds are wide enough
+    for both. What overflows bounds nothing.
     """
-    exact = vectors.dtype == object or queries.dtype == object
-    kind = object if exact else np.float64
-    low, high = vectors.min(axis=0), vectors.max(axis=0)
-    width = (high - low) // CELLS + 1
-    cells = ((vectors - low) // width).astype(np.uint8)
-    q, w = queries.astype(kind), width.astype(kind)
-    edge = (q @ low.astype(kind))[:, None] + (q * w) @ cells.astype(kind).T
-    reach = q * (w - 1)
-    upper = edge + np.maximum(reach, 0).sum(axis=1)[:, None]
-    lower = edge + np.minimum(reach, 0).sum(axis=1)[:, None]
-    out = []
-    for n in range(len(queries)):
-        allowed = np.flatnonzero(ids != own[n])
-        if len(allowed) > k:
-            bound = np.sort(lower[n, allowed])[-k]
-            allowed = allowed[upper[n, allowed] >= bound]
-        order = allowed[np.argsort(-upper[n, allowed], kind="stable")]
-        best: list[tuple] = []
-        for at in range(0, len(order), 16):
-            part = order[at:at + 16]
-            if len(best) >= k and best[k - 1][0] < -upper[n, part[0]]:
-                break
-            scores = vectors[part].astype(kind) @ q[n]
-            best = sorted(best + [(-s, r) for s, r in zip(scores.tolist(), part.tolist())])[:k]
-        out.append([r for _, r in best])
-    return out
+    with np.errstate(all="ignore"):
+        inner = (queries @ low)[:, None] + (queries * width) @ cells.astype(np.float64).T
+        reach = queries * width
+        over = 2 * np.maximum(reach, 0).sum(axis=1) - np.minimum(reach, 0).sum(axis=1)
+        under = 2 * np.minimum(reach, 0).sum(axis=1) - np.maximum(reach, 0).sum(axis=1)
+        size = np.abs(queries) @ (np.abs(low) + (CELLS + 1) * width)
+        slack = size * (len(low) + 16) * 2.0 ** -50
+        upper = inner + (over + slack)[:, None]
+        lower = inner + (under - slack)[:, None]
+    return (np.where(np.isfinite(lower), lower, -np.inf),
+            np.where(np.isfinite(upper), upper, np.inf))
+
+
+def _write_block(part: pd.DataFrame) -> pd.DataFrame:
+    low, width, cells = approximate(whole(np.stack(part["embedding"].to_numpy())))
+    return pd.DataFrame([(int(part["_dim"].iloc[0]), int(part["_vb"].iloc[0]),
+                          part["_row"].to_numpy(), low, width, cells.tobytes())],
+                        columns=["_dim", "_vb", "rows", "low", "width", "cells"])
+
+
+def _scan(k: int):
+    """Rows of a block of the file that its bounds leave open, for each query of a block."""
+    def run(file: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(file) and len(asked):
+            queries = whole(np.stack(asked["embedding"].to_numpy()))
+            own = asked["_row"].to_numpy(np.int64)
+            for block in file.itertuples():
+                rows = np.asarray(block.rows, np.int64)
+                cells = np.frombuffer(block.cells, np.uint8).reshape(len(rows), -1)
+                lower, upper = bounds(queries, np.asarray(block.low), np.asarray(block.width),
+                                      cells)
+                for n, me in enumerate(own):
+                    open_ = np.flatnonzero(rows != me)
+                    if len(open_) > k:
+                        bar = np.partition(lower[n, open_], -k)[-k]
+                        open_ = open_[upper[n, open_] >= bar]
+                    out.append(pd.DataFrame({"_q": me, "_row": rows[open_],
+                                             "lower": lower[n, open_], "upper": upper[n, open_]}))
+        return pd.concat(out) if out else pd.DataFrame(
+            {n: pd.Series(dtype=t) for n, t in (("_q", "int64"), ("_row", "int64"),
+                                                ("lower", "float64"), ("upper", "float64"))})
+    return run
+
+
+def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Inner products as Python integers where doubles would round, within the range of long."""
+    for batch in batches:
+        score = []
+        for a, b in zip(batch["asked"], batch["embedding"]):
+            a, b = whole(np.asarray(a, np.float64)), whole(np.asarray(b, np.float64))
+            if len(a) == 0 or np.abs(a).max() * np.abs(b).max() * len(a) < 2.0 ** 52:
+                score.append(int(a @ b))
+            else:
+                exact = sum(int(x) * int(y) for x, y in zip(a.tolist(), b.tolist()))
+                score.append(min(max(exact, int(LONG.min)), int(LONG.max)))
+        yield pd.DataFrame({"_q": batch["_q"], "query_id": batch["query_id"],
+                            "vec_id": batch["vec_id"].astype("Int64"), "_row": batch["_row"],
+                            "score": score})
 
 
 def _finite(vector: Column) -> Column:
@@ -81,30 +122,35 @@ def _finite(vector: Column) -> Column:
     return vector.isNotNull() & ~bad
 
 
-def _search(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "_qh", "vec_id", "score"]
-        if vectors.empty or queries.empty:
-            return pd.DataFrame({n: pd.Series(dtype="Int64") for n in names})
-        vectors = vectors.sort_values("vec_id", na_position="last")
-        ids = vectors["vec_id"].astype("Int64")
-        known = ids.fillna(LONG.min).to_numpy(np.int64)
-        rows = whole(np.stack(vectors["embedding"].to_numpy()).astype(np.float64))
-        asked = whole(np.stack(queries["embedding"].to_numpy()).astype(np.float64))
-        if rows.dtype != asked.dtype:
-            rows, asked = rows.astype(object), asked.astype(object)
-        own = queries["query_id"].to_numpy(np.int64)
-        # A null id equals no query; LONG.min marks it unless a query has that very id.
-        own_marks = np.where(own == LONG.min, LONG.max, own) if ids.isna().any() else own
-        found = search_block(rows, known, asked, own_marks, k)
-        flat = [(n, r) for n, hits in enumerate(found) for r in hits]
-        score = [min(max(int(sum(a * b for a, b in zip(asked[n].tolist(), rows[r].tolist()))),
-                         LONG.min), LONG.max) for n, r in flat]
-        return pd.DataFrame({
-            "query_id": [int(own[n]) for n, _ in flat],
-            "_qh": [int(queries["_qh"].iloc[n]) for n, _ in flat],
-            "vec_id": ids.iloc[[r for _, r in flat]].array, "score": score})
-    return run
+def _blocks(n: int) -> int:
+    return max(1, math.ceil(n / BLOCK))
+
+
+def open_pairs(rows: DataFrame, k: int) -> DataFrame:
+    """`_q, _row, lower, upper`: pairs of query row and candidate row that the bounds of all blocks
+    together leave open, from rows `_row, vec_id, embedding, _dim, _query`."""
+    first = Window.partitionBy("embedding").orderBy(F.col("vec_id").asc_nulls_last(), "_row")
+    kept = rows.select("_row", "vec_id", "embedding", "_dim").withColumn(
+        "_place", F.row_number().over(first)).filter(F.col("_place") <= k + 1)
+    kept = materialise(kept.drop("_place", "vec_id"), "va-rows")
+    counts = rows.agg(F.count_if("_query").alias("q")).first()
+    n_blocks, q_blocks = _blocks(kept.count()), _blocks(counts.q)
+    files = materialise(
+        kept.withColumn("_vb", F.pmod(F.xxhash64("_row"), F.lit(n_blocks)).cast("int"))
+        .groupBy("_dim", "_vb").applyInPandas(_write_block, FILE), "va-files")
+    # Files meet every block of queries, a byte a component; queries meet every file.
+    left = files.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    right = rows.filter("_query").select("_row", "embedding", "_dim").withColumns({
+        "_qb": F.pmod(F.xxhash64("_row"), F.lit(q_blocks)).cast("int"),
+        "_vb": F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))})
+    keys = ["_dim", "_vb", "_qb"]
+    found = materialise(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        _scan(k), FOUND), "va-bounds")
+    best = Window.partitionBy("_q").orderBy(F.col("lower").desc())
+    bar = (found.select("_q", "lower").withColumn("_n", F.row_number().over(best))
+           .filter(F.col("_n") == k).select("_q", F.col("lower").alias("bar")))
+    return found.join(bar, "_q", "left").filter(
+        F.col("bar").isNull() | (F.col("upper") >= F.col("bar"))).drop("bar")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
@@ -113,26 +159,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
     rows = materialise(
         vectors.select(F.col(vec_id).cast("long").alias("vec_id"),
                        F.col(embedding).cast("array<double>").alias("embedding"),
-                       F.coalesce(is_query, F.lit(False)).alias("_query"))
-        .filter(_finite(F.col("embedding"))).dropDuplicates(["vec_id", "embedding"])
-        .withColumns({"_dim": F.size("embedding"), "_qh": F.xxhash64("vec_id", "embedding")}),
-        "va-vectors")
-    counts = rows.agg(F.count("*").alias("n"), F.count_if("_query").alias("q")).first()
-    n_blocks, q_blocks = -(-counts.n // BLOCK) or 1, -(-counts.q // BLOCK) or 1
-
-    def dealt(block: str, n: int, other: str, m: int, df: DataFrame) -> DataFrame:
-        # Each row goes to its own block and meets every block of the other side.
-        return df.withColumns({
-            block: F.pmod("_qh", F.lit(n)).cast("int"),
-            other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
-
-    left = dealt("_vb", n_blocks, "_qb", q_blocks, rows.select("vec_id", "embedding", "_dim", "_qh"))
-    right = dealt("_qb", q_blocks, "_vb", n_blocks, rows.filter("_query").select(
-        F.col("vec_id").alias("query_id"), "embedding", "_dim", "_qh"))
-    keys = ["_dim", "_vb", "_qb"]
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        _search(k), "query_id long, _qh long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "_qh").orderBy(
-        F.col("score").desc(), F.col("vec_id").asc_nulls_last())
-    return (hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+                       F.coalesce(is_query & F.col(vec_id).isNotNull(), F.lit(False))
+                       .alias("_query"))
+        .filter(_finite(F.col("embedding"))).withColumns({
+            "_dim": F.size("embedding"), "_row": F.monotonically_increasing_id()}), "va-vectors")
+    pairs = materialise(open_pairs(rows, k).select("_q", "_row"), "va-open")
+    asked = rows.filter("_query").select(F.col("_row").alias("_q"), F.col("vec_id")
+                                         .alias("query_id"), F.col("embedding").alias("asked"))
+    scored = pairs.join(rows.select("_row", "vec_id", "embedding"), "_row").join(
+        asked, "_q").select("_q", "query_id", "asked", "_row", "vec_id", "embedding").mapInPandas(
+        _exact, "_q long, query_id long, vec_id long, _row long, score long")
+    best = Window.partitionBy("_q").orderBy(
+        F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "_row")
+    return (scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -187,3 +187,25 @@ def test_components_of_paths_and_stars(spark):
                    150: 150, 200: 150}
     none = graph.components(spark.createDataFrame([], "a long, b long"), "t")
     assert none.select(F.count("*")).first()[0] == 0
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_agree_modulo_powers_of_two(spark):
+    """Two documents that differ in one long Thue-Morse word share no window around it, and two
+    such words are two texts."""
+    one, two = thue_morse(2048, "ab"), thue_morse(2048, "ba")
+    rest = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(rest[:20] + [word] + rest[20:]), None, None, 0, *[None] * 5)
+            for i, word in enumerate((one, two))]
+    got = substring.remove_repeats(fx.documents(spark, rows)).collect()
+    assert [(r.n_words, r.n_removed) for r in got] == [(41, 0), (41, 0)]
+    rows = [(1, one, None, None, 0, *[None] * 5), (2, two, None, None, 0, *[None] * 5)]
+    got = neardup.near_duplicates(fx.documents(spark, rows)).collect()
+    assert sorted(r.component_id for r in got) == [1, 2]
+    rows = [(i, t, None, None, 0, *[None] * 5) for i, t in enumerate(
+        (thue_morse(1024, "ab"), thue_morse(1024, "ba")))]
+    got = suffixes.remove_repeats(fx.documents(spark, rows)).collect()
+    assert by_text(tuple(r) for r in got) == by_text(brute_bytes(rows))
