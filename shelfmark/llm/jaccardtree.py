@@ -52,8 +52,8 @@ LEAST = SHARED // (100 - SHARED)
 COUNTED = (1 << 64) // 6
 #: Sets that meet in one block.
 BLOCK = 512
-#: Sets that descend a tree at once.
-PROBES = 128
+#: Sets that descend a tree at once, and cells (shingles by sets) that this may take.
+PROBES, CELLS = 128, 1 << 22
 _STEP = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
 _FINGER = U64(0x165667B19E3779F9)
 _TOP = 1 << 63
@@ -212,8 +212,9 @@ def tree_links(cid: list[int], comp: list[int], sets: list[np.ndarray],
     size = np.array([len(r) for r in rows])
     tree = Tree(rows)
     out: list[tuple[int, int]] = []
-    for first in range(0, len(rows), PROBES):
-        probes = np.arange(first, min(first + PROBES, len(rows)))
+    at_once = max(1, min(PROBES, CELLS // (shared + 1)))
+    for first in range(0, len(rows), at_once):
+        probes = np.arange(first, min(first + at_once, len(rows)))
         held = np.zeros((shared + 1, len(probes)), np.uint8)
         for k, x in enumerate(probes):
             held[rows[x][rows[x] < shared] + 1, k] = 1
