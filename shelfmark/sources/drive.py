@@ -42,9 +42,11 @@ def read_entries(spark: SparkSession, path: str, listing: Column | None = None)
     rows = (spark.read.format("xml").schema(RESPONSE + f", {BROKEN} STRING")
             .option("rowTag", "d:response").option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", BROKEN).load(path))
-    return rows.select(
+    # Parsed once: facts and checks read the entries, not the files.
+    return materialise(rows.select(
         (_named_after(F.input_file_name()) if listing is None else listing).alias("listing_path"),
-        F.struct("`d:href`", "`d:propstat`").alias("r"), F.col(BROKEN).alias("broken"))
+        F.struct("`d:href`", "`d:propstat`").alias("r"), F.col(BROKEN).alias("broken")),
+        "listing-entries")
 
 
 def listing_files(spark: SparkSession, path: str, listing: Column | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ def sync_listing_files(spark: SparkSession, path: str, user: str, catalog: Catal
                        content: DataFrame | ContentSource | None = None,
                        provider: str = "nextcloud", listing: Column | None = None) -> Reconciled:
     """Sync a directory tree from landed listing files of any size, read entry by entry."""
-    rows = materialise(drive.read_entries(spark, path, listing), "listing-entries")
+    rows = drive.read_entries(spark, path, listing)
     _stop_on(drive.file_problems(rows, drive.listing_files(spark, path, listing), user))
     return sync_provider(drive.entry_facts(rows, user, provider), catalog, now, content,
                          complete=True)

@@ -61,10 +61,9 @@ def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def read_catalog(spark: SparkSession, root: str) -> Catalog:
-    tables = read_tables(spark, root)
-    if not tables:
-        return Catalog.empty(spark)
-    return Catalog(tables["resources"], tables["blobs"], tables["sources"])
+    """The newest catalog; a table that nothing was committed to is empty."""
+    return Catalog(**{**Catalog.empty(spark)._asdict(), **{
+        name: df for name, df in read_tables(spark, root).items() if name in Catalog._fields}})
 
 
 def worked_in(spark: SparkSession, root: str, stream: str, batch: int) -> str | None:

@@ -295,6 +295,42 @@ def test_documents_and_headers_read_what_is_worked_on(spark):
     assert len(values(pdf.drafts(ex.usable(pdf, catalog)))) == 2
 
 
+def test_table_function_extractor(spark):
+    import tempfile
+
+    from shelfmark.sources import enrichment, tables
+
+    class Shout:
+        """A table function that yields two drafts a text, one of them unusable for short ones."""
+
+        def eval(self, text):
+            yield ("text.loud", "string", text.upper(), None, None, None, "text", 0.5)
+            yield ("text.size", "integer", None, len(text) if len(text) > 3 else None, None, None,
+                   "text", None)
+
+    catalog, content = text_world(spark)
+    kinds = {"text.loud": ("string", "single"), "text.size": ("integer", "single")}
+    function = F.udtf(Shout, returnType=ex.UDTF_DRAFT, useArrow=True)
+    extractor = ex.TableFunctionExtractor(function, ex.TextExcerpt(content), Generator(
+        "custom", "shout", "1"), tuple(kinds))
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    registry = predicate_table(spark, kinds)
+    run = enrichment.run_stored(spark, root, extractor, T0, catalog=catalog, registry=registry)
+    assert tuple(run.totals.first()) == (3, 2, 0, 1, 3, 0)
+    rows = tables.read_statements(spark, root).withColumn("v", pub.value_text()).collect()
+    assert {(r["subject_asset_id"][-1], r["predicate"], r["v"]) for r in rows} == {
+        ("1", "text.loud", "ONE"), ("3", "text.loud", "THREE"), ("3", "text.size", "5")}
+    again = enrichment.run_stored(spark, root, extractor, T0 + timedelta(hours=1),
+                                  catalog=catalog, registry=registry)
+    assert tuple(again.totals.first()) == (3, 0, 2, 1, 0, 0)
+    # Another version of the function has another fingerprint and works anew.
+    newer = ex.TableFunctionExtractor(function, ex.TextExcerpt(content), Generator(
+        "custom", "shout", "2"), tuple(kinds))
+    prints = [e.inputs(catalog).filter(F.col("resource_id") == uid(1)).first()["fingerprint"]
+              for e in (extractor, newer)]
+    assert prints[0] != prints[1]
+
+
 def test_gate_and_families(spark):
     g = Fixed.generator
     inputs = spark.createDataFrame([(uid(i), "f" if i < 6 else None) for i in range(1, 7)],

@@ -231,6 +231,7 @@ def test_a_commit_writes_the_buckets_it_touches(spark):
     tables.merge(spark, root, "sources", changed)
     assert tables.read_catalog(spark, root).sources.count() == 2001
     # A bucket whose rows are all removed is empty.
+    live = tables.read_catalog(spark, root).sources
     gone = live.filter(tables.bucket_of("sources") == written[0]).select("id")
     tables.merge(spark, root, "sources", rows_of(spark, 0), removed=gone)
     assert tables.read_catalog(spark, root).sources.filter(
@@ -386,3 +387,117 @@ def test_broken_listings_change_nothing(spark):
                   landed((name, body), (name, body))):
         with pytest.raises(RuntimeError):
             sync.sync_listings(wrong, "me", first.catalog, T0, content)
+
+
+ENTRY = ("<d:response><d:href>/remote.php/dav/files/me/{path}</d:href><d:propstat><d:prop>"
+         "<oc:id>{id}</oc:id><d:resourcetype>{kind}</d:resourcetype><d:getetag>e</d:getetag>"
+         "<d:getcontentlength>{size}</d:getcontentlength></d:prop></d:propstat></d:response>")
+
+
+def listing(home, name, paths, end="</d:multistatus>", size="3"):
+    """A landed listing file: the directory itself, folders (ending in /) and files."""
+    from urllib.parse import quote
+    os.makedirs(home, exist_ok=True)
+    with open(f"{home}/{quote(name, safe='')}.xml", "w") as out:
+        out.write('<d:multistatus xmlns:d="DAV:" xmlns:oc="http://owncloud.org/ns">')
+        own = "" if name in ("", "root") else quote(name) + "/"
+        for n, path in enumerate([own, *paths]):
+            folder = path.endswith("/") or not path
+            out.write(ENTRY.format(path=path, id=f"{name}:{n}",
+                                   kind="<d:collection/>" if folder else "",
+                                   size="" if folder else size))
+        out.write(end)
+
+
+def test_listing_files_are_read_entry_by_entry(spark):
+    from shelfmark.sources import sync
+    home = folder()
+    many = [f"big/file-{n}.txt" for n in range(60_000)]
+    listing(f"{home}/in", "big", many)
+    listing(f"{home}/in", "big/sub", ["big/sub/x%20y.txt"])
+    with open(f"{home}/in/{'big'}.xml") as text:
+        assert len(text.read()) > 10 << 20
+    rows = drive.read_entries(spark, f"{home}/in")
+    files = drive.listing_files(spark, f"{home}/in")
+    assert {(r["listing_path"], r["whole"]) for r in files.collect()} == {
+        ("big", True), ("big/sub", True)}
+    assert drive.file_problems(rows, files, "me").count() == 0
+    facts = drive.entry_facts(rows, "me")
+    assert facts.count() == 60_001 and facts.select("ordinal").distinct().count() == 60_001
+    order = [r["path"] for r in facts.orderBy("ordinal").collect()]
+    assert order == sorted(order[:-1], key=str.encode) + ["big/sub/x y.txt"]
+    content = facts.selectExpr("provider", "external_id", "encode(external_id, 'UTF-8') content")
+    run = sync.sync_listing_files(spark, f"{home}/in", "me", Catalog.empty(spark), T0, content)
+    assert run.catalog.sources.count() == 60_001
+
+
+@pytest.mark.parametrize("fault, want", [
+    (dict(end=""), {"broken listing"}), (dict(end="<d:response><d:href>/x"), {"broken listing"}),
+    (dict(size="many"), {"entry with a broken size"}), (dict(more=["a/sub/"]), {"folder without listing"})])
+def test_a_broken_listing_file_stops_the_sync(spark, fault, want):
+    from shelfmark.sources import sync
+    home = folder()
+    listing(f"{home}/in", "a", ["a/x.txt", *fault.pop("more", [])], **fault)
+    rows = drive.read_entries(spark, f"{home}/in")
+    found = drive.file_problems(rows, drive.listing_files(spark, f"{home}/in"), "me")
+    assert {r["problem"] for r in found.collect()} == want
+    with pytest.raises(RuntimeError):
+        sync.sync_listing_files(spark, f"{home}/in", "me", Catalog.empty(spark), T0)
+
+
+def test_page_source_in_batch_and_as_a_stream(spark):
+    from shelfmark.sources import provider
+    home = folder()
+    spark.dataSource.register(provider.LandedPages)
+    land(f"{home}/in", 1, [photo(1)], "2")
+    land(f"{home}/in", 2, [photo(2), photo(3)])
+    pages = spark.read.format("landed_pages").option("path", f"{home}/in").option(
+        "filesPerTask", 1).load()
+    assert pages.rdd.getNumPartitions() == 2
+    assert photos.photo_facts(photos.parse_pages(pages)).count() == 3
+
+    def drain():
+        rows = spark.readStream.format("landed_pages").option("path", f"{home}/in").load()
+        (rows.writeStream.format("parquet").option("checkpointLocation", f"{home}/check")
+         .trigger(availableNow=True).start(f"{home}/out").awaitTermination(200))
+        return spark.read.parquet(f"{home}/out").count()
+
+    assert drain() == 2
+    assert drain() == 2  # what was read is not read again
+    land(f"{home}/in", 3, [photo(4)])
+    assert drain() == 3
+    os.makedirs(f"{home}/empty")
+    assert spark.read.format("landed_pages").option("path", f"{home}/empty").load().count() == 0
+
+
+def test_syncs_of_people_and_relations_stop_on_broken_inventories(spark):
+    from shelfmark.sources import sync
+    people_page = "page BIGINT, people ARRAY<STRUCT<id: STRING>>, total BIGINT, hasNextPage BOOLEAN"
+
+    def people(*pages):
+        return spark.createDataFrame([(n, [(i,) for i in ids_], 3, more)
+                                      for n, ids_, more in pages], people_page)
+
+    persons, sources = spark.createDataFrame([], PERSONS), spark.createDataFrame([], PERSON_SOURCES)
+    run = sync.sync_people_pages(people((1, ["a", "b"], True), (2, ["c"], False)), persons,
+                                 sources, T0)
+    assert set(outcomes(run).values()) == {"created"}
+    for broken in (people((1, ["a"], True)), people((1, ["a", "a"], False)),
+                   people((1, [" "], False)), people((2, ["a"], False))):
+        with pytest.raises(RuntimeError):
+            sync.sync_people_pages(broken, run.persons, run.person_sources, T0)
+    catalog = asset_catalog(spark, 200, "immich")
+    page = {"page": 1, "assets": {"items": ['{"id":"a150"}'], "nextPage": None, "total": 1}}
+
+    def relations(*ids_, **more):
+        return spark.createDataFrame([{"personId": i, **page, **more} for i in ids_],
+                                     photos.RELATION_PAGE)
+
+    none = spark.createDataFrame([], RESOURCE_PERSON)
+    known = run.person_sources
+    done = sync.sync_relation_pages(relations("a", "b", "c"), catalog, known, none, T0)
+    assert tuple(done.totals.first()) == (3, 0, 0, 0, 0)
+    with pytest.raises(RuntimeError, match="person without pages"):
+        sync.sync_relation_pages(relations("a", "b"), catalog, known, done.relations, T0)
+    with pytest.raises(RuntimeError):
+        sync.sync_relation_pages(relations("a", "b", "c", page=2), catalog, known, none, T0)
