@@ -79,7 +79,7 @@ def _write_block(part: pd.DataFrame) -> pd.DataFrame:
 def _scan(k: int):
     """Rows of a block of the file that its bounds leave open, for each query of a block."""
     def run(file: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
         if len(file) and len(asked):
             queries = whole(np.stack(asked["embedding"].to_numpy()))
             own = asked["_row"].to_numpy(np.int64)
@@ -88,16 +88,16 @@ def _scan(k: int):
                 cells = np.frombuffer(block.cells, np.uint8).reshape(len(rows), -1)
                 lower, upper = bounds(queries, np.asarray(block.low), np.asarray(block.width),
                                       cells)
-                for n, me in enumerate(own):
-                    open_ = np.flatnonzero(rows != me)
-                    if len(open_) > k:
-                        bar = np.partition(lower[n, open_], -k)[-k]
-                        open_ = open_[upper[n, open_] >= bar]
-                    out.append(pd.DataFrame({"_q": me, "_row": rows[open_],
-                                             "lower": lower[n, open_], "upper": upper[n, open_]}))
-        return pd.concat(out) if out else pd.DataFrame(
-            {n: pd.Series(dtype=t) for n, t in (("_q", "int64"), ("_row", "int64"),
-                                                ("lower", "float64"), ("upper", "float64"))})
+                itself = own[:, None] == rows
+                lower[itself], upper[itself] = -np.inf, -np.inf
+                open_ = ~itself
+                if len(rows) > k + 1:
+                    bar = np.partition(lower, -k, axis=1)[:, -k]
+                    open_ &= upper >= bar[:, None]
+                n, at = np.nonzero(open_)
+                parts.append((own[n], rows[at], lower[n, at], upper[n, at]))
+        return pd.DataFrame({name: np.concatenate(column) for name, column in zip(
+            ("_q", "_row", "lower", "upper"), zip(*parts))})
     return run
 
 
