@@ -12,7 +12,9 @@ from shelfmark.session import build_session  # noqa: E402
 def spark():
     session = build_session("local[4]", "shelfmark-tests", **{
         "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4",
-        "spark.driver.memory": "6g"})
+        "spark.driver.memory": "6g",
+        # Compiling a plan takes longer than running it on a few rows.
+        "spark.sql.codegen.wholeStage": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
