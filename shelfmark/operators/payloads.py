@@ -2,8 +2,9 @@
 
 Every payload is text in column `payload`. Lists are in their stable order and built per result
 (a page, a query, a resource); those without a bound of their own are cut into parts of
-`PART_ROWS` entries, so that no resource becomes one array however many sources it has. Nulls stay
-as keys, times are ISO texts in UTC.
+`PART_ROWS` entries, so that no resource becomes one array however many sources it has. With
+`whole`, for consumers that take one object per resource, the ordered parts are put together again.
+Nulls stay as keys, times are ISO texts in UTC.
 """
 
 from __future__ import annotations
@@ -33,14 +34,23 @@ def as_json(body: Column) -> Column:
     return F.to_json(body, {"ignoreNullFields": "false"}).alias("payload")
 
 
-def _lists(rows: DataFrame, keys: list[str], order: list[Column], entry: Column, name: str
-           ) -> DataFrame:
-    """(*keys, part, name): the rows of each key as ordered lists of up to PART_ROWS entries."""
+def one_part(lists: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The lists (*keys, part, name) with all parts of a key in order as its part 0."""
+    return lists.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", name))).alias("l")
+                                    ).select(*keys, F.lit(0).alias("part"), F.flatten(
+                                        F.transform("l", lambda x: x[name])).alias(name))
+
+
+def _lists(rows: DataFrame, keys: list[str], order: list[Column], entry: Column, name: str,
+           whole: bool = False) -> DataFrame:
+    """(*keys, part, name): the rows of each key as ordered lists of up to PART_ROWS entries, or
+    with `whole` as one list."""
     placed = number_sorted(rows, keys, order, "place")
     part = F.floor((F.col("place") - 1) / F.lit(PART_ROWS)).cast("int")
-    return placed.groupBy(*keys, part.alias("part")).agg(
+    lists = placed.groupBy(*keys, part.alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("place", entry.alias("entry")))).alias("l")).select(
         *keys, "part", F.transform("l", lambda x: x["entry"]).alias(name))
+    return one_part(lists, keys, name) if whole else lists
 
 
 def _source() -> Column:
@@ -48,9 +58,10 @@ def _source() -> Column:
                     F.col("size").alias("size_bytes"), "is_active")
 
 
-def _sources(catalog: Catalog, ids: DataFrame, active_only: bool) -> DataFrame:
+def _sources(catalog: Catalog, ids: DataFrame, active_only: bool, whole: bool) -> DataFrame:
     rows = q.source_rows(catalog, ids, active_only)
-    return _lists(rows, ["id"], [*q.source_order(), F.col("source_id")], _source(), "sources")
+    return _lists(rows, ["id"], [*q.source_order(), F.col("source_id")], _source(), "sources",
+                  whole)
 
 
 def _head() -> list[Column]:
@@ -64,10 +75,11 @@ def _none() -> Column:
                        "mime_type string, size_bytes bigint, is_active boolean>>")
 
 
-def summaries(catalog: Catalog, heads: DataFrame, active_only: bool = True) -> DataFrame:
+def summaries(catalog: Catalog, heads: DataFrame, active_only: bool = True, whole: bool = False
+              ) -> DataFrame:
     """(id, part, parts, resource): resource rows `heads` with their sources."""
     heads = heads.select("id", "resource_type", "title", "created_at").distinct()
-    lists = _sources(catalog, heads.select("id"), active_only)
+    lists = _sources(catalog, heads.select("id"), active_only, whole)
     parts = lists.groupBy("id").agg((F.max("part") + 1).alias("parts"))
     full = heads.join(lists, "id", "left").join(parts, "id", "left")
     return full.select(
@@ -76,14 +88,14 @@ def summaries(catalog: Catalog, heads: DataFrame, active_only: bool = True) -> D
         .alias("resource"))
 
 
-def summary(catalog: Catalog, heads: DataFrame) -> DataFrame:
+def summary(catalog: Catalog, heads: DataFrame, whole: bool = False) -> DataFrame:
     """(resource_ref, part, parts, payload): one object per resource and part."""
-    return summaries(catalog, heads).select(
+    return summaries(catalog, heads, whole=whole).select(
         F.col("resource.resource_ref").alias("resource_ref"), "part", "parts",
         as_json(F.col("resource")))
 
 
-def detail(catalog: Catalog, refs: DataFrame) -> DataFrame:
+def detail(catalog: Catalog, refs: DataFrame, whole: bool = False) -> DataFrame:
     """(resource_ref, part, parts, payload) of the resources `refs` name: all sources, active or
     not, and all content variants."""
     ids = refs.select(fn.parse_ref("resource_ref").alias("id")).filter("id IS NOT NULL").distinct()
@@ -95,8 +107,8 @@ def detail(catalog: Catalog, refs: DataFrame) -> DataFrame:
         contents, ["id"], [F.col("hash"), F.coalesce("mime_type", F.lit("")),
                            F.coalesce("size", F.lit(-1)), F.col("blob_id")],
         F.struct("mime_type", F.col("size").alias("size_bytes"), F.col("hash").alias("checksum")),
-        "variants")
-    sources = _sources(catalog, ids, active_only=False)
+        "variants", whole)
+    sources = _sources(catalog, ids, active_only=False, whole=whole)
     lists = sources.join(variants, ["id", "part"], "full_outer")
     parts = lists.groupBy("id").agg((F.max("part") + 1).alias("parts"))
     full = heads.join(lists, "id", "left").join(parts, "id", "left")
@@ -109,15 +121,17 @@ def detail(catalog: Catalog, refs: DataFrame) -> DataFrame:
             F.coalesce("variants", empty).alias("content_variants"))))
 
 
-def _first_parts(catalog: Catalog, heads: DataFrame) -> DataFrame:
+def _first_parts(catalog: Catalog, heads: DataFrame, whole: bool = False) -> DataFrame:
     """Summaries for lists of resources: the first part, and how many there are."""
-    return summaries(catalog, heads).filter("part = 0").select("id", "parts", "resource")
+    return summaries(catalog, heads, whole=whole).filter("part = 0").select(
+        "id", "parts", "resource")
 
 
-def page(catalog: Catalog, found: q.Page) -> DataFrame:
-    """One row: the resources of a page in order and the position of the next one. A resource of
-    more than PART_ROWS sources goes on in its own payload; `parts` tells."""
-    rows = found.heads.select("id", "position").join(_first_parts(catalog, found.heads), "id")
+def page(catalog: Catalog, found: q.Page, whole: bool = False) -> DataFrame:
+    """One row: the resources of a page in order and the position of the next one. Unless `whole`,
+    a resource of more than PART_ROWS sources goes on in its own payload; `parts` tells."""
+    rows = found.heads.select("id", "position").join(
+        _first_parts(catalog, found.heads, whole), "id")
     listed = rows.agg(F.array_sort(F.collect_list(F.struct("position", "parts", "resource")))
                       .alias("l"))
     return listed.select(as_json(F.struct(
