@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark import functions as fn
 from shelfmark.operators import query as q
 from shelfmark.operators.ordered import number_sorted
+from shelfmark.operators.payloads import one_part
 from shelfmark.schemas import Catalog
 
 # Labels by MIME type.
@@ -87,11 +88,13 @@ def present(catalog: Catalog, heads: DataFrame, providers: DataFrame,
     )
 
 
-def payloads(catalog: Catalog, heads: DataFrame, active_only: bool = True) -> DataFrame:
+def payloads(catalog: Catalog, heads: DataFrame, active_only: bool = True, whole: bool = False
+             ) -> DataFrame:
     """One JSON object per resource and part: (resource_ref, part, parts, payload).
 
     The ordered source list of a resource is cut every `SOURCES_PER_PART` positions, so its
-    parts, one after the other, are the whole list in order.
+    parts, one after the other, are the whole list in order. With `whole` they are put together
+    in one object per resource.
     """
     rows = q.source_rows(catalog, heads.select("id"), active_only)
     numbered = number_sorted(rows, ["id"], [*q.source_order(), F.col("source_id")], "place")
@@ -105,6 +108,8 @@ def payloads(catalog: Catalog, heads: DataFrame, active_only: bool = True) -> Da
                  F.col("size").alias("size_bytes"), "is_active").alias("source"))
     lists = split.groupBy("id", "part", "parts").agg(
         F.array_sort(F.collect_list(entry)).alias("entries"))
+    if whole:
+        lists = one_part(lists, ["id"], "entries").withColumn("parts", F.lit(1))
     full = heads.select("id", "resource_type", "title", "created_at").join(lists, "id", "left")
     body = F.struct(
         fn.resource_ref("id").alias("resource_ref"), "resource_type",
