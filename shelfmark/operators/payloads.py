@@ -19,8 +19,9 @@ from shelfmark import functions as fn
 from shelfmark.operators import query as q
 from shelfmark.operators.ordered import number_sorted
 from shelfmark.operators.publish import GENERATOR, value_text
-from shelfmark.operators.retrieval import Mapped, Retrieved
+from shelfmark.operators.retrieval import Mapped, Retrieved, around
 from shelfmark.schemas import Catalog
+from shelfmark.session import materialise
 
 #: Entries of a list in one part of a payload.
 PART_ROWS = 1_000
@@ -172,10 +173,15 @@ def aggregation(result: DataFrame, filters: q.Filters, period: q.Period,
         cut.alias("buckets_truncated"))))
 
 
+def _few(catalog: Catalog, ids: DataFrame) -> DataFrame:
+    """The resource rows of a bounded list of ids, written once."""
+    return materialise(catalog.resources.join(ids.distinct(), "id", "left_semi"), "hit-heads")
+
+
 def semantic_hits(catalog: Catalog, found: Mapped, provider: str) -> DataFrame:
     """(query_id, payload): the mapped hits of every query by rank."""
-    heads = catalog.resources.join(
-        found.hits.select(F.col("resource_id").alias("id")).distinct(), "id", "left_semi")
+    heads = _few(catalog, found.hits.select(F.col("resource_id").alias("id")))
+    catalog = around(catalog, heads.select(F.col("id").alias("resource_id")))
     rows = found.hits.select("query_id", "rank", F.col("resource_id").alias("id")).join(
         _first_parts(catalog, heads), "id")
     kind = F.lit("semantic").alias("retrieval_kind")
@@ -191,7 +197,8 @@ def filtered_hits(catalog: Catalog, found: Retrieved) -> DataFrame:
     """One row, or with `query_id` one per query: hits by rank and the stages of the funnel."""
     by = ["query_id"] if "query_id" in found.stages.columns else []
     rows = found.hits.withColumn("id", fn.parse_ref("resource_ref"))
-    heads = catalog.resources.join(rows.select("id").distinct(), "id", "left_semi")
+    heads = _few(catalog, rows.select("id"))
+    catalog = around(catalog, heads.select(F.col("id").alias("resource_id")))
     rows = rows.join(_first_parts(catalog, heads), "id")
     hits = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(
         "source_rank", F.struct(
