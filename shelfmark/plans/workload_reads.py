@@ -19,7 +19,7 @@ from shelfmark.plans.workload import register, utc
 from shelfmark.plans.workload_state import (
     LABELS, PEOPLE, PHOTOS, TEXT_SOURCE, _query_vectors, _vectors,
 )
-from shelfmark.schemas import ENRICHMENT_STATES
+from shelfmark.schemas import ENRICHMENT_STATES, STATEMENTS, empty
 from shelfmark.sources import tables
 
 MESSAGE_TIME = "make_timestamp((1700000000 + conv_id * 10000 + turn) * 1000000)"
@@ -91,8 +91,8 @@ def enrichment_states(spark, sf_dir):
         .otherwise(F.col("content")).alias("content"))
     catalog = bind.catalog(spark, sf_dir)
     extractor = ex.TextExcerpt(content, providers=None)
-    run = pub.run_enrichment(extractor, catalog, bind.statements(spark, sf_dir).limit(0),
-                             spark.createDataFrame([], ENRICHMENT_STATES), bind.FIRST_RUN)
+    run = pub.run_enrichment(extractor, catalog, empty(spark, STATEMENTS),
+                             empty(spark, ENRICHMENT_STATES), bind.FIRST_RUN)
     subjects = catalog.resources.select(F.col("id").alias("resource_id"))
     return pub.get_state(run.states, subjects, extractor.generator).select(
         "subject_asset_id", "status", "error_code", "completed_at")
