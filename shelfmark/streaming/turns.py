@@ -10,11 +10,13 @@ import heapq
 import sys
 from collections import deque
 from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -27,11 +29,14 @@ from shelfmark.operators.turns import (
 TURN_LIMIT = 128
 #: Rows that a task gives back at once.
 ROWS = 10_000
+#: Groups that the turns of a stream are dealt to.
+BUCKETS = 4096
 
 
 def _schema(text: str) -> T.StructType:
     kinds = {"STRING": T.StringType(), "BIGINT": T.LongType(), "INT": T.IntegerType(),
-             "BOOLEAN": T.BooleanType()}
+             "BOOLEAN": T.BooleanType(), "STRINGS": T.ArrayType(T.StringType()),
+             "BIGINTS": T.ArrayType(T.LongType())}
     pairs = [part.split() for part in text.split(", ")]
     return T.StructType([T.StructField(name, kinds[kind]) for name, kind in pairs])
 
@@ -40,58 +45,100 @@ OUTPUT = _schema("turn_id STRING, arrival BIGINT, sequence BIGINT, type STRING,
                  "operation_id INT, capability STRING, duration_ms BIGINT, accepted BOOLEAN, "
                  "reason STRING, turn_phase STRING")
 HEAD = _schema("sequence BIGINT, phase STRING, terminal STRING, kept INT")
+FOLDED = _schema("sequence BIGINT, phase STRING, terminal STRING, recent STRINGS")
 KEPT = _schema("sequence BIGINT, type STRING")
 STEPS = _schema("turn_id STRING, version BIGINT, step_no BIGINT, step_id STRING, label STRING, "
                 "detail STRING, state STRING")
-TRACE = _schema("steps BIGINT, tools INT, last_no BIGINT, last_id STRING, last_label STRING, "
-                "last_detail STRING, last_finished BOOLEAN, last_phase STRING, status STRING")
-TOOL = _schema("step_no BIGINT, label STRING, detail STRING, finished BOOLEAN")
+TRACE = _schema("last_no BIGINT, last_id STRING, last_label STRING, last_detail STRING, "
+                "last_finished BOOLEAN, last_phase STRING, status STRING, steps BIGINT, "
+                "operations BIGINTS, numbers BIGINTS, labels STRINGS")
 EVICTED = _schema("registry STRING, turn_id STRING, ended BIGINT, evicted_at BIGINT")
-COUNT = _schema("turns BIGINT")
 ENDED = _schema("ended BIGINT")
-NAMES = ("type", "phase", "capability")
-
-
-def _gather(batches: Iterator[pd.DataFrame], order: str) -> pd.DataFrame | None:
-    """A key's rows of a micro-batch by `order`; names are held as codes, so that a row costs
-    some tens of bytes however many there are."""
-    held: dict[str, list] = {}
-    codes: dict[str, dict] = {name: {} for name in NAMES}
+NAMES = ("turn_id", "type", "phase", "capability")
+EVENT = ("turn_id", "arrival", "sequence", "type", "phase", "operation_id", "capability",
+         "duration_ms")
+ACCEPTED = ("turn_id", "sequence", "type", "phase", "operation_id", "capability", "duration_ms")
+
+
+def _gather(batches: Iterator[pd.DataFrame], fields: tuple[str, ...], *order: str
+            ) -> Iterator[tuple]:
+    """A key's rows of a micro-batch by `order` as tuples of `fields`; names are held as codes, so
+    that a row costs some tens of bytes however many there are."""
+    held: dict[str, list] = {name: [] for name in fields}
+    codes: dict[str, dict] = {name: {} for name in NAMES if name in fields}
     for batch in batches:
-        for name in batch.columns:
+        for name in fields:
+            values = batch[name]
             if name in codes:
                 known = codes[name]
                 column = np.array([known.setdefault(v, len(known)) if isinstance(v, str) else -1
-                                   for v in batch[name]], np.int16)
-            elif name in ("turn_id", "registry"):
-                column = batch[name].to_numpy() if name == "turn_id" and order == "at" else None
+                                   for v in values.to_list()],
+                                  np.int32 if name == "turn_id" else np.int16)
             else:
-                column = batch[name].to_numpy(np.float64 if batch[name].isna().any() else np.int64)
-            if column is not None:
-                held.setdefault(name, []).append(column)
-    if not held:
-        return None
-    columns = {name: np.concatenate(parts) for name, parts in held.items()}
-    by = np.argsort(columns[order], kind="stable")
-    out = pd.DataFrame({name: column[by] for name, column in columns.items()}, copy=False)
-    for name, known in codes.items():
-        if name in out:
-            out[name] = pd.Categorical.from_codes(out[name], list(known))
-    return out
+                column = values.to_numpy()
+                if column.dtype.kind != "i":
+                    column = values.to_numpy(np.float64 if values.isna().any() else np.int64)
+            held[name].append(column)
+    if not held[fields[0]]:
+        return
+    columns = {name: np.concatenate(held.pop(name)) for name in fields}
+    # A code of -1 finds the null at the end.
+    names = {name: [*known, None] for name, known in codes.items()}
+    by = np.lexsort([columns[name] for name in reversed(order)])
+    for start in range(0, len(by), ROWS):
+        part = []
+        for name in fields:
+            values = columns[name][by[start:start + ROWS]]
+            if name in names:
+                found = names[name]
+                part.append([found[v] for v in values.tolist()])
+            elif values.dtype.kind == "f":
+                part.append([None if v != v else int(v) for v in values.tolist()])
+            else:
+                part.append(values.tolist())
+        yield from zip(*part)
+
 
+def _by_turn(batches: Iterator[pd.DataFrame], fields: tuple[str, ...], order: str
+             ) -> Iterator[tuple[str, Iterator[tuple]]]:
+    """The rows of a bucket, turn by turn; the first of `fields` is the turn."""
+    return groupby(_gather(batches, fields, fields[0], order), itemgetter(0))
 
-def _name(value) -> str | None:
-    return value if isinstance(value, str) else None
 
+def _bucketed(rows: DataFrame) -> GroupedData:
+    """Rows by buckets of turns: state is called and rows are handed over per group, which costs
+    more than the some dozens of events of a turn."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("turn_id"), F.lit(BUCKETS))).groupBy("bucket")
 
-def _number(value) -> int | None:
-    return None if value != value else int(value)
+
+def _stored(state, turn: str, any_stored: bool) -> tuple | None:
+    return state.getValue((turn,)) if any_stored and state.containsKey((turn,)) else None
 
 
 def _give(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=schema.fieldNames(), dtype=object)
 
 
+def _judge(head: list, rows: Iterator[tuple], fresh: deque) -> Iterator[tuple]:
+    """OUTPUT rows of one turn's EVENT rows; `head` (sequence, phase, terminal) moves on and
+    accepted events join `fresh`."""
+    last, phase, terminal = head
+    for turn, arrival, number, kind, own_phase, operation, capability, took in rows:
+        reason = None
+        if terminal is not None:
+            reason = "turn_has_ended"
+        elif number != last + 1:
+            reason = "out_of_sequence"
+        else:
+            last = number
+            phase = own_phase or phase
+            terminal = kind if kind in TERMINAL else None
+            fresh.append((last, kind))
+            head[:] = last, phase, terminal
+        yield (turn, arrival, number, kind, own_phase, operation, capability, took,
+               reason is None, reason, phase)
+
+
 class TurnFold(StatefulProcessor):
     """Accept sequence 1, 2, 3, ... of a turn until its terminal event; refuse everything else.
 
@@ -110,26 +157,10 @@ class TurnFold(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
         known = self._head.get() if self._head.exists() else None
-        last, phase, terminal, kept = known if known is not None else (0, None, None, 0)
-        events, out, fresh = _gather(rows, "arrival"), [], deque(maxlen=REPLAY_LIMIT)
-        for row in events.itertuples() if events is not None else ():
-            reason, number = None, _number(row.sequence)
-            if terminal is not None:
-                reason = "turn_has_ended"
-            elif number != last + 1:
-                reason = "out_of_sequence"
-            else:
-                last = number
-                phase = _name(row.phase) or phase
-                terminal = row.type if row.type in TERMINAL else None
-                fresh.append((last, _name(row.type)))
-            out.append((key[0], int(row.arrival), number, _name(row.type), _name(row.phase),
-                        _number(row.operation_id), _name(row.capability),
-                        _number(row.duration_ms), reason is None, reason, phase))
-            if len(out) == ROWS:
-                yield _give(out, OUTPUT)
-                out = []
-        if out:
+        *head, kept = known if known is not None else (0, None, None, 0)
+        fresh = deque(maxlen=REPLAY_LIMIT)
+        verdicts = _judge(head, _gather(rows, EVENT, "arrival"), fresh)
+        while out := list(islice(verdicts, ROWS)):
             yield _give(out, OUTPUT)
         if kept + len(fresh) > 2 * REPLAY_LIMIT:
             newest = ([tuple(r) for r in self._recent.get()] + list(fresh))[-REPLAY_LIMIT:]
@@ -138,76 +169,102 @@ class TurnFold(StatefulProcessor):
         elif fresh:
             self._recent.appendList(list(fresh))
             kept += len(fresh)
-        self._head.update((last, phase, terminal, kept))
+        self._head.update((*head, kept))
+
+    def close(self) -> None:
+        pass
+
+
+class TurnFolds(StatefulProcessor):
+    """TurnFold for the turns of a bucket: one row per turn, which holds the newest types for replay;
+    their numbers run up to the head's without gaps."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._turns = handle.getMapState("turns", _schema("turn_id STRING"), FOLDED)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
+                        ) -> Iterator[pd.DataFrame]:
+        verdicts = self._verdicts(rows)
+        while out := list(islice(verdicts, ROWS)):
+            yield _give(out, OUTPUT)
+
+    def _verdicts(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        any_stored = self._turns.exists()
+        for turn, events in _by_turn(rows, EVENT, "arrival"):
+            *head, recent = _stored(self._turns, turn, any_stored) or (0, None, None, [])
+            fresh = deque(maxlen=REPLAY_LIMIT)
+            yield from _judge(head, events, fresh)
+            newest = [*recent, *(kind for _, kind in fresh)][-REPLAY_LIMIT:]
+            self._turns.updateValue((turn,), (*head, newest))
 
     def close(self) -> None:
         pass
 
 
 class TurnTrace(StatefulProcessor):
-    """Execution steps of a turn from its accepted events, as changes of steps.
+    """Execution steps of the turns of a bucket from their accepted events, as changes of steps.
 
-    A map keyed by operation pairs tool starts with their ends as they come; beside it one row holds
-    the last step. Each change carries the sequence number it came with as `version`.
+    State is one row per turn: its last step and the step of every operation it has started, which
+    pairs tool starts with their ends as they come. Each change carries the sequence number it came
+    with as `version`.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._head = handle.getValueState("trace", TRACE)
-        self._tools = handle.getMapState("tools", _schema("operation_id INT"), TOOL)
+        self._turns = handle.getMapState("traces", _schema("turn_id STRING"), TRACE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
-        head = self._head.get() if self._head.exists() else (
-            0, 0, 0, None, None, None, False, None, None)
-        steps, tools, *last, phase, status = head
-        last = tuple(last)  # number, id, label, detail, finished
-        events, out = _gather(rows, "sequence"), []
-
-        def change(version, no, step_id, label, detail, state):
-            out.append((key[0], version, no, step_id, label, detail, state))
-
-        def add(version, step_id, label, detail, own_phase=None):
-            nonlocal steps, last, phase
-            if last[0] and not last[4]:
-                change(version, *last[:4], "completed")
-            steps += 1
-            last, phase = (steps, step_id, label, detail, False), own_phase
-            change(version, *last[:4], "current")
-
-        for row in events.itertuples() if events is not None else ():
-            at, kind, op = int(row.sequence), _name(row.type), _number(row.operation_id)
-            if kind == "turn.started" and steps == 0:
-                add(at, "turn:started", "Started", "Turn started")
-            elif kind == "phase.changed" and _name(row.phase) and row.phase != phase:
-                add(at, f"phase:{row.phase}:{at}", PHASES.get(row.phase, row.phase),
-                    "In progress", row.phase)
-            elif (kind == "tool.started" and op is not None and _name(row.capability)
-                  and tools < MAX_OPERATIONS and not self._tools.containsKey((op,))):
-                tools += 1
-                add(at, f"tool:{op}", CAPABILITIES.get(row.capability, row.capability), "Running")
-                self._tools.updateValue((op,), (steps, last[2], "Running", False))
-            elif kind == "tool.completed" and op is not None and self._tools.containsKey((op,)):
-                no, label, _, _ = self._tools.getValue((op,))
-                took = _number(row.duration_ms)
-                detail = "Finished" if took is None else f"Finished · {took} ms"
-                self._tools.updateValue((op,), (no, label, detail, True))
-                if no == last[0]:
-                    last = (no, f"tool:{op}", label, detail, True)
-                change(at, no, f"tool:{op}", label, detail, "completed")
-            elif kind in TERMINAL:
-                status = TERMINAL[kind]
+        any_stored, out = self._turns.exists(), []
+        for turn, events in _by_turn(rows, ACCEPTED, "sequence"):
+            stored = _stored(self._turns, turn, any_stored) or (
+                0, None, None, None, False, None, None, 0, [], [], [])
+            *last, phase, status, steps, operations, numbers, labels = stored
+            # Number, id, label, detail and end of the last step; number and label by operation.
+            last, tools = tuple(last), dict(zip(operations, zip(numbers, labels)))
+
+            def change(version, no, step_id, label, detail, state):
+                out.append((turn, version, no, step_id, label, detail, state))
+
+            def add(version, step_id, label, detail, own_phase=None):
+                nonlocal steps, last, phase
                 if last[0] and not last[4]:
-                    change(at, *last[:4], status)
+                    change(version, *last[:4], "completed")
                 steps += 1
-                word = status.capitalize()
-                change(at, steps, f"terminal:{status}", word,
-                       "Finished" if status == "completed" else word, status)
-            if len(out) >= ROWS:
-                yield _give(out, STEPS)
-                out = []
+                last, phase = (steps, step_id, label, detail, False), own_phase
+                change(version, *last[:4], "current")
+
+            for _, at, kind, own_phase, op, capability, took in events:
+                if kind == "turn.started" and steps == 0:
+                    add(at, "turn:started", "Started", "Turn started")
+                elif kind == "phase.changed" and own_phase and own_phase != phase:
+                    add(at, f"phase:{own_phase}:{at}", PHASES.get(own_phase, own_phase),
+                        "In progress", own_phase)
+                elif (kind == "tool.started" and op is not None and capability
+                      and len(tools) < MAX_OPERATIONS and op not in tools):
+                    add(at, f"tool:{op}", CAPABILITIES.get(capability, capability), "Running")
+                    tools[op] = (steps, last[2])
+                elif kind == "tool.completed" and op in tools:
+                    no, label = tools[op]
+                    detail = "Finished" if took is None else f"Finished · {took} ms"
+                    if no == last[0]:
+                        last = (no, f"tool:{op}", label, detail, True)
+                    change(at, no, f"tool:{op}", label, detail, "completed")
+                elif kind in TERMINAL:
+                    status = TERMINAL[kind]
+                    if last[0] and not last[4]:
+                        change(at, *last[:4], status)
+                    steps += 1
+                    word = status.capitalize()
+                    change(at, steps, f"terminal:{status}", word,
+                           "Finished" if status == "completed" else word, status)
+                if len(out) >= ROWS:
+                    yield _give(out, STEPS)
+                    out = []
+            self._turns.updateValue((turn,), (
+                *last, phase, status, steps, list(tools), [no for no, _ in tools.values()],
+                [label for _, label in tools.values()]))
         if out:
             yield _give(out, STEPS)
-        self._head.update((steps, tools, *last, phase, status))
 
     def close(self) -> None:
         pass
@@ -215,38 +272,43 @@ class TurnTrace(StatefulProcessor):
 
 class TurnRegistry(StatefulProcessor):
     """Keep at most `limit` turns of a registry: the finished turn that ended first goes first, a
-    running one never does. State is one row per kept turn."""
+    running one never does. State is one row per kept turn; a turn that comes and goes within a
+    micro-batch never reaches it."""
 
     def __init__(self, limit: int = TURN_LIMIT) -> None:
         self._limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._count = handle.getValueState("count", COUNT)
         self._turns = handle.getMapState("turns", _schema("turn_id STRING"), ENDED)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
-        count = self._count.get()[0] if self._count.exists() else 0
-        finished = [(value[0], turn[0]) for turn, value in self._turns.iterator()
-                    if value[0] is not None] if count else []
+        stored = {turn[0]: value[0] for turn, value in self._turns.iterator()} \
+            if self._turns.exists() else {}
+        kept, out = dict(stored), []
+        finished = [(ended, turn) for turn, ended in kept.items() if ended is not None]
         heapq.heapify(finished)
-        events, out = _gather(rows, "at"), []
-        for row in events.itertuples() if events is not None else ():
-            turn, at = row.turn_id, int(row.at)
-            if row.starts and not self._turns.containsKey((turn,)):
-                self._turns.updateValue((turn,), (None,))
-                count += 1
-            if row.ends and self._turns.containsKey((turn,)):
-                self._turns.updateValue((turn,), (at,))
+        for turn, at, starts, ends in _gather(rows, ("turn_id", "at", "starts", "ends"), "at"):
+            if starts:
+                kept.setdefault(turn, None)
+            if ends and turn in kept:
+                kept[turn] = at
                 heapq.heappush(finished, (at, turn))
-            while count > self._limit and finished:
+            while len(kept) > self._limit and finished:
                 ended, oldest = heapq.heappop(finished)
-                self._turns.removeKey((oldest,))
-                count -= 1
-                out.append((key[0], oldest, ended, at))
+                if kept.get(oldest) == ended:
+                    del kept[oldest]
+                    out.append((key[0], oldest, ended, at))
+            if len(out) >= ROWS:
+                yield _give(out, EVICTED)
+                out = []
         if out:
             yield _give(out, EVICTED)
-        self._count.update((count,))
+        for turn in stored.keys() - kept.keys():
+            self._turns.removeKey((turn,))
+        for turn, ended in kept.items():
+            if turn not in stored or stored[turn] != ended:
+                self._turns.updateValue((turn,), (ended,))
 
     def close(self) -> None:
         pass
@@ -259,11 +321,12 @@ def fold_stream(events: DataFrame, forget_after_ms: int | None = None) -> DataFr
     tens of bytes each. Forgetting needs the clock, which keeps a query going without new data;
     leave it out for runs that should end.
     """
-    slim = events.select("turn_id", "arrival", "sequence", "type", "phase", "operation_id",
-                         "capability", "duration_ms")
-    return slim.groupBy("turn_id").transformWithStateInPandas(
-        TurnFold(forget_after_ms), OUTPUT, "append",
-        "none" if forget_after_ms is None else "processingTime")
+    slim = events.select(*EVENT)
+    if forget_after_ms is not None:
+        return slim.groupBy("turn_id").transformWithStateInPandas(
+            TurnFold(forget_after_ms), OUTPUT, "append", "processingTime")
+    return _bucketed(slim).transformWithStateInPandas(
+        TurnFolds(), OUTPUT, "append", "none")
 
 
 def with_texts(verdicts: DataFrame, events: DataFrame) -> DataFrame:
@@ -274,9 +337,8 @@ def with_texts(verdicts: DataFrame, events: DataFrame) -> DataFrame:
 
 def trace_stream(verdicts: DataFrame) -> DataFrame:
     """Changes of execution steps from the accepted events of a stream of verdicts."""
-    slim = verdicts.filter("accepted").select(
-        "turn_id", "sequence", "type", "phase", "operation_id", "capability", "duration_ms")
-    return slim.groupBy("turn_id").transformWithStateInPandas(TurnTrace(), STEPS, "append", "none")
+    return _bucketed(verdicts.filter("accepted").select(*ACCEPTED)).transformWithStateInPandas(
+        TurnTrace(), STEPS, "append", "none")
 
 
 def current_steps(changes: DataFrame, max_steps: int = MAX_TRACE_STEPS) -> DataFrame:
