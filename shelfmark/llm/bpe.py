@@ -30,9 +30,9 @@ from shelfmark.llm.common import Recent, release, task_cache
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Longest chunk, and numbers of chunks, pieces and token pairs, that a worker remembers.
 CACHED_LENGTH = 48
-CACHED_CHUNKS = 200_000
-CACHED_PIECES = 150_000
-CACHED_PAIRS = 300_000
+CACHED_CHUNKS = 60_000
+CACHED_PIECES = 50_000
+CACHED_PAIRS = 100_000
 #: How ASCII text splits into pieces (fixed pattern; other text is split by the library).
 ASCII_PIECES = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+").findall
@@ -55,7 +55,10 @@ class PrefixBPE:
         if not plain or pre.get("type") != "ByteLevel" or any(
                 t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("only plain byte-level BPE files are supported")
-        self.pieces = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        # Splitting needs no vocabulary, which the library would hold a second time.
+        split = spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": [],
+                        "post_processor": None}
+        self.pieces = Tokenizer.from_str(json.dumps(split)).pre_tokenizer.pre_tokenize_str
         self._read(model["vocab"], [m.split(" ") if isinstance(m, str) else m
                                     for m in model["merges"]])
         self.added = {t["content"]: t["id"] for t in added}

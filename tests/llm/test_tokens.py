@@ -120,3 +120,12 @@ def test_files(spark, monkeypatch, file_ids):
 
 def test_no_files(spark):
     assert tokenfile.write_and_read(fx.documents(spark, []), WORDS, end_id=1).count() == 0
+
+
+def test_a_worker_remembers_a_bounded_part_of_its_texts():
+    """pipeline: two workers and the JVM share the memory of an executor."""
+    model = bpe.PrefixBPE(public_tokenizers.path("byte_bpe_50k.json"))
+    for k in range(160_000):
+        model.encode(f"{k}x{k}")
+    held = [v for c in (model.cache, model.known_pieces) for v in (c.new, c.old)]
+    assert sum(map(len, held)) <= 220_000 and len(model.follows) <= 100_000
