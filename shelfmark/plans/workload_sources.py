@@ -91,6 +91,9 @@ def landed_relations(spark, sf_dir):
         F.struct(F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("id"))
         .alias("i"))
     orders = bind.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    # Keys pack well in a shuffle, so partitions merged by their size there would unfold to
+    # millions of pages in one task.
+    lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     pages = lines.groupBy("o_orderkey").agg(F.collect_list("i").alias("items")).join(
         orders, "o_orderkey")
     bodies = pages.select(F.to_json(F.struct(
