@@ -28,16 +28,19 @@ from shelfmark.llm.common import Recent, release, task_cache
 
 #: The Unicode White_Space characters (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Longest chunk, and numbers of chunks, pieces and token pairs, that a worker remembers.
+#: Longest text, and numbers of what texts are split into (pieces of Latin text, chunks of other),
+#: of pieces of chunks and of token pairs, that a worker remembers.
 CACHED_LENGTH = 48
-CACHED_CHUNKS = 60_000
-CACHED_PIECES = 50_000
+CACHED_CHUNKS = 90_000
+CACHED_PIECES = 20_000
 CACHED_PAIRS = 100_000
-#: How ASCII text splits into pieces (fixed pattern; other text is split by the library).
-ASCII_PIECES = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+").findall
-#: Characters that Python's \\s takes for white space beyond the library's.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Latin letters (U+00C0 to U+024F hold nothing else but two signs), and text of these and ASCII
+#: without U+001C to U+001F, which only Python's \\s takes for white space.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+LATIN = re.compile("[\\x00-\\x1b\\x20-\\x7f\u00c0-\u024f]*").fullmatch
+#: How such text splits into pieces (fixed pattern; other text is split by the library).
+LATIN_PIECES = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+").findall
 #: Rows per batch handed back by a task.
 BATCH_ROWS = 256
 
@@ -78,6 +81,8 @@ class PrefixBPE:
         tokens = [t for t in vocab if t not in known and len(t) == 1] + made
         number = {t: i for i, t in enumerate(tokens)}
         self.ids = [vocab[t] for t in tokens]
+        self.packed = [array("I", [i]).tobytes() for i in self.ids]
+        self.sizes = [len(t) for t in tokens]
         first = len(tokens) - len(made)
         self.left = list(range(first)) + [number[a] for a, _ in merges]
         self.right = list(range(first)) + [number[b] for _, b in merges]
@@ -88,7 +93,8 @@ class PrefixBPE:
         for token, i in number.items():
             self.automaton.add_word(token, (i, len(token)))
         self.automaton.make_automaton()
-        self.visible = {b: c for b, c in byte_characters().items() if b < 128 and chr(b) != c}
+        self.visible = {b: c for b, c in byte_characters().items() if chr(b) != c}
+        self.space = self.visible[32]
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether BPE of the two tokens' joined string gives these two tokens again.
@@ -116,16 +122,18 @@ class PrefixBPE:
         self.follows[key] = stands
         return stands
 
-    def encode_piece(self, piece: str) -> list[int]:
-        last = [-1] * (len(piece) + 1)  # token number that ends each prefix
-        size = [0] * (len(piece) + 1)
+    def encode_piece(self, piece: str) -> bytes:
+        whole = self.automaton.get(piece, None)
+        if whole:  # no token comes before one that begins the piece
+            return self.packed[whole[0]]
+        size = len(piece)
+        last = [-1] * size  # token number that ends the prefix up to each character
         tokens, follows = len(self.ids), self.follows
         for end, (token, length) in self.automaton.iter(piece):
-            end += 1
             if last[end] >= 0:
                 continue
             start = end - length
-            if start:
+            if start >= 0:
                 before = last[start]
                 if before < 0:
                     continue
@@ -134,34 +142,41 @@ class PrefixBPE:
                     stands = self.may_follow(before, token)
                 if not stands:
                     continue
-            last[end], size[end] = token, length
-        ids, end = [], len(piece)
-        while end > 0:
-            if last[end] < 0:
+            last[end] = token
+        ids, end = [], size - 1
+        while end >= 0:
+            token = last[end]
+            if token < 0:
                 raise ValueError("a byte of the text is not in the vocabulary")
-            ids.append(self.ids[last[end]])
-            end -= size[end]
+            ids.append(self.packed[token])
+            end -= self.sizes[token]
         ids.reverse()
-        return ids
+        return b"".join(ids)
+
+    def _bytes_of(self, piece: str) -> str:
+        """The piece as the characters that stand for its bytes."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1")
+        elif piece.isprintable():
+            return piece.replace(" ", self.space)
+        return piece.translate(self.visible)
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.known_pieces.new.get(piece) or self.known_pieces.again(piece)
+    def _piece(self, piece: str, memory: Recent) -> bytes:
+        ids = memory.new.get(piece) or memory.again(piece)
         if ids is None:
-            ids = array("I", self.encode_piece(piece)).tobytes()
+            ids = self.encode_piece(self._bytes_of(piece))
             if len(piece) <= CACHED_LENGTH:
-                self.known_pieces.put(piece, ids)
+                memory.put(piece, ids)
         return ids
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids = self.cache.new.get(chunk) or self.cache.again(chunk)
+    def _chunk(self, chunk: str, memory: Recent) -> bytes:
+        ids = memory.new.get(chunk) or memory.again(chunk)
         if ids is None:
-            if chunk.isascii() and not SEPARATORS.search(chunk):
-                pieces = [p.translate(self.visible) for p in ASCII_PIECES(chunk)]
-            else:
-                pieces = [p for p, _ in self.pieces(chunk)]
-            ids = b"".join([self._piece(p) for p in pieces])
+            pieces = LATIN_PIECES(chunk) if LATIN(chunk) else [
+                chunk[a:b] for _, (a, b) in self.pieces(chunk)]
+            ids = b"".join([self._piece(p, self.known_pieces) for p in pieces])
             if len(chunk) <= CACHED_LENGTH:
-                self.cache.put(chunk, ids)
+                memory.put(chunk, ids)
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -172,12 +187,14 @@ class PrefixBPE:
             if n % 2:
                 out.append(array("I", [self.added[part]]).tobytes())
             else:
-                chunks = self.chunks(part)
-                ids = list(map(self.cache.new.get, chunks))
+                split, made = (LATIN_PIECES, self._piece) if LATIN(part) else (
+                    self.chunks, self._chunk)
+                texts = split(part)
+                ids = list(map(self.cache.new.get, texts))
                 at = -1
                 for _ in range(ids.count(None)):
                     at = ids.index(None, at + 1)
-                    ids[at] = self._chunk(chunks[at])
+                    ids[at] = made(texts[at], self.cache)
                 out += ids
         return b"".join(out)
 

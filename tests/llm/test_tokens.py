@@ -129,3 +129,15 @@ def test_a_worker_remembers_a_bounded_part_of_its_texts():
         model.encode(f"{k}x{k}")
     held = [v for c in (model.cache, model.known_pieces) for v in (c.new, c.old)]
     assert sum(map(len, held)) <= 220_000 and len(model.follows) <= 100_000
+
+
+def test_latin_text_is_split_into_pieces_at_once():
+    """op10: splitting into chunks first made and remembered most words twice."""
+    model, plain = bpe.PrefixBPE(BYTES), Tokenizer.from_file(BYTES)
+    model.chunks = model.pieces = None
+    letters = [chr(c) for c in range(0xc0, 0x250)]
+    for text in ["Été, l'été's naïve  señor\n\n Łódź ×2÷3 !\t", "".join(letters), " ".join(letters),
+                 "1".join(letters), "!".join(letters), " \x00\x7f é\x1b\r\n"]:
+        assert list(array("I", model.encode(text))) == plain.encode(
+            text, add_special_tokens=False).ids
+    assert not model.known_pieces.new
