@@ -135,7 +135,10 @@ def event_violations(spark, sf_dir):
     FROM numbered n LEFT JOIN tails USING (turn_id)
       LEFT JOIN (SELECT turn_id, status FROM status) s USING (turn_id) WHERE step_no > n.n - 96""")
 def turn_trace(spark, sf_dir):
-    return tn.trace(_accepted(spark, sf_dir))
+    # A trace shows no texts and references, so none go through the shuffles of the fold.
+    events = bind.turn_events(spark, sf_dir).drop(
+        "delta", "error_code", "resource_refs", "category")
+    return tn.trace(tn.fold_events(events).accepted)
 
 
 @register("phase_changes", f"""WITH {EVENTS}
