@@ -77,6 +77,32 @@ def test_bytes_of_pieces_of_a_text_with_copies(spark):
     assert by_text(tuple(r) for r in got) == by_text(brute_bytes(rows))
 
 
+def test_copies_of_a_passage_are_named_once(spark, monkeypatch):
+    """The rows that are joined with the names do not grow with the places of a passage."""
+    import random
+    rng = random.Random(11)
+    named = []
+    materialise = suffixes.materialise
+
+    def counted(df, name):
+        table = materialise(df, name)
+        if name == "suffixes":
+            named.append(table.count())
+        return table
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghij ") for _ in range(n))
+
+    monkeypatch.setattr(suffixes, "materialise", counted)
+    shared = noise(3000)
+    rows = [(i, noise(rng.randint(0, 300)) + shared + noise(rng.randint(0, 300)),
+             None, None, 0, *[None] * 5) for i in range(160)]
+    for size in (40, 160):
+        got = suffixes.remove_repeats(fx.documents(spark, rows[:size])).collect()
+        assert by_text(tuple(r) for r in got) == by_text(brute_bytes(rows[:size]))
+    assert 0 < named[1] < 2 * named[0]
+
+
 def test_kept_texts_carry_all_columns(spark):
     rows = short(fx.make_rows())
     docs = fx.documents(spark, rows)
