@@ -17,6 +17,7 @@ from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -212,6 +213,23 @@ def decode_ids(ids: bytes, table: dict[int, bytes]) -> str:
     return b"".join([table[i] for i in array("I", ids)]).decode("utf-8", "replace")
 
 
+def token_array(path: str) -> pa.Array:
+    """The bytes of each id, by id."""
+    table = token_bytes(path)
+    return pa.array([table.get(i, b"") for i in range(max(table) + 1)], pa.large_binary())
+
+
+def decode_all(ids: list[bytes], tokens: pa.Array) -> list[str]:
+    """The text of each list of ids: the tokens of all are taken at once and lie end to end."""
+    taken = tokens.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+    if not len(taken):
+        return [""] * len(ids)
+    starts = np.frombuffer(taken.buffers()[1], np.int64)
+    ends = starts[np.cumsum([0, *[len(v) // 4 for v in ids]])]
+    body = memoryview(taken.buffers()[2])
+    return [str(body[a:b], "utf-8", "replace") for a, b in zip(ends, ends[1:])]
+
+
 def byte_characters() -> dict[int, str]:
     """The character that stands for each byte: itself if printable, else one from U+0100 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -243,8 +261,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
                 out = [model.encode(t) if t else b"" for t in part.column("_text").to_pylist()]
                 columns = [*part.columns[:-1], pa.array(out, pa.binary())]
                 if decoded:
-                    table = task_cache(f"bytes:{path}", lambda: token_bytes(path))
-                    columns.append(pa.array([decode_ids(v, table) for v in out], pa.string()))
+                    tokens = task_cache(f"tokens:{path}", lambda: token_array(path))
+                    columns.append(pa.array(decode_all(out, tokens), pa.string()))
                 yield pa.RecordBatch.from_arrays(
                     columns, names=[*(["_row"] if rest else []), *[f.name for f in made]])
 

@@ -141,3 +141,13 @@ def test_latin_text_is_split_into_pieces_at_once():
         assert list(array("I", model.encode(text))) == plain.encode(
             text, add_special_tokens=False).ids
     assert not model.known_pieces.new
+
+
+def test_ids_of_many_texts_are_decoded_at_once():
+    """Lists of ids that are empty or break characters give what each gives alone."""
+    model, table = bpe.PrefixBPE(BYTES), bpe.token_bytes(BYTES)
+    whole = [model.encode(t) for t in ("", "née à Þórshöfn", "日本語 🙂", "<|endoftext|> x")]
+    ids = [*whole, *[v[4:] for v in whole], *[v[:-4] for v in whole], b""]
+    tokens = bpe.token_array(BYTES)
+    assert bpe.decode_all(ids, tokens) == [bpe.decode_ids(v, table) for v in ids]
+    assert bpe.decode_all([b"", b""], tokens) == ["", ""] and bpe.decode_all([], tokens) == []
